@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.llm import secrets
+from factledger.llm import jaccard, secrets
 from factledger.llm.common import table
 
 
@@ -24,5 +24,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_secret_scan": op4_secret_scan}
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+QUERIES = {
+    "op4_secret_scan": op4_secret_scan,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+}
 ORACLES: dict[str, str] = {}
