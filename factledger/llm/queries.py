@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.llm import jaccard, langid, secrets
+from factledger.llm import jaccard, langid, secrets, tokenfile
 from factledger.llm.common import table
 
 
@@ -31,6 +32,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = tokenfile.new_target(spark)
+    tokenfile.write(table(spark, sf_dir, "documents"), target, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.checksums(tokenfile.read(spark, target))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
@@ -38,6 +45,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_secret_scan": op4_secret_scan,
+    "op6_token_output": op6_token_output,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
