@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.llm import jaccard, langid, secrets, tokenfile
+from factledger.llm import jaccard, langid, packing, secrets, tokenfile
 from factledger.llm.common import table
 
 
@@ -42,10 +42,15 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_secret_scan": op4_secret_scan,
     "op6_token_output": op6_token_output,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
