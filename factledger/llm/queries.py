@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.llm import jaccard, langid, packing, secrets, tokenfile
+from factledger.llm import decontaminate, jaccard, langid, packing, secrets, tokenfile
 from factledger.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = tokenfile.new_target(spark)
     tokenfile.write(table(spark, sf_dir, "documents"), target, public_tokenizers.path("byte_bpe_50k.json"))
@@ -49,6 +53,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_secret_scan": op4_secret_scan,
+    "op5_decontamination": op5_decontamination,
     "op6_token_output": op6_token_output,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_best_fit_packing": op8_best_fit_packing,
