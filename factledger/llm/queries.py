@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.llm import decontaminate, jaccard, langid, packing, secrets, tokenfile
+from factledger.llm import decontaminate, fingerprint, jaccard, langid, packing, secrets, tokenfile
 from factledger.llm.common import table
 
 
@@ -50,6 +50,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return fingerprint.fingerprint_with_next(docs, fingerprint.lexicon(docs))
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_secret_scan": op4_secret_scan,
@@ -57,5 +62,6 @@ QUERIES = {
     "op6_token_output": op6_token_output,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_document_fingerprints": op9_document_fingerprints,
 }
 ORACLES: dict[str, str] = {}
