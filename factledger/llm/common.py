@@ -158,7 +158,7 @@ def shingle_sets(texts: list[str], n: int = 5) -> list[np.ndarray]:
             out.append(own[keep])
         elif count:
             own = words.hash[words.first[i] : words.first[i + 1]]
-            total = np.uint64(count) + sum((x * _LANE[k] for k, x in enumerate(own)), np.zeros(1, np.uint64))
+            total = np.full(1, count, np.uint64) + (own * np.array(_LANE[:count])).sum(dtype=np.uint64)
             out.append(mix(total + np.uint64(0x5851F42D4C957F2D)))
         else:
             out.append(np.zeros(0, np.uint64))

@@ -6,17 +6,19 @@ Texts with equal sets form a class; classes are compared, copies never are. The
    frequent in a task's stretch of the table. The counts only settle an order of shingles, rarest first.
 2. A second pass emits the first n - ceil(0.8 n) + 1 shingles of each set in that order. Two sets that reach the
    threshold share one of these at least, so grouping by shingle loses no pair.
-3. Each group's members are tried against the group's smallest set of like size: by their bitmaps, then exactly. The
-   links that hold give first components.
-4. Groups that still hold several components are joined in full. A signature tree is built over the members: a node
-   holds the OR of the bitmaps below it and their range of sizes. The tree is traversed against itself, and a pair of
-   nodes goes no further if even the largest possible overlap is too small or all of it is one component. Pairs that
-   are left are verified exactly. Groups with the same members are joined once; large groups are dealt out as pairs of
-   blocks of bounded size.
-
-A component is therefore exact, and no task holds more than a block of a group. Rows without id are left out. Null and
-empty texts and texts without words have an empty set, size 0, and are linked with nothing. Repeated rows and equal
-texts are one class. Extra columns are ignored. Sets are compared by 64-bit hashes of shingles.
+3. Two sets are candidates if their sizes and bitmaps allow the overlap that they need. Members of a group are tried
+   against the group's smallest set of like size; the candidate pairs give first clusters.
+4. Groups that still hold several clusters are joined by signature trees: a node holds the OR of the bitmaps below it and
+   their range of sizes; the tree is traversed against itself, and a pair of nodes goes no further if the largest
+   possible overlap is too small or all below is one cluster already. Groups with the same members are joined once. Only
+   pairs that join two clusters are given out, so the rows grow with the members, not with their square.
+5. The texts of each cluster meet once, and a second tree join verifies exact sets in the same way: no pair of different
+   components is left untried, and only links that join components are given out.
+
+A component is therefore exact. Large groups and clusters are dealt out as pairs of blocks of bounded size, so no task
+holds more than two blocks. Rows without id are left out. Null and empty texts and texts without words have an empty set,
+size 0, and are linked with nothing. Repeated rows and equal texts are one class. Extra columns are ignored. Sets are
+compared by 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from factledger.llm.common import column, flat, shingle_sets, slices, stored, te
 from factledger.llm.components import components
 
 N_WORDS, PERCENT = 5, 80
-BLOCK = 1024  # members of a group that one side of a tree join holds
+BLOCK, TEXT_BLOCK = 1024, 512  # members of a group, and texts of a cluster, that a block holds
 FANOUT = 8
 TREE_BITS = 1024
 #: A shingle is frequent if it is in this share of the texts; so the list has at most 1 / share times the mean set size.
@@ -78,40 +80,74 @@ def may_reach(a: bytes, b: bytes, n_a: int, n_b: int, percent: int = PERCENT) ->
 
 
 class SignatureTree:
-    """Levels of nodes over sets sorted by size; level 0 are the sets."""
-
-    def __init__(self, sizes: np.ndarray, bits: list[bytes], group: np.ndarray):
-        self.order = np.argsort(sizes, kind="stable")
-        signature = np.stack([folded(np.frombuffer(x, np.uint8), TREE_BITS // 8) for x in bits]).view(np.uint64)[self.order]
-        n = sizes[self.order]
-        slack = n - np.bitwise_count(signature).sum(axis=1).astype(np.int64)
-        g = group[self.order]
-        self.levels = [(signature, n, n, slack, g, g)]
+    """Levels of nodes over sets sorted by label and size; level 0 are the sets."""
+
+    def __init__(self, sizes: np.ndarray, signature: np.ndarray, label: np.ndarray):
+        self.order = np.lexsort((sizes, label))
+        s, n, g = signature[self.order], sizes[self.order], label[self.order]
+        self.levels = [(s, n, n, n - np.bitwise_count(s).sum(axis=1).astype(np.int64), g, g)]
         while len(self.levels[-1][0]) > 1:
             s, low, high, slack, g_low, g_high = self.levels[-1]
             at = np.arange(0, len(s), FANOUT)
             self.levels.append((np.bitwise_or.reduceat(s, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(slack, at), np.minimum.reduceat(g_low, at), np.maximum.reduceat(g_high, at)))
 
-    def self_join(self, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the pairs of sets (in the order given) that no bound rules out."""
+    def _kept(self, depth: int, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of nodes that may hold a pair of sets that is near and not of one label."""
+        s, low, high, slack, g_low, g_high = self.levels[depth]
+        one = (g_low[a] == g_high[a]) & (g_low[b] == g_high[b]) & (g_low[a] == g_low[b])
+        keep = ~one & (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
+        a, b = a[keep], b[keep]
+        overlap = np.maximum(slack[a], slack[b]) + np.bitwise_count(s[a] & s[b]).sum(axis=1).astype(np.int64)
+        keep = (100 + percent) * overlap >= percent * (low[a] + low[b])
+        return a[keep], b[keep]
+
+    def self_join(self, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions (in the order given) of the pairs of sets that no bound rules out, some thousands at a time."""
+        step = np.arange(FANOUT)
         a = b = np.zeros(1, np.int64)
-        for depth in range(len(self.levels) - 1, -1, -1):
-            s, low, high, slack, g_low, g_high = self.levels[depth]
-            if depth < len(self.levels) - 1:
-                step = np.arange(FANOUT)
-                a, b = (x.ravel() for x in np.broadcast_arrays(a[:, None, None] * FANOUT + step[None, :, None], b[:, None, None] * FANOUT + step[None, None, :]))
-                keep = (a <= b) & (b < len(s))
-                a, b = a[keep], b[keep]
-            if depth == 0:
-                keep = a < b
-                a, b = a[keep], b[keep]
-            one = (g_low[a] == g_high[a]) & (g_low[b] == g_high[b]) & (g_low[a] == g_low[b])
-            keep = ~one & (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
-            a, b = a[keep], b[keep]
-            overlap = np.maximum(slack[a], slack[b]) + np.bitwise_count(s[a] & s[b]).sum(axis=1).astype(np.int64)
-            keep = (100 + percent) * overlap >= percent * (low[a] + low[b])
-            a, b = a[keep], b[keep]
-        return self.order[a], self.order[b]
+        a, b = self._kept(len(self.levels) - 1, a, b, percent)
+        for depth in range(len(self.levels) - 2, -1, -1):
+            width = len(self.levels[depth][0])
+            parts = []
+            for at in range(0, len(a), 512):
+                x, y = (v.ravel() for v in np.broadcast_arrays(a[at : at + 512, None, None] * FANOUT + step[None, :, None], b[at : at + 512, None, None] * FANOUT + step[None, None, :]))
+                keep = (x <= y if depth else x < y) & (y < width)
+                parts.append(self._kept(depth, x[keep], y[keep], percent))
+                if not depth:
+                    yield self.order[parts[-1][0]], self.order[parts.pop()[1]]
+            if depth:
+                a, b = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+
+
+def joining_pairs(sizes: np.ndarray, bits: list[bytes], label: np.ndarray, near, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Near pairs that join the labels as far as near pairs can: ``near(i, j)`` is asked only for pairs that the bounds
+    allow and whose labels have not been joined yet."""
+    signature = np.stack([folded(np.frombuffer(x, np.uint8), TREE_BITS // 8) for x in bits]).view(np.uint64)
+    slack = sizes - np.bitwise_count(signature).sum(axis=1).astype(np.int64)
+    label = np.unique(label, return_inverse=True)[1]
+    out: list[tuple[int, int]] = []
+
+    def tried(i: int, j: int) -> None:
+        if label[i] != label[j] and near(i, j):
+            out.append((i, j))
+            label[label == label[j]] = label[i]
+
+    # Many members are near the first of a group; what it joins needs no further look within the group.
+    open_ = np.argsort(sizes, kind="stable")
+    for _ in range(16):
+        if len(open_) < 2:
+            break
+        i, rest = open_[0], open_[1:]
+        overlap = np.maximum(slack[i], slack[rest]) + np.bitwise_count(signature[rest] & signature[i]).sum(axis=1).astype(np.int64)
+        for j in rest[((100 + percent) * overlap >= percent * (sizes[rest] + sizes[i])) & (label[rest] != label[i])].tolist():
+            tried(i, j)
+        open_ = rest[label[rest] != label[i]]
+    if (label != label[0]).any():
+        for a, b in SignatureTree(sizes, signature, label.copy()).self_join(percent):
+            keep = label[a] != label[b]
+            for i, j in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
+                tried(i, j)
+    return out
 
 
 # ------------------------------------------------------------------------------------------------------ passes over text
@@ -214,13 +250,11 @@ def _groups(percent: int):
     return run
 
 
-# --------------------------------------------------------------------------------------------------------- verification
-
-_PAIR = "rep_a long, lo_a long, rep_b long, lo_b long"
+# --------------------------------------------------------------------------------------------------------------- joins
 
 
-def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of digests whose sizes and bitmaps allow the threshold, with the texts that stand for them."""
+def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links u, v between the representatives of the pairs (a, b) of digests whose sizes and bitmaps allow the threshold."""
 
     def side(x: str) -> DataFrame:
         return classes.select(F.col("lo").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
@@ -231,79 +265,83 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             n_a, n_b, x, y = (column(batch, c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))
             keep = pa.array([may_reach(p, q, n, m, percent) for p, q, n, m in zip(x, y, n_a, n_b, strict=True)], pa.bool_())
-            yield batch.select(["rep_a", "a", "rep_b", "b"]).filter(keep).rename_columns(["rep_a", "lo_a", "rep_b", "lo_b"])
+            yield batch.select(["rep_a", "rep_b"]).filter(keep).rename_columns(["u", "v"])
+
+    return both.mapInArrow(run, "u long, v long")
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str]) -> Iterator[dict[str, list]]:
+    """The rows of each key, of batches that are sorted by key, as lists by column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        arrays = [column(batch, k).to_numpy() for k in keys]
+        edge = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in arrays])) + 1
+        for a, b in zip(np.r_[0, edge].tolist(), np.r_[edge, batch.num_rows].tolist(), strict=True):
+            part = batch.slice(a, b - a)
+            if held and any(column(held[0], k)[0] != column(part, k)[0] for k in keys):
+                yield {x: [v for h in held for v in column(h, x).to_pylist()] for x in names}
+                held = []
+            held.append(part)
+    if held:
+        yield {x: [v for h in held for v in column(h, x).to_pylist()] for x in names}
+
 
-    return both.mapInArrow(run, _PAIR)
+_LINKS = ["u", "v"]
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """The pairs whose sets reach the threshold, as links u, v. Members meet the first side's text in stretches of 256."""
-    load = pairs.groupBy("rep_a").agg(F.ceil(F.count(F.lit(1)) / 256).alias("parts"))
-    dealt = stored(pairs.join(load, "rep_a").withColumn("part", F.pmod(F.xxhash64("rep_b"), F.col("parts"))), "pairs")
-    member = dealt.select(F.col("rep_b").alias("doc_id"), F.col("lo_b").alias("lo"), F.col("rep_a").alias("head"), "part", F.lit(1).alias("role"))
-    head = dealt.select(F.col("rep_a").alias("doc_id"), F.col("lo_a").alias("lo"), F.col("rep_a").alias("head"), "part", F.lit(0).alias("role")).distinct()
-    rows = member.unionByName(head).join(docs, "doc_id").repartition("head", "part").sortWithinPartitions("head", "part", "role")
+def _links(rep: list[int], pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([rep[i] for i, _ in pairs], pa.int64()), pa.array([rep[j] for _, j in pairs], pa.int64())], _LINKS)
+
+
+def _candidate_join(percent: int):
+    """Groups in, sorted by (token, i, j): rep, n, component, bits; candidate links that join components out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, at = np.zeros(0, np.uint64), None
-        for batch in slices(batches):
-            u, v = [], []
-            fields = [column(batch, x).to_pylist() for x in ("head", "part", "role", "lo", "doc_id")]
-            for (h, p, role, lo, doc), x in zip(zip(*fields, strict=True), shingle_sets(texts_of(batch), n_words), strict=True):
-                if not len(x) or _digest(x)[0] != lo:
-                    continue  # another text with the same id
-                if role == 0:
-                    own, at = x, (h, p)
-                elif at == (h, p):
-                    short, long = (x, own) if len(x) < len(own) else (own, x)
-                    place = np.minimum(np.searchsorted(long, short), len(long) - 1)
-                    common = int((long[place] == short).sum())
-                    if 100 * common >= percent * (len(x) + len(own) - common):
-                        u.append(h)
-                        v.append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    return rows.mapInArrow(run, "u long, v long").distinct()
-
-
-def _tree_join(percent: int):
-    """Groups in, sorted by (token, i, j); pairs of digests out that may be links between components."""
-
-    def joined(rows: dict[str, list]) -> Iterator[tuple[list, list]]:
-        block = np.array(rows["block"])
-        i, j = rows["i"][0], rows["j"][0]
-        tree = SignatureTree(np.array(rows["n"], np.int64), rows["bits"], np.array(rows["component"], np.int64))
-        a, b = tree.self_join(percent)
-        if i != j:  # a pair within one block is met where i = j
-            keep = block[a] != block[b]
-            a, b = a[keep], b[keep]
-        lo, n, bits = rows["lo"], rows["n"], rows["bits"]
-        kept = [(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if may_reach(bits[x], bits[y], n[x], n[y], percent)]
-        yield [lo[x] for x, _ in kept], [lo[y] for _, y in kept]
+        for rows in _by_key(batches, ["token", "i", "j"], ["rep", "n", "component", "bits"]):
+            n, bits = rows["n"], rows["bits"]
+            pairs = joining_pairs(np.array(n, np.int64), bits, np.array(rows["component"], np.int64), lambda i, j: may_reach(bits[i], bits[j], n[i], n[j], percent), percent)  # noqa: B023
+            if pairs:
+                yield _links(rows["rep"], pairs)
+
+    return run
+
+
+def _exact_join(n_words: int, percent: int):
+    """Clusters in, sorted by (cluster, i, j): doc_id, lo, text; exact links that join components out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "i", "j", "block", "lo", "n", "component", "bits"]
-        rows: dict[str, list] = {x: [] for x in names}
-        for batch in batches:
-            new = {x: column(batch, x).to_pylist() for x in names}
-            keys = list(zip(new["token"], new["i"], new["j"], strict=True))
-            at = 0
-            for k in range(len(keys)):
-                if rows["token"] and keys[k] != (rows["token"][0], rows["i"][0], rows["j"][0]) or k > at and keys[k] != keys[at]:
-                    for x in names:
-                        rows[x] += new[x][at:k]
-                    for a, b in joined(rows):
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                    rows, at = {x: [] for x in names}, k
-            for x in names:
-                rows[x] += new[x][at:]
-        if rows["token"]:
-            for a, b in joined(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for rows in _by_key(batches, ["cluster", "i", "j"], ["doc_id", "lo", "text"]):
+            sets = shingle_sets(rows["text"], n_words)
+            # Another text with the same id is not the one that stands for the class.
+            own = {d: x for d, lo, x in zip(rows["doc_id"], rows["lo"], sets, strict=True) if len(x) and _digest(x)[0] == lo}
+            rep, sets = list(own), list(own.values())
+            if len(rep) < 2:
+                continue
+
+            def near(i: int, j: int) -> bool:
+                short, long = sorted((sets[i], sets[j]), key=len)  # noqa: B023
+                at = np.minimum(np.searchsorted(long, short), len(long) - 1)
+                common = int((long[at] == short).sum())
+                return 100 * common >= percent * (len(short) + len(long) - common)
+
+            pairs = joining_pairs(np.array([len(x) for x in sets], np.int64), [bitmap(x) for x in sets], np.arange(len(sets)), near, percent)
+            if pairs:
+                yield _links(rep, pairs)
 
     return run
 
 
+def _dealt(rows: DataFrame, key: str, blocks: DataFrame, member: str) -> DataFrame:
+    """Rows with ``i`` and ``j``: all of a small key's are 0, 0; a large one's meet as pairs of hashed blocks."""
+    placed = rows.join(blocks, key).withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j")))
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    placed = placed.withColumn("p", F.explode(F.when(F.col("blocks") == 1, alone).otherwise(pair)))
+    return placed.select(*rows.columns, "p.i", "p.j")
+
+
 # ------------------------------------------------------------------------------------------------------------- operator
 
 
@@ -324,25 +362,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = stored(texts.where("n > 0").groupBy("lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
 
     star = groups.where("lo <> lead").select(F.col("lead").alias("a"), F.col("lo").alias("b")).distinct()
-    first = stored(_verified(_bounded(star, classes, percent), source, n_words, percent), "links")
-    early = components(first)
+    early = components(_candidates(star, classes, percent))
+    placed = classes.join(early, classes["rep"] == early["node"], "left").select("lo", "rep", "n", "bits", F.coalesce("component", "rep").alias("component"))
 
-    placed = classes.join(early, classes["rep"] == early["node"], "left").select("lo", "n", "bits", F.coalesce("component", "rep").alias("component"))
     at = groups.select("token", "lo").join(placed.select("lo", "component"), "lo")
     mixed = at.groupBy("token").agg(
         F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("lo").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("lo", F.lit(1))).alias("xor")
     ).where("low < high")
-    once = mixed.groupBy("members", "sum", "xor").agg(F.min("token").alias("token"))
-    sized = once.select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    member = groups.select("token", "lo").join(sized, "token").withColumn("block", F.pmod(F.xxhash64("lo"), F.col("blocks")).cast("int"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j"))))
-    dealt = member.select("token", "lo", "block", pair.alias("p")).select("token", "lo", "block", "p.i", "p.j").join(placed, "lo")
-    ready = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    more = ready.mapInArrow(_tree_join(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = _verified(_bounded(more, classes, percent), source, n_words, percent)
-
-    linked = stored(second, "links")
-    last = early if linked.isEmpty() else components(early.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(linked))
+    once = mixed.groupBy("members", "sum", "xor").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    dealt = _dealt(groups.select("token", "lo"), "token", once, "lo").join(placed, "lo")
+    more = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_candidate_join(percent), "u long, v long")
+    clusters = stored(components(early.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "clusters")
+
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TEXT_BLOCK).cast("int").alias("blocks")).withColumnRenamed("component", "cluster")
+    member = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(classes.select("rep", "lo"), "rep")
+    wanted = stored(_dealt(member, "cluster", sizes, "rep").select(F.col("rep").alias("doc_id"), "lo", "cluster", "i", "j"), "wanted")
+    met = wanted.join(source, "doc_id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    last = components(met.mapInArrow(_exact_join(n_words, percent), "u long, v long"))
+
     kind = classes.join(last, classes["rep"] == last["node"], "left").select("lo", "rep", F.coalesce("component", "rep").alias("component"))
     return texts.join(kind, "lo", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id")

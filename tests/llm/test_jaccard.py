@@ -55,8 +55,8 @@ def test_tree_loses_no_pair():
             sets.append(np.unique(x))
     n = np.array([len(x) for x in sets])
     bits = [jaccard.bitmap(x) for x in sets]
-    a, b = jaccard.SignatureTree(n, bits, np.arange(len(sets))).self_join()
-    found = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    signature = np.stack([jaccard.folded(np.frombuffer(x, np.uint8), jaccard.TREE_BITS // 8) for x in bits]).view(np.uint64)
+    found = {(min(p), max(p)) for a, b in jaccard.SignatureTree(n, signature, np.arange(len(sets))).self_join() for p in zip(a.tolist(), b.tolist(), strict=True)}
     for i in range(len(sets)):
         for j in range(i):
             common = len(np.intersect1d(sets[i], sets[j]))
@@ -67,6 +67,7 @@ def test_tree_loses_no_pair():
 
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "TEXT_BLOCK", 3)
     rng = random.Random(5)
     word = lambda: rng.choice("abcdefgh") + str(rng.randrange(400))
     passage = [word() for _ in range(30)]
