@@ -138,23 +138,26 @@ _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.strin
 SPAN_DDL = "array<struct<start:bigint,end:bigint,kind:string>>"
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", replace: bool = False) -> DataFrame:
-    """Id and the array of its spans; with ``replace`` also the text with the spans replaced (null stays null)."""
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    id_type = dict(docs.dtypes)[id_col]
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", replace: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """Id and the array of its spans; with ``replace`` also the text with the spans replaced (null stays null). ``keep``
+    names other columns that go along."""
+    keep = keep or []
+    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[docs[x].alias(f"keep_{x}") for x in keep])
+    types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = automaton()
         for batch in slices(batches, limit=8_000_000):
             spans = [scan(x, words) if x else [] for x in texts_of(batch)]
-            out = [column(batch, "id"), pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in x] for x in spans], pa.list_(_SPAN))]
-            names = [id_col, "spans"]
+            out = [column(batch, "id"), *[column(batch, f"keep_{x}") for x in keep], pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in x] for x in spans], pa.list_(_SPAN))]
+            names = [id_col, *keep, "spans"]
             if replace:
                 raw = column(batch, "text").to_pylist()
                 out.append(pa.array([redact(t, s) if s else t for t, s in zip(raw, spans, strict=True)], pa.string()))
                 names.append(text_col)
             yield pa.RecordBatch.from_arrays(out, names)
 
-    schema = f"`{id_col}` {id_type}, spans {SPAN_DDL}" + (f", `{text_col}` string" if replace else "")
+    kept = "".join(f", `{x}` {types[x]}" for x in keep)
+    schema = f"`{id_col}` {types[id_col]}{kept}, spans {SPAN_DDL}" + (f", `{text_col}` string" if replace else "")
     return source.mapInArrow(run, schema)
 
