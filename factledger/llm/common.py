@@ -7,8 +7,10 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # ----------------------------------------------------------------------------------------------- reading and writing
 
@@ -33,6 +35,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FILTER_BITS = 1 << 25  # 4 MB, however many ids there are
+
+
+def possibly(ids: DataFrame, name: str):
+    """A filter for a column of ids: true for every id of ``ids``, false for most others.
+
+    One bit a hash in a bit set of fixed size, so what the driver gathers and broadcasts is bounded; with more ids than
+    bits it lets all rows through, and stays right. It only sees the id, so texts are not sent to Python."""
+    spark = ids.sparkSession
+    hashed = ids.select(F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(FILTER_BITS)).alias("h"))
+    words = hashed.groupBy(F.shiftright("h", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def known(h: pd.Series) -> pd.Series:
+        at = h.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return lambda x: known(F.pmod(F.xxhash64(x.cast("long")), F.lit(FILTER_BITS)))
+
+
 # ------------------------------------------------------------------------------------------------ batches inside tasks
 
 

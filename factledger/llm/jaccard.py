@@ -12,7 +12,7 @@ Texts with equal sets form a class; classes are compared, copies never are. The
    their range of sizes; the tree is traversed against itself, and a pair of nodes goes no further if the largest
    possible overlap is too small or all below is one cluster already. Groups with the same members are joined once. Only
    pairs that join two clusters are given out, so the rows grow with the members, not with their square.
-5. The texts of each cluster meet once, and a second tree join verifies exact sets in the same way: no pair of different
+5. The texts of each cluster, and few others, are shuffled and meet once, and a second tree join verifies exact sets in the same way: no pair of different
    components is left untried, and only links that join components are given out.
 
 A component is therefore exact. Large groups and clusters are dealt out as pairs of blocks of bounded size, so no task
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factledger.llm.common import column, flat, shingle_sets, slices, stored, texts_of
+from factledger.llm.common import column, flat, possibly, shingle_sets, slices, stored, texts_of
 from factledger.llm.components import components
 
 N_WORDS, PERCENT = 5, 80
@@ -377,7 +377,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TEXT_BLOCK).cast("int").alias("blocks")).withColumnRenamed("component", "cluster")
     member = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(classes.select("rep", "lo"), "rep")
     wanted = stored(_dealt(member, "cluster", sizes, "rep").select(F.col("rep").alias("doc_id"), "lo", "cluster", "i", "j"), "wanted")
-    met = wanted.join(source, "doc_id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    needed = source.where(possibly(wanted, "doc_id")(F.col("doc_id")))
+    met = wanted.join(needed, "doc_id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     last = components(met.mapInArrow(_exact_join(n_words, percent), "u long, v long"))
 
     kind = classes.join(last, classes["rep"] == last["node"], "left").select("lo", "rep", F.coalesce("component", "rep").alias("component"))

@@ -2,8 +2,10 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from factledger.llm import jaccard, queries
+from factledger.llm.common import possibly
 from factledger.llm.components import components
 
 
@@ -92,3 +94,11 @@ def test_query_against_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op7_ngram_jaccard_join(spark, sf_dir).collect()}
     assert got == brute(rows)
+
+
+def test_filter_passes_every_id(spark):
+    ids = spark.range(0, 5000, 7).selectExpr("id - 900 as doc_id")
+    passed = {r.id for r in spark.range(-900, 4100).where(possibly(ids, "doc_id")(F.col("id"))).collect()}
+    own = {r.doc_id for r in ids.collect()}
+    assert own <= passed and len(passed) < 1.05 * len(own)
+    assert spark.range(9).where(possibly(ids.limit(0), "doc_id")(F.col("id"))).collect() == []
