@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factledger.functions import matching
-from factledger.operators import candidates, evaluation, reports
+from factledger.operators import candidates, evaluation, gate, notes, reports
+from factledger.operators.mentions import mentions, note_lines
 from factledger.plans.report_sql import LINES, report, weekly, with_
 from factledger.sources.tables import table
 
@@ -89,6 +90,23 @@ r as (select l_orderkey, l_suppkey as r_id, min(l_partkey) as r_start, max(l_par
 j as (select *, least(l_end, r_end) - greatest(l_start, r_start) as overlap from l join r using (l_orderkey) where least(l_end, r_end) - greatest(l_start, r_start) > 0)
 select * exclude (pick) from (select *, row_number() over (partition by l_orderkey, l_id order by overlap desc, r_start, r_id) as pick from j) where pick = 1"""
 
+def _level1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over a generated note about every week of the report."""
+    tables = notes.as_tables(_report(spark, sf_dir))
+    lines = note_lines(notes.template_notes(tables)[0])
+    return gate.level1(mentions(lines), lines, tables)
+
+
+def level1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _level1(spark, sf_dir).select("note_id", "line_idx", "mention_idx", "raw_text", "value", "unit", "direction", "label", "evidence")
+
+
+def extract_numbers_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every number of every document."""
+    found = mentions(note_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("note_id"), F.lit("").alias("table_id"), F.col("text").alias("note"))))
+    return found.select(F.col("note_id").cast("long").alias("doc_id"), "line_idx", "mention_idx", "raw_text", "value", "unit", "direction", "qualifier", "skip_reason", "position")
+
+
 QUERIES = {
     "clean_lines": lambda s, d: reports.clean_lines(s, d).select("invoice_no", "day", "country", "product", "brand", "quantity", F.col("revenue").cast("double").alias("revenue"), "flag"),
     "weekly_rollup_country": lambda s, d: reports.weekly_rollup(reports.clean_lines(s, d), "country"),
@@ -112,6 +130,9 @@ QUERIES = {
     "pairwise_diffs": _on_report(candidates.pairwise),
     "family_groups": lambda s, d: candidates.families(_report(s, d, "product")),
     "match_predicate": match_predicate,
+    "level1_labels": level1_labels,
+    "level1_rates": lambda s, d: gate.note_rates(_level1(s, d)),
+    "extract_numbers_docs": extract_numbers_docs,
     "rates_grouping_sets": lambda s, d: evaluation.rates_by_sets(_verdicts(s, d), SETS, "num", "den"),
     "cluster_bootstrap": lambda s, d: evaluation.bootstrap(_clusters(s, d), "num", "den", "n_name", 500),
     "holm": lambda s, d: evaluation.holm(_tests(s, d)),

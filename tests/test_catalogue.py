@@ -16,7 +16,7 @@ def canonical(rows, columns):
     return sorted((tuple(float(f"{r[k]:.9g}") if isinstance(r[k], float) else r[k] for k in order) for r in rows), key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
-@pytest.mark.parametrize("name", catalogue.QUERIES)
+@pytest.mark.parametrize("name", catalogue.ORACLES)
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -32,3 +32,9 @@ def test_query_equals_sql(spark, sf_dir, name):
     for x, y in zip(a, b, strict=True):
         for u, v in zip(x, y, strict=True):
             assert u == v or (isinstance(u, float) and isinstance(v, (int, float)) and math.isclose(u, v, rel_tol=1e-9)), (x, y)
+
+
+def test_what_sql_cannot_express():
+    """Java's regular expressions look around, which DuckDB's can't: these are held against sentences and notes with known
+    readings in the tests of mentions, gate and notes."""
+    assert catalogue.QUERIES.keys() - catalogue.ORACLES.keys() == {"level1_labels", "level1_rates", "extract_numbers_docs"}
