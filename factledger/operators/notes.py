@@ -21,7 +21,8 @@ def _drawn(slot: str, below: int) -> Column:
 
 
 def template_notes(tables: DataFrame, top: int = 3) -> tuple[DataFrame, DataFrame]:
-    """``note_id``, ``table_id``, ``note``; and the slots: ``note_id``, ``line_idx``, ``planted``, ``true_value``.
+    """``note_id``, ``table_id``, ``note``; and the slots: ``note_id``, ``table_id``,
+    ``line_idx``, ``Entity``, ``text``, ``planted``, ``true_value``.
 
     One line for each of the first entities: its revenue and its change since last week. An error drifts the revenue by
     6 per cent, or turns the sign of the change."""
@@ -34,5 +35,13 @@ def template_notes(tables: DataFrame, top: int = 3) -> tuple[DataFrame, DataFram
     slots = rows.select("table_id", "Rank", "Entity", text.alias("text"), F.when(drift, "drift").when(flip, "flip").otherwise("none").alias("planted"), F.col("Revenue_TW").alias("true_value"))
     notes = slots.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("Rank", "Entity", "text", "planted", "true_value"))).alias("x"))
     note = notes.select(F.concat(F.lit("note "), "table_id").alias("note_id"), "table_id", F.array_join(F.col("x.text"), "\n").alias("note"))
-    out = notes.select(F.concat(F.lit("note "), "table_id").alias("note_id"), F.posexplode("x").alias("line_idx", "s")).select("note_id", "line_idx", "s.planted", "s.true_value")
+    out = notes.select(F.concat(F.lit("note "), "table_id").alias("note_id"), "table_id", F.posexplode("x").alias("line_idx", "s")).select("note_id", "table_id", "line_idx", "s.Entity", "s.text", "s.planted", "s.true_value")
     return note, out
+
+
+def template_claims(notes_slots: DataFrame) -> DataFrame:
+    """The revenue claim of each slot, as an extractor would give it."""
+    return notes_slots.select(
+        "note_id", "table_id", "line_idx", F.lit(0).alias("claim_idx"), F.col("Entity").alias("entity"), F.lit("revenue").alias("metric"), F.lit("TW").alias("period"), F.regexp_extract("text", r"(£[0-9,.]+\d)", 1).alias("value_text"),
+        F.lit("none").alias("direction"), F.lit("none").alias("qualifier"),
+    )

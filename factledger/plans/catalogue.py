@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factledger.functions import matching
-from factledger.operators import candidates, evaluation, gate, notes, reports
+from factledger.operators import candidates, claims, evaluation, gate, notes, reports
 from factledger.operators.mentions import mentions, note_lines
 from factledger.plans.report_sql import LINES, report, weekly, with_
 from factledger.sources.tables import table
@@ -101,6 +101,18 @@ def level1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _level1(spark, sf_dir).select("note_id", "line_idx", "mention_idx", "raw_text", "value", "unit", "direction", "label", "evidence")
 
 
+def claim_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The revenue claim of each line of the generated notes, bound to its table."""
+    tables = notes.as_tables(_report(spark, sf_dir))
+    note, slots = notes.template_notes(tables)
+    return claims.verify(notes.template_claims(slots), note_lines(note), tables)
+
+
+def claim_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = claims.claim_frame(notes.as_tables(_report(spark, sf_dir)))
+    return frame.select(F.col("table_id").alias("week"), F.col("row").alias("entity"), F.explode("cells").alias("col", "value")).where("col in ('Revenue_WoW_Abs', 'Units_WoW_Pct', 'Revenue_YoY_Pct', 'Share_LW', 'Orders_Share')")
+
+
 def extract_numbers_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every number of every document."""
     found = mentions(note_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("note_id"), F.lit("").alias("table_id"), F.col("text").alias("note"))))
@@ -133,6 +145,8 @@ QUERIES = {
     "level1_labels": level1_labels,
     "level1_rates": lambda s, d: gate.note_rates(_level1(s, d)),
     "extract_numbers_docs": extract_numbers_docs,
+    "claim_labels": claim_labels,
+    "claim_frame": claim_cells,
     "rates_grouping_sets": lambda s, d: evaluation.rates_by_sets(_verdicts(s, d), SETS, "num", "den"),
     "cluster_bootstrap": lambda s, d: evaluation.bootstrap(_clusters(s, d), "num", "den", "n_name", 500),
     "holm": lambda s, d: evaluation.holm(_tests(s, d)),
@@ -144,6 +158,13 @@ QUERIES = {
 }
 
 ORACLES = {
+    "claim_frame": BASE.rstrip() + ",\n" + TOTALS + """, rows as (select week, entity, revenue_tw, revenue_lw, revenue_ly, units_tw, units_lw, orders_tw, false as total from report
+        union all select week, 'TOTAL', revenue_tw, revenue_lw, revenue_ly, units_tw, units_lw, orders_tw, true from totals),
+        v as (select r.week, r.entity, r.revenue_tw - r.revenue_lw as a, case when r.units_lw <> 0 then (cast(r.units_tw as double) - r.units_lw) / cast(r.units_lw as double) * 100 end as b,
+          case when r.revenue_ly > 0 then (r.revenue_tw - r.revenue_ly) / r.revenue_ly * 100 end as c, case when not r.total and t.revenue_lw <> 0 then r.revenue_lw / t.revenue_lw * 100 end as d,
+          case when r.total then 100.0 when t.orders_tw <> 0 then r.orders_tw / t.orders_tw * 100 end as e from rows r join totals t using (week))
+        select * from (select week, entity, 'Revenue_WoW_Abs' as col, a as value from v union all select week, entity, 'Units_WoW_Pct', b from v union all select week, entity, 'Revenue_YoY_Pct', c from v
+        union all select week, entity, 'Share_LW', d from v union all select week, entity, 'Orders_Share', e from v) where value is not null""",
     "clean_lines": with_(LINES) + "select invoice_no, day, country, product, brand, quantity, cast(revenue as double) as revenue, flag from clean",
     "weekly_rollup_country": with_(LINES, weekly("country")) + "select * from weekly",
     "weekly_rollup_product": with_(LINES, weekly("product")) + "select * from weekly",

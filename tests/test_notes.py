@@ -1,6 +1,6 @@
 import json
 
-from factledger.operators import gate, notes, reports
+from factledger.operators import claims, gate, notes, reports
 from factledger.operators.mentions import mentions, note_lines
 from factledger.streaming.gate import gate_stream
 
@@ -22,6 +22,14 @@ def test_planted_errors_are_found(spark, sf_dir):
     assert len(wrong & flagged) >= 0.7 * len(wrong)
 
 
+def test_drifted_revenue_is_no_correct_claim(spark, sf_dir):
+    tables = tables_of(spark, sf_dir).where("table_id < '1996-W10'").cache()
+    note, slots = notes.template_notes(tables)
+    got = {(r.note_id, r.line_idx): r.label for r in claims.verify(notes.template_claims(slots), note_lines(note), tables).collect()}
+    for s in slots.collect():
+        assert (got[s.note_id, s.line_idx] == "Correct") == (s.planted != "drift")
+
+
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
     tables = tables_of(spark, sf_dir).where("table_id < '1995-W20'").cache()
     note, _ = notes.template_notes(tables)
