@@ -72,3 +72,26 @@ def best_overlap(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     j = left.join(right, keys).withColumn("overlap", F.least("l_end", "r_end") - F.greatest("l_start", "r_start")).where("overlap > 0")
     pick = F.row_number().over(Window.partitionBy(*keys, "l_id").orderBy(F.desc("overlap"), "r_start", "r_id"))
     return j.withColumn("pick", pick).where("pick = 1").drop("pick")
+
+
+def paired_difference(rows: DataFrame, keys: list[str], arm: str, a: str, b: str, rounds: int) -> DataFrame:
+    """Bootstrap of rate(a) - rate(b) over units that both arms have: ``n``, ``difference``, ``low``, ``high`` and a
+    two-sided p."""
+    side = lambda name, x: rows.where(F.col(arm) == name).select(*keys, F.col("num").alias(f"num_{x}"), F.col("den").alias(f"den_{x}"))
+    pairs = side(a, "a").join(side(b, "b"), keys)
+    unit = pairs.select(F.row_number().over(Window.orderBy(*keys)).cast("long").alias("at"), "num_a", "den_a", "num_b", "den_b")
+    gap = F.sum("num_a") / F.sum("den_a") - F.sum("num_b") / F.sum("den_b")
+    whole = unit.agg(F.count(F.lit(1)).alias("n"), gap.alias("difference"))
+    draws = rows.sparkSession.range(rounds).withColumnRenamed("id", "b").crossJoin(F.broadcast(whole.select("n"))).where("n > 0")
+    slots = draws.select("b", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("slot")).select("b", (draw(F.col("n"), F.col("b"), F.col("slot")) + 1).alias("at"))
+    each = slots.join(unit, "at").groupBy("b").agg(gap.alias("d"))
+    both = F.least(F.avg((F.col("d") <= 0).cast("int")), F.avg((F.col("d") >= 0).cast("int")))
+    found = each.agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.least(F.lit(1.0), 2 * both).alias("p_value"))
+    return whole.crossJoin(F.broadcast(found)).select("n", "difference", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "p_value")
+
+
+def consensus(first: DataFrame, second: DataFrame, third: DataFrame, key: str) -> DataFrame:
+    """Two reviewers' verdicts where they agree, else the third's; null and ``open`` where that one is missing."""
+    j = first.select(key, F.col("verdict").alias("a")).join(second.select(key, F.col("verdict").alias("b")), key).join(third.select(key, F.col("verdict").alias("c")), key, "left")
+    final = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("c"))
+    return j.select(key, final.alias("final"), (F.col("a") == F.col("b")).alias("agree"), final.isNull().alias("open"))

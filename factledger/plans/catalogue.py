@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factledger.functions import matching
+from factledger.functions import text as text_functions
 from factledger.operators import candidates, claims, evaluation, gate, notes, reports
 from factledger.operators.mentions import mentions, note_lines
 from factledger.plans.report_sql import LINES, report, weekly, with_
@@ -91,8 +92,9 @@ j as (select *, least(l_end, r_end) - greatest(l_start, r_start) as overlap from
 select * exclude (pick) from (select *, row_number() over (partition by l_orderkey, l_id order by overlap desc, r_start, r_id) as pick from j) where pick = 1"""
 
 def _level1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gate over a generated note about every week of the report."""
-    tables = notes.as_tables(_report(spark, sf_dir))
+    """The gate over a generated note about every week of the report. The report is read by every kind of candidate, so it
+    is kept once made."""
+    tables = notes.as_tables(_report(spark, sf_dir)).persist()
     lines = note_lines(notes.template_notes(tables)[0])
     return gate.level1(mentions(lines), lines, tables)
 
@@ -103,7 +105,7 @@ def level1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claim_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The revenue claim of each line of the generated notes, bound to its table."""
-    tables = notes.as_tables(_report(spark, sf_dir))
+    tables = notes.as_tables(_report(spark, sf_dir)).persist()
     note, slots = notes.template_notes(tables)
     return claims.verify(notes.template_claims(slots), note_lines(note), tables)
 
@@ -119,6 +121,17 @@ def extract_numbers_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("note_id").cast("long").alias("doc_id"), "line_idx", "mention_idx", "raw_text", "value", "unit", "direction", "qualifier", "skip_reason", "position")
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.groupBy("n_name", "c_mktsegment").agg(F.sum((F.col("c_acctbal") < 0).cast("long")).alias("num"), F.count(F.lit(1)).alias("den"))
+
+
+def _reviews(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    verdict = F.when(F.pmod(F.col("c_custkey") * (2 * k + 3), F.lit(7 + k)) < 3, "wrong").otherwise("right")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", verdict.alias("verdict"))
+    return rows.where("c_custkey % 5 > 0") if k == 2 else rows
+
+
 QUERIES = {
     "clean_lines": lambda s, d: reports.clean_lines(s, d).select("invoice_no", "day", "country", "product", "brand", "quantity", F.col("revenue").cast("double").alias("revenue"), "flag"),
     "weekly_rollup_country": lambda s, d: reports.weekly_rollup(reports.clean_lines(s, d), "country"),
@@ -149,6 +162,15 @@ QUERIES = {
     "claim_frame": claim_cells,
     "rates_grouping_sets": lambda s, d: evaluation.rates_by_sets(_verdicts(s, d), SETS, "num", "den"),
     "cluster_bootstrap": lambda s, d: evaluation.bootstrap(_clusters(s, d), "num", "den", "n_name", 500),
+    "paired_bootstrap": lambda s, d: evaluation.paired_difference(_segments(s, d), ["n_name"], "c_mktsegment", "BUILDING", "MACHINERY", 300),
+    "reviewer_consensus": lambda s, d: evaluation.consensus(*[_reviews(s, d, k) for k in range(3)], "c_custkey"),
+    "markdown_tables": _on_report(lambda r: text_functions.markdown(r, "week", ["pos"], ["entity", "units_tw", "orders_tw", "rank"])),
+    "markdown_round_trip": _on_report(
+        lambda r: text_functions.from_markdown(text_functions.markdown(r, "week", ["pos"], ["entity", "units_tw", "orders_tw", "rank"]), "week", "markdown").where("pos > 0").select(
+            "week", F.col("cells")[0].alias("entity"), F.col("cells")[1].cast("long").alias("units_tw"), F.col("cells")[3].cast("long").alias("rank")
+        )
+    ),
+    "cache_keys": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", text_functions.cache_key(F.col("role"), F.coalesce("text", F.lit(""))).alias("key")),
     "holm": lambda s, d: evaluation.holm(_tests(s, d)),
     "kappa": lambda s, d: evaluation.kappa(table(s, d, "customer").select((F.col("c_acctbal") > 0).cast("int").alias("a"), (F.pmod("c_custkey", F.lit(3)) > 0).cast("int").alias("b")), "a", "b"),
     "wilson": lambda s, d: _clusters(s, d).select("n_name", *[x.alias(n) for x, n in zip(evaluation.wilson(F.col("num"), F.col("den")), ("low", "high"), strict=True)]),
@@ -205,6 +227,19 @@ ORACLES = {
     "cluster_bootstrap": """with c as (select row_number() over (order by n_name) as pos, num, den from (select n_name, sum(cast(c_acctbal < 0 as bigint)) as num, count(*) as den from customer join nation on c_nationkey = n_nationkey group by n_name)),
         z as (select count(*) as n from c), s as (select b, slot, ('0x' || md5(cast(b as varchar) || '|' || cast(slot as varchar))[1:15])::bigint % n + 1 as pos from z, range(500) r(b), lateral (select unnest(range(1, n + 1)) as slot)),
         x as (select b, sum(num)::double / nullif(sum(den), 0)::double as rate from s join c using (pos) group by b) select count(rate) as rounds, quantile_cont(rate, 0.025) as low, quantile_cont(rate, 0.975) as high from x""",
+    "paired_bootstrap": """with g as (select n_name, c_mktsegment as arm, sum(cast(c_acctbal < 0 as bigint))::double as num, count(*)::double as den from customer join nation on c_nationkey = n_nationkey group by all),
+        u as (select row_number() over (order by a.n_name) as pos, a.num as na, a.den as da, b.num as nb, b.den as db from g a join g b on a.n_name = b.n_name and a.arm = 'BUILDING' and b.arm = 'MACHINERY'),
+        w as (select count(*) as n, sum(na) / sum(da) - sum(nb) / sum(db) as difference from u),
+        s as (select b, ('0x' || md5(cast(b as varchar) || '|' || cast(slot as varchar))[1:15])::bigint % n + 1 as pos from w, range(300) r(b), lateral (select unnest(range(1, n + 1)) as slot)),
+        x as (select b, sum(na) / sum(da) - sum(nb) / sum(db) as d from s join u using (pos) group by b)
+        select n, difference, quantile_cont(d, 0.025) as low, quantile_cont(d, 0.975) as high, least(1.0::double, 2 * least(avg(cast(d <= 0 as integer)), avg(cast(d >= 0 as integer)))) as p_value from x, w group by n, difference""",
+    "reviewer_consensus": """with v as (select c_custkey, case when c_custkey * 3 % 7 < 3 then 'wrong' else 'right' end as a, case when c_custkey * 5 % 8 < 3 then 'wrong' else 'right' end as b,
+        case when c_custkey % 5 > 0 then case when c_custkey * 7 % 9 < 3 then 'wrong' else 'right' end end as c from customer), f as (select *, case when a = b then a else c end as final from v)
+        select c_custkey, final, a = b as agree, final is null as "open" from f""",
+    "markdown_tables": BASE + """select week, '| entity | units_tw | orders_tw | rank |' || chr(10) || '|---|---|---|---|' || chr(10) ||
+        string_agg('| ' || entity || ' | ' || units_tw || ' | ' || orders_tw || ' | ' || "rank" || ' |', chr(10) order by pos) as markdown from report group by week""",
+    "markdown_round_trip": BASE + 'select week, entity, units_tw, "rank" from report',
+    "cache_keys": "select conv_id, turn, sha256(length(role) || ':' || role || length(coalesce(text, '')) || ':' || coalesce(text, '')) as key from conversations",
     "holm": """with t as (select n_name as name, sum(cast(c_acctbal < 0 as bigint))::double / count(*) / 4 as p from customer join nation on c_nationkey = n_nationkey group by n_name),
         r as (select *, row_number() over (order by p, name) as rn, count(*) over () as m from t) select name, p, max(least(1.0::double, (m - rn + 1) * p)) over (order by p, name rows unbounded preceding) as p_holm from r""",
     "kappa": """with m as (select avg(cast((c_acctbal > 0) = (c_custkey % 3 > 0) as integer)) as agree, avg(cast(c_acctbal > 0 as integer)) as pa, avg(cast(c_custkey % 3 > 0 as integer)) as pb from customer)

@@ -1,8 +1,12 @@
 """Sentences with the reading that they must get."""
 
+import re
+
 import pytest
 
+from factledger.functions import lexicons as lx
 from factledger.operators.mentions import mentions, note_lines
+from factledger.plans import catalogue
 
 CASES = [
     ("Revenue was £12,345.67 this week", [("£12,345.67", "currency", 12345.67, False, "")]),
@@ -49,3 +53,16 @@ def test_hedges_and_ranges(spark):
     notes = spark.createDataFrame([("a", "t", "nearly £4k\nmore than 900%\nless than 5 orders\njust over 3%\nc.£4k\n£4k"), ("b", "t", None), ("c", "t", "")], "note_id string, table_id string, note string")
     rows = mentions(note_lines(notes)).orderBy("line_idx").collect()
     assert [r.qualifier for r in rows] == ["approx", "over", "under", "approx", "approx", "none"]
+
+
+def test_documents_against_the_same_pattern_in_python(spark, sf_dir):
+    pattern = re.compile(lx.NUMBER.replace("(?U)", ""))
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        for k, line in enumerate(x for x in re.split(r"\r?\n", r.text or "") if x.strip(" ")):
+            for part in re.split(lx.SENTENCE_END, line):
+                want[r.doc_id, k] = want.get((r.doc_id, k), []) + [m[0].strip() for m in pattern.finditer(part)]
+    got = {}
+    for r in catalogue.extract_numbers_docs(spark, sf_dir).orderBy("doc_id", "line_idx", "mention_idx").collect():
+        got.setdefault((r.doc_id, r.line_idx), []).append(r.raw_text)
+    assert got == {k: v for k, v in want.items() if v}
