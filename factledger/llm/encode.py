@@ -2,8 +2,8 @@
 
 The tokenizers library spends most of its time on words that it has met before and on tracking offsets. Here a text is
 cut at single spaces, where both kinds of pre-tokenizer always cut too, and the ids of each piece are looked up. A new
-piece of ASCII and Latin-1 letters, digits and marks is split the way the pre-tokenizer splits it and given to the
-library's BPE model; any other piece, and any text with two spaces in a row, is encoded by the library as a whole. The
+piece of ASCII and Latin-1 letters, digits, marks and single line feeds is split the way the pre-tokenizer splits it and
+given to the library's BPE model; any other piece, and any text with two spaces in a row, is encoded by the library as a whole. The
 ids are those of ``encode(text, add_special_tokens=False)``.
 """
 
@@ -32,24 +32,32 @@ _BYTE = _byte_letters()
 
 
 class Pieces(dict):
-    """Piece to the bytes of its ids (unsigned 32-bit, little-endian)."""
+    """Piece to the bytes of its ids (unsigned 32-bit, little-endian). ``before`` is what stands before each piece;
+    ``bare`` are the pieces that nothing stands before."""
 
-    def __init__(self, tokenizer: Tokenizer, kind: str, before: str):
+    def __init__(self, tokenizer: Tokenizer, kind: str, before: str, bare: Pieces | None = None):
         super().__init__()
-        self.tokenizer, self.kind, self.before = tokenizer, kind, before
+        self.tokenizer, self.kind, self.before, self.bare = tokenizer, kind, before, bare if bare is not None else self
         self.bpe, self.split = tokenizer.model.tokenize, _SPLIT[kind].findall
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= KEPT:
             self.clear()
         whole = self.before + piece
-        if _PLAIN.fullmatch(piece) and "<|" not in piece:
-            if self.kind == "word":
-                whole = whole.lower()
-            ids = [t.id for x in self.split(whole) for t in self.bpe(x.encode().decode("latin-1").translate(_BYTE))]
+        lines = piece.split("\n")
+        if len(lines) > 1 and all(_PLAIN.fullmatch(x) and "<|" not in x for x in lines):
+            # One line feed between plain pieces is a pre-token of its own, or dropped with all white space.
+            feed = self.bare["\n"] if self.kind == "byte" else b""
+            found = feed.join([self[lines[0]], *[self.bare[x] for x in lines[1:]]])
+        elif _PLAIN.fullmatch(piece) and "<|" not in piece:
+            runs = self.split(whole.lower() if self.kind == "word" else whole)
+            if len(runs) > 1:  # a word and the marks after it: each is likely to be known
+                found = self[runs[0][len(self.before) :]] + b"".join([self.bare[x] for x in runs[1:]])
+            else:
+                found = array("I", [t.id for t in self.bpe(runs[0].encode().decode("latin-1").translate(_BYTE))]).tobytes()
         else:
-            ids = self.tokenizer.encode(whole, add_special_tokens=False).ids
-        found = self[piece] = array("I", ids).tobytes()
+            found = array("I", self.tokenizer.encode(whole, add_special_tokens=False).ids).tobytes()
+        self[piece] = found
         return found
 
 
@@ -61,7 +69,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = kind
         self.first = Pieces(self.tokenizer, kind, "")
-        self.later = Pieces(self.tokenizer, kind, " " if kind == "byte" else "")
+        self.later = Pieces(self.tokenizer, kind, " ", self.first) if kind == "byte" else self.first
 
     def ids(self, text: str) -> bytes:
         if "  " in text:
