@@ -61,7 +61,7 @@ def possibly(ids: DataFrame, name: str):
 # ------------------------------------------------------------------------------------------------ batches inside tasks
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices of about ``limit`` bytes of text, so that vectorised work needs bounded memory.
 
     Only a single text longer than the limit makes a larger slice."""
@@ -100,7 +100,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n, kept for the life of the worker."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 2_500_000)
+        size = max(n, 1_200_000)
         out = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             x = np.full(size, base, np.uint64)

@@ -197,7 +197,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for batch in slices(batches, limit=4_000_000):
+            for batch in slices(batches, limit=1_500_000):
                 ids = column(batch, "doc_id").to_pylist()
                 rows = [(ids[d], index.items[i], *x) for d, i, *x in matches(index, texts_of(batch), percent)]
                 if rows:

@@ -14,7 +14,7 @@ from array import array
 
 from tokenizers import Tokenizer
 
-KEPT = 500_000  # pieces that a worker remembers; it then starts afresh
+KEPT = 350_000  # pieces that a worker remembers; it then starts afresh
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII marks but the apostrophe, which begins contractions
 _PLAIN = re.compile(rf"[0-9{_LETTERS}{_MARKS}]+")

@@ -39,7 +39,7 @@ BLOCK, TEXT_BLOCK = 1024, 512  # members of a group, and texts of a cluster, tha
 FANOUT = 8
 TREE_BITS = 1024
 #: A shingle is frequent if it is in this share of the texts; so the list has at most 1 / share times the mean set size.
-FREQUENT, FREQUENT_LEAST, STRETCH = 2e-4, 16, 4_000_000
+FREQUENT, FREQUENT_LEAST, STRETCH = 2e-4, 16, 3_000_000
 
 
 def least_overlap(total: np.ndarray | int, percent: int = PERCENT):

@@ -203,7 +203,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, "__text", limit=1_000_000):
+        for batch in slices(batches, "__text", limit=700_000):
             words = Letters(texts_of(batch, "__text"))
             n = batch.num_rows
             label, score, found = [UND] * n, np.zeros(n), [[] for _ in range(n)]
