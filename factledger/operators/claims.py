@@ -182,3 +182,20 @@ def claim_rates(labelled: DataFrame) -> DataFrame:
     c = labelled.groupBy("note_id", "table_id").agg(count("Correct").alias("n_correct"), count("Wrong_entity", "Wrong_metric").alias("n_binding"), count("Wrong_value").alias("n_wrong_value"))
     n = F.col("n_correct") + F.col("n_binding") + F.col("n_wrong_value")
     return c.select("*", F.when(n > 0, (F.col("n_binding") + F.col("n_wrong_value")) / n).alias("claim_error_rate"), F.when(n > 0, F.col("n_binding") / n).alias("binding_error_rate"))
+
+
+REPLY_DDL = "claims array<struct<line:int,entity:string,metric:string,period:string,value_text:string,direction:string,qualifier:string>>"
+
+
+def claims_of_replies(replies: DataFrame) -> DataFrame:
+    """Claims in an extractor's replies (``note_id``, ``table_id``, ``reply``): the JSON object from the first brace to the
+    last. A reply that is no such object has no claim; see ``unread_replies``."""
+    body = F.regexp_extract("reply", r"(?s)(\{.*\})", 1)
+    rows = replies.select("note_id", "table_id", F.posexplode(F.from_json(body, REPLY_DDL)["claims"]).alias("claim_idx", "c"))
+    text = lambda name, default: F.coalesce(F.col(f"c.{name}"), F.lit(default)).alias(name)
+    return rows.where("c is not null").select("note_id", "table_id", F.coalesce("c.line", F.lit(-1)).alias("line_idx"), "claim_idx", text("entity", ""), text("metric", ""), text("period", ""), text("value_text", ""), text("direction", "none"), text("qualifier", "none"))
+
+
+def unread_replies(replies: DataFrame) -> DataFrame:
+    """The notes whose reply holds no list of claims."""
+    return replies.where(F.from_json(F.regexp_extract("reply", r"(?s)(\{.*\})", 1), REPLY_DDL)["claims"].isNull()).select("note_id")

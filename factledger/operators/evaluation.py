@@ -95,3 +95,32 @@ def consensus(first: DataFrame, second: DataFrame, third: DataFrame, key: str) -
     j = first.select(key, F.col("verdict").alias("a")).join(second.select(key, F.col("verdict").alias("b")), key).join(third.select(key, F.col("verdict").alias("c")), key, "left")
     final = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("c"))
     return j.select(key, final.alias("final"), (F.col("a") == F.col("b")).alias("agree"), final.isNull().alias("open"))
+
+
+def binomial_cdf(k: Column, n: Column, p: Column) -> Column:
+    """P(X <= k) of a binomial, by the recurrence of its terms in logarithms; 1 for k >= n, 0 for k < 0."""
+    start = F.struct((n * F.log1p(-p)).alias("term"), F.exp(n * F.log1p(-p)).alias("sum"))
+
+    def step(acc: Column, i: Column) -> Column:
+        term = acc["term"] + F.log((n - i + 1) / i * p / (1 - p))
+        return F.struct(term.alias("term"), (acc["sum"] + F.exp(term)).alias("sum"))
+
+    total = F.when(k < 1, start["sum"]).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(k.cast("int"), F.lit(1))), start, step)["sum"])
+    return F.when(k < 0, 0.0).when((k >= n) | (p <= 0), 1.0).when(p >= 1, 0.0).otherwise(F.least(total, F.lit(1.0)))
+
+
+def clopper_pearson(k: Column, n: Column, level: float = 0.95, steps: int = 60) -> tuple[Column, Column]:
+    """Exact interval of a proportion, each end by bisection of the binomial distribution."""
+    tail = (1 - level) / 2
+
+    def end(beyond) -> Column:
+        def step(acc: Column, _: Column) -> Column:
+            mid = (acc["a"] + acc["b"]) / 2
+            right = beyond(mid)
+            return F.struct(F.when(right, mid).otherwise(acc["a"]).alias("a"), F.when(right, acc["b"]).otherwise(mid).alias("b"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b")), step)["a"]
+
+    low = F.when(k <= 0, 0.0).otherwise(end(lambda p: 1 - binomial_cdf(k - 1, n, p) < tail))
+    high = F.when(k >= n, 1.0).otherwise(end(lambda p: binomial_cdf(k, n, p) > tail))
+    return low, high
