@@ -162,21 +162,39 @@ def _views(batch: pa.RecordBatch) -> list:
     return [text_features(texts), meta_features(*[column(batch, x).to_pylist() for x in ("source", "lang", "n_chars")])]
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        out = [column(batch, "doc_id"), column(batch, "label")]
+        for rows, cols, values in _views(batch):
+            order = np.argsort(rows, kind="stable")
+            edge = pa.array(np.searchsorted(rows[order], np.arange(batch.num_rows + 1)).astype(np.int32))
+            out += [pa.ListArray.from_arrays(edge, pa.array(v)) for v in (cols[order].astype(np.int32), values[order])]
+        yield pa.RecordBatch.from_arrays(out, ["doc_id", "label", "text_cols", "text_values", "meta_cols", "meta_values"])
+
+
 COLUMNS = ["doc_id", "text", "source", "lang", "n_chars"]
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
     """``labels`` has ``doc_id`` and ``quality``; ``docs`` the columns ``COLUMNS``. Only the sample's ids are broadcast,
-    and only its rows reach the driver, which the two limits bound."""
+    and only its features reach the driver, which the two limits bound."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min((F.col("quality") > 0).cast("int")).alias("label"))
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     # An unlabelled id below its limit may turn out to be labelled: it is then one row more with a label.
     n_known, n_all = known.count(), docs.count()
     first = known.where(order <= int(min(1, labelled / max(1, n_known)) * (1 << 30)))
     more = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) <= int(min(1, unlabelled / max(1, n_all)) * (1 << 30))).select(*COLUMNS, F.lit(-1).alias("label"))
-    rows = docs.join(F.broadcast(first), "doc_id").select(*COLUMNS, "label").unionByName(more).orderBy("doc_id", "label", "text").toArrow().combine_chunks()
-    batch = rows.to_batches()[0] if rows.num_rows else pa.RecordBatch.from_pylist([], schema=rows.schema)
-    return co_train(_views(batch), batch.num_rows, np.array(column(batch, "label").to_pylist(), np.int64)) if batch.num_rows else co_train([], 0, np.zeros(0, np.int64))
+    # Features are made where the texts are; the driver gets those of the bounded sample.
+    sample = docs.join(F.broadcast(first), "doc_id").select(*COLUMNS, "label").unionByName(more)
+    ddl = "doc_id long, label int, text_cols array<int>, text_values array<double>, meta_cols array<int>, meta_values array<double>"
+    rows = sample.mapInArrow(_featured, ddl).orderBy("doc_id", "label", F.xxhash64("text_cols", "meta_cols")).drop("doc_id").toArrow().combine_chunks()
+    label = rows.column("label").to_numpy().astype(np.int64)
+    x = []
+    for view in VIEWS:
+        cols, values = (rows.column(f"{view}_{c}").combine_chunks() for c in ("cols", "values"))
+        sizes = np.asarray(cols.value_lengths()) if len(label) else np.zeros(0, np.int64)
+        x.append((np.repeat(np.arange(len(label), dtype=np.int32), sizes), cols.flatten().to_numpy(), values.flatten().to_numpy()))
+    return co_train(x, len(label), label)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

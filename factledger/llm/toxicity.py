@@ -46,6 +46,20 @@ def term_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return doc[at], term[at], np.diff(np.r_[at, len(term)]), np.diff(words.first)
 
 
+@dataclass
+class Counts:
+    """The terms of some texts: document, term and occurrences of each distinct pair, and the words of each text."""
+
+    doc: np.ndarray
+    term: np.ndarray
+    times: np.ndarray
+    words: np.ndarray
+
+    def where(self, mask: np.ndarray) -> Counts:
+        keep = mask[self.doc]
+        return Counts((np.cumsum(mask) - 1)[self.doc[keep]], self.term[keep], self.times[keep], self.words[mask])
+
+
 @dataclass
 class Model:
     terms: np.ndarray  # sorted hashes
@@ -53,14 +67,13 @@ class Model:
     thresholds: np.ndarray  # ascending
     decision: float = DECISION_LIMITS[1]
 
-    def above(self, texts: list[str]) -> np.ndarray:
+    def above(self, x: Counts) -> np.ndarray:
         """(texts, thresholds): P(grade > k)."""
-        doc, term, times, _ = term_counts(texts)
-        score = np.zeros(len(texts))
-        if len(self.terms) and len(term):
-            at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
-            hit = self.terms[at] == term
-            score += np.bincount(doc[hit], np.log1p(times[hit]) * self.weights[at[hit]], len(texts))
+        score = np.zeros(len(x.words))
+        if len(self.terms) and len(x.term):
+            at = np.minimum(np.searchsorted(self.terms, x.term), len(self.terms) - 1)
+            hit = self.terms[at] == x.term
+            score += np.bincount(x.doc[hit], np.log1p(x.times[hit]) * self.weights[at[hit]], len(x.words))
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -50, 50)))
 
 
@@ -92,14 +105,14 @@ def ordinal_fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
     return weights, free[0] + np.r_[0.0, np.cumsum(np.exp(free[1:]))]
 
 
-def learn(texts: list[str], toxic: np.ndarray) -> Model:
+def learn(x: Counts, toxic: np.ndarray) -> Model:
     """A model of labelled texts; ``toxic`` is 0 or 1."""
     share = float(toxic.mean()) if len(toxic) else 0.0
     if share in (0.0, 1.0):
         t = np.log((1 - share + 1e-6) / (share + 1e-6))
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, t))
-    doc, term, times, words = term_counts(texts)
-    terms, at = np.unique(term, return_inverse=True)
+    doc, times = x.doc, x.times
+    terms, at = np.unique(x.term, return_inverse=True)
     n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
     a = np.bincount(at, toxic[doc], len(terms))
     b = np.bincount(at, minlength=len(terms)) - a
@@ -110,7 +123,7 @@ def learn(texts: list[str], toxic: np.ndarray) -> Model:
     chosen = np.sort(np.argsort(-np.abs(z), kind="stable")[:FEATURES])
     chosen = chosen[z[chosen] != 0]
     marker = (z > 4) & (np.log((a + 0.5) / n1) - np.log((b + 0.5) / n0) > 2)
-    hits = np.bincount(doc, times * marker[at], len(texts)) / np.maximum(1, words)
+    hits = np.bincount(doc, times * marker[at], len(toxic)) / np.maximum(1, x.words)
     cuts = np.quantile(hits[toxic == 1], [1 / 3, 2 / 3])
     grades = np.where(toxic == 1, 1 + np.searchsorted(cuts, hits, side="left"), 0)
     place = np.full(len(terms), -1)
@@ -120,31 +133,44 @@ def learn(texts: list[str], toxic: np.ndarray) -> Model:
     return Model(terms[chosen], weights, thresholds)
 
 
-def decided(texts: list[str], toxic: np.ndarray, shift: float) -> float:
+def decided(x: Counts, toxic: np.ndarray, shift: float) -> float:
     """The least P(grade > 0) of a document that is called toxic, from a fifth of the training rows kept back."""
-    kept = np.arange(len(texts)) % 5 == 0
+    kept = np.arange(len(toxic)) % 5 == 0
     # From fewer clean rows than this the share can't be told, and the higher limit holds.
     if len(set(toxic[~kept].tolist())) < 2 or (toxic[kept] == 0).sum() < 1 / (1 - CLEAN_SHARE):
         return DECISION_LIMITS[1]
-    part = learn([t for t, k in zip(texts, kept, strict=True) if not k], toxic[~kept])
+    part = learn(x.where(~kept), toxic[~kept])
     part.thresholds = part.thresholds + shift
-    p = part.above([t for t, k, y in zip(texts, kept, toxic, strict=True) if k and not y])[:, 0]
+    p = part.above(x.where(kept & (toxic == 0)))[:, 0]
     return float(np.clip(np.quantile(p, CLEAN_SHARE), *DECISION_LIMITS))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        doc, term, times, words = term_counts(texts_of(batch))
+        edge = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(edge, pa.array(v)) for v in (term.view(np.int64), times.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "label"), pa.array(words.astype(np.int32)), *lists], ["doc_id", "label", "words", "terms", "times"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, other: int = OTHER) -> Model:
     """``labels`` has ``doc_id`` and ``toxic``. The ids of the bounded sample are broadcast; texts are not shuffled."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     limit = F.when(F.col("label") == 1, int(min(1, toxic / max(1, counts.get(1, 0))) * (1 << 30))).otherwise(int(min(1, other / max(1, counts.get(0, 0))) * (1 << 30)))
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= limit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").select("text", "label").toArrow()
-    texts, label = [x or "" for x in rows.column("text").to_pylist()], np.array(rows.column("label").to_pylist(), np.int64)
-    model = learn(texts, label)
+    # Terms are counted where the texts are; the driver gets the counts of the bounded sample.
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
+    rows = found.mapInArrow(_counted, "doc_id long, label int, words int, terms array<bigint>, times array<int>").orderBy("doc_id", "words", F.xxhash64("terms")).drop("doc_id").toArrow().combine_chunks()
+    label = rows.column("label").to_numpy().astype(np.int64)
+    terms, times = (rows.column(c).combine_chunks() for c in ("terms", "times"))
+    sizes = np.asarray(terms.value_lengths()) if len(label) else np.zeros(0, np.int64)
+    x = Counts(np.repeat(np.arange(len(label), dtype=np.int32), sizes), terms.flatten().to_numpy().view(np.uint64), times.flatten().to_numpy(), rows.column("words").to_numpy())
+    model = learn(x, label)
     # Toxic rows may be sampled at another rate than the rest; the thresholds are moved to the odds of all labels.
     rate = [min(1, limit / max(1, counts.get(label, 0))) for label, limit in ((1, toxic), (0, other))]
     shift = float(np.log(rate[0] / rate[1]))
-    return Model(model.terms, model.weights, model.thresholds + shift, decided(texts, label, shift))
+    return Model(model.terms, model.weights, model.thresholds + shift, decided(x, label, shift))
 
 
 def severity(docs: DataFrame, model: Model) -> DataFrame:
@@ -153,7 +179,7 @@ def severity(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            above = shared.value.above(texts_of(batch))
+            above = shared.value.above(Counts(*term_counts(texts_of(batch))))
             each = -np.diff(np.c_[np.ones(len(above)), above, np.zeros(len(above))], axis=1)
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id"), pa.array(above.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0]), pa.array(above[:, 0] >= shared.value.decision)],
