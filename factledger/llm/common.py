@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,23 +91,36 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object], good: Callable[[object], bool] = lambda _: True):
+    """What a worker keeps from task to task under a name. Workers outlive the stages of a job: asking for one thing
+    drops any other, so that a stage does not pay for the tables of the stages before it."""
+    if name not in _KEPT or not good(_KEPT[name]):
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 # ------------------------------------------------------------------------------------------------------- hashes of words
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n, kept for the life of the worker."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1_200_000)
+    """base**i and base**-i modulo 2**64 for i below n."""
+
+    def make() -> list[np.ndarray]:
         out = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            x = np.full(size, base, np.uint64)
+            x = np.full(max(n, 1_200_000), base, np.uint64)
             x[0] = 1
             out.append(np.multiply.accumulate(x))
-        _POWERS[:] = out
-    return _POWERS[0][:n], _POWERS[1][:n]
+        return out
+
+    up, down = kept("powers", make, lambda x: len(x[0]) >= n)
+    return up[:n], down[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

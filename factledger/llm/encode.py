@@ -14,6 +14,8 @@ from array import array
 
 from tokenizers import Tokenizer
 
+from factledger.llm.common import kept
+
 KEPT = 350_000  # pieces that a worker remembers; it then starts afresh
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII marks but the apostrophe, which begins contractions
@@ -78,11 +80,6 @@ class Encoder:
         return self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, kind: str) -> Encoder:
-    """The worker's encoder of a file, made at its first use."""
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = Encoder(path, kind)
-    return _ENCODERS[path, kind]
+    """The worker's encoder of a file, kept from task to task."""
+    return kept(f"encoder {kind} {path}", lambda: Encoder(path, kind))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factledger.llm.common import column, slices, texts_of
+from factledger.llm.common import column, kept, slices, texts_of
 
 MAX_TRAIN = 3000  # texts of a language that are learnt from
 BUCKETS = 1 << 15  # of each n-gram length
@@ -46,26 +46,22 @@ SCRIPTS = {
 }
 SCRIPT_NAMES = (*SCRIPTS, "other")
 
-_TABLES: list[np.ndarray] = []
-
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Whether a code point is a letter, and its script; made once for each worker."""
-    if not _TABLES:
-        letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-        script = np.full(0x110000, len(SCRIPTS), np.uint8)
-        for k, ranges in enumerate(SCRIPTS.values()):
-            for a, b in ranges:
-                script[a : b + 1] = k
-        _TABLES[:] = [letter, script]
-    return _TABLES[0], _TABLES[1]
+    """Whether a code point is a letter, and its script."""
+    letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    script = np.full(0x110000, len(SCRIPTS), np.uint8)
+    for k, ranges in enumerate(SCRIPTS.values()):
+        for a, b in ranges:
+            script[a : b + 1] = k
+    return letter, script
 
 
 class Letters:
     """The words (runs of letters) of many texts: lower-cased code points, word bounds and documents."""
 
     def __init__(self, texts: list[str]):
-        letter, script = _tables()
+        letter, script = kept("letters", _tables)
         low = [y if len(y := x.lower()) == len(x) else "".join(c.lower()[0] for c in x) for x in texts]
         code = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.fromiter((len(x) + 1 for x in low), np.int64, len(low))
@@ -196,15 +192,17 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     """The columns ``keep`` (the id alone if not given) with ``lang_pred``, ``score`` (share of the letters that are in
     spans of that language) and ``lang_spans``: start and end (code points) of each stretch and its language."""
     keep = keep or ["doc_id"]
-    source = docs.select(*[docs[x] for x in keep], docs[text_col].alias("__text"))
+    # A text that is kept is sent to Python once.
+    name = text_col if text_col in keep else "__text"
+    source = docs.select(*[docs[x] for x in keep], *([] if text_col in keep else [docs[text_col].alias(name)]))
     types = dict(docs.dtypes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, "__text", limit=700_000):
-            words = Letters(texts_of(batch, "__text"))
+        for batch in slices(batches, name, limit=700_000):
+            words = Letters(texts_of(batch, name))
             n = batch.num_rows
             label, score, found = [UND] * n, np.zeros(n), [[] for _ in range(n)]
             if model.languages and len(words.start):
