@@ -53,8 +53,13 @@ STAGES = [
 ]
 
 
+BATCH_ROWS = 2000  # rows in an Arrow batch: what a worker and its executor hold of a task's input at a time
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again. Sets the session's Arrow batch to
+    ``BATCH_ROWS``, since all stages share the executors' memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
