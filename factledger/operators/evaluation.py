@@ -124,3 +124,26 @@ def clopper_pearson(k: Column, n: Column, level: float = 0.95, steps: int = 60)
     low = F.when(k <= 0, 0.0).otherwise(end(lambda p: 1 - binomial_cdf(k - 1, n, p) < tail))
     high = F.when(k >= n, 1.0).otherwise(end(lambda p: binomial_cdf(k, n, p) > tail))
     return low, high
+
+
+def carried_forward(rows: DataFrame, unit: str, at: str, value: str) -> DataFrame:
+    """Mean ``value`` of all units in each round (``at``, 1 and on, without gaps in a unit), where a unit that has ended
+    keeps its last value. Sums of rounds and of ended units meet, so no unit is padded row by row."""
+    ended = rows.groupBy(unit).agg(F.max(at).alias("last"), F.max_by(value, at).alias("final")).groupBy("last").agg(F.sum("final").alias("final"), F.count(F.lit(1)).alias("gone"))
+    each = rows.groupBy(at).agg(F.sum(value).alias("own"), F.count(F.lit(1)).alias("alive")).join(ended, F.col(at) == F.col("last"), "left")
+    before = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)  # one row a round
+    past = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    n = F.col("alive") + past("gone")
+    return each.select(F.col(at).cast("long").alias("round"), n.alias("n"), ((F.col("own") + past("final")).cast("double") / n).alias("mean"))
+
+
+def side_by_side(rows: DataFrame, keys: list[str], repeat: str, value: str, names: dict[int, str]) -> DataFrame:
+    """The values of the repeats in columns of their own; keys that lack one are left out."""
+    wide = rows.groupBy(*keys).pivot(repeat, list(names)).agg(F.max(value))
+    return wide.select(*keys, *[F.col(str(k)).alias(x) for k, x in names.items()]).dropna(subset=list(names.values()))
+
+
+def review_batches(rows: DataFrame, strata: list[str], key: str, quota: int, size: int, seed: str) -> DataFrame:
+    """A quota of each stratum in batches of ``size``. ``item_id`` is what a reviewer sees; the rest is the key to it."""
+    item = F.md5(F.concat(F.lit(f"{seed}|item|"), F.col(key).cast("string")))
+    return stratified(rows, strata, key, quota, seed).select(*strata, key, item.alias("item_id"), F.floor((F.col("pick") - 1) / size).cast("long").alias("batch"))

@@ -106,3 +106,12 @@ def not_recomputing(report: DataFrame, table_id: str = "week") -> DataFrame:
 def without_overlap(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """All rows of both, where a key that both have counts from the second."""
     return first.join(second.select(key).distinct(), key, "left_anti").unionByName(second)
+
+
+def facts(report: DataFrame, top: int = 3) -> DataFrame:
+    """For each week the first rows by revenue, the greatest rises and falls against last week, and the row with most orders:
+    ``fact``, ``n``, ``entity``, ``value``. Ties go by name. All ranks share one shuffle by week."""
+    wanted = {"top": ("revenue_tw", F.desc, F.lit(True), top), "up": ("wow_pct", F.desc_nulls_last, F.col("wow_pct") > 0, top), "down": ("wow_pct", F.asc_nulls_last, F.col("wow_pct") < 0, top), "most_orders": ("orders_tw", F.desc, F.lit(True), 1)}
+    ranked = report.select("*", *[F.row_number().over(Window.partitionBy("week").orderBy(order(c), "entity")).alias(f"n_{k}") for k, (c, order, _, _) in wanted.items()])
+    each = [F.when(keep & (F.col(f"n_{k}") <= n), F.struct(F.lit(k).alias("fact"), F.col(f"n_{k}").cast("long").alias("n"), F.col(c).cast("double").alias("value"))) for k, (c, _, keep, n) in wanted.items()]
+    return ranked.select("week", "entity", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("f")).select("week", "f.fact", "f.n", "entity", "f.value")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factledger.functions import matching
@@ -132,6 +132,15 @@ def _reviews(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return rows.where("c_custkey % 5 > 0") if k == 2 else rows
 
 
+def _rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The discounts of an order's lines as the rates of its rounds."""
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_discount", "l_extendedprice"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", at.alias("at"), F.col("l_discount").cast("decimal(18,2)").alias("value"))
+
+
+ROUNDS_SQL = "with o as (select l_orderkey, row_number() over (partition by l_orderkey order by l_discount, l_extendedprice) as k, cast(l_discount as decimal(18,2)) as value from lineitem)"
+
+
 QUERIES = {
     "clean_lines": lambda s, d: reports.clean_lines(s, d).select("invoice_no", "day", "country", "product", "brand", "quantity", F.col("revenue").cast("double").alias("revenue"), "flag"),
     "weekly_rollup_country": lambda s, d: reports.weekly_rollup(reports.clean_lines(s, d), "country"),
@@ -177,6 +186,10 @@ QUERIES = {
     "stratified_audit_sample": lambda s, d: evaluation.stratified(table(s, d, "customer").select("c_mktsegment", "c_custkey"), ["c_mktsegment"], "c_custkey", 7, "audit").select("c_mktsegment", "c_custkey", F.col("pick").cast("long").alias("pick")),
     "precision_recall": lambda s, d: evaluation.precision_recall(table(s, d, "lineitem").select(F.col("l_returnflag").alias("truth"), F.when(F.col("l_linestatus") == "O", "N").otherwise("R").alias("found")), "truth", "found"),
     "span_overlap_alignment": lambda s, d: evaluation.best_overlap(*_spans(s, d), ["l_orderkey"]),
+    "report_facts": _on_report(reports.facts),
+    "rounds_carried_forward": lambda s, d: evaluation.carried_forward(_rounds(s, d), "l_orderkey", "at", "value"),
+    "repeats_side_by_side": lambda s, d: evaluation.side_by_side(_rounds(s, d), ["l_orderkey"], "at", "value", {1: "first", 2: "second"}).select("l_orderkey", F.col("first").cast("double").alias("first"), F.col("second").cast("double").alias("second")),
+    "review_batches": lambda s, d: evaluation.review_batches(table(s, d, "customer").select("c_mktsegment", "c_custkey"), ["c_mktsegment"], "c_custkey", 25, 10, "review"),
 }
 
 ORACLES = {
@@ -251,4 +264,13 @@ ORACLES = {
         c as (select label, count(*) filter (t = label and f = label) as tp, count(*) filter (f = label) as n_found, count(*) filter (t = label) as n_true from l, v group by label)
         select *, tp / nullif(n_found, 0) as precision, tp / nullif(n_true, 0) as recall from c""",
     "span_overlap_alignment": SPANS_SQL,
+    "report_facts": BASE.rstrip() + """, r as (select *, row_number() over (partition by week order by revenue_tw desc, entity) as a, row_number() over (partition by week order by wow_pct desc nulls last, entity) as b,
+        row_number() over (partition by week order by wow_pct nulls last, entity) as c, row_number() over (partition by week order by orders_tw desc, entity) as d from report)
+        select week, 'top' as fact, a as n, entity, cast(revenue_tw as double) as value from r where a <= 3 union all select week, 'up', b, entity, cast(wow_pct as double) from r where b <= 3 and wow_pct > 0
+        union all select week, 'down', c, entity, cast(wow_pct as double) from r where c <= 3 and wow_pct < 0 union all select week, 'most_orders', d, entity, cast(orders_tw as double) from r where d = 1""",
+    "rounds_carried_forward": ROUNDS_SQL + """, l as (select l_orderkey, max(k) as last, arg_max(value, k) as final from o group by l_orderkey), g as (select unnest(range(1, (select max(last) + 1 from l))) as round)
+        select round, count(*) as n, cast(sum(coalesce(o.value, l.final)) as double) / count(*) as mean from g cross join l left join o on o.l_orderkey = l.l_orderkey and o.k = g.round group by round""",
+    "repeats_side_by_side": ROUNDS_SQL + " select a.l_orderkey, cast(a.value as double) as first, cast(b.value as double) as second from o a join o b on a.l_orderkey = b.l_orderkey and a.k = 1 and b.k = 2",
+    "review_batches": """select c_mktsegment, c_custkey, md5('review|item|' || c_custkey) as item_id, (pick - 1) // 10 as batch
+        from (select c_mktsegment, c_custkey, row_number() over (partition by c_mktsegment order by md5('review|' || c_custkey), c_custkey) as pick from customer) where pick <= 25""",
 }
