@@ -12,13 +12,15 @@ Texts with equal sets form a class; classes are compared, copies never are. The
    their range of sizes; the tree is traversed against itself, and a pair of nodes goes no further if the largest
    possible overlap is too small or all below is one cluster already. Groups with the same members are joined once. Only
    pairs that join two clusters are given out, so the rows grow with the members, not with their square.
-5. The texts of each cluster, and few others, are shuffled and meet once, and a second tree join verifies exact sets in the same way: no pair of different
-   components is left untried, and only links that join components are given out.
+5. The texts of each cluster, and few others, are shuffled and meet once, and every pair of a cluster that sizes and
+   bitmaps allow is verified on exact sets. Links are counted for each class where they are found, so a task gives out one
+   row a member, and the links that join components.
 
-A component is therefore exact. Large groups and clusters are dealt out as pairs of blocks of bounded size, so no task
+A component and a number of links are therefore exact. Large groups and clusters are dealt out as pairs of blocks of bounded size, so no task
 holds more than two blocks. Rows without id are left out. Null and empty texts and texts without words have an empty set,
-size 0, and are linked with nothing. Repeated rows and equal texts are one class. Extra columns are ignored. Sets are
-compared by 64-bit hashes of shingles.
+size 0, and are linked with nothing. Repeated rows and equal texts are one class; ids count once in a class. Classes that
+have one least id (rows that share it, with other texts) are not counted against each other. Extra columns are ignored.
+Sets are compared by 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from factledger.llm.components import components
 N_WORDS, PERCENT = 5, 80
 BLOCK, TEXT_BLOCK = 1024, 512  # members of a group, and texts of a cluster, that a block holds
 FANOUT = 8
+COLUMNS = 16384  # shingles that the exact comparison holds at a time
 TREE_BITS = 1024
 #: A shingle is frequent if it is in this share of the texts; so the list has at most 1 / share times the mean set size.
 FREQUENT, FREQUENT_LEAST, STRETCH = 2e-4, 16, 3_000_000
@@ -150,6 +153,50 @@ def joining_pairs(sizes: np.ndarray, bits: list[bytes], label: np.ndarray, near,
     return out
 
 
+def near_pairs(sets: list[np.ndarray], block: np.ndarray, across: bool, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of sets at the threshold, each pair once; with ``across`` only those of different blocks."""
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sets, block = [sets[k] for k in order], block[order]
+    n = np.array([len(x) for x in sets], np.int64)
+    signature = np.stack([folded(np.frombuffer(bitmap(x), np.uint8), TREE_BITS // 8) for x in sets]).view(np.uint64)
+    slack = n - np.bitwise_count(signature).sum(axis=1).astype(np.int64)
+    stop = np.searchsorted(n, 100 * n // percent, side="right")
+    right = []
+    for i in range(len(n)):
+        j = np.arange(i + 1, stop[i])
+        if across:
+            j = j[block[j] != block[i]]
+        most = np.minimum(slack[i], slack[j]) + np.bitwise_count(signature[j] & signature[i]).sum(axis=1).astype(np.int64)
+        right.append(j[(100 + percent) * most >= percent * (n[i] + n[j])])
+    a, b = np.repeat(np.arange(len(n)), [len(x) for x in right]), np.concatenate(right)
+    # Shingles that one set alone has are in no overlap; the others are columns of a bit table.
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    member, keep = np.repeat(np.arange(len(n)), n), times[at] > 1
+    member, at = member[keep], (np.cumsum(times > 1) - 1)[at[keep]]
+    common = np.zeros(len(a), np.int64)
+    for low in range(0, int((times > 1).sum()) if len(a) else 0, COLUMNS):
+        own = (at >= low) & (at < low + COLUMNS)
+        held = np.zeros((len(n), -(-(int(at[own].max()) - low + 1) // 64) * 64), bool)
+        held[member[own], at[own] - low] = True
+        bits = np.packbits(held, axis=1).view(np.uint64)
+        for k in range(0, len(a), 1024):
+            common[k : k + 1024] += np.bitwise_count(bits[a[k : k + 1024]] & bits[b[k : k + 1024]]).sum(axis=1).astype(np.int64)
+    near = 100 * common >= percent * (n[a] + n[b] - common)
+    return order[a[near]], order[b[near]]
+
+
+def joining(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """Which of the pairs join what the pairs before them leave apart; equal values of ``a`` stand together."""
+    label, out = np.arange(size), []
+    edge = np.flatnonzero(np.r_[True, a[1:] != a[:-1], True]) if len(a) else np.zeros(1, np.int64)
+    for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        i, open_ = a[low], np.arange(low, high)
+        while len(open_ := open_[label[b[open_]] != label[i]]):
+            out.append(open_[0])
+            label[label == label[b[open_[0]]]] = label[i]
+    return np.array(out, np.int64)
+
+
 # ------------------------------------------------------------------------------------------------------ passes over text
 
 _PROFILE = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
@@ -308,45 +355,52 @@ def _candidate_join(percent: int):
     return run
 
 
-def _exact_join(n_words: int, percent: int):
-    """Clusters in, sorted by (cluster, i, j): doc_id, lo, text; exact links that join components out."""
+_FOUND = pa.schema([("lo", pa.int64()), ("n", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
+
+
+def _exact_join(n_words: int, percent: int, all_pairs: bool = False):
+    """Clusters in, sorted by (cluster, i, j): doc_id, lo, text, block, weight. Out: for each class with links (lo) the
+    weights of those near it, and the links (u, v) that join components, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_key(batches, ["cluster", "i", "j"], ["doc_id", "lo", "text"]):
+        for rows in _by_key(batches, ["cluster", "i", "j"], ["i", "j", "doc_id", "lo", "text", "block", "weight"]):
             sets = shingle_sets(rows["text"], n_words)
             # Another text with the same id is not the one that stands for the class.
-            own = {d: x for d, lo, x in zip(rows["doc_id"], rows["lo"], sets, strict=True) if len(x) and _digest(x)[0] == lo}
-            rep, sets = list(own), list(own.values())
-            if len(rep) < 2:
+            own = {lo: k for k, (lo, x) in enumerate(zip(rows["lo"], sets, strict=True)) if len(x) and _digest(x)[0] == lo}
+            if len(own) < 2:
                 continue
-
-            def near(i: int, j: int) -> bool:
-                short, long = sorted((sets[i], sets[j]), key=len)  # noqa: B023
-                at = np.minimum(np.searchsorted(long, short), len(long) - 1)
-                common = int((long[at] == short).sum())
-                return 100 * common >= percent * (len(short) + len(long) - common)
-
-            pairs = joining_pairs(np.array([len(x) for x in sets], np.int64), [bitmap(x) for x in sets], np.arange(len(sets)), near, percent)
-            if pairs:
-                yield _links(rep, pairs)
+            rep, block, weight = (np.array([rows[x][k] for k in own.values()], np.int64) for x in ("doc_id", "block", "weight"))
+            a, b = near_pairs([sets[k] for k in own.values()], block, rows["i"][0] != rows["j"][0], percent)
+            apart = rep[a] != rep[b]
+            a, b = a[apart], b[apart]
+            links = np.bincount(a, weight[b], len(rep)).astype(np.int64) + np.bincount(b, weight[a], len(rep)).astype(np.int64)
+            has = np.flatnonzero(links)
+            if len(has):
+                lo, none = np.array(list(own), np.int64), pa.nulls(len(has), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(lo[has]), pa.array(links[has]), none, none], schema=_FOUND)
+                given = slice(None) if all_pairs else joining(a, b, len(rep))
+                u, v = rep[a[given]], rep[b[given]]
+                none = pa.nulls(len(u), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(u), pa.array(v)], schema=_FOUND)
 
     return run
 
 
 def _dealt(rows: DataFrame, key: str, blocks: DataFrame, member: str) -> DataFrame:
-    """Rows with ``i`` and ``j``: all of a small key's are 0, 0; a large one's meet as pairs of hashed blocks."""
+    """Rows with ``block``, ``i`` and ``j``: all of a small key's are 0; a large one's meet as pairs of hashed blocks, and a
+    block's own rows as a pair with itself."""
     placed = rows.join(blocks, key).withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j")))
     alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
     placed = placed.withColumn("p", F.explode(F.when(F.col("blocks") == 1, alone).otherwise(pair)))
-    return placed.select(*rows.columns, "p.i", "p.j")
+    return placed.select(*rows.columns, "block", "p.i", "p.j")
 
 
 # ------------------------------------------------------------------------------------------------------------- operator
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``class_id`` (least id with the same set) and ``component_id`` of each row."""
+def _joined(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: int, all_pairs: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The profile of each row, the classes, their weights (ids that have the set) and what the exact join finds."""
     spark = docs.sparkSession
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null")
     made = stored(source.mapInArrow(_profile(n_words), "kind int, a long, b long, c long, n long, bits binary"), "profile")
@@ -370,23 +424,42 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("lo").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("lo", F.lit(1))).alias("xor")
     ).where("low < high")
     once = mixed.groupBy("members", "sum", "xor").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    dealt = _dealt(groups.select("token", "lo"), "token", once, "lo").join(placed, "lo")
+    dealt = _dealt(groups.select("token", "lo"), "token", once, "lo").drop("block").join(placed, "lo")
     more = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_candidate_join(percent), "u long, v long")
     clusters = stored(components(early.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "clusters")
 
     sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TEXT_BLOCK).cast("int").alias("blocks")).withColumnRenamed("component", "cluster")
-    member = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(classes.select("rep", "lo"), "rep")
-    wanted = stored(_dealt(member, "cluster", sizes, "rep").select(F.col("rep").alias("doc_id"), "lo", "cluster", "i", "j"), "wanted")
+    weights = texts.where("n > 0").select("lo", "doc_id").distinct().groupBy("lo").agg(F.count(F.lit(1)).alias("weight"))
+    member = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(classes.select("rep", "lo"), "rep").join(weights, "lo")
+    wanted = stored(_dealt(member, "cluster", sizes, "rep").select(F.col("rep").alias("doc_id"), "lo", "weight", "cluster", "block", "i", "j"), "wanted")
     needed = source.where(possibly(wanted, "doc_id")(F.col("doc_id")))
     met = wanted.join(needed, "doc_id").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    last = components(met.mapInArrow(_exact_join(n_words, percent), "u long, v long"))
+    found = stored(met.mapInArrow(_exact_join(n_words, percent, all_pairs), "lo long, n long, u long, v long"), "found")
+    return texts, classes, weights, found
+
 
-    kind = classes.join(last, classes["rep"] == last["node"], "left").select("lo", "rep", F.coalesce("component", "rep").alias("component"))
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``class_id`` (least id with the same set), ``component_id`` and ``n_links`` (other
+    documents at the threshold, copies among them) of each row."""
+    texts, classes, weights, found = _joined(docs, id_col, text_col, n_words, percent)
+    last = components(found.where("u is not null").select("u", "v"))
+    links = found.where("lo is not null").groupBy("lo").agg(F.sum("n").alias("links"))
+    kind = (
+        classes.join(last, classes["rep"] == last["node"], "left").select("lo", "rep", F.coalesce("component", "rep").alias("component"))
+        .join(weights, "lo").join(links, "lo", "left").select("lo", "rep", "component", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    )
     return texts.join(kind, "lo", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
+def jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
+    """``a`` < ``b``: all pairs of class representatives (``class_id``) at the threshold. The rows grow with the square of a
+    cluster of different texts."""
+    found = _joined(docs, id_col, text_col, n_words, percent, all_pairs=True)[3]
+    return found.where("u is not null").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+
+
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id is the least of their component; texts without words stay."""
     keep = jaccard_components(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()

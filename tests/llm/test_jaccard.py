@@ -102,3 +102,27 @@ def test_filter_passes_every_id(spark):
     own = {r.doc_id for r in ids.collect()}
     assert own <= passed and len(passed) < 1.05 * len(own)
     assert spark.range(9).where(possibly(ids.limit(0), "doc_id")(F.col("id"))).collect() == []
+
+
+def test_links_of_clusters_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TEXT_BLOCK", 4)
+    monkeypatch.setattr(jaccard, "COLUMNS", 64)
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    other = [f"v{k}" for k in range(60)]
+    rows = []
+    for i in range(25):
+        w = list(base)
+        for k in rng.sample(range(120), rng.choice([1, 1, 2, 4])):
+            w[k] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(30 + i, rows[i][1]) for i in range(4)] + [(34, rows[0][1]), (40, " ".join(other)), (41, " ".join(other[:-3])), (50, "alone"), (51, None)]
+    sets = sets_of(rows)
+    near = {(i, j) for i in sets for j in sets if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    docs = spark.createDataFrame([*rows, rows[3], rows[-2]], "doc_id long, text string")
+    got = jaccard.jaccard_components(docs).collect()
+    assert {(r.doc_id, r.n_links) for r in got} == {(i, sum(i in p for p in near)) for i in sets}
+    first = {r.doc_id: r.class_id for r in got}
+    pairs = [tuple(r) for r in jaccard.jaccard_pairs(docs).collect()]
+    assert sorted(pairs) == sorted(p for p in near if sets[p[0]] != sets[p[1]] and all(first[i] == i for i in p))
+    assert len(pairs) > 2 * len({i for p in pairs for i in p})
