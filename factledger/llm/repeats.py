@@ -7,6 +7,13 @@ first by id and then by place is kept, and the others are repeats, within a docu
 in a document make a passage, and passages of ``LEAST_WORDS`` words at least are removed, with their original offsets
 (code points) retained.
 
+Units depend on the sentence around them, so a passage inside sentences may give too few. For these, runs of ``GRAM``
+words are hashed: of ``WINDOW`` runs one after the other the least hash is an anchor, so any shared stretch of
+``GRAM + WINDOW - 1`` = 50 words has an anchor in all of its places. Around anchors that occur again every run of ``GRAM``
+words is grouped like the units; together they cover the stretch to its true ends, word by word. Shorter stretches are
+found this way only where an anchor lies in them. A run that overlaps its own first occurrence is not a repeat.
+Passages of both kinds that overlap or touch are one; ``n_words`` counts all words from its start to its end.
+
 Rows without id are left out. Null and empty texts have no unit. Rows that share an id are one document, whose equal
 units count once. An empty table gives an empty result. Extra columns are ignored. Counting the digests is combined
 before its shuffle, so a line that a third of all rows have is one row for each task; the join that follows is an
@@ -22,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factledger.llm.common import Words, column, mix, slices, texts_of
+from factledger.llm.common import Words, _powers, column, mix, slices, texts_of
 
 LEAST_UNIT, LEAST_WORDS, LONG, PICK = 3, 20, 24, 8
+GRAM, WINDOW = 20, 31
 
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -33,9 +41,9 @@ _STOP[[10, 33, 46, 63]] = True  # line feed, exclamation mark, full stop, questi
 
 
 def units(texts: list[str], least: int = LEAST_UNIT) -> dict[str, np.ndarray]:
-    """digest, doc, seq (place among the document's units), n_words, start, end of each unit."""
+    """digest, doc, seq (place among the document's units), n_words, start, end, word (place of its first) of each unit."""
     words = Words(texts, _GAP)
-    names = ("digest", "doc", "seq", "n_words", "start", "end")
+    names = ("digest", "doc", "seq", "n_words", "start", "end", "word")
     n = len(words.hash)
     if not n:
         return {x: np.zeros(0, np.uint64 if x == "digest" else np.int64) for x in names}
@@ -55,7 +63,7 @@ def units(texts: list[str], least: int = LEAST_UNIT) -> dict[str, np.ndarray]:
     point = np.r_[0, np.cumsum((words.bytes & 0xC0) != 0x80)]
     zero = point[words.doc_start[doc]]
     seq = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    return dict(zip(names, (digest, doc, seq, size, point[words.start[first]] - zero, point[words.end[first + size - 1]] - zero), strict=True))
+    return dict(zip(names, (digest, doc, seq, size, point[words.start[first]] - zero, point[words.end[first + size - 1]] - zero, first - words.first[doc]), strict=True))
 
 
 def unit_table(docs: DataFrame) -> DataFrame:
@@ -63,30 +71,105 @@ def unit_table(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             u = units(texts_of(batch))
             ids = column(batch, "doc_id").take(pa.array(u["doc"]))
-            rest = [pa.array(u[x].astype(np.int32)) for x in ("seq", "n_words", "start", "end")]
-            yield pa.RecordBatch.from_arrays([pa.array(u["digest"].view(np.int64)), ids, *rest], ["digest", "doc_id", "seq", "n_words", "start", "end"])
+            rest = [pa.array(u[x].astype(np.int32)) for x in ("seq", "n_words", "start", "end", "word")]
+            yield pa.RecordBatch.from_arrays([pa.array(u["digest"].view(np.int64)), ids, *rest], ["digest", "doc_id", "seq", "n_words", "start", "end", "word"])
+
+    source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return source.mapInArrow(run, "digest long, doc_id long, seq int, n_words int, start int, end int, word int")
+
+
+def _grams(words: Words) -> np.ndarray:
+    """Hash of the ``GRAM`` words from each word on, across documents too."""
+    up, down = _powers(len(words.hash) + 1)
+    total = np.r_[np.uint64(0), np.cumsum(words.hash * up[: len(words.hash)], dtype=np.uint64)]
+    size = max(len(words.hash) - GRAM + 1, 0)
+    return mix((total[GRAM : GRAM + size] - total[:size]) * down[:size])
+
+
+def anchors(docs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = Words(texts_of(batch), _GAP)
+            value = _grams(words)
+            if len(value) < WINDOW:
+                continue
+            at = np.arange(len(value) - WINDOW + 1)
+            least = at + np.lib.stride_tricks.sliding_window_view(value, WINDOW).argmin(axis=1)
+            at = np.unique(least[words.doc[at] == words.doc[at + WINDOW + GRAM - 2]])
+            doc = words.doc[at]
+            yield pa.RecordBatch.from_arrays([pa.array(value[at].view(np.int64)), column(batch, "doc_id").take(pa.array(doc)), pa.array((at - words.first[doc]).astype(np.int32))], ["digest", "doc_id", "word"])
+
+    return docs.mapInArrow(run, "digest long, doc_id long, word int")
 
+
+def grams_around(docs: DataFrame) -> DataFrame:
+    """The runs of ``GRAM`` words of ``docs`` at less than ``WINDOW`` words from the places ``near``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = Words(texts_of(batch), _GAP)
+            value, n = _grams(words), len(words.hash)
+            if not len(value):
+                continue
+            near = column(batch, "near")
+            doc = np.repeat(np.arange(batch.num_rows), np.array([len(x) for x in near.to_pylist()], np.int64))
+            at = words.first[doc] + near.flatten().to_numpy()
+            low, high = np.maximum(at - WINDOW + 1, words.first[doc]), np.minimum(at + WINDOW, words.first[doc + 1] - GRAM + 1)
+            low, high = low[low < high], high[low < high]
+            edge = np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1)
+            at = np.flatnonzero(np.cumsum(edge) > 0)
+            doc = words.doc[at]
+            point = np.r_[0, np.cumsum((words.bytes & 0xC0) != 0x80)]
+            zero = point[words.doc_start[doc]]
+            places = [pa.array(x.astype(np.int32)) for x in (at - words.first[doc], point[words.start[at]] - zero, point[words.end[at + GRAM - 1]] - zero)]
+            yield pa.RecordBatch.from_arrays([pa.array(value[at].view(np.int64)), column(batch, "doc_id").take(pa.array(doc)), *places], ["digest", "doc_id", "word", "start", "end"])
+
+    return docs.mapInArrow(run, "digest long, doc_id long, word int, start int, end int")
+
+
+def _repeated_grams(docs: DataFrame) -> DataFrame:
     source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, "digest long, doc_id long, seq int, n_words int, start int, end int")
+    anchor = anchors(source)
+    twice = anchor.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    near = anchor.join(twice, "digest").groupBy("doc_id").agg(F.collect_set("word").alias("near"))
+    gram = grams_around(source.join(near, "doc_id"))
+    kept = gram.groupBy("digest").agg(F.min(F.struct("doc_id", "word")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.word").alias("kept_word"))
+    again = gram.join(kept, "digest").where(f"doc_id <> kept_doc_id or word >= kept_word + {GRAM}")
+    return again.select("doc_id", "word", (F.col("word") + GRAM).alias("stop"), "start", "end", F.lit(0).alias("n_units"), F.array("kept_doc_id").alias("ids"))
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id``, ``start``, ``end``, ``n_words``, ``n_units`` of each passage to remove, and ``kept_doc_id`` (least) and
-    ``kept_doc_ids``: where its units are kept."""
+    ``kept_doc_ids``: where its words are kept."""
     unit = unit_table(docs)
     kept = unit.groupBy("digest").agg(F.min(F.struct("doc_id", "seq")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.seq").alias("kept_seq"))
     again = unit.join(kept, "digest").where("doc_id <> kept_doc_id or seq <> kept_seq")
-    once = again.groupBy("doc_id", "seq", "start", "end", "n_words").agg(F.min("kept_doc_id").alias("kept_doc_id"))
+    once = again.groupBy("doc_id", "seq", "start", "end", "n_words", "word").agg(F.min("kept_doc_id").alias("kept_doc_id"))
     run = F.col("seq") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("seq"))
-    return (
+    runs = (
         once.withColumn("run", run)
         .groupBy("doc_id", "run")
         .agg(
-            F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_units"),
-            F.min("kept_doc_id").alias("kept_doc_id"), F.array_sort(F.collect_set("kept_doc_id")).alias("kept_doc_ids"),
+            F.min("word").alias("word"), F.max(F.col("word") + F.col("n_words")).alias("stop"), F.min("start").alias("start"), F.max("end").alias("end"),
+            F.sum("n_words").alias("n_words"), F.count(F.lit(1)).cast("int").alias("n_units"), F.collect_set("kept_doc_id").alias("ids"),
+        )
+        .where(F.col("n_words") >= least_words)
+        .drop("run", "n_words")
+    )
+    both = runs.unionByName(_repeated_grams(docs))
+    by_place = Window.partitionBy("doc_id").orderBy("word", "stop")
+    so_far = F.max("stop").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(F.col("word") <= so_far, 0).otherwise(1)
+    return (
+        both.withColumn("apart", apart)
+        .withColumn("passage", F.sum("apart").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("doc_id", "passage")
+        .agg(
+            F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), (F.max("stop") - F.min("word")).cast("long").alias("n_words"), F.sum("n_units").alias("n_units"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("kept_doc_ids"),
         )
         .where(F.col("n_words") >= least_words)
-        .drop("run")
+        .select("doc_id", "start", "end", "n_words", "n_units", F.col("kept_doc_ids")[0].alias("kept_doc_id"), "kept_doc_ids")
     )
 
 

@@ -88,3 +88,20 @@ def test_edges(spark):
 def test_query(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert rows_of(queries.op1_substring_dedup(spark, sf_dir)) == brute(docs)
+
+
+def test_passages_at_any_word(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgé") for _ in range(6))
+    docs, places = [], {}
+    for k in range(60):
+        passage = " ".join(word() + rng.choice(["", "", "", "", "", "", ",", "."]) for _ in range(51))
+        for i in (k, 100 + k):
+            before = " ".join(word() + rng.choice(["", "", "", "."]) for _ in range(rng.randint(1, 40))) + " "
+            docs.append((i, before + passage + " " + " ".join(word() for _ in range(rng.randint(1, 40)))))
+            places[i] = (len(before), len(before + passage.rstrip(",.")))
+    docs.append((300, "same " * 100))
+    got = rows_of(repeats.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert [r[:4] for r in got if r[0] < 300] == [(100 + k, *places[100 + k], 51) for k in range(60)]
+    assert [r[4] for r in got if r[0] < 300] == [(k,) for k in range(60)]
+    assert [r[1:4] for r in got if r[0] == 300] == [(100, 499, 80)]
