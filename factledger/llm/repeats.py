@@ -12,7 +12,8 @@ words are hashed: of ``WINDOW`` runs one after the other the least hash is an an
 ``GRAM + WINDOW - 1`` = 50 words has an anchor in all of its places. Around anchors that occur again every run of ``GRAM``
 words is grouped like the units; together they cover the stretch to its true ends, word by word. Shorter stretches are
 found this way only where an anchor lies in them. A run that overlaps its own first occurrence is not a repeat.
-Passages of both kinds that overlap or touch are one; ``n_words`` counts all words from its start to its end.
+A whole line of ``LEAST_UNIT`` words at least that occurs again is a passage of its own, however short; ``LEAST_WORDS`` holds
+for parts of lines. Passages of all kinds that overlap or touch are one; ``n_words`` counts all words from its start to its end.
 
 Rows without id are left out. Null and empty texts have no unit. Rows that share an id are one document, whose equal
 units count once. An empty table gives an empty result. Extra columns are ignored. Counting the digests is combined
@@ -36,21 +37,24 @@ GRAM, WINDOW = 20, 31
 
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+_LINE = np.zeros(256, bool)
+_LINE[10] = True
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True  # line feed, exclamation mark, full stop, question mark
 
 
-def units(texts: list[str], least: int = LEAST_UNIT) -> dict[str, np.ndarray]:
-    """digest, doc, seq (place among the document's units), n_words, start, end, word (place of its first) of each unit."""
+def units(texts: list[str], least: int = LEAST_UNIT, lines: bool = False) -> dict[str, np.ndarray]:
+    """digest, doc, seq (place among the document's units), n_words, start, end, word (place of its first) of each unit, or
+    of each whole line."""
     words = Words(texts, _GAP)
     names = ("digest", "doc", "seq", "n_words", "start", "end", "word")
     n = len(words.hash)
     if not n:
         return {x: np.zeros(0, np.uint64 if x == "digest" else np.int64) for x in names}
-    stops = np.r_[0, np.cumsum(_STOP[words.bytes])]
+    stops = np.r_[0, np.cumsum((_LINE if lines else _STOP)[words.bytes])]
     apart = np.r_[True, (stops[words.start[1:]] != stops[words.end[:-1]]) | (words.doc[1:] != words.doc[:-1])]
     sentence = np.cumsum(apart) - 1
-    long = np.bincount(sentence)[sentence] > LONG
+    long = (np.bincount(sentence)[sentence] > LONG) & (not lines)
     picked = mix(words.hash ^ np.uint64(0x632BE59BD9B4E019)) % np.uint64(PICK) == 0
     apart |= np.r_[False, (long & picked)[:-1]]
     first = np.flatnonzero(apart)
@@ -66,10 +70,10 @@ def units(texts: list[str], least: int = LEAST_UNIT) -> dict[str, np.ndarray]:
     return dict(zip(names, (digest, doc, seq, size, point[words.start[first]] - zero, point[words.end[first + size - 1]] - zero, first - words.first[doc]), strict=True))
 
 
-def unit_table(docs: DataFrame) -> DataFrame:
+def unit_table(docs: DataFrame, lines: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            u = units(texts_of(batch))
+            u = units(texts_of(batch), lines=lines)
             ids = column(batch, "doc_id").take(pa.array(u["doc"]))
             rest = [pa.array(u[x].astype(np.int32)) for x in ("seq", "n_words", "start", "end", "word")]
             yield pa.RecordBatch.from_arrays([pa.array(u["digest"].view(np.int64)), ids, *rest], ["digest", "doc_id", "seq", "n_words", "start", "end", "word"])
@@ -138,6 +142,13 @@ def _repeated_grams(docs: DataFrame) -> DataFrame:
     return again.select("doc_id", "word", (F.col("word") + GRAM).alias("stop"), "start", "end", F.lit(0).alias("n_units"), F.array("kept_doc_id").alias("ids"))
 
 
+def _repeated_lines(docs: DataFrame) -> DataFrame:
+    line = unit_table(docs, lines=True)
+    kept = line.groupBy("digest").agg(F.min(F.struct("doc_id", "word")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.word").alias("kept_word"))
+    again = line.join(kept, "digest").where("doc_id <> kept_doc_id or word <> kept_word")
+    return again.select("doc_id", "word", (F.col("word") + F.col("n_words")).alias("stop"), "start", "end", F.lit(0).alias("n_units"), F.array("kept_doc_id").alias("ids"), F.lit(True).alias("whole"))
+
+
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id``, ``start``, ``end``, ``n_words``, ``n_units`` of each passage to remove, and ``kept_doc_id`` (least) and
     ``kept_doc_ids``: where its words are kept."""
@@ -156,7 +167,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
         .where(F.col("n_words") >= least_words)
         .drop("run", "n_words")
     )
-    both = runs.unionByName(_repeated_grams(docs))
+    both = runs.unionByName(_repeated_grams(docs)).withColumn("whole", F.lit(False)).unionByName(_repeated_lines(docs))
     by_place = Window.partitionBy("doc_id").orderBy("word", "stop")
     so_far = F.max("stop").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     apart = F.when(F.col("word") <= so_far, 0).otherwise(1)
@@ -166,9 +177,9 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
         .groupBy("doc_id", "passage")
         .agg(
             F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), (F.max("stop") - F.min("word")).cast("long").alias("n_words"), F.sum("n_units").alias("n_units"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("kept_doc_ids"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("kept_doc_ids"), F.max("whole").alias("whole"),
         )
-        .where(F.col("n_words") >= least_words)
+        .where(F.col("whole") | (F.col("n_words") >= least_words))
         .select("doc_id", "start", "end", "n_words", "n_units", F.col("kept_doc_ids")[0].alias("kept_doc_id"), "kept_doc_ids")
     )
 

@@ -105,3 +105,11 @@ def test_passages_at_any_word(spark):
     assert [r[:4] for r in got if r[0] < 300] == [(100 + k, *places[100 + k], 51) for k in range(60)]
     assert [r[4] for r in got if r[0] < 300] == [(k,) for k in range(60)]
     assert [r[1:4] for r in got if r[0] == 300] == [(100, 499, 80)]
+
+
+def test_whole_lines_alone(spark):
+    line, part = "One line of nine words: it stands quite alone!", "only a part"
+    docs = [(i, f"own{i} words before\n{line if i % 2 else line.upper()}\nown{i} words {part} after it") for i in range(4)]
+    docs += [(9, f"two words\n{line} but longer"), (10, "two words\nthree words here"), (11, "three words here")]
+    got = rows_of(repeats.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert got == [*((i, 18, 18 + len(line) - 1, 9, (0,)) for i in range(1, 4)), (11, 0, 16, 3, (10,))]
