@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a local master gets a new folder of its
+    own; anything else is an error, since each executor would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="checkpoint")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -35,27 +38,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bit_set(hashes: DataFrame, most: int) -> np.ndarray:
+    """Bits of the values of the column ``h`` (long), about 16 a value and at most ``most`` (a power of two).
+
+    That bounds what the driver gathers and what is broadcast; a fuller set only lets more through."""
+    size, n = 1 << 20, hashes.count()
+    while size < min(16 * n, most):
+        size *= 2
+    place = F.pmod("h", F.lit(size))
+    words = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def has_bit(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the bit of each value (unsigned) is in the set: true for every value that is, false for most others."""
+    at = values & np.uint64(64 * len(bits) - 1)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 FILTER_BITS = 1 << 25  # 4 MB, however many ids there are
 
 
 def possibly(ids: DataFrame, name: str):
     """A filter for a column of ids: true for every id of ``ids``, false for most others.
 
-    One bit a hash in a bit set of fixed size, so what the driver gathers and broadcasts is bounded; with more ids than
-    bits it lets all rows through, and stays right. It only sees the id, so texts are not sent to Python."""
-    spark = ids.sparkSession
-    hashed = ids.select(F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(FILTER_BITS)).alias("h"))
-    words = hashed.groupBy(F.shiftright("h", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    shared = spark.sparkContext.broadcast(bits)
+    It only sees the id, so texts are not sent to Python."""
+    shared = ids.sparkSession.sparkContext.broadcast(bit_set(ids.select(F.xxhash64(F.col(name).cast("long")).alias("h")), FILTER_BITS))
 
     @F.pandas_udf("boolean")
     def known(h: pd.Series) -> pd.Series:
-        at = h.to_numpy(np.int64)
-        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+        return pd.Series(has_bit(shared.value, h.to_numpy(np.int64).view(np.uint64)))
 
-    return lambda x: known(F.pmod(F.xxhash64(x.cast("long")), F.lit(FILTER_BITS)))
+    return lambda x: known(F.xxhash64(x.cast("long")))
 
 
 # ------------------------------------------------------------------------------------------------ batches inside tasks
