@@ -62,7 +62,7 @@ FILTER_BITS = 1 << 25  # 4 MB, however many ids there are
 
 
 def possibly(ids: DataFrame, name: str):
-    """A filter for a column of ids: true for every id of ``ids``, false for most others.
+    """A filter for a column of longs: true for every id of ``ids``, false for most others.
 
     It only sees the id, so texts are not sent to Python."""
     shared = ids.sparkSession.sparkContext.broadcast(bit_set(ids.select(F.xxhash64(F.col(name).cast("long")).alias("h")), FILTER_BITS))

@@ -1,24 +1,26 @@
-"""Substring dedup by hashing of units: lines, cut at sentence ends, and in sentences of more than ``LONG`` words also
-after words that a hash picks, so that a shared passage gives the same units wherever it stands.
-
-Units are normalised to their words (runs of ASCII letters and digits, lower-cased, and characters beyond ASCII). Units
-with fewer than ``LEAST_UNIT`` words are passed over. Digests are grouped over the whole table; the occurrence that is
-first by id and then by place is kept, and the others are repeats, within a document too. Repeats that follow each other
-in a document make a passage, and passages of ``LEAST_WORDS`` words at least are removed, with their original offsets
-(code points) retained.
-
-Units depend on the sentence around them, so a passage inside sentences may give too few. For these, runs of ``GRAM``
-words are hashed: of ``WINDOW`` runs one after the other the least hash is an anchor, so any shared stretch of
-``GRAM + WINDOW - 1`` = 50 words has an anchor in all of its places. Around anchors that occur again every run of ``GRAM``
-words is grouped like the units; together they cover the stretch to its true ends, word by word. Shorter stretches are
-found this way only where an anchor lies in them. A run that overlaps its own first occurrence is not a repeat.
-A whole line of ``LEAST_UNIT`` words at least that occurs again is a passage of its own, however short; ``LEAST_WORDS`` holds
-for parts of lines. Passages of all kinds that overlap or touch are one; ``n_words`` counts all words from its start to its end.
+"""Substring dedup by hashing of units: stretches of some words that the text itself bounds, and whole lines.
+
+Words are runs of ASCII letters and digits, lower-cased, and characters beyond ASCII; marks and spaces don't count. A unit
+begins at each word whose hash (with that of the next word) is the least among ``REACH`` words before and after it, and
+after ``LONGEST`` words without one. So units have ``LEAST_UNIT`` words at least (smaller ones at the ends of a text are
+passed over), five on average, and the same words give the same units wherever they stand, but for the units that a shared
+stretch begins or ends in.
+
+Digests of 128 bits are grouped over the whole table. The occurrence with the least id, and in it the first, is kept; all
+others are repeats. Repeats that touch or overlap in a document make a passage, and passages of ``LEAST_WORDS`` words at
+least are removed, with their original offsets (code points) retained. A shared stretch of 50 words holds such a passage;
+what lies between its own ends and those of the units stays. A whole line that occurs again is a passage from
+``LEAST_LINE`` words on; shorter lines that repeat are left alone by default, since many documents that are otherwise
+their own share one.
 
 Rows without id are left out. Null and empty texts have no unit. Rows that share an id are one document, whose equal
-units count once. An empty table gives an empty result. Extra columns are ignored. Counting the digests is combined
-before its shuffle, so a line that a third of all rows have is one row for each task; the join that follows is an
-ordinary one, which Spark splits where a key is hot.
+units count once. Of equal units of several documents the least id is kept. An empty table gives an empty result. Extra
+columns are ignored. A task holds one whole text's words at a time (about 150 bytes a word).
+
+Texts are read and hashed once, into a table of units. Digests are counted before their shuffle, so a line that a third of
+all rows have is one row a task. Repeats meet what is kept of them in a join that leaves out units whose digest is
+alone (a bit set of bounded size) and broadcasts the digests that ``HOT`` of all units have, of which there are at most
+1 / ``HOT``; so no task of the shuffled join gets more than that share of the units.
 """
 
 from __future__ import annotations
@@ -30,154 +32,106 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factledger.llm.common import Words, _powers, column, mix, slices, texts_of
+from factledger.llm.common import Words, column, mix, possibly, slices, stored, texts_of
 
-LEAST_UNIT, LEAST_WORDS, LONG, PICK = 3, 20, 24, 8
-GRAM, WINDOW = 20, 31
+LEAST_UNIT, LEAST_WORDS, LEAST_LINE = 3, 20, 15
+REACH, LONGEST = 2, 16
+HOT = 1e-4
 
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LINE = np.zeros(256, bool)
 _LINE[10] = True
-_STOP = np.zeros(256, bool)
-_STOP[[10, 33, 46, 63]] = True  # line feed, exclamation mark, full stop, question mark
 
+NAMES = ("d1", "d2", "doc", "word", "n_words", "start", "end", "again", "whole")
+UNIT_DDL = "d1 long, d2 long, doc_id long, word int, n_words int, start int, end int, again boolean, whole boolean"
 
-def units(texts: list[str], least: int = LEAST_UNIT, lines: bool = False) -> dict[str, np.ndarray]:
-    """digest, doc, seq (place among the document's units), n_words, start, end, word (place of its first) of each unit, or
-    of each whole line."""
-    words = Words(texts, _GAP)
-    names = ("digest", "doc", "seq", "n_words", "start", "end", "word")
+
+def unit_starts(words: Words) -> np.ndarray:
+    """Whether a unit begins at each word."""
     n = len(words.hash)
-    if not n:
-        return {x: np.zeros(0, np.uint64 if x == "digest" else np.int64) for x in names}
-    stops = np.r_[0, np.cumsum((_LINE if lines else _STOP)[words.bytes])]
-    apart = np.r_[True, (stops[words.start[1:]] != stops[words.end[:-1]]) | (words.doc[1:] != words.doc[:-1])]
-    sentence = np.cumsum(apart) - 1
-    long = (np.bincount(sentence)[sentence] > LONG) & (not lines)
-    picked = mix(words.hash ^ np.uint64(0x632BE59BD9B4E019)) % np.uint64(PICK) == 0
-    apart |= np.r_[False, (long & picked)[:-1]]
-    first = np.flatnonzero(apart)
+    value = mix(words.hash ^ (np.r_[words.hash[1:], np.uint64(0)] * np.uint64(0x9E3779B97F4A7C15)))
+    if n:  # the last word of a text has no next one
+        last = np.flatnonzero(np.r_[words.doc[1:] != words.doc[:-1], True])
+        value[last] = mix(words.hash[last])
+    least = np.ones(n, bool)
+    for d in range(1, REACH + 1):
+        apart = words.doc[d:] != words.doc[:-d]
+        least[d:] &= apart | (value[d:] < value[:-d])
+        least[:-d] &= apart | (value[:-d] <= value[d:])
+    least |= np.r_[True, words.doc[1:] != words.doc[:-1]][:n]
+    first = np.flatnonzero(least)
     size = np.diff(np.r_[first, n])
     rank = np.arange(n) - np.repeat(first, size)
-    digest = mix(np.add.reduceat(mix(words.hash + rank.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), first))
-    keep = size >= least
-    first, size, digest = first[keep], size[keep], digest[keep]
-    doc = words.doc[first]
-    point = np.r_[0, np.cumsum((words.bytes & 0xC0) != 0x80)]
-    zero = point[words.doc_start[doc]]
-    seq = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    return dict(zip(names, (digest, doc, seq, size, point[words.start[first]] - zero, point[words.end[first + size - 1]] - zero, first - words.first[doc]), strict=True))
-
-
-def unit_table(docs: DataFrame, lines: bool = False) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            u = units(texts_of(batch), lines=lines)
-            ids = column(batch, "doc_id").take(pa.array(u["doc"]))
-            rest = [pa.array(u[x].astype(np.int32)) for x in ("seq", "n_words", "start", "end", "word")]
-            yield pa.RecordBatch.from_arrays([pa.array(u["digest"].view(np.int64)), ids, *rest], ["digest", "doc_id", "seq", "n_words", "start", "end", "word"])
-
-    source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, "digest long, doc_id long, seq int, n_words int, start int, end int, word int")
+    return least | (rank % LONGEST == 0) & (np.repeat(size, size) - rank >= LEAST_UNIT)
 
 
-def _grams(words: Words) -> np.ndarray:
-    """Hash of the ``GRAM`` words from each word on, across documents too."""
-    up, down = _powers(len(words.hash) + 1)
-    total = np.r_[np.uint64(0), np.cumsum(words.hash * up[: len(words.hash)], dtype=np.uint64)]
-    size = max(len(words.hash) - GRAM + 1, 0)
-    return mix((total[GRAM : GRAM + size] - total[:size]) * down[:size])
+def line_starts(words: Words) -> np.ndarray:
+    stops = np.r_[0, np.cumsum(_LINE[words.bytes])]
+    return np.r_[True, (stops[words.start[1:]] != stops[words.end[:-1]]) | (words.doc[1:] != words.doc[:-1])][: len(words.hash)]
 
 
-def anchors(docs: DataFrame) -> DataFrame:
+def units(texts: list[str], least_line: int = LEAST_LINE) -> dict[str, np.ndarray]:
+    """The units and lines of the texts. ``again`` marks those that have stood in the same text before."""
+    words = Words(texts, _GAP)
+    point = np.r_[0, np.cumsum((words.bytes & 0xC0) != 0x80)]
+    parts = []
+    for whole, starts, least in ((False, unit_starts(words), LEAST_UNIT), (True, line_starts(words), least_line)):
+        first = np.flatnonzero(starts)
+        size = np.diff(np.r_[first, len(words.hash)])
+        rank = np.arange(len(words.hash)) - np.repeat(first, size)
+        digest = [mix(np.add.reduceat(mix(words.hash + rank.astype(np.uint64) * np.uint64(lane)), first) + np.uint64(whole)) if len(first) else np.zeros(0, np.uint64) for lane in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
+        keep = size >= least
+        first, size, d1, d2 = first[keep], size[keep], digest[0][keep], digest[1][keep]
+        doc = words.doc[first]
+        order = np.lexsort((first, d2, d1, doc))
+        again = np.zeros(len(first), bool)
+        a, b = order[:-1], order[1:]
+        again[b[(doc[a] == doc[b]) & (d1[a] == d1[b]) & (d2[a] == d2[b])]] = True
+        zero = point[words.doc_start[doc]]
+        parts.append((d1, d2, doc, first - words.first[doc], size, point[words.start[first]] - zero, point[words.end[first + size - 1]] - zero, again, np.full(len(first), whole)))
+    return dict(zip(NAMES, map(np.concatenate, zip(*parts, strict=True)), strict=True))
+
+
+def unit_table(docs: DataFrame, least_line: int = LEAST_LINE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words = Words(texts_of(batch), _GAP)
-            value = _grams(words)
-            if len(value) < WINDOW:
-                continue
-            at = np.arange(len(value) - WINDOW + 1)
-            least = at + np.lib.stride_tricks.sliding_window_view(value, WINDOW).argmin(axis=1)
-            at = np.unique(least[words.doc[at] == words.doc[at + WINDOW + GRAM - 2]])
-            doc = words.doc[at]
-            yield pa.RecordBatch.from_arrays([pa.array(value[at].view(np.int64)), column(batch, "doc_id").take(pa.array(doc)), pa.array((at - words.first[doc]).astype(np.int32))], ["digest", "doc_id", "word"])
-
-    return docs.mapInArrow(run, "digest long, doc_id long, word int")
-
-
-def grams_around(docs: DataFrame) -> DataFrame:
-    """The runs of ``GRAM`` words of ``docs`` at less than ``WINDOW`` words from the places ``near``."""
+            u = units(texts_of(batch), least_line)
+            digest = [pa.array(u[x].view(np.int64)) for x in ("d1", "d2")]
+            places = [pa.array(u[x].astype(np.int32)) for x in ("word", "n_words", "start", "end")]
+            yield pa.RecordBatch.from_arrays([*digest, column(batch, "doc_id").take(pa.array(u["doc"])), *places, pa.array(u["again"]), pa.array(u["whole"])], [x.split()[0] for x in UNIT_DDL.split(", ")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            words = Words(texts_of(batch), _GAP)
-            value, n = _grams(words), len(words.hash)
-            if not len(value):
-                continue
-            near = column(batch, "near")
-            doc = np.repeat(np.arange(batch.num_rows), np.array([len(x) for x in near.to_pylist()], np.int64))
-            at = words.first[doc] + near.flatten().to_numpy()
-            low, high = np.maximum(at - WINDOW + 1, words.first[doc]), np.minimum(at + WINDOW, words.first[doc + 1] - GRAM + 1)
-            low, high = low[low < high], high[low < high]
-            edge = np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1)
-            at = np.flatnonzero(np.cumsum(edge) > 0)
-            doc = words.doc[at]
-            point = np.r_[0, np.cumsum((words.bytes & 0xC0) != 0x80)]
-            zero = point[words.doc_start[doc]]
-            places = [pa.array(x.astype(np.int32)) for x in (at - words.first[doc], point[words.start[at]] - zero, point[words.end[at + GRAM - 1]] - zero)]
-            yield pa.RecordBatch.from_arrays([pa.array(value[at].view(np.int64)), column(batch, "doc_id").take(pa.array(doc)), *places], ["digest", "doc_id", "word", "start", "end"])
-
-    return docs.mapInArrow(run, "digest long, doc_id long, word int, start int, end int")
-
-
-def _repeated_grams(docs: DataFrame) -> DataFrame:
     source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    anchor = anchors(source)
-    twice = anchor.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    near = anchor.join(twice, "digest").groupBy("doc_id").agg(F.collect_set("word").alias("near"))
-    gram = grams_around(source.join(near, "doc_id"))
-    kept = gram.groupBy("digest").agg(F.min(F.struct("doc_id", "word")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.word").alias("kept_word"))
-    again = gram.join(kept, "digest").where(f"doc_id <> kept_doc_id or word >= kept_word + {GRAM}")
-    return again.select("doc_id", "word", (F.col("word") + GRAM).alias("stop"), "start", "end", F.lit(0).alias("n_units"), F.array("kept_doc_id").alias("ids"))
+    return source.mapInArrow(run, UNIT_DDL)
 
 
-def _repeated_lines(docs: DataFrame) -> DataFrame:
-    line = unit_table(docs, lines=True)
-    kept = line.groupBy("digest").agg(F.min(F.struct("doc_id", "word")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.word").alias("kept_word"))
-    again = line.join(kept, "digest").where("doc_id <> kept_doc_id or word <> kept_word")
-    return again.select("doc_id", "word", (F.col("word") + F.col("n_words")).alias("stop"), "start", "end", F.lit(0).alias("n_units"), F.array("kept_doc_id").alias("ids"), F.lit(True).alias("whole"))
+def repeated_units(docs: DataFrame, least_line: int = LEAST_LINE, hot: float = HOT) -> DataFrame:
+    """The units and lines whose words are kept elsewhere, with ``kept_doc_id``."""
+    unit = stored(unit_table(docs, least_line), "units")
+    kept = stored(unit.groupBy("d1", "d2").agg(F.min("doc_id").alias("kept_doc_id"), F.count(F.lit(1)).alias("n")).where("n > 1"), "kept")
+    common = kept.where(F.col("n") >= max(2.0, hot * unit.count())).select("d1", "d2", F.col("kept_doc_id").alias("hot_id"))
+    rest = kept.join(F.broadcast(common), ["d1", "d2"], "left_anti").drop("n")
+    marked = unit.join(F.broadcast(common), ["d1", "d2"], "left")
+    seldom = marked.where("hot_id is null").drop("hot_id")
+    met = seldom.where(possibly(kept, "d1")(F.col("d1"))).join(rest, ["d1", "d2"])
+    both = met.unionByName(marked.where("hot_id is not null").withColumnRenamed("hot_id", "kept_doc_id"))
+    return both.where("again or doc_id > kept_doc_id").select("doc_id", "word", "n_words", "start", "end", "whole", "kept_doc_id")
 
 
-def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, least_line: int = LEAST_LINE, hot: float = HOT) -> DataFrame:
     """``doc_id``, ``start``, ``end``, ``n_words``, ``n_units`` of each passage to remove, and ``kept_doc_id`` (least) and
     ``kept_doc_ids``: where its words are kept."""
-    unit = unit_table(docs)
-    kept = unit.groupBy("digest").agg(F.min(F.struct("doc_id", "seq")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.seq").alias("kept_seq"))
-    again = unit.join(kept, "digest").where("doc_id <> kept_doc_id or seq <> kept_seq")
-    once = again.groupBy("doc_id", "seq", "start", "end", "n_words", "word").agg(F.min("kept_doc_id").alias("kept_doc_id"))
-    run = F.col("seq") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("seq"))
-    runs = (
-        once.withColumn("run", run)
-        .groupBy("doc_id", "run")
-        .agg(
-            F.min("word").alias("word"), F.max(F.col("word") + F.col("n_words")).alias("stop"), F.min("start").alias("start"), F.max("end").alias("end"),
-            F.sum("n_words").alias("n_words"), F.count(F.lit(1)).cast("int").alias("n_units"), F.collect_set("kept_doc_id").alias("ids"),
-        )
-        .where(F.col("n_words") >= least_words)
-        .drop("run", "n_words")
-    )
-    both = runs.unionByName(_repeated_grams(docs)).withColumn("whole", F.lit(False)).unionByName(_repeated_lines(docs))
+    by_doc = repeated_units(docs, least_line, hot).repartition("doc_id")
+    once = by_doc.groupBy("doc_id", "word", "n_words", "start", "end", "whole").agg(F.min("kept_doc_id").alias("kept_doc_id")).withColumn("stop", F.col("word") + F.col("n_words"))
     by_place = Window.partitionBy("doc_id").orderBy("word", "stop")
     so_far = F.max("stop").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.when(F.col("word") <= so_far, 0).otherwise(1)
     return (
-        both.withColumn("apart", apart)
+        once.withColumn("apart", F.when(F.col("word") <= so_far, 0).otherwise(1))
         .withColumn("passage", F.sum("apart").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("doc_id", "passage")
         .agg(
-            F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), (F.max("stop") - F.min("word")).cast("long").alias("n_words"), F.sum("n_units").alias("n_units"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("kept_doc_ids"), F.max("whole").alias("whole"),
+            F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), (F.max("stop") - F.min("word")).cast("long").alias("n_words"), F.count_if(~F.col("whole")).alias("n_units"),
+            F.array_sort(F.collect_set("kept_doc_id")).alias("kept_doc_ids"), F.max("whole").alias("whole"),
         )
         .where(F.col("whole") | (F.col("n_words") >= least_words))
         .select("doc_id", "start", "end", "n_words", "n_units", F.col("kept_doc_ids")[0].alias("kept_doc_id"), "kept_doc_ids")
