@@ -43,7 +43,7 @@ PERCENT = 20  # word edits allowed, of the words of an item
 WALKS, TABLES, BITS, REACH = 16, 64, 4, 1.5  # samples are taken from this many steps a word of a walk, of 3 that it may need
 STRETCH = 40  # words that a walk sees; in longer windows the walks' beginnings are spread evenly
 GRAM_WORDS = 3
-REGION = 4096
+REGION, WINDOWS = 4096, 512  # windows of a region, and those that are embedded at a time
 MOST_BITS = 1 << 30
 
 _GAP = np.ones(256, bool)
@@ -67,36 +67,35 @@ def allowed(n: int, percent: int = PERCENT) -> int:
 # ----------------------------------------------------------------------------------------------------- embedding and keys
 
 
-def embed(words: np.ndarray, walk: int, steps: int) -> np.ndarray:
-    """CGK strings of the rows of ``words``, which end with zeros. At each step a row gives the word it stands on, and
-    then goes on or stays by a coin that hangs on the word and the step alone."""
+def embed(words: np.ndarray, walk: np.ndarray, steps: int) -> np.ndarray:
+    """CGK strings of the rows of ``words``, which end with zeros, each by its own walk. At each step a row gives the word
+    it stands on, and then goes on or stays by a coin that hangs on the walk, the word and the step alone."""
     rows, width = words.shape
-    padded = np.concatenate([words, np.zeros((rows, 1), np.uint64)], axis=1)
-    out = np.zeros((rows, steps), np.uint64)
-    at, own = np.zeros(rows, np.int64), np.arange(rows)
+    padded = np.concatenate([words, np.zeros((rows, 1), np.uint64)], axis=1).ravel()
+    out = np.zeros((steps, rows), np.uint64)
+    first = np.arange(rows) * (width + 1)
+    at, last = first.copy(), first + width
+    salt = (walk.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     for j in range(steps):
-        now = padded[own, at]
-        out[:, j] = now
-        coin = mix(now + np.uint64(((walk + 1) * 0x9E3779B97F4A7C15 + (j + 1) * 0xC2B2AE3D27D4EB4F) & (2**64 - 1))) >> np.uint64(63)
-        at = np.minimum(at + coin.astype(np.int64), width)
+        now = out[j] = padded[at]
+        coin = mix(now + salt + np.uint64((j + 1) * 0xC2B2AE3D27D4EB4F & (2**64 - 1))) >> np.uint64(63)
+        at = np.minimum(at + coin.astype(np.int64), last)
     return out
 
 
 def keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and key of each table's sample of the rows' strings; samples that hold the end of a row are left out."""
-    n = words.shape[1]
+    count, n = words.shape
     width = min(n, STRETCH)
+    begin = [(n - width) * walk // (WALKS - 1) for walk in range(WALKS)]
+    string = embed(np.concatenate([words[:, b : b + width] for b in begin]), np.repeat(np.arange(WALKS), count), int(REACH * width) + 1)
     rows, values = [], []
-    for walk in range(WALKS):
-        begin = (n - width) * walk // (WALKS - 1)
-        string = embed(words[:, begin : begin + width], walk, int(REACH * width) + 1)
-        for table, (w, share) in enumerate(SAMPLES):
-            if w == walk:
-                picked = string[:, (share * REACH * width).astype(np.int64)]
-                full = np.flatnonzero((picked != 0).all(axis=1))
-                salt = np.uint64((n * TABLES + table) * 0x9E3779B97F4A7C15 & (2**64 - 1))
-                rows.append(full)
-                values.append(mix(mix(picked[full] * _LANES).sum(axis=1, dtype=np.uint64) + salt))
+    for table, (walk, share) in enumerate(SAMPLES):
+        picked = string[(share * REACH * width).astype(np.int64), walk * count : (walk + 1) * count]
+        full = np.flatnonzero((picked != 0).all(axis=0))
+        salt = np.uint64((n * TABLES + table) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+        rows.append(full)
+        values.append(mix(mix(picked[:, full] * _LANES[:, None]).sum(axis=0, dtype=np.uint64) + salt))
     return np.concatenate(rows), np.concatenate(values)
 
 
@@ -269,17 +268,22 @@ def _window_keys(regions: DataFrame, known) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers, lengths, counts = (column(batch, x).to_pylist() for x in ("region", "n", "n_windows"))
-            values, edge = column(batch, "words").flatten().to_numpy().view(np.uint64), np.cumsum([0, *column(batch, "words").value_lengths().to_pylist()])
-            for k, (number, n, count) in enumerate(zip(numbers, lengths, counts, strict=True)):
-                own, found = values[edge[k] : edge[k + 1]], []
-                padded = np.concatenate([own, np.zeros(n, np.uint64)])
-                for low in range(0, count, 512):
-                    value = keys(np.lib.stride_tricks.sliding_window_view(padded, n)[low : min(low + 512, count)])[1]
-                    found.append(np.unique(value[has_bit(known.value, value)]))
-                value = np.unique(np.concatenate(found)).view(np.int64)
-                if len(value):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), number, np.int64)), pa.array(value)], ["region", "h"])
+            numbers, lengths, counts = (column(batch, x).to_numpy() for x in ("region", "n", "n_windows"))
+            edge = np.cumsum([0, *column(batch, "words").value_lengths().to_pylist()])
+            # Beyond its region's words a window has zeros.
+            values = np.concatenate([column(batch, "words").flatten().to_numpy().view(np.uint64), np.zeros(1, np.uint64)])
+            for n in np.unique(lengths).tolist():
+                own = np.flatnonzero(lengths == n)
+                region = np.repeat(own, counts[own])
+                place = edge[region] + np.arange(len(region)) - np.repeat(np.cumsum(counts[own]) - counts[own], counts[own])
+                for low in range(0, len(region), WINDOWS):
+                    which = region[low : low + WINDOWS]
+                    at = place[low : low + WINDOWS, None] + np.arange(n)
+                    row, value = keys(values[np.where(at < edge[which + 1][:, None], at, -1)])
+                    known_ = has_bit(known.value, value)
+                    pair = np.unique(np.stack([numbers[which[row[known_]]], value[known_].view(np.int64)]), axis=1)
+                    if pair.size:
+                        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["region", "h"])
 
     return regions.select("region", "n", "n_windows", "words").mapInArrow(run, "region long, h long")
 
