@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ----------------------------------------------------------------------------------------------- reading and writing
@@ -103,6 +103,18 @@ def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their whole names, whatever marks are in them."""
+    return [F.col("`" + x.replace("`", "``") + "`") for x in names]
+
+
+def fresh(names: list[str], name: str) -> str:
+    """``name``, with as many marks before it as make it unlike all ``names``."""
+    while name.lower() in {x.lower() for x in names}:
+        name = "_" + name
+    return name
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -17,8 +17,9 @@ Texts with equal sets form a class; classes are compared, copies never are. The
    row a member, and the links that join components.
 
 A component and a number of links are therefore exact. Large groups and clusters are dealt out as pairs of blocks of bounded size, so no task
-holds more than two blocks. Rows without id are left out. Null and empty texts and texts without words have an empty set,
-size 0, and are linked with nothing. Repeated rows and equal texts are one class; ids count once in a class. Classes that
+holds more than two blocks, and one whole text at a time before that (about 100 bytes a word). Rows without id are left
+out. Null and empty texts and texts without words have an empty set, size 0, and are linked with nothing. An empty table
+gives an empty result. Repeated rows and equal texts are one class; ids count once in a class. Classes that
 have one least id (rows that share it, with other texts) are not counted against each other. Extra columns are ignored.
 Sets are compared by 64-bit hashes of shingles.
 """
@@ -82,25 +83,45 @@ def may_reach(a: bytes, b: bytes, n_a: int, n_b: int, percent: int = PERCENT) ->
     return slack + common >= least_overlap(n_a + n_b, percent)
 
 
+def widths(bits: list[bytes], percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each width (bytes) that bitmaps have: the positions of the sets of this width and of those that a near set may
+    have, and whether each has this one. A pair belongs to its smaller width; so bitmaps are as wide as their sets need,
+    however different the sets of a group are."""
+    size, most = np.array([len(x) for x in bits]), 2
+    while percent * most < 100:
+        most *= 2
+    for width in np.unique(size).tolist():
+        at = np.flatnonzero((size >= width) & (size <= most * width))
+        yield width, at, size[at] == width
+
+
+def signatures(bits: list[bytes], at: np.ndarray, width: int) -> np.ndarray:
+    return np.stack([folded(np.frombuffer(bits[k], np.uint8), width) for k in at.tolist()]).view(np.uint64)
+
+
 class SignatureTree:
-    """Levels of nodes over sets sorted by label and size; level 0 are the sets."""
+    """Levels of nodes over sets sorted by label and size; level 0 are the sets. ``narrow`` marks sets of which a pair must
+    have one at least."""
 
-    def __init__(self, sizes: np.ndarray, signature: np.ndarray, label: np.ndarray):
+    def __init__(self, sizes: np.ndarray, signature: np.ndarray, label: np.ndarray, narrow: np.ndarray):
         self.order = np.lexsort((sizes, label))
-        s, n, g = signature[self.order], sizes[self.order], label[self.order]
-        self.levels = [(s, n, n, n - np.bitwise_count(s).sum(axis=1).astype(np.int64), g, g)]
+        s, n, g, w = signature[self.order], sizes[self.order], label[self.order], narrow[self.order]
+        self.levels = [(s, n, n, n - np.bitwise_count(s).sum(axis=1).astype(np.int64), g, g, w)]
+        self.step = max(1, (1 << 22) // (FANOUT * FANOUT * s.nbytes // max(1, len(s))))  # pairs of nodes opened at a time: some MB
         while len(self.levels[-1][0]) > 1:
-            s, low, high, slack, g_low, g_high = self.levels[-1]
+            s, low, high, slack, g_low, g_high, w = self.levels[-1]
             at = np.arange(0, len(s), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(s, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(slack, at), np.minimum.reduceat(g_low, at), np.maximum.reduceat(g_high, at)))
+            self.levels.append((np.bitwise_or.reduceat(s, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(slack, at), np.minimum.reduceat(g_low, at), np.maximum.reduceat(g_high, at), np.logical_or.reduceat(w, at)))
 
     def _kept(self, depth: int, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """The pairs of nodes that may hold a pair of sets that is near and not of one label."""
-        s, low, high, slack, g_low, g_high = self.levels[depth]
+        s, low, high, slack, g_low, g_high, w = self.levels[depth]
         one = (g_low[a] == g_high[a]) & (g_low[b] == g_high[b]) & (g_low[a] == g_low[b])
-        keep = ~one & (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
+        keep = ~one & (w[a] | w[b]) & (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
         a, b = a[keep], b[keep]
-        overlap = np.maximum(slack[a], slack[b]) + np.bitwise_count(s[a] & s[b]).sum(axis=1).astype(np.int64)
+        # Of two sets the smaller slack bounds the overlap; of nodes only the larger one does.
+        spare = (np.maximum if depth else np.minimum)(slack[a], slack[b])
+        overlap = spare + np.bitwise_count(s[a] & s[b]).sum(axis=1).astype(np.int64)
         keep = (100 + percent) * overlap >= percent * (low[a] + low[b])
         return a[keep], b[keep]
 
@@ -112,8 +133,8 @@ class SignatureTree:
         for depth in range(len(self.levels) - 2, -1, -1):
             width = len(self.levels[depth][0])
             parts = []
-            for at in range(0, len(a), 512):
-                x, y = (v.ravel() for v in np.broadcast_arrays(a[at : at + 512, None, None] * FANOUT + step[None, :, None], b[at : at + 512, None, None] * FANOUT + step[None, None, :]))
+            for at in range(0, len(a), self.step):
+                x, y = (v.ravel() for v in np.broadcast_arrays(a[at : at + self.step, None, None] * FANOUT + step[None, :, None], b[at : at + self.step, None, None] * FANOUT + step[None, None, :]))
                 keep = (x <= y if depth else x < y) & (y < width)
                 parts.append(self._kept(depth, x[keep], y[keep], percent))
                 if not depth:
@@ -125,9 +146,9 @@ class SignatureTree:
 def joining_pairs(sizes: np.ndarray, bits: list[bytes], label: np.ndarray, near, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Near pairs that join the labels as far as near pairs can: ``near(i, j)`` is asked only for pairs that the bounds
     allow and whose labels have not been joined yet."""
-    signature = np.stack([folded(np.frombuffer(x, np.uint8), TREE_BITS // 8) for x in bits]).view(np.uint64)
-    slack = sizes - np.bitwise_count(signature).sum(axis=1).astype(np.int64)
     label = np.unique(label, return_inverse=True)[1]
+    short = signatures(bits, np.arange(len(bits)), TREE_BITS // 8)
+    slack = sizes - np.bitwise_count(short).sum(axis=1).astype(np.int64)
     out: list[tuple[int, int]] = []
 
     def tried(i: int, j: int) -> None:
@@ -141,15 +162,18 @@ def joining_pairs(sizes: np.ndarray, bits: list[bytes], label: np.ndarray, near,
         if len(open_) < 2:
             break
         i, rest = open_[0], open_[1:]
-        overlap = np.maximum(slack[i], slack[rest]) + np.bitwise_count(signature[rest] & signature[i]).sum(axis=1).astype(np.int64)
+        overlap = np.minimum(slack[i], slack[rest]) + np.bitwise_count(short[rest] & short[i]).sum(axis=1).astype(np.int64)
         for j in rest[((100 + percent) * overlap >= percent * (sizes[rest] + sizes[i])) & (label[rest] != label[i])].tolist():
             tried(i, j)
         open_ = rest[label[rest] != label[i]]
-    if (label != label[0]).any():
-        for a, b in SignatureTree(sizes, signature, label.copy()).self_join(percent):
-            keep = label[a] != label[b]
-            for i, j in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
-                tried(i, j)
+    for width, at, narrow in widths(bits, percent):
+        if len(at) > 1 and (label[at] != label[at[0]]).any():
+            tree = SignatureTree(sizes[at], signatures(bits, at, width), label[at], narrow)
+            for a, b in tree.self_join(percent):
+                a, b = at[a], at[b]
+                keep = label[a] != label[b]
+                for i, j in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
+                    tried(i, j)
     return out
 
 
@@ -158,16 +182,19 @@ def near_pairs(sets: list[np.ndarray], block: np.ndarray, across: bool, percent:
     order = np.argsort([len(x) for x in sets], kind="stable")
     sets, block = [sets[k] for k in order], block[order]
     n = np.array([len(x) for x in sets], np.int64)
-    signature = np.stack([folded(np.frombuffer(bitmap(x), np.uint8), TREE_BITS // 8) for x in sets]).view(np.uint64)
-    slack = n - np.bitwise_count(signature).sum(axis=1).astype(np.int64)
+    bits = [bitmap(x) for x in sets]
     stop = np.searchsorted(n, 100 * n // percent, side="right")
-    right = []
-    for i in range(len(n)):
-        j = np.arange(i + 1, stop[i])
-        if across:
-            j = j[block[j] != block[i]]
-        most = np.minimum(slack[i], slack[j]) + np.bitwise_count(signature[j] & signature[i]).sum(axis=1).astype(np.int64)
-        right.append(j[(100 + percent) * most >= percent * (n[i] + n[j])])
+    right = [np.zeros(0, np.int64)] * len(n)
+    for width, at, narrow in widths(bits, percent):
+        # Sets are sorted by size, so those of this width come first.
+        signature = signatures(bits, at, width)
+        slack = n[at] - np.bitwise_count(signature).sum(axis=1).astype(np.int64)
+        for k, i in enumerate(at[narrow].tolist()):
+            j = np.arange(k + 1, stop[i] - i + k)
+            if across:
+                j = j[block[at[j]] != block[i]]
+            most = np.minimum(slack[k], slack[j]) + np.bitwise_count(signature[j] & signature[k]).sum(axis=1).astype(np.int64)
+            right[i] = at[j[(100 + percent) * most >= percent * (n[i] + n[at[j]])]]
     a, b = np.repeat(np.arange(len(n)), [len(x) for x in right]), np.concatenate(right)
     # Shingles that one set alone has are in no overlap; the others are columns of a bit table.
     _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -461,6 +488,11 @@ def jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is the least of their component; texts without words stay."""
+    """The rows whose id is the least of their component, one of those with equal id and text (which one, where other
+    columns differ, is not defined). Texts without words stay, and so do rows without id, which the join can't name."""
     keep = jaccard_components(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(keep, id_col, "left_semi")
+    kept = docs.join(keep, id_col, "left_semi")
+    # Only the rows of ids that stand more than once are compared.
+    several = kept.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col)
+    once = kept.join(several, id_col, "left_anti").unionByName(kept.join(several, id_col, "left_semi").dropDuplicates([id_col, text_col]))
+    return once.unionByName(docs.where(docs[id_col].isNull()))

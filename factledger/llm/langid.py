@@ -1,11 +1,15 @@
 """Language identification: script ranges narrow the candidate languages of each word, words are scored by character
 n-grams, and Viterbi over the words of a text, with a penalty for each switch, labels spans of mixed-language text.
 
-Training counts hashed character n-grams (1 to 4 letters, with word edges) over at most ``MAX_TRAIN`` texts of each
-language; the model has a fixed size of 4 x BUCKETS scores a language. Everything else covers all rows.
+Training counts hashed character n-grams (1 to 4 letters, with word edges) over about ``MAX_TRAIN`` texts of each
+language, and learns the ``LANGUAGES`` languages that most rows have; the model has a fixed size of 4 x BUCKETS scores a
+language (0.5 MB). Everything else covers all rows.
 
 Null texts and texts without a letter get ``und``, score 0 and no span. Ties go to the language that is first in
-alphabetical order. With no labelled row every text is ``und``. Rows and columns beyond id and text play no part.
+alphabetical order. With no labelled row, and so with an empty table, every text is ``und``. Repeated rows give repeated
+results. A task holds one whole text at a time (some 100 bytes a character and what ``LANGUAGES`` scores a word take).
+Rows and columns beyond id and text play no part in a prediction; ``names`` gives the results other names where columns
+that are kept have theirs.
 """
 
 from __future__ import annotations
@@ -18,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factledger.llm.common import column, kept, slices, texts_of
+from factledger.llm.common import column, fresh, kept, quoted, slices, texts_of
 
 MAX_TRAIN = 3000  # texts of a language that are learnt from
+LANGUAGES = 250  # languages that are learnt
 BUCKETS = 1 << 15  # of each n-gram length
 ORDERS = (1, 2, 3, 4)
 SWITCH = 12.0  # what a change of language between words costs, in nats
 SMOOTH = 0.5
+COUNTERS = 16  # tasks that count the sample
 RARE_SCRIPT = 0.005  # a language is a candidate for a script that has this share of its training letters
 UND = "und"
 
@@ -110,12 +116,13 @@ def fit(docs: DataFrame, lang: str = "lang", order: Column | None = None) -> Mod
     below; the driver gets a table of counts of the model's fixed size."""
     known = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull())
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) if order is None else order
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
+    counts = {r.name: r.n for r in known.groupBy(F.col(lang).alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(LANGUAGES).collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((len(ORDERS) * BUCKETS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool))
     limit = F.create_map(*[F.lit(y) for x in languages for y in (x, int(min(1.0, MAX_TRAIN / counts[x]) * (1 << 30)))])
-    sample = known.where(order <= limit[F.col(lang)]).select(F.col(lang).alias("lang"), "text")
+    # The bounded sample leaves the tasks that scan the table for a few that count it.
+    sample = known.where(order <= limit[F.col(lang)]).select(F.col(lang).alias("lang"), "text").repartition(COUNTERS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(ORDERS) * BUCKETS + len(SCRIPT_NAMES), len(languages)), np.int64)
@@ -128,7 +135,7 @@ def fit(docs: DataFrame, lang: str = "lang", order: Column | None = None) -> Mod
         row, lang_id = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(lang_id), pa.array(total[row, lang_id])], ["row", "lang_id", "n"])
 
-    found = sample.coalesce(16).mapInArrow(count, "row long, lang_id long, n long").groupBy("row", "lang_id").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.mapInArrow(count, "row long, lang_id long, n long").groupBy("row", "lang_id").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros((len(ORDERS) * BUCKETS + len(SCRIPT_NAMES), len(languages)))
     total[found["row"].to_numpy(np.int64), found["lang_id"].to_numpy(np.int64)] = found["n"].to_numpy()
     grams, letters = total[:-len(SCRIPT_NAMES)], total[-len(SCRIPT_NAMES) :]
@@ -164,9 +171,9 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     out = np.zeros(len(scores), np.int64)
     if not len(scores):
         return out
-    back = np.zeros(scores.shape, np.int8)
+    back = np.zeros(scores.shape, np.int16)
     value = np.zeros((len(size), scores.shape[1]), np.float32)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    own = np.arange(scores.shape[1], dtype=np.int16)
     alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
     for t in range(size[0]):
         n = alive[t]
@@ -188,13 +195,16 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     return out
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, spans: bool = True) -> DataFrame:
+NAMES = ("lang_pred", "score", "lang_spans")
+
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, spans: bool = True, names: tuple[str, str, str] = NAMES) -> DataFrame:
     """The columns ``keep`` (the id alone if not given) with ``lang_pred``, ``score`` (share of the letters that are in
     spans of that language) and ``lang_spans``: start and end (code points) of each stretch and its language."""
     keep = keep or ["doc_id"]
     # A text that is kept is sent to Python once.
-    name = text_col if text_col in keep else "__text"
-    source = docs.select(*[docs[x] for x in keep], *([] if text_col in keep else [docs[text_col].alias(name)]))
+    name = text_col if text_col in keep else fresh(keep, "text")
+    source = docs.select(*quoted(keep), *([] if text_col in keep else [quoted([text_col])[0].alias(name)]))
     types = dict(docs.dtypes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
@@ -219,9 +229,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
                     for a, b, d in zip(edge.tolist(), stop.tolist(), words.doc[edge].tolist(), strict=True):
                         zero = words.doc_start[d]
                         found[d].append({"start": int(words.start[a] - zero), "end": int(words.end[b] - zero), "lang": model.languages[path[a]]})
-            yield pa.RecordBatch.from_arrays([*[column(batch, x) for x in keep], pa.array(label), pa.array(score), pa.array(found, kind)], [*keep, "lang_pred", "score", "lang_spans"])
+            yield pa.RecordBatch.from_arrays([*[column(batch, x) for x in keep], pa.array(label), pa.array(score), pa.array(found, kind)], [*keep, *names])
 
-    schema = ", ".join(f"`{x}` {types[x]}" for x in keep) + ", lang_pred string, score double, lang_spans array<struct<start:bigint,end:bigint,lang:string>>"
+    schema = ", ".join(f"`{x}` {types[x]}" for x in keep) + f", `{names[0]}` string, `{names[1]}` double, `{names[2]}` array<struct<start:bigint,end:bigint,lang:string>>"
     return source.mapInArrow(run, schema)
 
 

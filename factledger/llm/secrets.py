@@ -1,8 +1,11 @@
 """Secret scans: a keyword automaton finds where a secret could start, anchored patterns are tried only there, and
 kinds that carry a checksum are kept only if it holds.
 
-Input: any table with an id and a text column; other columns are ignored. Null and empty texts give no spans. Repeated
-rows give repeated results. Each text is scanned whole, in one task, by code point; nothing is shuffled.
+Input: any table with an id and a text column; other columns are ignored or, with ``keep``, go along; ``spans_name`` is
+another name for the result where one of them has it. Null and empty texts give no spans, an empty table an empty result.
+Null ids stay null. Repeated rows give repeated results. Spans that start together are listed by kind. Each text is scanned
+whole, in one task, by code point, in time that grows with its length alone; a task holds about ten bytes a character of
+one text. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factledger.llm.common import column, slices, texts_of
+from factledger.llm.common import column, quoted, slices, texts_of
 
 # Kinds in the order in which spans that start together are listed, with the literal that every match
 # starts with (compared without regard to A-Z case where the pattern allows both).
@@ -39,6 +42,7 @@ PATTERNS = {
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     "pem": re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]+?-----END (?:[A-Z]+ )?PRIVATE KEY-----"),
 }
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]*")
 HEX_RUN, ASSIGN_LEAST, ACCESS_LEAST = 16, 12, 18
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -117,10 +121,15 @@ def scan(text: str, words: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     for kind, starts in near.items():
         free, pattern = 0, PATTERNS[kind]
         for start in sorted(starts):
-            if start >= free and (match := pattern.match(text, start)):
+            if start < free:
+                continue
+            if match := pattern.match(text, start):
                 free = match.end()
                 if valid(kind, match):
                     found.append((start, free, kind))
+            elif kind == "jwt":
+                # Any other start in this run fails alike: what follows the run is what was missing.
+                free = JWT_RUN.match(text, start).end()
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -138,19 +147,19 @@ _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.strin
 SPAN_DDL = "array<struct<start:bigint,end:bigint,kind:string>>"
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", replace: bool = False, keep: list[str] | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", replace: bool = False, keep: list[str] | None = None, spans_name: str = "spans") -> DataFrame:
     """Id and the array of its spans; with ``replace`` also the text with the spans replaced (null stays null). ``keep``
     names other columns that go along."""
     keep = keep or []
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[docs[x].alias(f"keep_{x}") for x in keep])
+    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[x.alias(f"keep_{k}") for k, x in enumerate(quoted(keep))])
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = automaton()
         for batch in slices(batches, limit=8_000_000):
             spans = [scan(x, words) if x else [] for x in texts_of(batch)]
-            out = [column(batch, "id"), *[column(batch, f"keep_{x}") for x in keep], pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in x] for x in spans], pa.list_(_SPAN))]
-            names = [id_col, *keep, "spans"]
+            out = [column(batch, "id"), *[column(batch, f"keep_{k}") for k in range(len(keep))], pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in x] for x in spans], pa.list_(_SPAN))]
+            names = [id_col, *keep, spans_name]
             if replace:
                 raw = column(batch, "text").to_pylist()
                 out.append(pa.array([redact(t, s) if s else t for t, s in zip(raw, spans, strict=True)], pa.string()))
@@ -158,6 +167,6 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(out, names)
 
     kept = "".join(f", `{x}` {types[x]}" for x in keep)
-    schema = f"`{id_col}` {types[id_col]}{kept}, spans {SPAN_DDL}" + (f", `{text_col}` string" if replace else "")
+    schema = f"`{id_col}` {types[id_col]}{kept}, `{spans_name}` {SPAN_DDL}" + (f", `{text_col}` string" if replace else "")
     return source.mapInArrow(run, schema)
 

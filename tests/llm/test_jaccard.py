@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from factledger.llm import jaccard, queries
@@ -46,6 +47,31 @@ def test_components(spark):
     assert components(edges.limit(0)).collect() == []
 
 
+def tree_pairs(n, bits):
+    """The pairs that the trees of all widths leave."""
+    out = set()
+    for width, at, narrow in jaccard.widths(bits):
+        tree = jaccard.SignatureTree(n[at], jaccard.signatures(bits, at, width), np.arange(len(at)), narrow)
+        for a, b in tree.self_join():
+            out |= {(min(p), max(p)) for p in zip(at[a].tolist(), at[b].tolist(), strict=True)}
+    return out
+
+
+@pytest.mark.parametrize("size", [5, 100, 700, 2000, 20000])
+def test_tree_prunes_sets_of_any_size(size):
+    """Unrelated sets of like size: nearly no pair is left to verify, however large the sets are."""
+    rng = np.random.default_rng(size)
+    bits = [jaccard.bitmap(rng.integers(0, 2**63, size, dtype=np.uint64)) for _ in range(200)]
+    assert len(tree_pairs(np.full(200, size), bits)) < 0.01 * 19_900
+
+
+def test_repeated_rows_and_rows_without_id(spark):
+    text = "a b c d e f g"
+    docs = spark.createDataFrame([(1, text, "x"), (1, text, "y"), (1, text, "x"), (2, text, "x"), (None, text, "x"), (3, None, "x"), (3, None, "x"), (4, "own words here", "x")], "doc_id long, text string, source string")
+    kept = sorted((r.doc_id or 0, r.text or "") for r in jaccard.one_per_component(docs).collect())
+    assert kept == [(0, text), (1, text), (3, ""), (4, "own words here")]
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(3)
     sets = []
@@ -57,8 +83,7 @@ def test_tree_loses_no_pair():
             sets.append(np.unique(x))
     n = np.array([len(x) for x in sets])
     bits = [jaccard.bitmap(x) for x in sets]
-    signature = np.stack([jaccard.folded(np.frombuffer(x, np.uint8), jaccard.TREE_BITS // 8) for x in bits]).view(np.uint64)
-    found = {(min(p), max(p)) for a, b in jaccard.SignatureTree(n, signature, np.arange(len(sets))).self_join() for p in zip(a.tolist(), b.tolist(), strict=True)}
+    found = tree_pairs(n, bits)
     for i in range(len(sets)):
         for j in range(i):
             common = len(np.intersect1d(sets[i], sets[j]))

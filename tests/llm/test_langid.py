@@ -58,3 +58,46 @@ def test_query_held_out_accuracy(spark, sf_dir):
     assert all(r.held_out == (binascii.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     right = [r.lang_pred == lang[r.doc_id] for r in rows if r.held_out]
     assert sum(right) >= 0.95 * len(right)
+
+
+def test_more_than_127_languages():
+    rng = np.random.default_rng(2)
+    scores = rng.normal(0, 9, (400, 250)).astype(np.float32)
+    first = np.array([0, 150, 400])
+    got = langid.viterbi(scores, first, 6.0)
+    assert got.max() > 200
+    for a, b in zip(first, first[1:]):
+        assert got[a:b].tolist() == path_of(scores[a:b], np.float32(6.0))
+
+
+def test_word_scores_against_a_plain_form(spark):
+    """Scores of a fitted model, summed n-gram by n-gram with dictionaries; scripts narrow the languages."""
+    rows = [(i, t, g) for i, (t, g) in enumerate([("the house", "en"), ("das haus", "de"), ("дом", "ru")] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    text = "the дом haus"
+    words = langid.Letters([text])
+    got = langid.word_scores(model, words)
+    for k, word in enumerate(text.split()):
+        framed = [1, *map(ord, word), 1]
+        total = np.zeros(len(model.languages), np.float64)
+        for order, n in enumerate(langid.ORDERS):
+            for i in range(len(framed) - n + 1):
+                value = 0
+                for c in framed[i : i + n]:
+                    value = (value * 0x01000193 ^ c * 0x9E3779B1) & 0xFFFFFFFF
+                mixed = (value ^ value >> 15) * 0x85EBCA6B & 0xFFFFFFFF
+                total += model.scores[(mixed >> 17) + order * langid.BUCKETS]
+        script = 2 if word == "дом" else 0
+        for j, name in enumerate(model.languages):
+            if (name == "ru") == (script == 2):
+                assert abs(got[k, j] - total[j]) < 1e-3
+            else:
+                assert got[k, j] == -1e4
+    assert [r.lang_pred for r in langid.identify(docs, model).orderBy("doc_id").collect()] == [g for _, _, g in rows]
+
+
+def test_rarer_languages_than_the_bound_are_not_learnt(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, "word", g) for i, g in enumerate("aabbcb")], "doc_id long, text string, lang string")
+    assert langid.fit(docs).languages == ["a", "b"]

@@ -64,3 +64,33 @@ def test_query(spark, sf_dir):
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     used, least = check(queries.op8_best_fit_packing(spark, sf_dir).collect(), texts)
     assert used <= 1.02 * least + 1
+
+
+def islands(lengths):
+    """What a shard goes through: islands, whose elites migrate."""
+    rng = lambda island, epoch: np.random.default_rng([7, island, epoch])
+    now = [packing.evolve(lengths, [], rng(i, 0)) for i in range(packing.ISLANDS)]
+    for epoch in range(1, packing.EPOCHS):
+        now = [packing.evolve(lengths, [now[i], now[i - 1]], rng(i, epoch)) for i in range(packing.ISLANDS)]
+    return max(now, key=lambda x: packing.fitness(lengths, x))
+
+
+def test_better_than_best_fit_on_hard_lengths():
+    rng = np.random.default_rng(3)
+    for low, high in ((300, 900), (500, 800)):
+        lengths = rng.integers(low, high + 1, 2000)
+        best = islands(lengths)
+        assert packing.fills(lengths, best).max() <= packing.CAPACITY
+        assert best.max() + 1 <= 0.98 * (packing.decreasing(lengths).max() + 1)
+
+
+def test_fill_is_the_largest_sum():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        sizes = rng.integers(1, 40, rng.integers(0, 9)).tolist()
+        room = int(rng.integers(0, 120))
+        got = packing.filled(sizes, room)
+        sums = {0}
+        for x in sizes:
+            sums |= {y + x for y in sums if y + x <= room}
+        assert len(set(got)) == len(got) and sum(sizes[k] for k in got) == max(sums)

@@ -1,5 +1,7 @@
+import base64
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -60,3 +62,30 @@ def test_query_against_a_plain_scan(spark, sf_dir):
 @pytest.mark.parametrize("text", ["token = " + "a" * 11, "AKIA" + "A" * 13, "0123456789abcde"])
 def test_short_matches_are_dropped(text):
     assert secrets.scan(text, WORDS) == []
+
+
+def test_time_grows_with_the_length_alone():
+    """Texts that are made to be tried at every place: four times the length takes about four times, not sixteen."""
+    words = secrets.automaton()
+    for unit in ("eyJ", "eyJa.", "eyJ.eyJ", "AKIA", "token", "token ", "sk_live_", "xoxb-12345678-", "npm_", "ghp_", "-----BEGIN PRIVATE KEY-----", "AIza", "0123456789abcdef", "secret=a "):
+        took = []
+        for size in (60_000, 240_000):
+            text = unit * (size // len(unit))
+            began = time.process_time()
+            secrets.scan(text, words)
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * took[0] + 0.1, (unit, took)
+
+
+def test_tokens_after_a_failed_one():
+    head = base64.urlsafe_b64encode(b'{"alg":"none"}').decode().rstrip("=")
+    good = f"{head}.eyJhIjoxfQ.c2ln"
+    for before in ("eyJx ", "eyJx.eyJ ", "eyJxeyJ. ", "eyJa.b "):
+        spans = [x for x in secrets.scan(before + good, secrets.automaton()) if x[2] == "jwt"]
+        assert spans == [(len(before), len(before) + len(good), "jwt")]
+
+
+def test_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefghijkl", 5, 6)], "doc_id long, text string, spans int, id int")
+    got = secrets.find_secrets(docs, replace=True, keep=["spans", "id"], spans_name="_spans").first()
+    assert (got.spans, got.id, len(got._spans), got.text) == (5, 6, 1, "<assign>")
