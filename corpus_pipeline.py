@@ -10,33 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factledger.llm import decontaminate, jaccard, langid, packing, secrets
-from factledger.llm.common import stored, table
+from factledger.llm.common import fresh, quoted, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labels teach; those without a letter, or with less than half of their letters in
     one language, go. ``lang`` becomes the language found."""
     model = langid.fit(docs)
-    columns = docs.columns
-    found = langid.identify(docs, model, keep=columns, spans=False)
-    kept = found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= 0.5))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*columns)
+    names = tuple(fresh(docs.columns, x) for x in langid.NAMES)
+    found = langid.identify(docs, model, keep=docs.columns, spans=False, names=names)
+    kept = found.where((F.col(names[0]) != langid.UND) & (F.col(names[1]) >= 0.5))
+    return kept.withColumn("lang", F.col(names[0])).select(*quoted(docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the n-gram Jaccard join: the one with the least id."""
-    return jaccard.one_per_component(docs).select(*docs.columns)
+    return jaccard.one_per_component(docs).select(*quoted(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*quoted(docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with the secrets in its text replaced by their kind; ``n_chars`` is that of the new text."""
-    found = secrets.find_secrets(docs, replace=True, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
-    return found.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    keep = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = secrets.find_secrets(docs, replace=True, keep=keep, spans_name=fresh(docs.columns, "spans"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long")).select(*quoted(docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
