@@ -19,8 +19,8 @@ columns are ignored. A task holds one whole text's words at a time (about 150 by
 
 Texts are read and hashed once, into a table of units. Digests are counted before their shuffle, so a line that a third of
 all rows have is one row a task. Repeats meet what is kept of them in a join that leaves out units whose digest is
-alone (a bit set of bounded size) and broadcasts the digests that ``HOT`` of all units have, of which there are at most
-1 / ``HOT``; so no task of the shuffled join gets more than that share of the units.
+alone (a bit set of bounded size). Digests that ``HOT`` of all units have, of which there are at most 1 / ``HOT``, are
+looked up where the units are, and their units are dealt evenly; so no key of the join has more than that share.
 """
 
 from __future__ import annotations
@@ -32,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factledger.llm.common import Words, column, mix, possibly, slices, stored, texts_of
+from factledger.llm.common import Words, bit_set, column, has_bit, mix, slices, stored, texts_of
 
 LEAST_UNIT, LEAST_WORDS, LEAST_LINE = 3, 20, 15
 REACH, LONGEST = 2, 16
 HOT = 1e-4
+MOST_BITS = 1 << 28  # of the set of repeated digests (32 MB)
 
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -44,6 +45,7 @@ _LINE = np.zeros(256, bool)
 _LINE[10] = True
 
 NAMES = ("d1", "d2", "doc", "word", "n_words", "start", "end", "again", "whole")
+REST = ["doc_id", "word", "n_words", "start", "end", "again", "whole"]
 UNIT_DDL = "d1 long, d2 long, doc_id long, word int, n_words int, start int, end int, again boolean, whole boolean"
 
 
@@ -109,13 +111,26 @@ def repeated_units(docs: DataFrame, least_line: int = LEAST_LINE, hot: float = H
     """The units and lines whose words are kept elsewhere, with ``kept_doc_id``."""
     unit = stored(unit_table(docs, least_line), "units")
     kept = stored(unit.groupBy("d1", "d2").agg(F.min("doc_id").alias("kept_doc_id"), F.count(F.lit(1)).alias("n")).where("n > 1"), "kept")
-    common = kept.where(F.col("n") >= max(2.0, hot * unit.count())).select("d1", "d2", F.col("kept_doc_id").alias("hot_id"))
-    rest = kept.join(F.broadcast(common), ["d1", "d2"], "left_anti").drop("n")
-    marked = unit.join(F.broadcast(common), ["d1", "d2"], "left")
-    seldom = marked.where("hot_id is null").drop("hot_id")
-    met = seldom.where(possibly(kept, "d1")(F.col("d1"))).join(rest, ["d1", "d2"])
-    both = met.unionByName(marked.where("hot_id is not null").withColumnRenamed("hot_id", "kept_doc_id"))
-    return both.where("again or doc_id > kept_doc_id").select("doc_id", "word", "n_words", "start", "end", "whole", "kept_doc_id")
+    common = kept.where(F.col("n") >= max(2.0, hot * unit.count())).select("d1", "d2", "kept_doc_id").toArrow()
+    sc = docs.sparkSession.sparkContext
+    shared = sc.broadcast({(a, b): k for a, b, k in zip(*(common.column(x).to_pylist() for x in ("d1", "d2", "kept_doc_id")), strict=True)})
+    bits = sc.broadcast(bit_set(kept.select(F.col("d1").alias("h")), MOST_BITS))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Leaves out digests that stand alone; gives hot ones what is kept of them, and a key that no other row has."""
+        first = np.array(sorted({a for a, _ in shared.value}), np.int64)
+        for batch in batches:
+            batch = batch.filter(pa.array(has_bit(bits.value, column(batch, "d1").to_numpy().view(np.uint64))))
+            d1, d2, doc = (column(batch, x).to_numpy().copy() for x in ("d1", "d2", "doc_id"))
+            found = [None] * len(d1)
+            for i in np.flatnonzero(np.isin(d1, first)).tolist():
+                if (known := shared.value.get((int(d1[i]), int(d2[i])))) is not None:
+                    found[i] = known
+                    d1[i], d2[i] = doc[i], -1 - i
+            yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), *[column(batch, x) for x in REST], pa.array(found, pa.int64())], ["d1", "d2", *REST, "hot_id"])
+
+    met = unit.mapInArrow(mark, UNIT_DDL + ", hot_id long").join(kept.drop("n"), ["d1", "d2"], "left").withColumn("kept_doc_id", F.coalesce("hot_id", "kept_doc_id"))
+    return met.where("again or doc_id > kept_doc_id").where("kept_doc_id is not null").select("doc_id", "word", "n_words", "start", "end", "whole", "kept_doc_id")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, least_line: int = LEAST_LINE, hot: float = HOT) -> DataFrame:
