@@ -1,19 +1,24 @@
 """Quality by co-training (Blum and Mitchell, 1998): one classifier sees a page's text, the other its metadata. Over
-rounds each labels the unlabelled documents that it is most sure of, and the other one learns from those labels. At the
-end each view is calibrated on labelled rows kept back, the calibrated views are combined, and every document is scored.
+rounds each labels the documents that it is most sure of, and the other one learns from those labels. At the end each
+view is calibrated on labelled rows kept back, the calibrated views are combined, and every document is scored.
 
-The models are fitted on a bounded sample: about ``LABELLED`` labelled rows and ``UNLABELLED`` others, by a hash of
-their ids. Scoring covers every row by its whole text. Both views are hashed features of a fixed number.
+A view learns from about ``LABELLED`` labelled rows, by a hash of their ids, less a fifth that is kept back, and from about
+``PSEUDO`` of those that the other view is sure of, by a hash too. The pool that a view labels are all other documents:
+in round r it is sure of the documents beyond the quantiles that cut off r times ``TAKEN`` of all of them, split
+between the classes as the labels are, and on the right side of one half. Features are hashed to a fixed number and stored
+once; the rounds read them, so the driver only gets quantiles, counts and the features of the bounded samples.
 
 Text view: distinct terms, and binned shares of marks, digits, capitals, bars, repeated lines and words, and length of
 words. Metadata view: source, language, and size. Null values are categories of their own; null texts count as empty.
-With labels of one class or none every score is that share (one half for none). Repeated rows and ids and extra columns
-don't matter to scoring; of labels that contradict each other for an id, the lowest counts.
+With labels of one class or none every score is that share (one half for none). An empty table gives an empty result.
+Ties go with the quantile that they equal. Repeated rows and ids, null ids and extra columns don't matter to scoring; of
+labels that contradict each other for an id, the lowest counts, and of rows that share a labelled id one. A task holds one
+whole text's words at a time (about 100 bytes a word).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factledger.llm.common import Words, column, mix, slices, texts_of
+from factledger.llm.common import Words, column, mix, slices, stored, texts_of
 
-LABELLED, UNLABELLED = 5000, 5000
+LABELLED, PSEUDO = 5000, 2000
 BUCKETS = 1 << 15
-ROUNDS, TAKEN = 4, 0.05  # of the unlabelled rows that a view labels in a round, of each class by its share
+ROUNDS, TAKEN = 4, 0.05
 STEPS, RATE, RIDGE = 120, 0.05, 3e-4
 VIEWS = ("text", "meta")
 
@@ -41,16 +46,18 @@ def _named(parts: list[str]) -> np.ndarray:
     return _bucket(Words([p.replace(" ", "_") or "_" for p in parts]).hash)
 
 
+MARKS = 10  # binned features of a text
+
+
 def text_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, columns, values."""
+    """Rows (sorted), columns, values. The last ``MARKS`` of each row are the binned ones."""
     words = Words(texts, _GAP)
     order = np.lexsort((words.hash, words.doc))
     term, doc = words.hash[order], words.doc[order]
     keep = np.r_[True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])] if len(term) else np.zeros(0, bool)
     term, doc = term[keep], doc[keep]
     distinct = np.bincount(doc, minlength=len(texts))
-    rows, cols, values = [doc], [_bucket(term)], [1 / np.sqrt(np.maximum(1, distinct))[doc]]
-    count = np.diff(words.first)
+    count, named = np.diff(words.first), []
     for i, text in enumerate(texts):
         n, lines = max(1, len(text)), [x for x in text.split("\n") if x]
         letters = sum(map(text.count, "\"#$%&*+/<=>@[]^_{}~"))
@@ -59,11 +66,20 @@ def text_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             "marks": letters / n, "bars": text.count("|") / n, "ends": sum(map(text.count, ".!?")) / n, "digits": sum(map(text.count, "0123456789")) / n, "capitals": capitals / n,
             "bangs": text.count("!") / n, "lines": 1 - len(set(lines)) / max(1, len(lines)), "words": 1 - distinct[i] / max(1, count[i]), "spaces": text.count(" ") / n,
         }
-        names = [f"{k}:{int(np.log2(v * 1000 + 1) * 2)}" for k, v in shares.items()] + [f"size:{int(np.log2(count[i] + 1))}"]
-        rows.append(np.full(len(names), i))
-        cols.append(_named(names))
-        values.append(np.full(len(names), 0.5))
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
+        named += [f"{k}:{int(np.log2(v * 1000 + 1) * 2)}" for k, v in shares.items()] + [f"size:{int(np.log2(count[i] + 1))}"]
+    rows = np.concatenate([doc, np.repeat(np.arange(len(texts)), MARKS)])
+    cols = np.concatenate([_bucket(term), _named(named) if named else np.zeros(0, np.int64)])
+    order = np.argsort(rows, kind="stable")
+    rows, cols = rows[order], cols[order]
+    return rows, cols, text_values(distinct + MARKS)
+
+
+def text_values(sizes: np.ndarray) -> np.ndarray:
+    """The values of texts with so many features: terms by the root of their number, marks one half."""
+    value = np.repeat(1 / np.sqrt(np.maximum(1, sizes - MARKS)), sizes)
+    stop = np.cumsum(sizes)
+    value[(stop[:, None] - 1 - np.arange(MARKS)).ravel()] = 0.5
+    return value
 
 
 def meta_features(source: list, lang: list, size: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,29 +95,39 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
+Features = tuple[np.ndarray, np.ndarray, np.ndarray]  # rows (sorted), columns, values
+
+
 @dataclass
 class Linear:
     weights: np.ndarray
     bias: float
 
-    def logit(self, x: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    def logit(self, x: Features, n: int) -> np.ndarray:
         rows, cols, values = x
         return np.bincount(rows, values * self.weights[cols], n) + self.bias
 
 
-def logistic(x: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, y: np.ndarray, use: np.ndarray, size: int = BUCKETS, ridge: float = RIDGE) -> Linear:
-    """Logistic regression on the rows ``use``, by Adam."""
+def logistic(x: Features, y: np.ndarray, size: int = BUCKETS, ridge: float = RIDGE) -> Linear:
+    """Logistic regression by Adam, over the columns that occur. Each row has a feature."""
     rows, cols, values = x
-    weight = use.astype(float) / max(1, use.sum())
-    share = np.clip((y * weight).sum(), 1e-3, 1 - 1e-3)
-    w = np.r_[np.zeros(size), np.log(share / (1 - share))]
+    n = len(y)
+    own, at = np.unique(cols, return_inverse=True)
+    begin = np.searchsorted(rows, np.arange(n))
+    by_column = np.argsort(at, kind="stable")
+    first = np.searchsorted(at[by_column], np.arange(len(own)))
+    row_of, value_of = rows[by_column], values[by_column]
+    share = np.clip(y.mean() if n else 0.5, 1e-3, 1 - 1e-3)
+    w = np.r_[np.zeros(len(own)), np.log(share / (1 - share))]
     m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, STEPS + 1):
-        error = (_sigmoid(np.bincount(rows, values * w[cols], n) + w[-1]) - y) * weight
-        grad = np.r_[np.bincount(cols, values * error[rows], size) + ridge * w[:-1], error.sum()]
+    for step in range(1, STEPS + 1 if n else 1):
+        error = (_sigmoid(np.add.reduceat(values * w[at], begin) + w[-1]) - y) / n
+        grad = np.r_[np.add.reduceat(value_of * error[row_of], first) + ridge * w[:-1], error.sum()]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Linear(w[:-1], float(w[-1]))
+    weights = np.zeros(size)
+    weights[own] = w[:-1]
+    return Linear(weights, float(w[-1]))
 
 
 @dataclass
@@ -115,86 +141,156 @@ class Model:
         return _sigmoid(self.mix[0] + self.mix[1] * each[0] + self.mix[2] * each[1]), [_sigmoid(e) for e in each]
 
 
-def _dense(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _dense(columns: list[np.ndarray]) -> Features:
     n = len(columns[0])
-    return np.tile(np.arange(n), len(columns)), np.repeat(np.arange(len(columns)), n), np.concatenate(columns)
+    return np.repeat(np.arange(n), len(columns)), np.tile(np.arange(len(columns)), n), np.stack(columns, axis=1).ravel()
 
 
-def co_train(x: list, n: int, label: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """``label`` is 0, 1, or -1 for unlabelled; a fifth of the labelled rows is kept back to calibrate."""
-    known = np.flatnonzero(label >= 0)
-    share = float((label[known] == 1).mean()) if len(known) else 0.5
-    if share in (0.0, 1.0) or not len(known) or len(known) < 20:
+@dataclass
+class Sample:
+    """Features of both views of some rows."""
+
+    text: list[np.ndarray]  # columns of each row
+    meta: list[np.ndarray]
+
+    def views(self, keep: np.ndarray | None = None) -> list[Features]:
+        at = np.arange(len(self.text)) if keep is None else np.flatnonzero(keep)
+        out = []
+        for name in VIEWS:
+            own = [getattr(self, name)[i] for i in at.tolist()]
+            sizes = np.array([len(x) for x in own], np.int64)
+            values = text_values(sizes) if name == "text" else np.ones(int(sizes.sum()))
+            out.append((np.repeat(np.arange(len(own)), sizes), np.concatenate([*own, np.zeros(0, np.int64)]).astype(np.int64), values))
+        return out
+
+    def __add__(self, other: Sample) -> Sample:
+        return Sample(self.text + other.text, self.meta + other.meta)
+
+
+def co_train(x: Sample, label: np.ndarray, pool: Callable, rounds: int = ROUNDS) -> Model:
+    """``x``, ``label`` (0 or 1): labelled rows, of which a fifth is kept back to calibrate. ``pool(models, share, r)`` gives
+    for each view the rows that it is sure of in round r, and what it calls them."""
+    share = float(label.mean()) if len(label) else 0.5
+    if share in (0.0, 1.0) or not len(label):
         bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
         return Model([Linear(np.zeros(BUCKETS), bias)] * 2, [(1.0, 0.0)] * 2, (0.0, 0.5, 0.5))
-    held = np.zeros(n, bool)
-    held[known[::5]] = True
-    labels = [np.where(held, -1, label) for _ in VIEWS]
-    free = label < 0
-    for _ in range(rounds):
-        models = [logistic(f, n, np.maximum(y, 0), y >= 0) for f, y in zip(x, labels, strict=True)]
-        for k, model in enumerate(models):
-            other = labels[1 - k]
-            open_ = np.flatnonzero(free & (other < 0))
-            p = _sigmoid(model.logit([x[0], x[1]][k], n))[open_]
-            order = open_[np.argsort(p, kind="stable")]
-            low, high = int(TAKEN * (1 - share) * len(order)), int(TAKEN * share * len(order))
-            sure_low, sure_high = order[:low], order[len(order) - high :]
-            other[sure_low[_sigmoid(model.logit(x[k], n))[sure_low] < 0.5]] = 0
-            other[sure_high[_sigmoid(model.logit(x[k], n))[sure_high] > 0.5]] = 1
-    models = [logistic(f, n, np.maximum(y, 0), y >= 0) for f, y in zip(x, labels, strict=True)]
-    at = np.flatnonzero(held)
-    y = label[at].astype(float)
-    everything = np.ones(len(at), bool)
-    scale = []
-    each = []
-    for f, model in zip(x, models, strict=True):
-        z = model.logit(f, n)[at]
-        fitted = logistic(_dense([z]), len(at), y, everything, 1, 1e-3)
+    held = np.arange(len(label)) % 5 == 0
+    own = Sample([x.text[i] for i in np.flatnonzero(~held)], [x.meta[i] for i in np.flatnonzero(~held)])
+    models = [logistic(f, label[~held].astype(float)) for f in own.views()]
+    for r in range(1, rounds + 1):
+        sure = pool(models, share, r)
+        # Each view learns from what the other one is sure of.
+        models = [logistic((own + sure[1 - k][0]).views()[k], np.r_[label[~held], sure[1 - k][1]].astype(float)) for k in range(len(VIEWS))]
+    y, back = label[held].astype(float), x.views(held)
+    scale, each = [], []
+    for f, model in zip(back, models, strict=True):
+        z = model.logit(f, len(y))
+        fitted = logistic(_dense([z]), y, 1, 1e-3)
         scale.append((float(fitted.weights[0]), fitted.bias))
         each.append(scale[-1][0] * z + scale[-1][1])
-    both = logistic(_dense(each), len(at), y, everything, 2, 1e-3)
+    both = logistic(_dense(each), y, 2, 1e-3)
     return Model(models, scale, (both.bias, float(both.weights[0]), float(both.weights[1])))
 
 
-def _views(batch: pa.RecordBatch) -> list:
-    texts = texts_of(batch)
-    return [text_features(texts), meta_features(*[column(batch, x).to_pylist() for x in ("source", "lang", "n_chars")])]
+def _views(batch: pa.RecordBatch) -> list[Features]:
+    return [text_features(texts_of(batch)), meta_features(*[column(batch, x).to_pylist() for x in ("source", "lang", "n_chars")])]
+
+
+FEATURE_DDL = "doc_id long, text array<int>, meta array<int>"
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        out = [column(batch, "doc_id"), column(batch, "label")]
-        for rows, cols, values in _views(batch):
-            order = np.argsort(rows, kind="stable")
-            edge = pa.array(np.searchsorted(rows[order], np.arange(batch.num_rows + 1)).astype(np.int32))
-            out += [pa.ListArray.from_arrays(edge, pa.array(v)) for v in (cols[order].astype(np.int32), values[order])]
-        yield pa.RecordBatch.from_arrays(out, ["doc_id", "label", "text_cols", "text_values", "meta_cols", "meta_values"])
+        lists = []
+        for rows, cols, _ in _views(batch):
+            edge = pa.array(np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists.append(pa.ListArray.from_arrays(edge, pa.array(cols.astype(np.int32))))
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *lists], ["doc_id", *VIEWS])
+
+
+def _logits(batch: pa.RecordBatch, models: list[Linear]) -> list[np.ndarray]:
+    out = []
+    for name, model in zip(VIEWS, models, strict=True):
+        lists = column(batch, name)
+        sizes = np.asarray(lists.value_lengths()).astype(np.int64)
+        rows, cols = np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy()
+        out.append(model.logit((rows, cols, text_values(sizes) if name == "text" else np.ones(len(cols))), len(sizes)))
+    return out
+
+
+def _gathered(rows: DataFrame) -> pa.Table:
+    """Bounded rows with ``doc_id``, ``label`` and features on the driver, in an order that hangs on them alone."""
+    return rows.orderBy("doc_id", "label", F.xxhash64("text", "meta")).toArrow().combine_chunks()
+
+
+def _sample(rows: pa.Table) -> tuple[Sample, np.ndarray]:
+    text, meta = ([np.array(x, np.int64) for x in rows.column(v).to_pylist()] for v in VIEWS)
+    return Sample(text, meta), rows.column("label").to_numpy().astype(np.int64)
+
+
+def _spark_pool(features: DataFrame, labelled, seed_rows: int) -> Callable:
+    """The documents of ``features`` whose id is not in the broadcast set ``labelled``."""
+    spark = features.sparkSession
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = column(batch, "doc_id").to_pylist()
+            yield batch.filter(pa.array([i not in labelled.value for i in ids], pa.bool_()))
+
+    def pool(models: list[Linear], share: float, r: int) -> list[tuple[Sample, np.ndarray]]:
+        shared = spark.sparkContext.broadcast(models)
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in outside(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(z) for z in _logits(batch, shared.value)], list(VIEWS))
+
+        taken = min(0.5, r * TAKEN)
+        logits = stored(features.mapInArrow(scored, "text double, meta double"), "logits")
+        cuts = logits.agg(*[F.percentile_approx(v, [taken * (1 - share), 1 - taken * share], 10000).alias(v) for v in VIEWS]).first()
+        if cuts.text is None:
+            return [(Sample([], []), np.zeros(0, np.int64))] * len(VIEWS)
+        is_low = {v: f"{v} <= {cuts[v][0]!r}D and {v} < 0" for v in VIEWS}
+        is_high = {v: f"{v} >= {cuts[v][1]!r}D and {v} > 0" for v in VIEWS}
+        counts = logits.agg(*[F.count_if(F.expr(f"({is_low[v]}) or ({is_high[v]})")).alias(v) for v in VIEWS]).first()
+        out = []
+        for k, name in enumerate(VIEWS):
+            rate = int(min(1.0, seed_rows / max(1, counts[name])) * (1 << 30))
+
+            def sure(batches: Iterator[pa.RecordBatch], k: int = k, name: str = name) -> Iterator[pa.RecordBatch]:
+                for batch in outside(batches):
+                    z = _logits(batch, shared.value)[k]
+                    low, high = (z <= cuts[name][0]) & (z < 0), (z >= cuts[name][1]) & (z > 0)
+                    keep = pa.array(low | high)
+                    yield pa.RecordBatch.from_arrays([*[column(batch, x) for x in ("doc_id", *VIEWS)], pa.array(high.astype(np.int32))], ["doc_id", *VIEWS, "label"]).filter(keep)
+
+            part = features.where(F.pmod(F.xxhash64("doc_id", F.lit(10 * r + k)), F.lit(1 << 30)) <= rate)
+            out.append(_sample(_gathered(part.mapInArrow(sure, FEATURE_DDL + ", label int"))))
+        return out
+
+    return pool
 
 
 COLUMNS = ["doc_id", "text", "source", "lang", "n_chars"]
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
-    """``labels`` has ``doc_id`` and ``quality``; ``docs`` the columns ``COLUMNS``. Only the sample's ids are broadcast,
-    and only its features reach the driver, which the two limits bound."""
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo: int = PSEUDO, rounds: int = ROUNDS) -> Model:
+    """``labels`` has ``doc_id`` and ``quality``; ``docs`` the columns ``COLUMNS``."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min((F.col("quality") > 0).cast("int")).alias("label"))
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    # An unlabelled id below its limit may turn out to be labelled: it is then one row more with a label.
-    n_known, n_all = known.count(), docs.count()
-    first = known.where(order <= int(min(1, labelled / max(1, n_known)) * (1 << 30)))
-    more = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) <= int(min(1, unlabelled / max(1, n_all)) * (1 << 30))).select(*COLUMNS, F.lit(-1).alias("label"))
-    # Features are made where the texts are; the driver gets those of the bounded sample.
-    sample = docs.join(F.broadcast(first), "doc_id").select(*COLUMNS, "label").unionByName(more)
-    ddl = "doc_id long, label int, text_cols array<int>, text_values array<double>, meta_cols array<int>, meta_values array<double>"
-    rows = sample.mapInArrow(_featured, ddl).orderBy("doc_id", "label", F.xxhash64("text_cols", "meta_cols")).drop("doc_id").toArrow().combine_chunks()
-    label = rows.column("label").to_numpy().astype(np.int64)
-    x = []
-    for view in VIEWS:
-        cols, values = (rows.column(f"{view}_{c}").combine_chunks() for c in ("cols", "values"))
-        sizes = np.asarray(cols.value_lengths()) if len(label) else np.zeros(0, np.int64)
-        x.append((np.repeat(np.arange(len(label), dtype=np.int32), sizes), cols.flatten().to_numpy(), values.flatten().to_numpy()))
-    return co_train(x, len(label), label)
+    limit = int(min(1, labelled / max(1, known.count())) * (1 << 30))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= limit).select(F.col("doc_id").cast("long").alias("doc_id"), "label")
+    label_of = {r.doc_id: r.label for r in chosen.collect()}  # about ``labelled`` rows
+    shared = docs.sparkSession.sparkContext.broadcast(label_of)
+    features = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *COLUMNS[1:]).mapInArrow(_featured, FEATURE_DDL), "features")
+
+    def with_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label = pa.array([shared.value.get(i) for i in column(batch, "doc_id").to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([*[column(batch, x) for x in ("doc_id", *VIEWS)], label], ["doc_id", *VIEWS, "label"]).filter(label.is_valid())
+
+    # A labelled id that several rows have counts once.
+    own = features.mapInArrow(with_label, FEATURE_DDL + ", label int").groupBy("doc_id").agg(F.min(F.struct("text", "meta", "label")).alias("x")).select("doc_id", "x.*")
+    x, label = _sample(_gathered(own))
+    return co_train(x, label, _spark_pool(features, shared, pseudo), rounds)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -11,7 +11,9 @@ fit uses at most about ``TOXIC`` toxic and ``OTHER`` other labelled rows, by a h
 A feature is ln(1 + occurrences) of a term: a run of ASCII letters and digits, lower-cased, and characters beyond ASCII.
 Null and empty texts, and texts without a term of the model, get what the thresholds alone say. With labels of one class
 or none, every score is that share. Repeated rows and ids, null ids and extra columns don't matter to scoring; of labels
-that contradict each other for an id, the highest counts.
+that contradict each other for an id, the highest counts; of rows that share a labelled id, the one with the fewest words
+is learnt from. An empty table gives an empty result. A text on the decision value is toxic. A task holds one whole text's
+words at a time (about 100 bytes a word).
 """
 
 from __future__ import annotations
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 
 from factledger.llm.common import Words, column, slices, texts_of
 
-#: A document is called toxic if P(grade > 0) is at least the value that this share of clean rows stays under, on a fifth
-#: of the training rows that the model which sets it has not seen; between the two limits.
-CLEAN_SHARE, DECISION_LIMITS = 0.998, (0.1, 0.5)
+#: A document is called toxic if P(grade > 0) is at least the value that this share of the clean training rows stays under,
+#: each scored by a model of the other ``FOLDS`` - 1 parts of them, and one more row at the upper limit; between the limits.
+CLEAN_SHARE, DECISION_LIMITS, FOLDS = 0.998, (0.1, 0.5), 3
 TOXIC, OTHER, FEATURES, LEAST_DF, LEAST_Z = 6000, 9000, 4000, 3, 2.0
 GRADES = 4
 RIDGE, STEPS, RATE = 0.3, 400, 0.05  # the ridge is divided by the number of rows
@@ -134,14 +136,15 @@ def learn(x: Counts, toxic: np.ndarray) -> Model:
 
 
 def decided(x: Counts, toxic: np.ndarray, shift: float) -> float:
-    """The least P(grade > 0) of a document that is called toxic, from a fifth of the training rows kept back."""
-    kept = np.arange(len(toxic)) % 5 == 0
-    # From fewer clean rows than this the share can't be told, and the higher limit holds.
-    if len(set(toxic[~kept].tolist())) < 2 or (toxic[kept] == 0).sum() < 1 / (1 - CLEAN_SHARE):
-        return DECISION_LIMITS[1]
-    part = learn(x.where(~kept), toxic[~kept])
-    part.thresholds = part.thresholds + shift
-    p = part.above(x.where(kept & (toxic == 0)))[:, 0]
+    """The least P(grade > 0) of a document that is called toxic, by cross-fitting over all clean training rows."""
+    seen = []
+    for fold in range(FOLDS):
+        kept = np.arange(len(toxic)) % FOLDS == fold
+        part = learn(x.where(~kept), toxic[~kept])
+        part.thresholds = part.thresholds + shift
+        seen.append(part.above(x.where(kept & (toxic == 0)))[:, 0])
+    # One row more is taken to stand at the upper limit, so that few rows give a careful value.
+    p = np.concatenate([*seen, [DECISION_LIMITS[1]]])
     return float(np.clip(np.quantile(p, CLEAN_SHARE), *DECISION_LIMITS))
 
 
@@ -160,8 +163,11 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, other: int = OTH
     limit = F.when(F.col("label") == 1, int(min(1, toxic / max(1, counts.get(1, 0))) * (1 << 30))).otherwise(int(min(1, other / max(1, counts.get(0, 0))) * (1 << 30)))
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= limit)
     # Terms are counted where the texts are; the driver gets the counts of the bounded sample.
+    # The limits bound the ids of the sample, and so what is broadcast, and each id counts once however many rows have it.
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
-    rows = found.mapInArrow(_counted, "doc_id long, label int, words int, terms array<bigint>, times array<int>").orderBy("doc_id", "words", F.xxhash64("terms")).drop("doc_id").toArrow().combine_chunks()
+    counted = found.mapInArrow(_counted, "doc_id long, label int, words int, terms array<bigint>, times array<int>")
+    once = counted.groupBy("doc_id").agg(F.min(F.struct("words", "terms", "times", "label")).alias("x"))
+    rows = once.orderBy("doc_id").select("x.*").toArrow().combine_chunks()
     label = rows.column("label").to_numpy().astype(np.int64)
     terms, times = (rows.column(c).combine_chunks() for c in ("terms", "times"))
     sizes = np.asarray(terms.value_lengths()) if len(label) else np.zeros(0, np.int64)
