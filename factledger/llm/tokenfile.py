@@ -9,7 +9,9 @@ dictionary is beside it as a data set of one row. Statistics on ``least_id`` and
 
 Spark's own reader and committer do the input and output, so the format works on any store, and a lost executor's
 blocks are written again. Null and empty texts are the end id alone. Rows without id come first. Repeated rows are kept.
-An empty table makes an empty data set.
+An empty table makes an empty data set. The dictionary is trained on the ids of about ``SAMPLE`` documents, by a hash of
+their ids, in pieces of ``PIECE`` bytes. Documents with equal ids are in order of their texts. A task holds the ids of one
+whole text, and a block, at a time.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from factledger.llm.common import column, shared_dir, slices, texts_of
 from factledger.llm.encode import encoder
 
 DICTIONARY_BYTES = 64 * 1024
-SAMPLE = 2000  # documents that the dictionary is trained on, about
+SAMPLE, PIECE = 2000, 64 * 1024  # documents that the dictionary is trained on, about, and bytes of what it is shown at a time
 BLOCK_BYTES = 1_000_000  # of frames in a block
 LEVEL = 3
 END = array("I", [0]).tobytes()
@@ -63,7 +65,8 @@ def write(docs: DataFrame, target: str, path: str, kind: str = "byte") -> str:
     count = docs.count()
     rate = min(1.0, SAMPLE / max(1, count))
     sample = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(rate * (1 << 30)))
-    samples = [bytes(r.ids) for r in _ids(sample, path, kind).where("length(ids) <= 65536").collect()]
+    whole = [bytes(r.ids) for r in _ids(sample, path, kind).collect()]
+    samples = [x[at : at + PIECE] for x in whole for at in range(0, len(x), PIECE)]
     trained = train_dictionary(samples)
     name = hashlib.sha256(trained).hexdigest()
     spark.createDataFrame([(name, bytearray(trained))], "sha256 string, content binary").coalesce(1).write.parquet(f"{target}/dictionary")
