@@ -18,6 +18,13 @@ HEDGES = {
     "over": ["more than", "over", "above", "exceeding", "at least", "upwards of", "north of", "in excess of"],
     "under": ["less than", "under", "below", "at most", "fewer than", "short of", "no more than"],
 }
+CHANGE_NOUNS = "decline drop gain swing increase decrease change fall rise loss uplift movement difference shift shortfall improvement growth contraction".split()
+FAMILY_STOP = "of the and set a in with for to on at by or".split()
+METRICS = {"rank": r"\brank", "share": r"\bshare", "units": r"\bunits?\b", "orders": r"\borders?\b|\binvoices?\b", "revenue": r"\brevenue\b|\bsales\b"}
+PERIODS = {
+    "WoW": r"\bwow\b|week[- ]over[- ]week|week[- ]on[- ]week|vs\.? ?lw\b|versus lw\b|vs\.? last week", "YoY": r"\byoy\b|year[- ]over[- ]year|year[- ]on[- ]year|vs\.? ?ly\b|versus ly\b|vs\.? last year",
+    "LW": r"\blw\b|last week|prior week|previous week", "LY": r"\bly\b|last year|prior year|same week last year", "TW": r"\btw\b|this week",
+}
 AGGREGATE_WORDS = """total totals totalled totaled totalling totaling overall top all across combined together average mean median
 rest other others remaining portfolio business aggregate collectively jointly between\\s+them lines colourways family sum summed
 listed shown whole entire table every""".split()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,29 @@ def money(value: Column) -> Column:
     )
 
 
+def percent(value: Column, signed: bool = False) -> Column:
+    """One decimal and a percent mark; the magnitude alone unless ``signed``. Halves go to the even digit, as for the
+    rounded columns of a report."""
+    one = F.rint(value * 10) / 10
+    return F.format_string("%+.1f%%" if signed else "%.1f%%", one if signed else F.abs(one))
+
+
+def without_paths(text: Column, places: dict[str, str]) -> Column:
+    """The text with each path replaced by its placeholder, longer paths first, so that it is the same on every machine."""
+    for path, placeholder in sorted(places.items(), key=lambda x: (-len(x[0]), x[0])):
+        text = F.replace(text, F.lit(path), F.lit(placeholder))
+    return text
+
+
+def csv_head(rows: DataFrame, table: str, order: list[str], columns: list[str], n: int = 3) -> DataFrame:
+    """The head and the first ``n`` rows of each table as CSV text; a value with a comma, quote or line break is quoted."""
+    top = rows.withColumn("pos", F.row_number().over(Window.partitionBy(table).orderBy(*order))).where(F.col("pos") <= n)
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    cell = lambda c: F.when(plain(c).rlike('[,"\\n\\r]'), F.concat(F.lit('"'), F.replace(plain(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(plain(c))
+    body = top.groupBy(table).agg(F.sort_array(F.collect_list(F.struct("pos", F.concat_ws(",", *[cell(c) for c in columns]).alias("row")))).alias("x"))
+    return body.select(table, F.concat(F.lit(",".join(columns) + "\n"), F.array_join(F.col("x.row"), "\n"), F.lit("\n")).alias("csv"))
+
+
 def cache_key(*parts: Column) -> Column:
     """Key of a request by its content: SHA-256 of its parts, each with its length, so that parts can't run together."""
     return F.sha2(F.concat(*[F.concat(F.char_length(p).cast("string"), F.lit(":"), p) for p in parts]), 256)

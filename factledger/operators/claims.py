@@ -1,9 +1,9 @@
 """Level 2 of the number gate: is each claim (entity, metric, period, value) bound to the right cell?
 
 A claim meets its table's rows in a join; a row's virtual columns are a map, and the label is one CASE over conditions on
-them, in the order of the rules. Names are resolved exactly, by alias, or by words; a name that fits several rows is tried
-against each. Claims about groups are held against the values of groups, entities and the table that level 1 uses.
-Guessing at misspelt names is not done: such claims are Unverifiable."""
+them, in the order of the rules. Names are resolved exactly, by alias, by words, or by likeness; a name that fits several
+rows is tried against each, and one that only is like a row's is never said to be wrong. Claims about groups are held
+against the values of groups, entities and the table that level 1 uses."""
 
 from __future__ import annotations
 
@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from factledger.functions import lexicons as lx
 from factledger.functions.matching import matches, unit_ok
 from factledger.operators import gate
-from factledger.operators.mentions import mentions
+from factledger.operators.extraction import hinted, regex_claims
+from factledger.operators.mentions import mentions, note_lines
+from factledger.operators.names import entity_spans, fuzzy_rows
+from factledger.sources.scratch import stored
 
 # Names of the whole table and of groups, and columns that say the same thing rounded or exactly.
 TOTAL_WORDS = ["total", "overall", "all countries", "all products", "all entities", "the business", "company", "portfolio", "all rows", "all markets"]
@@ -86,8 +89,8 @@ def _words(x: Column) -> Column:
 
 
 def rows_of(claims: DataFrame, tables: DataFrame) -> DataFrame:
-    """The claim's key, ``row``, and ``n_rows``: the rows of the first stage that finds any (whole table, exact, alias,
-    words with the bracketed ones, words). More than five rows of a words stage are none."""
+    """The claim's key, ``row``, ``n_rows`` and ``fuzzy``: the rows of the first stage that finds any (whole table, exact,
+    alias, words with the bracketed ones, words, likeness). More than five rows of a words stage are none."""
     low = F.lower(F.trim("entity"))
     total = claims.where(low.isin(TOTAL_WORDS) | low.startswith("total") | low.rlike(r"\b(all|every)\b.*\b(products|countries|markets|entities|rows|lines|items)\b")).select(*KEY, F.lit("TOTAL").alias("row"), F.lit(0).alias("stage"))
     alias = F.create_map(*[F.lit(x) for pair in lx.ALIASES.items() for x in pair])
@@ -98,9 +101,12 @@ def rows_of(claims: DataFrame, tables: DataFrame) -> DataFrame:
     within = lambda c: (F.size(c) > 0) & (F.size(F.array_except(c, "own")) == 0)
     stage = F.when(F.array_contains("names", F.lower("row")), 1).when(F.exists("names", lambda x: alias[x] == F.col("row")), 2).when(within("bracketed"), 3).when(within("plain"), 4)
     every = total.unionByName(both.select(*KEY, "row", stage.alias("stage")).where("stage is not null"))
+    # Names that none of these knows are compared by likeness.
+    lost = asked.join(every.select(*KEY).distinct(), KEY, "left_anti").join(claims.select(*KEY, _clean(F.col("entity")).alias("base")), KEY).where("base <> ''")
+    every = every.unionByName(fuzzy_rows(lost.select(*KEY, "table_id", "base"), tables, KEY, "base").select(*KEY, "row", F.lit(5).alias("stage")))
     claim = Window.partitionBy(*KEY)
     first = every.withColumn("best", F.min("stage").over(claim)).where("stage = best").withColumn("n_rows", F.count(F.lit(1)).over(claim))
-    return first.where("stage < 3 or n_rows <= 5").select(*KEY, "row", "n_rows")
+    return first.where("stage < 3 or n_rows <= 5").select(*KEY, "row", "n_rows", (F.col("stage") == 5).alias("fuzzy"))
 
 
 def verify(claims: DataFrame, lines: DataFrame, tables: DataFrame) -> DataFrame:
@@ -123,11 +129,12 @@ def verify(claims: DataFrame, lines: DataFrame, tables: DataFrame) -> DataFrame:
         (~level & (turned | F.col("v.signed"))).alias("signed"), (bare | F.col("v.is_rank")).alias("is_rank"), F.col("v.is_ratio").alias("is_ratio"),
         F.when(F.col("qualifier").isin("approx", "over", "under"), F.col("qualifier")).otherwise(F.col("v.qualifier")).alias("q"),
     ).withColumn("col", resolved(F.col("metric"), F.col("period"), F.col("unit"), F.col("is_ratio")))
+    c = stored(c, "values")
 
     frame = claim_frame(tables)
-    every = frame.groupBy("table_id").agg(F.collect_list(F.struct("row", "cells")).alias("frame"))
-    named = gate.named_entities(lines, tables).groupBy("note_id", "line_idx").agg(F.collect_set("entity").alias("named"))
-    r = c.join(rows_of(claims, tables), KEY).join(frame, ["table_id", "row"]).join(every, "table_id").join(named, ["note_id", "line_idx"], "left")
+    entities = stored(gate.named_entities(lines, tables), "named")
+    named = entities.groupBy("note_id", "line_idx").agg(F.collect_set("entity").alias("named"))
+    r = c.join(stored(rows_of(claims, tables), "rows"), KEY).join(frame, ["table_id", "row"]).join(named, ["note_id", "line_idx"], "left")
     rec = [F.col(x) for x in ("cited", "decimals", "scale", "q")]
     near = lambda value, bounds=False, signed=None: matches(value, *rec, F.col("signed") if signed is None else F.lit(signed), F.lit(bounds))
     fits_unit = lambda col: unit_ok(kind(col), F.col("unit"), F.col("is_rank"), F.col("is_ratio"))
@@ -138,21 +145,24 @@ def verify(claims: DataFrame, lines: DataFrame, tables: DataFrame) -> DataFrame:
     r = r.withColumn("live", F.when(F.col("col").isNotNull(), live).otherwise(F.array().cast("array<string>")))
     hit = lambda cells, bounds=False, signed=None: F.exists("live", lambda x: near(F.try_element_at(cells, x), bounds, signed))
     other_column = F.exists(F.map_entries("cells"), lambda e: ~F.array_contains("live", e["key"]) & fits(e["key"]) & near(e["value"]) & ~F.coalesce(e["key"] == also[F.col("col")], F.lit(False)))
-    others = F.transform(F.filter("frame", lambda o: (o["row"] != F.col("row")) & hit(o["cells"])), lambda o: o["row"])
     base = F.when(F.col("col").rlike("_(WoW|YoY)_"), F.concat(F.regexp_extract("col", "^([A-Za-z]+)_", 1), F.when(F.contains("col", F.lit("_WoW_")), "_LW").otherwise("_LY")))
-    r = r.withColumn("others", others).withColumn("base", base)
+    # Of a claim's table only the other rows that hold its value are joined.
+    rest = frame.select("table_id", F.col("row").alias("other"), F.col("cells").alias("o_cells"))
+    found = r.select(*KEY, "table_id", "row", "live", "cited", "decimals", "scale", "q", "signed").join(rest, "table_id").where((F.col("other") != F.col("row")) & hit(F.col("o_cells")))
+    others = found.groupBy(*KEY, "row").agg(F.collect_set("other").alias("others"))
+    r = r.join(others, [*KEY, "row"], "left").withColumn("others", F.coalesce("others", F.array().cast("array<string>"))).withColumn("base", base)
     belongs = (F.arrays_overlap("others", F.coalesce("named", F.array().cast("array<string>")))) | ((F.size("others") == 1) & (F.get("live", F.lit(0)) != "Rank"))
     label = (
         F.when(F.col("cited").isNull(), "Unverifiable").when(F.col("col").isNotNull() & (F.col("row") != "TOTAL") & ~fits_unit(F.col("col")), "Derived")
         .when((F.size("live") == 0) & other_column, "Wrong_metric").when((F.size("live") == 0) & (F.try_element_at("cells", F.col("base")) == 0), "Wrong_value").when(F.size("live") == 0, "Unverifiable")
         .when(hit(F.col("cells"), True), "Correct").when(F.col("signed") & hit(F.col("cells"), True, False), "Wrong_value").when(other_column, "Wrong_metric").when(F.coalesce(belongs, F.lit(False)), "Wrong_entity").otherwise("Wrong_value")
     )
-    by_row = r.select(*KEY, "row", "n_rows", label.alias("label"))
+    by_row = stored(r.select(*KEY, "row", "n_rows", "fuzzy", label.alias("label")), "by_row")
 
     # Group figures, and values of another kind than the column's: any value that level 1 would accept for the line.
     line = lines.select("note_id", "line_idx", "table_id", "line")
-    in_line = gate.group_values(gate.line_groups(lines, gate.named_entities(lines, tables), tables), tables).select("note_id", "line_idx", "value", F.col("unit").alias("c_unit"))
-    on_entity = gate.named_entities(lines, tables).select("note_id", "line_idx", "table_id", "entity").distinct().join(gate.entity_values(tables), ["table_id", "entity"]).select("note_id", "line_idx", "value", F.col("unit").alias("c_unit"))
+    in_line = gate.group_values(gate.line_groups(lines, entities, tables), tables).select("note_id", "line_idx", "value", F.col("unit").alias("c_unit"))
+    on_entity = entities.select("note_id", "line_idx", "table_id", "entity").distinct().join(gate.entity_values(tables), ["table_id", "entity"]).select("note_id", "line_idx", "value", F.col("unit").alias("c_unit"))
     on_table = line.select("note_id", "line_idx", "table_id").join(gate.table_values(tables), "table_id").select("note_id", "line_idx", "value", F.col("unit").alias("c_unit"))
     pool = in_line.unionByName(on_entity).unionByName(on_table)
     ok = unit_ok(F.col("c_unit"), F.col("unit"), F.col("is_rank"), F.col("is_ratio"))
@@ -160,7 +170,7 @@ def verify(claims: DataFrame, lines: DataFrame, tables: DataFrame) -> DataFrame:
     derived = by_row.where("label = 'Derived'").join(c, KEY).join(gate.entity_values(tables).select("table_id", F.col("entity").alias("row"), "value", F.col("unit").alias("c_unit")), ["table_id", "row"])
     derived_hit = derived.where(ok & near(F.col("value"))).select(*KEY, "row").distinct().withColumn("derived_hit", F.lit(True))
     settled = by_row.join(derived_hit, [*KEY, "row"], "left").withColumn("label", F.when(F.col("label") == "Derived", F.when(F.col("derived_hit"), "Correct").otherwise("Unverifiable")).otherwise(F.col("label")))
-    best = settled.groupBy(*KEY).agg(F.max("n_rows").alias("n_rows"), F.bool_or(F.col("label") == "Correct").alias("correct"), F.max("label").alias("only"), F.bool_or(F.col("row") == "TOTAL").alias("total"))
+    best = settled.groupBy(*KEY).agg(F.max("n_rows").alias("n_rows"), F.bool_or(F.col("label") == "Correct").alias("correct"), F.max("label").alias("only"), F.bool_or(F.col("row") == "TOTAL").alias("total"), F.bool_or("fuzzy").alias("fuzzy"))
 
     low = F.lower(F.trim("entity"))
     exact = tables.select("table_id", F.lower("Entity").alias("low")).distinct().withColumn("exact", F.lit(True))
@@ -171,11 +181,36 @@ def verify(claims: DataFrame, lines: DataFrame, tables: DataFrame) -> DataFrame:
     found = F.coalesce("group_hit", F.lit(False))
     final = (
         F.when(F.col("cited").isNull(), "Unverifiable").when(group & F.col("line").isNull(), "Unverifiable").when(group & found, "Correct").when(group, "Wrong_value").when(F.col("n_rows").isNull(), "Unverifiable")
-        .when(F.col("correct"), "Correct").when(F.col("total") & subset & found, "Correct").when(F.col("n_rows") > 1, "Unverifiable").otherwise(F.col("only"))
+        .when(F.col("correct"), "Correct").when(F.col("total") & subset & found, "Correct").when(F.col("n_rows") > 1, "Unverifiable")
+        .when(F.col("fuzzy") & F.col("only").startswith("Wrong"), "Unverifiable").otherwise(F.col("only"))
     )
     return out.select(*KEY, "table_id", "entity", "metric", "period", "value_text", final.alias("label"))
 
 
+def values_of(claims: DataFrame) -> DataFrame:
+    """The claim's key and what its value text says: the first number that is no date."""
+    key = F.concat_ws("\x1f", *[F.col(k).cast("string") for k in KEY])
+    said = claims.select(key.alias("note_id"), "table_id", F.lit(0).alias("line_idx"), F.col("value_text").alias("line"))
+    read = mentions(said).where("skip_reason <> 'date_or_week'").groupBy("note_id").agg(F.min_by(F.struct("unit", "is_ratio"), "mention_idx").alias("v"))
+    parts = F.split("note_id", "\x1f")
+    return read.select(parts[0].alias("note_id"), parts[1].cast("int").alias("line_idx"), parts[2].cast("int").alias("claim_idx"), "v.unit", "v.is_ratio")
+
+
+def note_claims(notes: DataFrame, tables: DataFrame) -> DataFrame:
+    """The claims that rules read from notes; see ``extraction.regex_claims``."""
+    lines = note_lines(notes)
+    spans = stored(entity_spans(lines, tables), "spans")
+    return regex_claims(gate.figures(mentions(lines), spans, tables), lines, spans)
+
+
+def level2(notes: DataFrame, tables: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """Labelled claims of notes: given ones, or those that rules read, after the words beside the values have corrected
+    them."""
+    lines = note_lines(notes)
+    said = stored(note_claims(notes, tables), "claims") if claims is None else claims
+    return verify(stored(hinted(said, lines, values_of(said)), "hinted"), lines, tables)
+
+
 def claim_rates(labelled: DataFrame) -> DataFrame:
     """Claim error rate and binding error rate (wrong entity or metric) of each note; null where none can be verified."""
     count = lambda *x: F.count_if(F.col("label").isin(*x))

@@ -1,8 +1,7 @@
 """Level 1 of the number gate: is each cited number a cell of its table, or a derived value?
 
 Candidates are rows and the comparison is a join on the table with the rounding rule as its residual condition; the first
-hit by (step, place) is the evidence. Entities that a line names are found by their words, so that case and marks don't
-matter; a name inside a longer name that is named does not count. All tables here are long tables keyed by ``table_id``."""
+hit by (step, place) is the evidence. All tables here are long tables keyed by ``table_id``."""
 
 from __future__ import annotations
 
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 
 from factledger.functions import lexicons as lx
 from factledger.functions.matching import matches, unit_ok
+from factledger.operators.names import LINE, entity_spans
+from factledger.sources.scratch import stored
 
 # Numeric columns in the order in which cells are tried, and their units.
 COLUMNS = {
@@ -23,10 +24,6 @@ LEVELS = [c for c, u in COLUMNS.items() if u in ("currency", "count")]
 SHARED = ["Revenue_TW", "Revenue_LW", "Units_TW", "Units_LW", "Orders_TW", "Orders_LW"]
 
 
-def _norm(x: Column) -> Column:
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(x), r"(?U)[^\p{L}\p{N}]+", " ")), F.lit(" "))
-
-
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
@@ -56,7 +53,7 @@ def table_values(tables: DataFrame) -> DataFrame:
     for c, u in COLUMNS.items():
         if u == "rank":
             continue
-        for op, f in [("sum", F.sum(F.col(c).cast("decimal(18,4)")).cast("double")), ("mean", F.avg(F.col(c).cast("double"))), ("median", F.median(c)), ("max", F.max(c).cast("double")), ("min", F.min(c).cast("double"))]:
+        for op, f in [("sum", F.sum(F.col(c).cast("decimal(18,4)")).cast("double")), ("mean", F.sum(F.col(c).cast("decimal(18,4)")).cast("double") / F.count(c)), ("median", F.median(c)), ("max", F.max(c).cast("double")), ("min", F.min(c).cast("double"))]:
             if u == "percent" and op in ("sum", "median"):
                 continue
             aggs.append(f.alias(f"{op}_{c}"))
@@ -106,20 +103,36 @@ def entity_values(tables: DataFrame) -> DataFrame:
 
 
 def named_entities(lines: DataFrame, tables: DataFrame) -> DataFrame:
-    """note_id, line_idx, table_id, entity, and ``name`` (as written, lower case) of the entities that a line names."""
-    alias = F.create_map(*[F.lit(x) for pair in lx.ALIASES.items() for x in pair])
-    own = tables.select("table_id", F.col("Entity").alias("entity"))
-    by_alias = own.select("*", F.explode(F.map_keys(F.map_filter(alias, lambda _, v: v == F.col("entity")))).alias("written"))
-    names = own.withColumn("written", F.col("entity")).unionByName(by_alias).select("table_id", "entity", _norm(F.col("written")).alias("name"))
-    found = lines.select("note_id", "table_id", "line_idx", _norm(F.col("line")).alias("words"), "line").join(names, "table_id").where(F.contains("words", F.col("name")))
-    us = lines.select("note_id", "table_id", "line_idx", "line").where(F.col("line").rlike(r"(?<!\w)US(?!\w)")).join(own.where("entity = 'USA'"), "table_id").select("note_id", "line_idx", "table_id", "entity", F.lit(" us ").alias("name"))
-    line = Window.partitionBy("note_id", "line_idx")
-    count = lambda text: F.size(F.split("words", text)) - 1  # noqa: E731, F841
-    inside = F.exists("all", lambda x: (x != F.col("name")) & F.contains(x, F.col("name")))
-    # A name inside a longer one counts only if it also stands elsewhere in the line.
-    rest = F.aggregate(F.filter("all", lambda x: (x != F.col("name")) & F.contains(x, F.col("name"))), F.col("words"), lambda acc, x: F.replace(acc, x, F.lit("  ")))
-    kept = found.withColumn("all", F.collect_set("name").over(line)).where(~inside | F.contains(rest, F.col("name")))
-    return kept.select("note_id", "line_idx", "table_id", "entity", "name").unionByName(us)
+    """note_id, line_idx, table_id, entity of the entities that a line names."""
+    return entity_spans(lines, tables).select(*LINE, "table_id", "entity").distinct()
+
+
+def numbered_names(tables: DataFrame) -> DataFrame:
+    """table_id and ``numbered``: the runs of two words in its names of which one is a number."""
+    words = F.regexp_extract_all(F.replace(F.lower("Entity"), F.lit("'s"), F.lit("")), F.lit("([a-z0-9]+)"), F.lit(1))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))
+    runs = tables.select("table_id", words.alias("w")).where("size(w) >= 2").select("table_id", F.explode(pairs).alias("run"))
+    return runs.where(F.col("run").rlike(r"(^| )[0-9]+( |$)")).groupBy("table_id").agg(F.collect_set("run").alias("numbered"))
+
+
+def _in_short_name() -> Column:
+    """Whether a bare integer and the word beside it stand in a name, as in "the 50'S CHRISTMAS kit"."""
+    bare = F.col("unit").isin("plain", "count") & (F.col("decimals") == 0) & (F.col("scale") == 1) & ~F.col("is_rank")
+    before = F.regexp_extract_all(F.lower(F.expr("substring(line, 1, position)")), F.lit("([a-z]+)"), F.lit(1))
+    after = F.regexp_extract(F.regexp_replace(F.lower(F.expr("substring(line, end + 1)")), "^['\u2019]s", ""), "^[^a-z]*([a-z]+)", 1)
+    dull = [*lx.FAMILY_STOP, *lx.UP_WORDS, *lx.DOWN_WORDS]
+    prev = F.coalesce(F.get(before, F.size(before) - 1), F.lit(""))
+    runs = F.array(F.when((prev != "") & ~prev.isin(dull), F.concat(prev, F.lit(" "), "raw_text")), F.when((after != "") & ~after.isin(dull), F.concat("raw_text", F.lit(" "), after)))
+    return bare & F.coalesce(F.arrays_overlap(F.filter(runs, lambda x: x.isNotNull()), F.col("numbered")), F.lit(False))
+
+
+def figures(mentions: DataFrame, spans: DataFrame, tables: DataFrame) -> DataFrame:
+    """The mentions with ``named`` (entities of the line), and ``skip_reason`` entity_name where a number is part of a name."""
+    by_line = spans.groupBy(*LINE).agg(F.collect_set("entity").alias("named"), F.collect_list(F.struct("start", "end")).alias("covered"))
+    m = mentions.join(by_line, LINE, "left").join(numbered_names(tables), "table_id", "left")
+    inside = F.coalesce(F.exists("covered", lambda x: (F.col("position") < x["end"]) & (F.col("end") > x["start"])), F.lit(False)) | ((F.col("skip_reason") == "") & _in_short_name())
+    reason = F.when(F.col("skip_reason").isin("date_or_week"), F.col("skip_reason")).when(inside, "entity_name").otherwise(F.col("skip_reason"))
+    return m.select(*[c for c in mentions.columns if c != "skip_reason"], reason.alias("skip_reason"), F.coalesce("named", F.array().cast("array<string>")).alias("named"))
 
 
 def line_groups(lines: DataFrame, named: DataFrame, tables: DataFrame) -> DataFrame:
@@ -136,7 +149,7 @@ def line_groups(lines: DataFrame, named: DataFrame, tables: DataFrame) -> DataFr
         words = F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))
         return F.array_distinct(F.concat(*[grams(words, n) for n in (3, 2, 1)]))
 
-    stop = r"^(?:(?:of|the|and|set|a|in|with|for|to|on|at|by|or)(?: |$))+$"
+    stop = "^(?:(?:" + "|".join(lx.FAMILY_STOP) + ")(?: |$))+$"
     asked = lines.select("note_id", "line_idx", "table_id", F.explode(runs(F.col("line"))).alias("run")).where(~F.col("run").rlike(stop) & (F.contains("run", F.lit(" ")) | (F.char_length("run") >= 6)))
     held = tables.select("table_id", "Entity", F.explode(runs(F.col("Entity"))).alias("run")).withColumnRenamed("Entity", "entity")
     members = asked.join(held, ["table_id", "run"]).groupBy("note_id", "line_idx", "table_id", "run").agg(F.sort_array(F.collect_set("entity")).alias("members")).where("size(members) between 2 and 20")
@@ -156,7 +169,7 @@ def group_values(groups: DataFrame, tables: DataFrame) -> DataFrame:
     t = totals(tables).select("table_id", *[F.col(c).alias(f"t_{c}") for c in LEVELS])
     rows = groups.join(tables.withColumnRenamed("Entity", "entity"), ["table_id", "entity"])
     sums = rows.groupBy("note_id", "line_idx", "table_id", "label").agg(
-        *[F.sum(F.col(c).cast("decimal(18,2)")).cast("double").alias(c) for c in LEVELS], F.avg(F.col("Revenue_TW").cast("double")).alias("mean"), F.sum(F.col("Share_Pct").cast("decimal(18,2)")).cast("double").alias("shares")
+        *[F.sum(F.col(c).cast("decimal(18,2)")).cast("double").alias(c) for c in LEVELS], (F.sum(F.col("Revenue_TW").cast("decimal(18,2)")).cast("double") / F.count("Revenue_TW")).alias("mean"), F.sum(F.col("Share_Pct").cast("decimal(18,2)")).cast("double").alias("shares")
     ).join(t, "table_id")
     values = [(f"sum({m}_TW)", u, F.col(f"{m}_TW")) for m, u in MEASURES.items()]
     for m, p in PAIRS:
@@ -189,42 +202,47 @@ def pair_values(named: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def level1(mentions: DataFrame, lines: DataFrame, tables: DataFrame) -> DataFrame:
-    """Every mention with ``label`` (Supported_cell, Supported_derived, Unsupported, Skipped) and ``evidence``."""
-    named = named_entities(lines, tables)
-    # A number inside a named entity's name is not a figure.
-    by_line = named.groupBy("note_id", "line_idx").agg(F.collect_set("entity").alias("named"), F.collect_set("name").alias("names"))
-    m = mentions.join(by_line, ["note_id", "line_idx"], "left").withColumn("named", F.coalesce("named", F.array().cast("array<string>")))
-    pattern = lambda name: F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])"), F.replace(F.trim(name), F.lit(" "), F.lit(r"[^\p{L}\p{N}]+")), F.lit(r"(?![\p{L}\p{N}])"))
-    digits = F.regexp_replace("raw_text", "[^0-9]", "")
-    cover = F.exists(
-        F.filter(F.coalesce("names", F.array().cast("array<string>")), lambda x: F.contains(x, F.concat(F.lit(" "), digits))),
-        lambda x: F.regexp_instr(F.col("line"), pattern(x)).between(F.lit(1), F.col("position") + 1) & (F.regexp_instr(F.col("line"), pattern(x)) - 1 + F.char_length(F.regexp_substr(F.col("line"), pattern(x))) >= F.col("end")),
-    )
-    m = m.withColumn("skip_reason", F.when((F.col("skip_reason") == "") & cover, "entity_name").otherwise(F.col("skip_reason")))
-    key = ["note_id", "line_idx", "mention_idx"]
+    """Every mention with ``label`` (Supported_cell, Supported_derived, Unsupported, Skipped), ``evidence``, and the
+    evidence as ``op`` and ``args``.
+
+    All candidates of a table are one relation, and all of a line another, so the numbers meet each in one join. Names and
+    numbers are stored once read, since every kind of candidate needs them."""
+    spans = stored(entity_spans(lines, tables), "spans")
+    named = spans.select(*LINE, "table_id", "entity").distinct()
+    m = stored(figures(mentions, spans, tables), "figures")
+    key = [*LINE, "mention_idx"]
     aggregate = F.lower("line").rlike(r"\b(" + "|".join(lx.AGGREGATE_WORDS) + r")\b")
-    asked = m.where("skip_reason = ''").withColumn("free", F.size("named") == 0).withColumn("aggregate", F.col("free") | aggregate)
-    shape = lambda df, step, **more: df.select("*", F.lit(step).alias("step"), *[v.alias(k) for k, v in more.items()])
+    asked = m.where("skip_reason = ''").select(
+        *key, "table_id", "cited", "decimals", "scale", "qualifier", "signed", "unit", "is_rank", "is_ratio", "period_hint", "named", (F.size("named") == 0).alias("free"), ((F.size("named") == 0) | aggregate).alias("aggregate")
+    )
     ok = unit_ok(F.col("c_unit"), F.col("unit"), F.col("is_rank"), F.col("is_ratio"))
     near = lambda bounds: ok & matches(F.col("c_value"), F.col("cited"), F.col("decimals"), F.col("scale"), F.col("qualifier"), F.col("signed"), bounds)
-    as_c = lambda df: df.withColumnsRenamed({"value": "c_value", "unit": "c_unit"})
-    pick = [*key, "step", "ord", "form", "c_value"]
-    at_table = as_c(cells(tables)).join(asked, "table_id")
-    own = F.array_contains("named", F.col("entity"))
-    hint = (F.col("period_hint") != "") & ~F.lower("form").endswith(F.concat(F.lit("_"), "period_hint"))
-    hits = shape(at_table.where(own & near(F.lit(True))), 1).withColumn("ord", F.col("ord") + F.when(hint, 100).otherwise(0)).select(*pick)
-    hits = hits.unionByName(shape(at_table.where(~own & near(F.col("free"))), 4).select(*pick))
-    anchored = as_c(entity_values(tables)).join(asked, "table_id").where(own & near(F.lit(True)))
-    hits = hits.unionByName(shape(anchored, 2).select(*pick))
-    in_line = as_c(group_values(line_groups(lines, named, tables), tables).unionByName(pair_values(named, tables))).drop("table_id").join(asked, ["note_id", "line_idx"]).where(near(F.lit(True)))
-    hits = hits.unionByName(shape(in_line, 2).select(*pick))
+    as_c = lambda df, step: df.withColumnsRenamed({"value": "c_value", "unit": "c_unit"}).withColumn("step", F.lit(step))
+    pick = [*key, "step", "ord", "form", "entity", "c_value"]
+    # 1 a cell of a named entity, 2 a value that hangs on named entities, 3 one of the table, 4 any other cell.
+    of_table = as_c(cells(tables), 1).unionByName(as_c(entity_values(tables), 2)).unionByName(as_c(table_values(tables), 3).withColumn("entity", F.lit(None).cast("string")))
+    own = F.coalesce(F.array_contains("named", F.col("entity")), F.lit(False))
     sums = F.col("form").rlike(r"^(sum|per_order\(sum|per_unit\(sum|units_per_order\(sum)\(")
-    overall = as_c(table_values(tables)).join(asked, "table_id").where((F.col("aggregate") | sums) & near(F.col("free")))
-    hits = hits.unionByName(shape(overall, 3).select(*pick))
-    best = hits.groupBy(*key).agg(F.min(F.struct("step", "ord", "form", "c_value")).alias("hit"))
+    step = F.when((F.col("step") == 1) & ~own, 4).otherwise(F.col("step"))
+    able = F.when(F.col("step") == 2, own).when(F.col("step") == 3, F.col("aggregate") | sums).otherwise(True)
+    bounds = own | F.col("free")
+    hint = (F.col("step") == 1) & own & (F.col("period_hint") != "") & ~F.lower("form").endswith(F.concat(F.lit("_"), "period_hint"))
+    hits = of_table.join(asked, "table_id").where(able & near(bounds)).withColumn("ord", F.col("ord") + F.when(hint, 100).otherwise(0)).withColumn("step", step).select(*pick)
+    of_line = as_c(group_values(line_groups(lines, named, tables), tables).unionByName(pair_values(named, tables)), 2).drop("table_id").withColumn("entity", F.lit(None).cast("string"))
+    hits = hits.unionByName(of_line.join(asked, LINE).where(near(F.lit(True))).select(*pick))
+    best = hits.groupBy(*key).agg(F.min(F.struct("step", "ord", "form", "entity", "c_value")).alias("hit"))
     label = F.when(F.col("skip_reason") != "", "Skipped").when(F.col("hit.step").isin(1, 4), "Supported_cell").when(F.col("hit").isNotNull(), "Supported_derived").otherwise("Unsupported")
     evidence = F.when(F.col("hit").isNotNull(), F.concat("hit.form", F.lit(" = "), F.round("hit.c_value", 4).cast("string"))).otherwise("")
-    return m.join(best, key, "left").select(*[c for c in m.columns if c not in ("names",)], label.alias("label"), evidence.alias("evidence"))
+    op, args = lineage(F.col("hit.form"), F.col("hit.entity"), F.col("hit.step"))
+    return m.join(best, key, "left").select(*m.columns, label.alias("label"), evidence.alias("evidence"), op.alias("op"), args.alias("args"))
+
+
+def lineage(form: Column, entity: Column, step: Column) -> tuple[Column, Column]:
+    """The operation of an evidence (``cell`` for a cell itself) and its arguments: the entity, if it hangs on one, and the
+    columns that it reads. Null without evidence."""
+    columns = F.regexp_extract_all(form, F.lit("((?:Revenue|Units|Orders)_(?:TW|LW|LY)|WoW_Pct|YoY_Pct|Share_Pct|Rank)"), F.lit(1))
+    op = F.when(step.isin(1, 4), "cell").otherwise(F.regexp_extract(F.regexp_replace(form, "^(?:group|families|family [a-z ]+): ", ""), "^([a-z_]+)", 1))
+    return F.when(form.isNotNull(), op), F.when(form.isNotNull(), F.concat(F.when(entity.isNotNull(), F.array(entity)).otherwise(F.array().cast("array<string>")), F.array_distinct(columns)))
 
 
 def note_rates(level1: DataFrame) -> DataFrame:

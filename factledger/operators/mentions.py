@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factledger.functions import lexicons as lx
 
 
-def _tokens(text: Column, pattern: str) -> Column:
+def tokens(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"(?U)({pattern})"), F.lit(1))
 
 
@@ -21,7 +21,7 @@ def note_lines(notes: DataFrame) -> DataFrame:
     return notes.select("note_id", "table_id", F.posexplode(kept).alias("line_idx", "line"))
 
 
-def _spans(text: Column, pattern: str) -> Column:
+def spans(text: Column, pattern: str) -> Column:
     """Start (from 0), end and text of each match: what split leaves between the matches tells their places."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,raw:string>>").alias("out"))
@@ -38,7 +38,7 @@ def _spans(text: Column, pattern: str) -> Column:
 def _direction(pre: Column, post: Column) -> Column:
     """up, down or none: from the three words before, nearest first, or the word after."""
     clause = F.element_at(F.split(pre, r"[,;:()]|\band\b|\bwhile\b|\bbut\b|\bwhereas\b"), -1)
-    words = _tokens(clause, r"[\w'-]+")
+    words = tokens(clause, r"[\w'-]+")
     size = F.size(words)
     # Pairs (word, word before it), nearest first.
     near = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.struct(F.get(words, size - 1 - k).alias("w"), F.coalesce(F.get(words, size - 2 - k), F.lit("")).alias("p")))
@@ -50,7 +50,7 @@ def _direction(pre: Column, post: Column) -> Column:
         )
 
     before = F.aggregate(near, F.lit(""), step)
-    after = F.filter(F.slice(F.transform(_tokens(post, r"[#\w.'-]+"), lambda w: F.rtrim(w, F.lit("."))), 1, 4), lambda w: ~w.isin(lx.PERIOD_TOKENS))
+    after = F.filter(F.slice(F.transform(tokens(post, r"[#\w.'-]+"), lambda w: F.rtrim(w, F.lit("."))), 1, 4), lambda w: ~w.isin(lx.PERIOD_TOKENS))
     first, second = F.get(after, F.lit(0)), F.get(after, F.lit(1))
     nouns = lambda words: [w for w in words if w not in ("up", "down", "added", "lost")]
     behind = (
@@ -60,8 +60,8 @@ def _direction(pre: Column, post: Column) -> Column:
     return F.when(before.isin("up", "down"), before).otherwise(behind)
 
 
-def _hedge(pre: Column) -> Column:
-    tail = F.concat(F.lit(" "), F.array_join(F.slice(F.concat(F.array(F.lit(""), F.lit(""), F.lit("")), _tokens(pre, r"[\w.'~-]+|~")), -3, 3), " "))
+def hedge(pre: Column) -> Column:
+    tail = F.concat(F.lit(" "), F.array_join(F.slice(F.concat(F.array(F.lit(""), F.lit(""), F.lit("")), tokens(pre, r"[\w.'~-]+|~")), -3, 3), " "))
     out = F.when(tail.endswith("~"), "approx")
     for kind, phrases in lx.HEDGES.items():
         hit = F.lit(False)
@@ -77,14 +77,16 @@ def mentions(lines: DataFrame) -> DataFrame:
     norm = F.regexp_replace("line", r"(?i)\b(No)\.(?=\d)", "$1#")
     for word in ("approx", "ca", "c"):
         norm = F.regexp_replace(norm, rf"(?i)\b{word}\.(?=\s?[£$€\d])", "~" + " " * len(word))
-    base = lines.withColumn("norm", norm)
-    parts = base.select("*", F.posexplode(F.split("norm", lx.SENTENCE_END)).alias("sentence_idx", "text")).where(F.trim("text") != "")
-    found = parts.withColumn("offset", F.expr("instr(norm, text) - 1"))
-    found = found.select("*", F.posexplode(_spans(F.col("text"), lx.NUMBER)).alias("k", "m")).withColumn("prior", F.expr("lag(named_struct('m', m, 'text', text)) over (partition by note_id, line_idx, sentence_idx order by k)"))
+    base = lines.withColumn("norm", norm).withColumn("dates", spans(F.col("norm"), lx.DATE))
+    # A sentence's place is the length of all that stands before it, since the same sentence may stand twice.
+    parts = F.zip_with(F.split("norm", lx.SENTENCE_END), F.regexp_extract_all("norm", F.lit(f"({lx.SENTENCE_END})"), F.lit(1)), lambda text, gap: F.struct(text.alias("text"), (F.char_length(text) + F.coalesce(F.char_length(gap), F.lit(0))).alias("size")))
+    parts = base.select("*", F.posexplode(parts).alias("sentence_idx", "part")).withColumn("offset", F.expr("cast(coalesce(sum(part.size) over (partition by note_id, line_idx order by sentence_idx rows between unbounded preceding and 1 preceding), 0) as int)"))
+    found = parts.withColumn("text", F.col("part.text")).drop("part").where(F.trim("text") != "")
+    found = found.select("*", F.posexplode(spans(F.col("text"), lx.NUMBER)).alias("k", "m")).withColumn("prior", F.expr("lag(named_struct('m', m, 'text', text)) over (partition by note_id, line_idx, sentence_idx order by k)"))
     found = found.withColumn("pre", F.expr("substring(text, 1, m.start)")).withColumn("post", F.expr("substring(text, m.end + 1)"))
     group = lambda n: F.regexp_extract(F.col("m.raw"), lx.NUMBER, n)
-    before = _tokens(F.col("pre"), r"[#\w.'-]+|[£$€~]")
-    after = F.transform(_tokens(F.col("post"), r"[#\w.'-]+"), lambda w: F.rtrim(w, F.lit(".")))
+    before = tokens(F.col("pre"), r"[#\w.'-]+|[£$€~]")
+    after = F.transform(tokens(F.col("post"), r"[#\w.'-]+"), lambda w: F.rtrim(w, F.lit(".")))
     mult, unit_text = F.lower(F.trim(group(6))), F.lower(F.trim(group(7)))
     last = F.coalesce(F.get(before, F.size(before) - 1), F.lit(""))
     found = found.select(
@@ -113,9 +115,9 @@ def mentions(lines: DataFrame) -> DataFrame:
         F.col("b1").isin(lx.COUNTING_BEFORE) | tail.rlike(r"^(of|out of)( the)?( top| bottom)? \d") | ((F.col("b1") == "of") & b2.rlike(r"^\d+$")) | F.lower("pre").rlike(r"\d+\s+of the\s*$")
         | tail.rlike(rf"^((listed|shown|ranked|tracked|reported|other|remaining|named|trading|active) )?({lx.COUNTING_NOUNS})\b")
     )
-    dates = F.exists(_spans(F.col("norm"), lx.DATE), lambda d: (F.col("position") < d["end"]) & (F.col("position") + F.char_length(F.col("m.raw")) > d["start"]))
+    dates = F.exists("dates", lambda d: (F.col("position") < d["end"]) & (F.col("position") + F.char_length(F.col("m.raw")) > d["start"]))
     skip = F.when(dates, "date_or_week").when(bare & ~F.contains(F.col("m.raw"), F.lit(",")) & n.between(1990, 2035) & (F.col("unit") == "plain"), "year").when(bare & (n <= 200) & counting, "counting").otherwise("")
-    found = found.withColumn("position", F.col("offset") + F.col("m.start")).withColumn("skip_reason", skip).withColumn("hedge", _hedge(F.col("pre")))
+    found = found.withColumn("position", F.col("offset") + F.col("m.start")).withColumn("skip_reason", skip).withColumn("hedge", hedge(F.col("pre")))
     return found.select(
         "note_id", "table_id", "line_idx", F.expr("row_number() over (partition by note_id, line_idx order by position) - 1").alias("mention_idx"),
         "line", F.expr("substring(line, offset + 1, char_length(text))").alias("sentence"), F.trim("m.raw").alias("raw_text"), (F.col("cited") * F.col("scale")).alias("value"), "cited", "decimals", "scale", "unit",
