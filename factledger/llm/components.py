@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factledger.llm.common import stored
+from factledger.llm.common import discard, stored
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -34,5 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (seen.n, seen.x) == mark or not seen.n:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        mark = (seen.n, seen.x)
+        mark, last = (seen.n, seen.x), now
         now = stored(_small_star(_large_star(now)), "links")
+        discard(last)

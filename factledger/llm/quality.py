@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factledger.llm.common import Words, column, mix, slices, stored, texts_of
+from factledger.llm.common import Words, column, discard, mix, slices, stored, texts_of
 
 LABELLED, PSEUDO = 5000, 2000
 BUCKETS = 1 << 15
@@ -252,6 +252,7 @@ def _spark_pool(features: DataFrame, labelled, seed_rows: int) -> Callable:
         is_low = {v: f"{v} <= {cuts[v][0]!r}D and {v} < 0" for v in VIEWS}
         is_high = {v: f"{v} >= {cuts[v][1]!r}D and {v} > 0" for v in VIEWS}
         counts = logits.agg(*[F.count_if(F.expr(f"({is_low[v]}) or ({is_high[v]})")).alias(v) for v in VIEWS]).first()
+        discard(logits)
         out = []
         for k, name in enumerate(VIEWS):
             rate = int(min(1.0, seed_rows / max(1, counts[name])) * (1 << 30))

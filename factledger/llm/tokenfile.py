@@ -17,7 +17,6 @@ whole text, and a block, at a time.
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factledger.llm.common import column, shared_dir, slices, texts_of
+from factledger.llm.common import column, new_path, slices, texts_of
 from factledger.llm.encode import encoder
 
 DICTIONARY_BYTES = 64 * 1024
@@ -146,7 +145,8 @@ def fetch(spark: SparkSession, source: str, doc_id: int) -> list[bytes]:
 
 
 def new_target(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    """A place for a data set that goes when the process ends."""
+    return new_path(spark, "tokens")
 
 
 def checksums(ids: DataFrame) -> DataFrame:
