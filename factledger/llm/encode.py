@@ -1,10 +1,11 @@
 """Token ids of whole texts by a public tokenizer file, with the ids of repeated pieces kept.
 
-The tokenizers library spends most of its time on words that it has met before and on tracking offsets. Here a text is
-cut at single spaces, where both kinds of pre-tokenizer always cut too, and the ids of each piece are looked up. A new
-piece of ASCII and Latin-1 letters, digits, marks and single line feeds is split the way the pre-tokenizer splits it and
-given to the library's BPE model; any other piece, and any text with two spaces in a row, is encoded by the library as a whole. The
-ids are those of ``encode(text, add_special_tokens=False)``.
+The tokenizers library spends most of its time on words that it has met before and on tracking offsets. Here a text of
+ASCII and Latin-1 letters, digits, marks, single spaces and single line feeds is split the way the pre-tokenizer splits it,
+and the ids of each run are looked up; a new run is given to the library's BPE model. Any other text is cut at single
+spaces, where both kinds of pre-tokenizer always cut too, and each piece that is plain in this sense is treated so; other
+pieces, and any text with two spaces in a row, are encoded by the library as a whole. The ids are those of
+``encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -63,6 +64,25 @@ class Pieces(dict):
         return found
 
 
+_RUNS = {"byte": re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n"), "word": re.compile(rf"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")}
+
+
+class Runs(dict):
+    """Run of letters, digits or marks (with the space before it, where the kind has it so) to the bytes of its ids."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.bpe = tokenizer.model.tokenize
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) >= KEPT:
+            self.clear()
+        # Printing ASCII stands for itself.
+        stands = run if run.isascii() and run.isalnum() else run.encode().decode("latin-1").translate(_BYTE)
+        found = self[run] = array("I", [t.id for t in self.bpe(stands)]).tobytes()
+        return found
+
+
 class Encoder:
     """``kind`` "byte": byte-level BPE whose pre-tokens begin with their space; "word": BPE with word ends, lower case and
     white space dropped."""
@@ -72,10 +92,18 @@ class Encoder:
         self.kind = kind
         self.first = Pieces(self.tokenizer, kind, "")
         self.later = Pieces(self.tokenizer, kind, " ", self.first) if kind == "byte" else self.first
+        self.runs, self.split = Runs(self.tokenizer), _RUNS[kind].findall
 
     def ids(self, text: str) -> bytes:
         if "  " in text:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if "<|" not in text and "\n\n" not in text:
+            low = text if self.kind == "byte" else text.lower()
+            runs = self.split(low)
+            # Runs that leave nothing out but white space that is dropped anyway: the text is plain.
+            left = len(low) - sum(map(len, runs))
+            if left == (0 if self.kind == "byte" else low.count(" ") + low.count("\n")):
+                return b"".join(map(self.runs.__getitem__, runs))
         pieces = text.split(" ")
         return self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))
 

@@ -144,14 +144,19 @@ def mutated(lengths: np.ndarray, bins: np.ndarray, rng: np.random.Generator) ->
     return out
 
 
+def lower_bound(lengths: np.ndarray) -> int:
+    return -(-int(lengths.sum()) // CAPACITY)
+
+
 def evolve(lengths: np.ndarray, elites: list[np.ndarray], rng: np.random.Generator) -> np.ndarray:
-    """The best chromosome after one epoch from the elites and fresh ones."""
-    least = -(-int(lengths.sum()) // CAPACITY)
-    population = [*elites, *([] if elites else [decreasing(lengths)])]
-    population += [decreasing(lengths, rng) for _ in range(POPULATION - len(population))]
+    """The best chromosome after one epoch from the elites and fresh ones. Without elites: best-fit decreasing."""
+    population = elites or [decreasing(lengths)]
+    if not elites or any(x.max() + 1 == lower_bound(lengths) for x in population):
+        return min(population, key=lambda x: x.max())
+    population = population + [decreasing(lengths, rng) for _ in range(POPULATION - len(population))]
     ranked = sorted(((fitness(lengths, x), k, x) for k, x in enumerate(population)), key=lambda x: (-x[0], x[1]))
     for k in range(GENERATIONS):
-        if ranked[0][2].max() + 1 == least:
+        if ranked[0][2].max() + 1 == lower_bound(lengths):
             break
         a, b = rng.choice(len(ranked), 2, replace=False)
         child = crossover(lengths, ranked[min(a, b)][2], ranked[max(a, b)][2], rng)
@@ -174,7 +179,7 @@ def _one_list(x: np.ndarray) -> pa.Array:
 
 
 def _evolved(shards: DataFrame, epoch: int) -> DataFrame:
-    """shard, island, lengths, elites in; shard, island, bins, fit out."""
+    """shard, island, lengths, elites in; shard, island, bins, fit, and whether no packing has fewer bins, out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,9 +187,9 @@ def _evolved(shards: DataFrame, epoch: int) -> DataFrame:
                 shard, island = (column(batch, x)[i].as_py() for x in ("shard", "island"))
                 lengths = _numbers(column(batch, "lengths")[i])
                 bins = evolve(lengths, [_numbers(x) for x in column(batch, "elites")[i].values], np.random.default_rng([shard, island, epoch]))
-                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([island], pa.int32()), _one_list(bins), pa.array([fitness(lengths, bins)])], ["shard", "island", "bins", "fit"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([island], pa.int32()), _one_list(bins), pa.array([fitness(lengths, bins)]), pa.array([bool(bins.max() + 1 == lower_bound(lengths))])], ["shard", "island", "bins", "fit", "done"])
 
-    return shards.select("shard", "island", "lengths", "elites").mapInArrow(run, "shard long, island int, bins array<bigint>, fit double")
+    return shards.select("shard", "island", "lengths", "elites").mapInArrow(run, "shard long, island int, bins array<bigint>, fit double, done boolean")
 
 
 def pack_pieces(pieces: DataFrame, salt: int = 0) -> DataFrame:
@@ -193,17 +198,28 @@ def pack_pieces(pieces: DataFrame, salt: int = 0) -> DataFrame:
     shards = max(1, -(-pieces.count() // SHARD))
     dealt = pieces.select(F.pmod(F.xxhash64("uid", F.lit(salt)), F.lit(shards)).alias("shard"), F.struct("length", "uid").alias("x"))
     whole = stored(dealt.groupBy("shard").agg(F.sort_array(F.collect_list("x"), False).alias("x")).select("shard", F.col("x.length").alias("lengths"), F.col("x.uid").alias("uids")), "shards")
-    island = whole.select("shard", "lengths", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
     # Rows are few and cost much: without a number they would be put together in few tasks.
-    tasks = min(shards * ISLANDS, TASKS)
-    dealt_out = lambda x: x.repartition(tasks, "shard", "island")
-    now = stored(_evolved(dealt_out(island.withColumn("elites", F.array().cast("array<array<bigint>>"))), 0), "elites")
-    for epoch in range(1, EPOCHS):
-        own = now.select("shard", "island", F.col("bins").alias("own"))
-        migrant = now.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("bins").alias("migrant"))
-        ready = island.join(own, ["shard", "island"]).join(migrant, ["shard", "island"]).withColumn("elites", F.array("own", "migrant"))
-        now = stored(_evolved(dealt_out(ready), epoch), "elites")
-    best = now.groupBy("shard").agg(F.max_by("bins", F.struct("fit", -F.col("island"))).alias("bins"))
+    dealt_out = lambda x, n: x.repartition(max(1, min(n, TASKS)), "shard", "island")
+    start = dealt_out(whole.select("shard", "lengths", F.lit(0).alias("island")), -(-shards // 4)).withColumn("elites", F.array().cast("array<array<bigint>>"))
+    now = stored(_evolved(start, 0), "elites")
+    every = [now]
+    left = now.where("not done").count()
+    if left:
+        # Only shards that best fit has not packed as well as can be are evolved.
+        hard = stored(whole.join(now.where("not done").select("shard", "bins"), "shard"), "hard")
+        island = hard.select("shard", "lengths", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
+        ready = hard.select("shard", "lengths", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.array("bins").alias("elites"))
+        for epoch in range(1, EPOCHS + 1):
+            now = stored(_evolved(dealt_out(ready, left * ISLANDS), epoch), "elites")
+            every.append(now)
+            own = now.select("shard", "island", F.col("bins").alias("own"))
+            migrant = now.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("bins").alias("migrant"))
+            open_ = island.join(now.where("done").select("shard").distinct(), "shard", "left_anti")
+            ready = open_.join(own, ["shard", "island"]).join(migrant, ["shard", "island"]).withColumn("elites", F.array("own", "migrant"))
+    found = every[0]
+    for more in every[1:]:
+        found = found.unionByName(more)
+    best = found.groupBy("shard").agg(F.max_by("bins", F.struct("fit", -F.col("island"))).alias("bins"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +233,7 @@ def pack_pieces(pieces: DataFrame, salt: int = 0) -> DataFrame:
                 shard = np.full(len(bins), column(batch, "shard")[i].as_py(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uids, lengths, shard, bins, offset, fills(lengths, bins)[bins])], ["uid", "length", "shard", "bin", "offset", "fill"])
 
-    return whole.join(best, "shard").repartition(min(shards, TASKS), "shard").mapInArrow(places, "uid long, length long, shard long, bin long, offset long, fill long")
+    return whole.join(best, "shard").repartition(max(1, min(-(-shards // 4), TASKS)), "shard").mapInArrow(places, "uid long, length long, shard long, bin long, offset long, fill long")
 
 
 def pieces_of(docs: DataFrame, path: str, kind: str = "word") -> DataFrame:
