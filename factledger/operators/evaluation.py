@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factledger.sources.scratch import stored
+
 
 def draw(n: Column, *parts: Column) -> Column:
     """A repeatable index below n from the parts: the first 15 hex digits of their md5."""
@@ -18,24 +20,138 @@ def rates_by_sets(verdicts: DataFrame, sets: list[list[str]], num: str, den: str
     return verdicts.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns]).agg(F.count(F.lit(1)).alias("n"), pooled)
 
 
+def uniform(*parts: Column) -> Column:
+    """A repeatable number from 0 to below 1."""
+    return draw(F.lit(1 << 40), *parts) / (1 << 40)
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str = "at") -> DataFrame:
+    """The rows numbered from 1 by the keys: each range of keys by itself, and then after the ranges before it."""
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = stored(ranged.select("*", F.spark_partition_id().alias("__part"), (F.monotonically_increasing_id() % F.lit(1 << 33) + 1).alias("__k")), "numbered")
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))  # one row a range
+    before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__k")).drop("__part", "__k", "__before")
+
+
+def _slots(units: DataFrame, n: int, rounds: int, *salt: Column) -> DataFrame:
+    """``b`` and ``at``: the units drawn in each round, n of them; the draws are spread over the cluster."""
+    each = units.sparkSession.range(rounds * n).select(F.expr(f"id div {max(n, 1)}").alias("b"), (F.col("id") % max(n, 1) + 1).alias("slot"))
+    return each.select("b", (draw(F.lit(n).cast("long"), *salt, F.col("b"), F.col("slot")) + 1).alias("at"))
+
+
+def bootstrap_many(units: DataFrame, rates: dict[str, tuple[str, str]], key: str, rounds: int, *salt: Column) -> DataFrame:
+    """``b`` and each rate, sum(num) / sum(den), of the units that a round draws with replacement; null where nothing is in
+    the denominator."""
+    parts = [x for k, (num, den) in enumerate(rates.values()) for x in (F.col(num).alias(f"num_{k}"), F.col(den).alias(f"den_{k}"))]
+    known = numbered(units.select(F.col(key).alias("key"), *parts), ["key"])
+    pooled = [(F.sum(f"num_{k}") / F.expr(f"nullif(sum(den_{k}), 0)")).alias(name) for k, name in enumerate(rates)]
+    return _slots(units, known.count(), rounds, *salt).join(known, "at").groupBy("b").agg(*pooled)
+
+
+def intervals(rounds: DataFrame, names: list[str]) -> DataFrame:
+    """``rate``, ``rounds``, ``low``, ``high``: the percentile interval of each column."""
+    ends = rounds.agg(*[F.struct(F.lit(x).alias("rate"), F.count(x).alias("rounds"), F.percentile(x, F.array(F.lit(0.025), F.lit(0.975))).alias("p")).alias(x) for x in names])
+    return ends.select(F.explode(F.array(*names)).alias("x")).select("x.rate", "x.rounds", F.col("x.p")[0].alias("low"), F.col("x.p")[1].alias("high"))
+
+
 def bootstrap(units: DataFrame, num: str, den: str, key: str, rounds: int) -> DataFrame:
     """Percentile interval of sum(num) / sum(den) over units drawn with replacement. The units are numbered by key; a
     round's draws are generated in Spark and meet the units in a join."""
-    numbered = units.select(F.row_number().over(Window.orderBy(key)).cast("long").alias("at"), num, den)
-    size = numbered.agg(F.count(F.lit(1)).alias("n"))
-    draws = units.sparkSession.range(rounds).withColumnRenamed("id", "b").crossJoin(F.broadcast(size)).where("n > 0")
-    slots = draws.select("b", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("slot")).select("b", (draw(F.col("n"), F.col("b"), F.col("slot")) + 1).alias("at"))
-    rate = slots.join(numbered, "at").groupBy("b").agg((F.sum(num) / F.expr(f"nullif(sum({den}), 0)")).alias("rate"))
-    low_high = F.percentile("rate", F.array(F.lit(0.025), F.lit(0.975)))
-    return rate.agg(F.count("rate").alias("rounds"), low_high.alias("p")).select("rounds", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    return intervals(bootstrap_many(units, {"rate": (num, den)}, key, rounds), ["rate"]).drop("rate")
+
+
+def padded(rows: DataFrame, unit: str, at: str, value: str, last: int) -> DataFrame:
+    """A row for each unit and round from its first to ``last``, where a unit that has ended keeps its last value."""
+    every = rows.groupBy(unit).agg(F.min(at).alias("least"), F.max(at).alias("own_last"), F.max_by(value, at).alias("final"))
+    slots = every.where(f"own_last < {last}").select(unit, F.explode(F.sequence(F.col("own_last") + 1, F.lit(last).cast("long"))).alias(at), F.col("final").alias(value))
+    return rows.select(unit, F.col(at).cast("long").alias(at), value).unionByName(slots)
+
+
+def bootstrap_means(rows: DataFrame, at: str, unit: str, value: str, rounds: int) -> DataFrame:
+    """For each ``at``: the mean of ``value`` over its units, their number and the mean's percentile interval. Every unit has a
+    row for each ``at``; the draws of each are its own."""
+    places = numbered(rows.select(unit).distinct(), [unit], "unit_at")
+    n = places.count()
+    known = rows.join(places, unit).select(F.col(at).alias("group"), F.col("unit_at").alias("at"), F.col(value).cast("double").alias("value"))
+    groups = known.select("group").distinct()
+    base = rows.sparkSession.range(rounds * n).select(F.expr(f"id div {max(n, 1)}").alias("b"), (F.col("id") % max(n, 1) + 1).alias("slot"))
+    slots = base.crossJoin(F.broadcast(groups)).select("group", "b", (draw(F.lit(n).cast("long"), F.col("group"), F.col("b"), F.col("slot")) + 1).alias("at"))  # groups are a few rounds
+    means = slots.join(known, ["group", "at"]).groupBy("group", "b").agg(F.avg("value").alias("m"))
+    ends = means.groupBy("group").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
+    whole = known.groupBy("group").agg((F.sum(F.col("value").cast("decimal(28,12)")).cast("double") / F.count(F.lit(1))).alias("mean"), F.count(F.lit(1)).alias("n"))
+    return whole.join(ends, "group").select(F.col("group").alias(at), "n", "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+
+
+def difference_of_sets(first: DataFrame, second: DataFrame, num: str, den: str, key: str, rounds: int) -> DataFrame:
+    """Bootstrap of the difference of pooled rates (second minus first) of two sets of units, each drawn by itself."""
+    one, two = (bootstrap_many(x, {name: (num, den)}, key, rounds, F.lit(name)) for x, name in ((first, "first"), (second, "second")))
+    gap = one.join(two, "b").select((F.col("second") - F.col("first")).alias("d")).where("d is not null")
+    whole = lambda x, name: x.agg((F.sum(num) / F.expr(f"nullif(sum({den}), 0)")).alias(name))
+    return _with_ends(whole(first, "one").crossJoin(whole(second, "two")).select((F.col("two") - F.col("one")).alias("difference")), gap)
+
+
+def _with_ends(whole: DataFrame, gaps: DataFrame) -> DataFrame:
+    """One row with the interval of the gaps ``d`` and their two-sided p."""
+    both = F.least(F.avg((F.col("d") <= 0).cast("int")), F.avg((F.col("d") >= 0).cast("int")))
+    found = gaps.agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.least(F.lit(1.0), 2 * both).alias("p_value"))
+    return whole.crossJoin(F.broadcast(found)).select(*whole.columns, F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "p_value")
+
+
+def conditional_test(rows: DataFrame, keys: list[str], arm: str, a: str, b: str, rounds: int) -> DataFrame:
+    """Test of rate(b) - rate(a) over units that both arms have, given each unit's events: under equal rates an event is one of
+    arm b with the chance of b's share of the unit's trials. Each event is drawn in each round. With it the sign test over
+    units: ``difference``, ``p``, ``units_with_events``, ``up``, ``down``, ``sign_p``."""
+    side = lambda name, x: rows.where(F.col(arm) == name).select(*keys, F.col("num").cast("long").alias(f"num_{x}"), F.col("den").cast("long").alias(f"den_{x}"))
+    unit = stored(side(a, "a").join(side(b, "b"), keys).withColumn("k", F.col("num_a") + F.col("num_b")), "pairs")
+    rate = lambda x: F.col(f"num_{x}") / F.greatest(f"den_{x}", F.lit(1))
+    whole = unit.agg(
+        (F.sum("num_b") / F.sum("den_b") - F.sum("num_a") / F.sum("den_a")).alias("difference"), F.sum("den_a").alias("da"), F.sum("den_b").alias("db"), F.sum("k").alias("events"), F.count_if(F.col("k") > 0).alias("units_with_events"),
+        F.count_if(rate("b") > rate("a")).alias("up"), F.count_if(rate("b") < rate("a")).alias("down"),
+    )
+    events = unit.where("k > 0").select(*keys, F.expr("den_b / nullif(den_a + den_b, 0)").alias("chance"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))).alias("event"))
+    drawn = events.crossJoin(rows.sparkSession.range(rounds).withColumnRenamed("id", "round")).select("round", (uniform(F.col("round"), *map(F.col, keys), F.col("event")) < F.col("chance")).cast("long").alias("of_b"))
+    sims = drawn.groupBy("round").agg(F.sum("of_b").alias("sim_b"))
+    far = sims.crossJoin(F.broadcast(whole)).where("abs(sim_b / db - (events - sim_b) / da) >= abs(difference) - 1e-12").agg(F.count(F.lit(1)).alias("far"))
+    # Without an event every round gives a difference of nothing, which is as far as what was seen.
+    out = whole.crossJoin(F.broadcast(far)).withColumn("far", F.when(F.col("events") == 0, rounds).otherwise(F.col("far")))
+    n = F.col("up") + F.col("down")
+    sign = F.when(n > 0, F.least(F.lit(1.0), 2 * binomial_cdf(F.least("up", "down"), n, F.lit(0.5))))
+    return out.select("difference", ((F.col("far") + 1) / (rounds + 1)).alias("p"), "units_with_events", "up", "down", sign.alias("sign_p"))
+
+
+def recall_bound(found: Column, sampled: Column, wrong: Column, unflagged: Column) -> dict[str, Column]:
+    """The most errors that a gate can have missed, by the exact upper end of the share of wrong ones in a sample of what it
+    did not flag, and the least share of all errors that the ``found`` ones are."""
+    most = clopper_pearson(wrong, sampled)[1] * unflagged
+    return {"max_missed": most, "recall_lower": F.when(found + most > 0, found / (found + most))}
+
+
+def expected_precision(base: Column, false_alarms: Column, recall: Column) -> Column:
+    """Share of right flags, by the base rate of errors, the share of right numbers flagged, and that of wrong ones."""
+    return recall * base / F.nullif(recall * base + false_alarms * (1 - base), F.lit(0.0))
+
+
+def summary(notes: DataFrame, by: list[str]) -> DataFrame:
+    """Notes, failures, pooled rates and mean cost and time of each group."""
+    pooled = lambda a, b: F.expr(f"sum({a}) / nullif(sum({b}), 0)")
+    mean = lambda c: F.sum(F.col(c).cast("decimal(24,6)")).cast("double") / F.count(c)
+    return notes.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_notes"), F.count_if("failed").alias("n_failed"), pooled("n_unsupported", "n_checked").alias("unsupported_rate"), pooled("n_wrong", "n_verifiable").alias("claim_error_rate"),
+        mean("cost").alias("mean_cost"), mean("latency").alias("mean_latency"),
+    )
 
 
 def holm(tests: DataFrame, p: str = "p", name: str = "name") -> DataFrame:
-    """Step-down adjusted p: the running greatest of (m - rank) p, one at most."""
-    order = Window.orderBy(p, name)
-    ranked = tests.withColumn("rn", F.row_number().over(order)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy()))
-    step = F.least(F.lit(1.0), (F.col("m") - F.col("rn") + 1) * F.col(p))
-    return ranked.withColumn("step", step).select(name, p, F.max("step").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("p_holm"))
+    """Step-down adjusted p: the running greatest of (m - rank) p, one at most. Ranges of p are gone through each by itself,
+    and what the ranges before it have reached is added."""
+    ranked = numbered(tests, [p, name], "rn")
+    m = ranked.count()
+    step = ranked.select(name, p, "rn", F.least(F.lit(1.0), (m - F.col("rn") + 1) * F.col(p)).alias("step"), F.expr("(rn - 1) div 4096").alias("range"))
+    tops = step.groupBy("range").agg(F.max("step").alias("top"))  # one row for 4,096 tests
+    before = tops.select("range", F.max("top").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    running = F.max("step").over(Window.partitionBy("range").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0))
+    return step.withColumn("running", running).join(F.broadcast(before), "range").select(name, p, F.greatest("running", F.coalesce("before", F.lit(0.0))).alias("p_holm"))
 
 
 def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -53,10 +169,23 @@ def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column,
     return mid - half, mid + half
 
 
+def by_draw(seed: str, key: str) -> list[Column]:
+    """An order that a seed and the key settle."""
+    return [F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), F.col(key)]
+
+
 def stratified(rows: DataFrame, strata: list[str], key: str, size: int, seed: str) -> DataFrame:
     """The first ``size`` rows of each stratum in the order of an md5 of the seed and the key."""
-    order = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
-    return rows.withColumn("pick", F.row_number().over(Window.partitionBy(*strata).orderBy(order, key))).where(F.col("pick") <= size)
+    return rows.withColumn("pick", F.row_number().over(Window.partitionBy(*strata).orderBy(*by_draw(seed, key)))).where(F.col("pick") <= size)
+
+
+def audit_sample(rows: DataFrame, strata: list[str], key: str, n: int, seed: str) -> DataFrame:
+    """About n rows spread evenly over the strata, topped up from the rest where strata are small, n at most.
+
+    Of a stratum and of the rest only the first n by draw can matter, so no more is ordered together."""
+    ranked = stratified(rows, strata, key, n, seed)
+    cell = max(1, n // max(1, rows.select(*strata).distinct().count()))
+    return ranked.withColumn("extra", (F.col("pick") > cell).cast("int")).orderBy("extra", *by_draw(seed, key)).limit(n).drop("pick")
 
 
 def precision_recall(rows: DataFrame, truth: str, found: str) -> DataFrame:
@@ -78,16 +207,10 @@ def paired_difference(rows: DataFrame, keys: list[str], arm: str, a: str, b: str
     """Bootstrap of rate(a) - rate(b) over units that both arms have: ``n``, ``difference``, ``low``, ``high`` and a
     two-sided p."""
     side = lambda name, x: rows.where(F.col(arm) == name).select(*keys, F.col("num").alias(f"num_{x}"), F.col("den").alias(f"den_{x}"))
-    pairs = side(a, "a").join(side(b, "b"), keys)
-    unit = pairs.select(F.row_number().over(Window.orderBy(*keys)).cast("long").alias("at"), "num_a", "den_a", "num_b", "den_b")
+    unit = numbered(side(a, "a").join(side(b, "b"), keys), keys)
     gap = F.sum("num_a") / F.sum("den_a") - F.sum("num_b") / F.sum("den_b")
-    whole = unit.agg(F.count(F.lit(1)).alias("n"), gap.alias("difference"))
-    draws = rows.sparkSession.range(rounds).withColumnRenamed("id", "b").crossJoin(F.broadcast(whole.select("n"))).where("n > 0")
-    slots = draws.select("b", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("slot")).select("b", (draw(F.col("n"), F.col("b"), F.col("slot")) + 1).alias("at"))
-    each = slots.join(unit, "at").groupBy("b").agg(gap.alias("d"))
-    both = F.least(F.avg((F.col("d") <= 0).cast("int")), F.avg((F.col("d") >= 0).cast("int")))
-    found = each.agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.least(F.lit(1.0), 2 * both).alias("p_value"))
-    return whole.crossJoin(F.broadcast(found)).select("n", "difference", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "p_value")
+    each = _slots(rows, unit.count(), rounds).join(unit, "at").groupBy("b").agg(gap.alias("d"))
+    return _with_ends(unit.agg(F.count(F.lit(1)).alias("n"), gap.alias("difference")), each)
 
 
 def consensus(first: DataFrame, second: DataFrame, third: DataFrame, key: str) -> DataFrame:
@@ -143,7 +266,33 @@ def side_by_side(rows: DataFrame, keys: list[str], repeat: str, value: str, name
     return wide.select(*keys, *[F.col(str(k)).alias(x) for k, x in names.items()]).dropna(subset=list(names.values()))
 
 
+def quotas(groups: DataFrame, group: str, total: int) -> DataFrame:
+    """``total`` split over the groups (a few, one row each), the first ones by name taking what is over."""
+    k, m = F.row_number().over(Window.orderBy(group)), F.count(F.lit(1)).over(Window.partitionBy())
+    return groups.select(group).distinct().select(group, (F.floor(F.lit(total) / m) + (k <= F.lit(total) % m).cast("long")).cast("long").alias("quota"))
+
+
 def review_batches(rows: DataFrame, strata: list[str], key: str, quota: int, size: int, seed: str) -> DataFrame:
     """A quota of each stratum in batches of ``size``. ``item_id`` is what a reviewer sees; the rest is the key to it."""
     item = F.md5(F.concat(F.lit(f"{seed}|item|"), F.col(key).cast("string")))
     return stratified(rows, strata, key, quota, seed).select(*strata, key, item.alias("item_id"), F.floor((F.col("pick") - 1) / size).cast("long").alias("batch"))
+
+
+def review_items(rows: DataFrame, group: str, key: str, total: int, size: int, seed: str) -> DataFrame:
+    """Items for blind review: ``total`` split over the groups, all put in one order by draw, numbered and cut into batches of
+    ``size``: ``item_id`` (it0001 and on), ``batch`` and the row."""
+    ranked = rows.withColumn("pick", F.row_number().over(Window.partitionBy(group).orderBy(*by_draw(seed, key)))).where(F.col("pick") <= total)
+    chosen = ranked.join(F.broadcast(quotas(rows, group, total)), group).where("pick <= quota").drop("pick", "quota")
+    shuffled = numbered(chosen.withColumn("__order", F.md5(F.concat(F.lit(f"{seed}|all|"), F.col(key).cast("string")))), ["__order", key], "item").drop("__order")
+    return shuffled.withColumn("item_id", F.format_string("it%04d", "item")).withColumn("batch", F.expr(f"(item - 1) div {size} + 1"))
+
+
+def blind(items: DataFrame, shown: list[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """What a reviewer sees, and the key to it kept apart; they share ``item_id`` alone."""
+    return items.select("item_id", "batch", *shown), items.select("item_id", key, *[c for c in items.columns if c not in ("item_id", "batch", "item", key, *shown)])
+
+
+def binary_precision_recall(rows: DataFrame, truth: str, found: str, errors: list[str]) -> DataFrame:
+    """Precision and recall of ERROR and OK, as the labels of both columns come to."""
+    two = lambda c: F.when(F.col(c).isin(errors), "ERROR").otherwise("OK")
+    return precision_recall(rows.select(two(truth).alias("t"), two(found).alias("f")), "t", "f")

@@ -9,6 +9,7 @@ from factledger.functions import matching
 from factledger.functions import text as text_functions
 from factledger.operators import candidates, claims, evaluation, gate, notes, reports
 from factledger.operators.mentions import mentions, note_lines
+from factledger.plans import evaluation_queries, gate_queries
 from factledger.plans.report_sql import LINES, report, weekly, with_
 from factledger.sources.tables import table
 
@@ -274,3 +275,7 @@ ORACLES = {
     "review_batches": """select c_mktsegment, c_custkey, md5('review|item|' || c_custkey) as item_id, (pick - 1) // 10 as batch
         from (select c_mktsegment, c_custkey, row_number() over (partition by c_mktsegment order by md5('review|' || c_custkey), c_custkey) as pick from customer) where pick <= 25""",
 }
+
+for part in (evaluation_queries, gate_queries):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES
