@@ -13,7 +13,8 @@ the share of parts with equal hashes among those that either has terms in, 0 to
 are alike (1) only if equal.
 
 Documents are in order of id and then text; rows without id have no place in it and are left out there. Repeated rows
-are separate documents. Extra columns are ignored. An empty table gives an empty result.
+are separate documents. Extra columns are ignored. An empty table gives an empty result. Ties of a cut between ranges of
+ids stay in one range. A task holds one whole text and the one after it at a time (about 100 bytes a word).
 """
 
 from __future__ import annotations

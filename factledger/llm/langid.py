@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factledger.llm.common import column, fresh, kept, quoted, slices, texts_of
+from factledger.llm.common import column, kept, quoted, slices, texts_of
 
 MAX_TRAIN = 3000  # texts of a language that are learnt from
 LANGUAGES = 250  # languages that are learnt
@@ -202,9 +202,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     """The columns ``keep`` (the id alone if not given) with ``lang_pred``, ``score`` (share of the letters that are in
     spans of that language) and ``lang_spans``: start and end (code points) of each stretch and its language."""
     keep = keep or ["doc_id"]
-    # A text that is kept is sent to Python once.
-    name = text_col if text_col in keep else fresh(keep, "text")
-    source = docs.select(*quoted(keep), *([] if text_col in keep else [quoted([text_col])[0].alias(name)]))
+    # A text that is kept is sent to Python once, and all by plain names.
+    inside = [f"keep_{k}" for k in range(len(keep))]
+    name = inside[keep.index(text_col)] if text_col in keep else "text"
+    source = docs.select(*[x.alias(y) for x, y in zip(quoted(keep), inside, strict=True)], *([] if text_col in keep else [quoted([text_col])[0].alias(name)]))
     types = dict(docs.dtypes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
@@ -229,7 +230,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
                     for a, b, d in zip(edge.tolist(), stop.tolist(), words.doc[edge].tolist(), strict=True):
                         zero = words.doc_start[d]
                         found[d].append({"start": int(words.start[a] - zero), "end": int(words.end[b] - zero), "lang": model.languages[path[a]]})
-            yield pa.RecordBatch.from_arrays([*[column(batch, x) for x in keep], pa.array(label), pa.array(score), pa.array(found, kind)], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*[column(batch, x) for x in inside], pa.array(label), pa.array(score), pa.array(found, kind)], [*keep, *names])
 
     schema = ", ".join(f"`{x}` {types[x]}" for x in keep) + f", `{names[0]}` string, `{names[1]}` double, `{names[2]}` array<struct<start:bigint,end:bigint,lang:string>>"
     return source.mapInArrow(run, schema)

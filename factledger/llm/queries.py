@@ -41,6 +41,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op4_secret_scan`` that SQL can repeat."""
+    return op4_secret_scan(spark, sf_dir).drop("spans")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -80,5 +85,33 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_toxicity": op10_toxicity,
+    "secret_base_spans": secret_base_spans,
+}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _kind_sql(order: int, kind: str, pattern: str, keep: str) -> str:
+    """Places of the matches of a pattern: what stands between them tells where they begin."""
+    return f"""select doc_id, {order} as k, '{kind}' as kind, unnest(range(1, len(m) + 1)) as i, m, g from (select doc_id, regexp_extract_all(t, '{pattern}') as m, string_split_regex(t, '{pattern}') as g from d where regexp_matches(t, '{pattern}'))""", keep
+
+
+_ASSIGN = r"""(?i:(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?)[A-Za-z0-9+/_.=-]+"""
+_KINDS = [
+    _kind_sql(0, "assign", _ASSIGN, "length(regexp_extract(raw, '(?i:(?:password|passwd|secret|token|api_?key)[\"'']?\\x20*[:=]\\x20*[\"'']?)([A-Za-z0-9+/_.=-]+)', 1)) >= 12"),
+    _kind_sql(1, "access", "AKIA[A-Z0-9]+", "length(raw) >= 18"),
+    _kind_sql(2, "hex", "[0-9a-f]+", "length(raw) >= 16"),
+]
+
+ORACLES: dict[str, str] = {
+    "secret_base_spans": "with d as (select doc_id, coalesce(text, '') as t from documents), "
+    + ", ".join(f"x{i} as ({sql}), y{i} as (select doc_id, k, kind, m[i] as raw, list_sum([length(z) for z in g[1:i]]) + list_sum([length(z) for z in m[1:i]]) - length(m[i]) as a from x{i}), z{i} as (select * from y{i} where {keep})" for i, (sql, keep) in enumerate(_KINDS))
+    + """, s as (select doc_id, k, cast(a as bigint) as a, kind || ':' || cast(a as bigint) || ':' || cast(a + length(raw) as bigint) as label from (select * from z0 union all select * from z1 union all select * from z2))
+    select d.doc_id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex, sha256(coalesce(string_agg(label, ',' order by a, k), '')) as base_sha256 from d left join s using (doc_id) group by d.doc_id""",
+    "op7_ngram_jaccard_join": f"""with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+    g as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5) union select doc_id, array_to_string(w, ' ') from w where len(w) between 1 and 4),
+    n as (select doc_id, count(*) as n from g group by doc_id), p as (select a.doc_id as a, b.doc_id as b, count(*) as i from g a join g b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+    e as (select a, b, i = x.n and i = y.n as same from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 80 * (x.n + y.n - i)),
+    c as (select doc_id as node, doc_id as root from w union select e.b, c.root from c join e on e.a = c.node)
+    select w.doc_id, coalesce(n.n, 0) as n_shingles, (select min(root) from c where node = w.doc_id) as component_id, least(w.doc_id, coalesce((select min(b) from e where a = w.doc_id and same), w.doc_id)) as class_id, (select count(*) from e where a = w.doc_id) as n_links from w left join n using (doc_id)""",
 }
-ORACLES: dict[str, str] = {}

@@ -37,17 +37,50 @@ def test_fingerprints_hang_on_the_set_alone():
         assert fingerprint.fingerprints([t], lexicon, member) == [got[i]]
 
 
+def sets_of(text, lexicon, member):
+    """The text's terms of the whole lexicon and of each of its parts; hashes and their sums play no part."""
+    own = sorted(set(TERM.findall(low(text))))
+    place = {int(h): k for k, h in enumerate(lexicon)}
+    at = [place[h] for h in Words(own).hash.tolist() if h in place] if own else []
+    if not at:
+        return None, frozenset(own) if own else text
+    return [frozenset(at), *[frozenset(k for k in at if member[k, j]) for j in range(member.shape[1])]], None
+
+
+def likeness_of(a, b):
+    if a[0] is None or b[0] is None:
+        return float(a == b)
+    pairs = [(x, y) for x, y in zip(a[0][1:], b[0][1:]) if x or y]
+    return sum(x == y for x, y in pairs) / len(pairs) if pairs else float(a[0][0] == b[0][0])
+
+
 def check(rows, docs, lexicon):
+    """Hashes are equal where sets are and only there; all else is worked out from sets and texts."""
     member = fingerprint.membership(lexicon)
     docs = sorted(((i, t or "") for i, t in docs if i is not None))
-    want = []
+    want, seen = [], {}
     for k, (i, t) in enumerate(docs):
         nxt = docs[(k + 1) % len(docs)][1]
         half = len(t) // 2
         e = t[: len(t) - half] + nxt[:half]
-        a, b, c = (fingerprint.fingerprints([x], lexicon, member)[0] for x in (t, e, nxt))
-        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), a, b, fingerprint.likeness(a, b), fingerprint.likeness(a, c)))
-    assert sorted(tuple(r) for r in rows) == sorted(want)
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), t, e, nxt))
+    got = sorted(rows, key=lambda r: (r.doc_id, r.n_chars, r.edited_sha256))
+    want.sort(key=lambda x: x[:3])
+    assert [(r.doc_id, r.n_chars, r.edited_sha256) for r in got] == [x[:3] for x in want]
+    for r, (_, _, _, t, e, nxt) in zip(got, want, strict=True):
+        own, other, after = (sets_of(x, lexicon, member) for x in (t, e, nxt))
+        assert abs(r.near_edited - likeness_of(own, other)) < 1e-12 and abs(r.near_next - likeness_of(own, after)) < 1e-12
+        for mark, (sets, rest) in ((r.fingerprint, own), (r.edited_fingerprint, other)):
+            if sets is None:
+                assert mark[0] == "x" and seen.setdefault(("x", rest), mark) == mark
+            else:
+                parts = mark.split("-")
+                assert len(parts) == len(sets)
+                for j, (x, y) in enumerate(zip(parts, sets)):
+                    assert (x == "0") == (not y) and seen.setdefault((j, y), x) == x
+    for j in {k[0] for k in seen}:
+        values = [v for k, v in seen.items() if k[0] == j and k[1]]
+        assert len(values) == len(set(values))
 
 
 def test_edges(spark):

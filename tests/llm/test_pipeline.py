@@ -78,3 +78,20 @@ def test_empty_tables_and_nulls(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.drop("extra").limit(0), sf_dir).collect() == []
         stage(spark, docs, sf_dir).collect()
+
+
+def test_columns_that_clash(spark, sf_dir):
+    """Columns of documents that have a result's name, or marks in theirs, go through every stage that keeps columns."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    more = docs.selectExpr("*", "doc_id as score", "doc_id as lang_pred", "'s' as spans", "1 as `a.b`", "2 as Lang_Spans", "3 as id", "4 as component_id", "5 as class_id")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, sf_dir)
+        assert out.columns == more.columns and out.count() > 0
+        assert all(r.score == r.doc_id and r.spans == "s" for r in out.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, more, sf_dir).count() >= 60
+
+
+def test_exact_copies_under_one_id_go(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "some words that stand twice here", "en", "s", 9), (1, "some words that stand twice here", "en", "s", 9), (None, "some words that stand twice here", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 1]
