@@ -11,6 +11,7 @@ from factledger.operators import candidates, claims, evaluation, gate, notes, re
 from factledger.operators.mentions import mentions, note_lines
 from factledger.plans import evaluation_queries, gate_queries
 from factledger.plans.report_sql import LINES, report, weekly, with_
+from factledger.sources.scratch import stored
 from factledger.sources.tables import table
 
 TOP = 10
@@ -43,22 +44,23 @@ def _changes_sql(source: str, keys: str, evidence: str, unit: bool) -> str:
 
 def match_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices of parts against themselves as cited in whole thousands, rounded or hedged."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("true"), F.pmod("p_partkey", F.lit(5)).alias("kind"))
-    cited = F.when(F.col("kind") == 0, F.rint("true")).when(F.col("kind") == 1, F.rint(F.col("true") / 100) / 10).when(F.col("kind") == 2, F.col("true") * 1.04).when(F.col("kind") == 3, F.col("true") / 1.2).otherwise(-F.col("true"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("true"), F.pmod("p_partkey", F.lit(6)).alias("kind"))
+    cited = F.when(F.col("kind") == 0, F.rint("true")).when(F.col("kind") == 1, F.rint(F.col("true") / 100) / 10).when(F.col("kind") == 2, F.col("true") * 1.04).when(F.col("kind") == 3, F.col("true") / 1.2).when(F.col("kind") == 5, F.col("true") * F.when(F.col("p_partkey") % 4 < 2, 1.3).otherwise(0.9)).otherwise(-F.col("true"))
     args = p.select(
         "p_partkey", "true", cited.alias("cited"), F.when(F.col("kind") == 1, 1).otherwise(F.when(F.col("kind") == 0, 0).otherwise(2)).alias("decimals"),
-        F.when(F.col("kind") == 1, 1000.0).otherwise(1.0).alias("scale"), F.when(F.col("kind") == 2, "approx").when(F.col("kind") == 3, "over").otherwise("none").alias("qualifier"), (F.col("kind") == 4).alias("signed"),
+        F.when(F.col("kind") == 1, 1000.0).otherwise(1.0).alias("scale"), F.when(F.col("kind") == 2, "approx").when(F.col("kind") == 3, "over").when(F.col("kind") == 5, "under").otherwise("none").alias("qualifier"), (F.col("kind") == 4).alias("signed"),
     )
     return args.select("p_partkey", matching.matches(F.col("true"), F.col("cited"), F.col("decimals"), F.col("scale"), F.col("qualifier"), F.col("signed"), F.lit(True)).alias("ok"))
 
 
-MATCH_SQL = """with a as (select p_partkey, p_retailprice as t, p_partkey % 5 as kind from part),
-c as (select p_partkey, t, case kind when 0 then round_even(t, 0) when 1 then round_even(t / 100, 0) / 10 when 2 then t * 1.04 when 3 then t / 1.2 else -t end as cited,
+MATCH_SQL = """with a as (select p_partkey, p_retailprice as t, p_partkey % 6 as kind from part),
+c as (select p_partkey, t, case kind when 0 then round_even(t, 0) when 1 then round_even(t / 100, 0) / 10 when 2 then t * 1.04 when 3 then t / 1.2 when 5 then t * case when p_partkey % 4 < 2 then 1.3::double else 0.9::double end else -t end as cited,
   case kind when 1 then 1 when 0 then 0 else 2 end as d, case kind when 1 then 1000.0 else 1.0 end::double as s,
-  case kind when 2 then 'approx' when 3 then 'over' else 'none' end as q, kind = 4 as signed from a),
+  case kind when 2 then 'approx' when 3 then 'over' when 5 then 'under' else 'none' end as q, kind = 4 as signed from a),
 h as (select *, abs(t) as ta, abs(cited) as ca, 0.5::double * pow(10.0::double, -d) as half from c)
 select p_partkey, ((ta / s - ca >= -half - 1e-9::double and ta / s - ca < half - 1e-9::double) or (s > 1 and abs(ta - ca * s) <= 0.005::double * ta) or (q = 'approx' and abs(ta - ca * s) <= 0.05::double * ta)
-  or (q = 'over' and ta >= ca * s - half * s and ta <= 1.5::double * (ca * s))) and (not signed or sign(t) = sign(cited) or t = 0 or cited = 0) as ok from h"""
+  or (q = 'over' and ta >= ca * s - half * s and ta <= 1.5::double * (ca * s))
+  or (q = 'under' and ta <= ca * s + half * s and ta >= (ca * s) / 1.5::double and ta > 0)) and (not signed or sign(t) = sign(cited) or t = 0 or cited = 0) as ok from h"""
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +96,9 @@ select * exclude (pick) from (select *, row_number() over (partition by l_orderk
 
 def _level1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate over a generated note about every week of the report. The report is read by every kind of candidate, so it
-    is kept once made."""
-    tables = notes.as_tables(_report(spark, sf_dir)).persist()
-    lines = note_lines(notes.template_notes(tables)[0])
+    is stored once made, and so are the notes."""
+    tables = stored(notes.as_tables(_report(spark, sf_dir)), "report")
+    lines = stored(note_lines(notes.template_notes(tables)[0]), "lines")
     return gate.level1(mentions(lines), lines, tables)
 
 
@@ -106,14 +108,38 @@ def level1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claim_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The revenue claim of each line of the generated notes, bound to its table."""
-    tables = notes.as_tables(_report(spark, sf_dir)).persist()
+    tables = stored(notes.as_tables(_report(spark, sf_dir)), "report")
     note, slots = notes.template_notes(tables)
-    return claims.verify(notes.template_claims(slots), note_lines(note), tables)
+    return claims.verify(stored(notes.template_claims(slots), "claims"), stored(note_lines(note), "lines"), tables)
 
 
 def claim_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = claims.claim_frame(notes.as_tables(_report(spark, sf_dir)))
-    return frame.select(F.col("table_id").alias("week"), F.col("row").alias("entity"), F.explode("cells").alias("col", "value")).where("col in ('Revenue_WoW_Abs', 'Units_WoW_Pct', 'Revenue_YoY_Pct', 'Share_LW', 'Orders_Share')")
+    return frame.select(F.col("table_id").alias("week"), F.col("row").alias("entity"), F.explode("cells").alias("col", "value"))
+
+
+def frame_sql() -> str:
+    """Every virtual column of every row and of the total, one after the other."""
+    parts = []
+    for total in (False, True):
+        c = lambda x: f"cast({'t' if total else 'r'}.{x} as double)"  # noqa: B023, E731
+        change = lambda a, b: f"({c(a)} - {c(b)})"  # noqa: B023, E731
+        over = lambda a, b: f"({a}) / nullif(cast({b} as double), 0)"
+        cells = {x: c(x.lower()) for x in gate.LEVELS}
+        for m in gate.MEASURES:
+            a, b = f"{m.lower()}_tw", f"{m.lower()}_lw"
+            cells |= {f"{m}_WoW_Abs": change(a, b), f"{m}_WoW_Pct": over(change(a, b), c(b)) + " * 100", f"{m}_WoW_Ratio": over(c(a), c(b))}
+        yoy = f"case when {c('revenue_ly')} > 0 then {change('revenue_tw', 'revenue_ly')} / {c('revenue_ly')} * 100 end"
+        cells |= {"Revenue_YoY_Abs": change("revenue_tw", "revenue_ly"), "Revenue_YoY_Pct": yoy, "Revenue_YoY_Ratio": over(c("revenue_tw"), c("revenue_ly"))}
+        if total:
+            cells |= {"WoW_Pct": cells["Revenue_WoW_Pct"], "YoY_Pct": yoy, **dict.fromkeys(("Share_Pct", "Share_TW_Exact", "Units_Share", "Orders_Share"), "100.0::double")}
+        else:
+            lw, tw = over(c("revenue_lw"), "t.revenue_lw") + " * 100", over(c("revenue_tw"), "t.revenue_tw") + " * 100"
+            cells |= {x: c(x.lower() if x != "Rank" else '"rank"') for x in ("WoW_Pct", "YoY_Pct", "Share_Pct", "Rank")}
+            cells |= {"Share_LW": lw, "Share_TW_Exact": tw, "Share_WoW_Abs": f"{c('share_pct')} - {lw}", "Share_WoW_Abs_Exact": f"{tw} - {lw}", "Units_Share": over(c("units_tw"), "t.units_tw") + " * 100", "Orders_Share": over(c("orders_tw"), "t.orders_tw") + " * 100"}
+        source = "totals t" if total else "report r join totals t using (week)"
+        parts += [f"select week, {chr(39) + 'TOTAL' + chr(39) if total else 'r.entity'} as entity, '{x}' as col, {v} as value from {source} where {v} is not null" for x, v in cells.items()]
+    return BASE.rstrip() + ",\n" + TOTALS + " " + " union all ".join(parts)
 
 
 def extract_numbers_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,13 +220,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "claim_frame": BASE.rstrip() + ",\n" + TOTALS + """, rows as (select week, entity, revenue_tw, revenue_lw, revenue_ly, units_tw, units_lw, orders_tw, false as total from report
-        union all select week, 'TOTAL', revenue_tw, revenue_lw, revenue_ly, units_tw, units_lw, orders_tw, true from totals),
-        v as (select r.week, r.entity, r.revenue_tw - r.revenue_lw as a, case when r.units_lw <> 0 then (cast(r.units_tw as double) - r.units_lw) / cast(r.units_lw as double) * 100 end as b,
-          case when r.revenue_ly > 0 then (r.revenue_tw - r.revenue_ly) / r.revenue_ly * 100 end as c, case when not r.total and t.revenue_lw <> 0 then r.revenue_lw / t.revenue_lw * 100 end as d,
-          case when r.total then 100.0 when t.orders_tw <> 0 then r.orders_tw / t.orders_tw * 100 end as e from rows r join totals t using (week))
-        select * from (select week, entity, 'Revenue_WoW_Abs' as col, a as value from v union all select week, entity, 'Units_WoW_Pct', b from v union all select week, entity, 'Revenue_YoY_Pct', c from v
-        union all select week, entity, 'Share_LW', d from v union all select week, entity, 'Orders_Share', e from v) where value is not null""",
+    "claim_frame": frame_sql(),
     "clean_lines": with_(LINES) + "select invoice_no, day, country, product, brand, quantity, cast(revenue as double) as revenue, flag from clean",
     "weekly_rollup_country": with_(LINES, weekly("country")) + "select * from weekly",
     "weekly_rollup_product": with_(LINES, weekly("product")) + "select * from weekly",
