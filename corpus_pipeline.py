@@ -1,7 +1,9 @@
 """The training-data pipeline: language identification, near duplicates, benchmark decontamination, secret scan, packing.
 
 Each stage reads what the one before it has kept. All but the last give the columns of ``documents``; the last gives the
-packed pieces. Null ids, which no later stage could name, are kept only by the stages that need none."""
+packed pieces. Rows without id go through every stage. Rows with null or empty texts, or without a letter, go in the first
+stage, which finds no language in them. An empty table gives empty stages. Repeated rows leave one in the second. Very long
+texts are held whole by one task. Extra columns go along, whatever their names."""
 
 from __future__ import annotations
 
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factledger.llm import decontaminate, jaccard, langid, packing, secrets
-from factledger.llm.common import fresh, quoted, stored, table
+from factledger.llm.common import discard, fresh, quoted, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,13 +60,19 @@ BATCH_ROWS = 2000  # rows in an Arrow batch: what a worker and its executor hold
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again. Sets the session's Arrow batch to
-    ``BATCH_ROWS``, since all stages share the executors' memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over ``documents``, each written to the shared folder and read again; what a stage has read goes once the
+    next one is written. Stages run with Arrow batches of ``BATCH_ROWS``, since all share the executors' memory; after them
+    the session has its own setting again."""
+    name_of, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(name_of, str(BATCH_ROWS))
+    try:
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES[:-1]:
+            read, docs = docs, stored(stage(spark, docs, sf_dir), name)
+            discard(read)
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        spark.conf.set(name_of, before)
 
 
 #: SQL can express neither the classifier nor the tokenizer; the tests hold each stage against a plain version.
