@@ -46,3 +46,4 @@ NUMBER = (
 )
 DATE = r"(?i)\b\d{4}-W\d{1,2}\b|\b\d{4}-\d{2}-\d{2}\b|\b(?:iso\s+)?(?:week|wk)\s?#?\d{1,2}\b|\bW\d{1,2}\b"
 SENTENCE_END = r"(?<!\bvs\.)(?<!\bc\.)(?<=[.!?;])\s+(?=[A-Z£$€(])"
+TRAILING_DIRECTION = r"(?i)^\s*(TW|LW|LY)?\s*,?\s*\(?(down|up|falling|rising|fell|rose|declin\w*|increas\w*|drop\w*|ris\w*|grew|growing)\s+(from|on|versus|vs)"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factledger.functions import lexicons as lx
+
 
 def bullets(note: Column) -> Column:
     """The lines of a note that are bullets (-, * or a dot), each with one dash."""
@@ -78,3 +80,8 @@ def from_markdown(texts: DataFrame, key: str, text: str) -> DataFrame:
     """The rows of the Markdown table in each text as ``key``, ``pos`` and an array of cells, its head as position 0."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x).startswith("|") & ~F.trim(x).rlike(r"^\|[-|: ]+\|?$"))
     return texts.select(key, F.posexplode(lines).alias("pos", "line")).select(key, "pos", F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x)).alias("cells"))
+
+
+def trailing_direction(line: Column, end: Column) -> Column:
+    """Whether a direction and what it compares with follow a number that ends at ``end``, as in "£5, down from £9"."""
+    return line.substr(end + 1, F.lit(25)).rlike(lx.TRAILING_DIRECTION)

@@ -234,3 +234,12 @@ def claims_of_replies(replies: DataFrame) -> DataFrame:
 def unread_replies(replies: DataFrame) -> DataFrame:
     """The notes whose reply holds no list of claims."""
     return replies.where(F.from_json(F.regexp_extract("reply", r"(?s)(\{.*\})", 1), REPLY_DDL)["claims"].isNull()).select("note_id")
+
+
+def extraction_status(notes: DataFrame, replies: DataFrame) -> DataFrame:
+    """``note_id`` and how its claims come about: ``regex`` where rules read them (``model`` is mock), ``model`` where the reply
+    holds a list of claims, ``extract_failed`` where it does not, ``budget_stop`` where no reply was paid for."""
+    good = F.from_json(F.regexp_extract("reply", r"(?s)(\{.*\})", 1), REPLY_DDL)["claims"].isNotNull()
+    said = replies.groupBy("note_id").agg(F.bool_or(F.coalesce(good, F.lit(False))).alias("good"))
+    status = F.when(F.col("model") == "mock", "regex").when(F.col("good"), "model").when(F.col("good").isNotNull(), "extract_failed").otherwise("budget_stop")
+    return notes.join(said, "note_id", "left").select("note_id", status.alias("status"))

@@ -296,3 +296,8 @@ def binary_precision_recall(rows: DataFrame, truth: str, found: str, errors: lis
     """Precision and recall of ERROR and OK, as the labels of both columns come to."""
     two = lambda c: F.when(F.col(c).isin(errors), "ERROR").otherwise("OK")
     return precision_recall(rows.select(two(truth).alias("t"), two(found).alias("f")), "t", "f")
+
+
+def missing(keys: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
+    """The items of a key that nobody has judged."""
+    return keys.select(key).join(verdicts.select(key), key, "left_anti")

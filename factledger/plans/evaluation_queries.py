@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factledger.functions import text as text_functions
+from factledger.operators import claims as claim_operators
 from factledger.operators import cleaning, design, evaluation, outcomes, reports
 from factledger.plans.report_sql import LINES, weekly, with_
 from factledger.sources.runs import filled
@@ -234,6 +235,19 @@ QUERIES = {
     ),
 }
 
+QUERIES |= {
+    "missing_items": lambda s, d: evaluation.missing(table(s, d, "orders").select("o_orderkey"), table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey"),
+    "rates_six_sets": lambda s, d: evaluation.rates_by_sets(
+        _notes(s, d).where("not failed").join(table(s, d, "orders").select(F.col("o_orderkey").alias("note_id"), F.quarter("o_orderdate").cast("string").alias("size")), "note_id"),
+        [[], ["strategy"], ["model"], ["size"], ["strategy", "size"], ["model", "strategy"]], "n_unsupported", "n_checked",
+    ),
+    "trailing_directions": lambda s, d: table(s, d, "orders").select("o_orderkey", text_functions.trailing_direction(F.concat(F.lit("£1"), _pick("o_orderstatus", {"F": " TW, down from £3", "O": " (rising on LW)", "P": ", from £3 up"})), F.lit(2)).alias("trailing")),
+    "extraction_status": lambda s, d: claim_operators.extraction_status(
+        table(s, d, "orders").select(F.col("o_orderkey").alias("note_id"), F.when(F.col("o_orderkey") % 5 == 0, "mock").otherwise("m").alias("model")),
+        table(s, d, "orders").where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("note_id"), F.when(F.col("o_orderkey") % 4 == 0, "no object").when(F.col("o_orderkey") % 4 == 1, '{"other": 1}').otherwise('Here: {"claims": [{"line": 0, "entity": "x"}]} end').alias("reply")),
+    ),
+}
+
 SALES = with_(LINES, RAW)
 WEEKLY = with_(LINES, weekly("country")).rstrip()
 CHOSEN = "plan as (select * from (values " + ", ".join(f"('{a}', {b}, {c}, {n})" for a, b, c, n in PLAN) + f""") p(size, least, most, tables)), t as (select week, count(*) as trading from weekly where revenue > 0 group by week),
@@ -248,6 +262,11 @@ ORACLES = {
     "blind_items": """with g as (select c_mktsegment, 83 // count(*) over () + cast(row_number() over (order by c_mktsegment) <= 83 % count(*) over () as bigint) as quota from (select distinct c_mktsegment from customer)),
         r as (select c_custkey, c_name, c_mktsegment, row_number() over (partition by c_mktsegment order by md5('review|' || c_custkey), c_custkey) as pick from customer), i as (select c_name, row_number() over (order by md5('review|all|' || c_custkey), c_custkey) as k from r join g using (c_mktsegment) where pick <= quota)
         select 'it' || lpad(cast(k as varchar), 4, '0') as item_id, (k - 1) // 20 + 1 as batch, c_name from i""",
+    "missing_items": "select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')",
+    "rates_six_sets": f"""with {NOTES}, v as (select strategy, model, cast(quarter(o_orderdate) as varchar) as size, n_unsupported as num, n_checked as den from notes join orders on o_orderkey = note_id where not failed)
+        select strategy, model, size, count(*) as n, cast(sum(num) as double) / nullif(sum(den), 0) as rate from v group by grouping sets ((), (strategy), (model), (size), (strategy, size), (model, strategy))""",
+    "trailing_directions": "select o_orderkey, o_orderstatus in ('F', 'O') as trailing from orders",
+    "extraction_status": "select o_orderkey as note_id, case when o_orderkey % 5 = 0 then 'regex' when o_orderkey % 3 = 0 then 'budget_stop' when o_orderkey % 4 < 2 then 'extract_failed' else 'model' end as status from orders",
     "claim_numbers": f"with {NUMBERS}, {_aligned('true', 'false')} select * from found",
     "gate_flags": f"""with {NUMBERS}, {_aligned("label like 'Wrong%'", "label = 'Unsupported'")} select n.note_id, n.line_idx, n.position,
         cast(n.label = 'Unsupported' or exists (select 1 from found f where f.note_id = n.note_id and f.line_idx = n.line_idx and f.position = n.position) as bigint) as flag from numbers n""",

@@ -162,6 +162,7 @@ QUERIES = {
     "pair_values": pairs,
     "group_values": groups,
     "note_numbers": cited,
+    "error_injection": lambda s, d: notes.template_notes(_tables(s, d))[1].select("table_id", "line_idx", F.col("Entity").alias("entity"), "text", "planted", "true_value"),
     "regex_claims": read_claims,
     "claim_hints": corrected,
 }
@@ -173,6 +174,8 @@ ORACLES = {
     "note_numbers": BASE + ",\n" + SLOTS + """ select table_id, cast(line_idx as integer) as line_idx, 0 as mention_idx, money as raw_text, cast(replace(money[2:], ',', '') as double) as value, 'currency' as unit, 2 as decimals, 'none' as direction, false as signed,
         length('- ' || entity || ' revenue was ') as position, '' as skip_reason from planted union all
         select table_id, line_idx, 1, pct, cast(pct[:-2] as double) * case way when 'up' then 1 else -1 end, 'percent', 1, way, true, length('- ' || entity || ' revenue was ' || money || ' TW, ' || way || ' '), '' from planted""",
+    "error_injection": BASE + ",\n" + SLOTS + """ select table_id, cast(line_idx as integer) as line_idx, entity, '- ' || entity || ' revenue was ' || money || ' TW, ' || way || ' ' || pct || ' WoW' as text,
+        case when drift then 'drift' when flip then 'flip' else 'none' end as planted, revenue_tw as true_value from planted""",
     "regex_claims": BASE + ",\n" + SLOTS + """ select table_id, cast(line_idx as integer) as line_idx, entity, 'revenue' as metric, 'TW' as period, money as value_text, 'none' as direction from planted
         union all select table_id, line_idx, entity, 'revenue', 'WoW', pct, way from planted""",
     "claim_hints": BASE + ",\n" + SLOTS + """ select table_id, cast(line_idx as integer) as line_idx, cast(line_idx * 2 as integer) as claim_idx, 'revenue' as metric, 'TW' as period, 'period LW->TW from text' as adjusted from planted
