@@ -159,7 +159,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     Columns ``part``, ``copy``, ``doc_id``, ``text``. One shuffle of the texts. The bounds are ids that occur, found by
     approximate quantiles, so that each range knows what begins the next; the last is followed by the first."""
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seen = ids.agg(F.min("doc_id").alias("least"), F.percentile_approx("doc_id", [k / parts for k in range(parts)]).alias("cuts")).first()
     if seen.least is None:
         return ids.select(F.lit(1).alias("part"), F.lit(0).alias("copy"), "doc_id", "text")
@@ -168,7 +168,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
     before = F.struct(F.when(F.col("rank") == 1, F.lit(len(bounds))).otherwise(F.col("rank") - 1).alias("part"), F.lit(1).alias("copy"))
     places = F.when(F.col("doc_id").isin(bounds), F.array(own, before)).otherwise(F.array(own))
     dealt = ids.withColumn("rank", _rank(bounds)).select(F.explode(places).alias("x"), "doc_id", "text").select("x.part", "x.copy", "doc_id", "text")
-    return dealt.repartition("part").sortWithinPartitions("part", "copy", "doc_id", "text")
+    # A task for each range, so that none gets several.
+    return dealt.repartitionById(len(bounds), (F.col("part") - 1).cast("int")).sortWithinPartitions("part", "copy", "doc_id", "text")
 
 
 def fingerprint_with_next(docs: DataFrame, lexicon: np.ndarray) -> DataFrame:
