@@ -78,11 +78,14 @@ def mentions(lines: DataFrame) -> DataFrame:
     for word in ("approx", "ca", "c"):
         norm = F.regexp_replace(norm, rf"(?i)\b{word}\.(?=\s?[£$€\d])", "~" + " " * len(word))
     base = lines.withColumn("norm", norm).withColumn("dates", spans(F.col("norm"), lx.DATE))
-    # A sentence's place is the length of all that stands before it, since the same sentence may stand twice.
+    # A sentence's place is the length of all that stands before it, since the same sentence may stand twice; only sentences
+    # with a digit go on.
     parts = F.zip_with(F.split("norm", lx.SENTENCE_END), F.regexp_extract_all("norm", F.lit(f"({lx.SENTENCE_END})"), F.lit(1)), lambda text, gap: F.struct(text.alias("text"), (F.char_length(text) + F.coalesce(F.char_length(gap), F.lit(0))).alias("size")))
-    parts = base.select("*", F.posexplode(parts).alias("sentence_idx", "part")).withColumn("offset", F.expr("cast(coalesce(sum(part.size) over (partition by note_id, line_idx order by sentence_idx rows between unbounded preceding and 1 preceding), 0) as int)"))
-    found = parts.withColumn("text", F.col("part.text")).drop("part").where(F.trim("text") != "")
-    found = found.select("*", F.posexplode(spans(F.col("text"), lx.NUMBER)).alias("k", "m")).withColumn("prior", F.expr("lag(named_struct('m', m, 'text', text)) over (partition by note_id, line_idx, sentence_idx order by k)"))
+    before = lambda i: F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0), lambda acc, x: acc + x["size"])
+    placed = F.transform("parts", lambda x, i: F.struct(i.alias("sentence_idx"), x["text"].alias("text"), F.when(x["text"].rlike("(?U)\\d"), before(i)).alias("offset")))
+    parts = base.withColumn("parts", parts).withColumn("sentence", F.explode(F.filter(placed, lambda x: x["offset"].isNotNull())))
+    found = parts.select(*lines.columns, "dates", "sentence.*")
+    found = found.select("*", F.posexplode(spans(F.col("text"), lx.NUMBER)).alias("k", "m")).withColumn("prior", F.expr("lag(named_struct('m', m)) over (partition by note_id, line_idx, sentence_idx order by k)"))
     found = found.withColumn("pre", F.expr("substring(text, 1, m.start)")).withColumn("post", F.expr("substring(text, m.end + 1)"))
     group = lambda n: F.regexp_extract(F.col("m.raw"), lx.NUMBER, n)
     before = tokens(F.col("pre"), r"[#\w.'-]+|[£$€~]")
