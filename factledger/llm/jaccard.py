@@ -42,6 +42,7 @@ BLOCK, TEXT_BLOCK = 1024, 512  # members of a group, and texts of a cluster, tha
 FANOUT = 8
 COLUMNS = 16384  # shingles that the exact comparison holds at a time
 TREE_BITS = 1024
+SLICE = 500_000  # bytes of text that a task hashes at a time
 #: A shingle is frequent if it is in this share of the texts; so the list has at most 1 / share times the mean set size.
 FREQUENT, FREQUENT_LEAST, STRETCH = 2e-4, 16, 3_000_000
 
@@ -245,7 +246,7 @@ def _profile(n_words: int):
             none = pa.nulls(len(value), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(value), np.int32)), pa.array(value), none, none, pa.array(times), pa.nulls(len(value), pa.binary())], schema=_PROFILE)
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             sets = shingle_sets(texts_of(batch), n_words)
             lo, hi = zip(*(_digest(x) for x in sets), strict=True)
             yield pa.RecordBatch.from_arrays(
@@ -268,7 +269,7 @@ def _prefixes(n_words: int, percent: int, known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, times = known.value
         seen: set[int] = set()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             out, own, sizes = [], [], []
             for x in shingle_sets(texts_of(batch), n_words):
                 if not len(x) or (key := _digest(x)[0]) in seen:

@@ -212,7 +212,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, name, limit=700_000):
+        for batch in slices(batches, name, limit=400_000):
             words = Letters(texts_of(batch, name))
             n = batch.num_rows
             label, score, found = [UND] * n, np.zeros(n), [[] for _ in range(n)]
