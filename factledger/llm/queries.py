@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.llm import decontaminate, fingerprint, jaccard, langid, packing, quality, repeats, secrets, tokenfile, toxicity
+from factledger.llm import decontaminate, ffd, fingerprint, jaccard, langid, packing, quality, repeats, secrets, tokenfile, toxicity
 from factledger.llm.common import table
 
 
@@ -74,6 +74,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ffd.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -85,6 +89,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_toxicity": op10_toxicity,
+    "op11_first_fit_packing": op11_first_fit_packing,
     "secret_base_spans": secret_base_spans,
 }
 
