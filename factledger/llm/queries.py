@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.llm import decontaminate, ffd, fingerprint, jaccard, langid, packing, quality, repeats, secrets, tokenfile, toxicity
+from factledger.llm import centroids, decontaminate, ffd, fingerprint, jaccard, langid, packing, quality, repeats, secrets, tokenfile, toxicity
 from factledger.llm.common import table
 
 
@@ -78,6 +78,10 @@ def op11_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ffd.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -90,6 +94,7 @@ QUERIES = {
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_toxicity": op10_toxicity,
     "op11_first_fit_packing": op11_first_fit_packing,
+    "op12_centroid_clustering": op12_centroid_clustering,
     "secret_base_spans": secret_base_spans,
 }
 
@@ -108,7 +113,28 @@ _KINDS = [
     _kind_sql(2, "hex", "[0-9a-f]+", "length(raw) >= 16"),
 ]
 
+
+
+def _clusters_sql(rounds: int = 5, k: int = 40) -> str:
+    """Each round's nearest centroids and floors of means, by plain distances to every centroid."""
+    first = f"row_number() over (order by sha256('2:' || vec_id), x)"
+    out = f"""with e as (select row_number() over () as r, vec_id, x from (select vec_id, list_transform(embedding, lambda c: cast(floor(256 * cast(c as double)) as bigint)) as x
+        from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda c: c is not null and isfinite(c))) = 64)),
+    c0 as (select {first} - 1 as c, x from e where vec_id is not null qualify {first} <= {k})"""
+    for i in range(rounds + 1):
+        out += f""",
+    a{i} as materialized (select e.r, any_value(e.vec_id) as vec_id, any_value(e.x) as x, min({{'d': list_sum(list_transform(list_zip(e.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, 'c': c.c}}) as best from e cross join c{i} c group by e.r)"""
+        if i < rounds:
+            out += f""",
+    s{i} as (select c, i, s // n - case when s % n < 0 then 1 else 0 end as m from (select best.c as c, i, sum(x[i])::bigint as s, count(*) as n from (select best, x, unnest(range(1, 65)) as i from a{i}) group by all)),
+    c{i + 1} as materialized (select c.c, coalesce(m.x, c.x) as x from c{i} c left join (select c, list(m order by i) as x from s{i} group by c) m on m.c = c.c)"""
+    return out + f"""
+    select vec_id, best.c::int as cluster, best.d as distance, sum(best.d) over (partition by best.c)::bigint as cluster_inertia, sum(best.d) over ()::bigint as inertia,
+        sha256(array_to_string(c.x, ',')) as centroid_sha256 from a{rounds} join c{rounds} c on c.c = best.c"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_centroid_clustering": _clusters_sql(),
     "secret_base_spans": "with d as (select doc_id, coalesce(text, '') as t from documents), "
     + ", ".join(f"x{i} as ({sql}), y{i} as (select doc_id, k, kind, m[i] as raw, list_sum([length(z) for z in g[1:i]]) + list_sum([length(z) for z in m[1:i]]) - length(m[i]) as a from x{i}), z{i} as (select * from y{i} where {keep})" for i, (sql, keep) in enumerate(_KINDS))
     + """, s as (select doc_id, k, cast(a as bigint) as a, kind || ':' || cast(a as bigint) || ':' || cast(a + length(raw) as bigint) as label from (select * from z0 union all select * from z1 union all select * from z2))
