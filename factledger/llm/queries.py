@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.llm import centroids, decontaminate, ffd, fingerprint, jaccard, langid, packing, quality, repeats, secrets, tokenfile, toxicity
+from factledger.llm import centroids, decontaminate, ffd, fingerprint, jaccard, langid, packing, quality, repeats, resample, secrets, tokenfile, toxicity
 from factledger.llm.common import table
 
 
@@ -82,6 +82,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -95,6 +99,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_first_fit_packing": op11_first_fit_packing,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_importance_resampling": op13_importance_resampling,
     "secret_base_spans": secret_base_spans,
 }
 
