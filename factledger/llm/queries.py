@@ -138,7 +138,33 @@ def _clusters_sql(rounds: int = 5, k: int = 40) -> str:
         sha256(array_to_string(c.x, ',')) as centroid_sha256 from a{rounds} join c{rounds} c on c.c = best.c"""
 
 
+def _resampling_sql() -> str:
+    """Every feature's CRC-32 byte by byte, with the usual table of 256 made by its rule."""
+
+    def words(table: str) -> str:
+        return f"select row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w, * from {table}"
+
+    def runs(table: str) -> str:
+        two, three = "w[i] || ' ' || w[i + 1]", "w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]"
+        return f"select r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: {two}), list_transform(range(1, len(w) - 1), lambda i: {three}))) as f from {table}"
+
+    return f"""with recursive bits as (select i, i::bigint as x, 0 as k from range(256) t(i) union all select i, case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, k + 1 from bits where k < 8),
+    tab as (select list(x order by i) as tab from bits where k = 8),
+    dw as ({words("documents")}), tw as ({words("benchmark")}), df as ({runs("dw")}), tf as ({runs("tw")}),
+    bytes as (select f, list_transform(range(1, octet_length(encode(f)) + 1), lambda i: ('0x' || substr(hex(encode(f)), cast(2 * i - 1 as bigint), 2))::bigint) as b from (select f from df union select f from tf)),
+    crc as (select f, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, tab[cast((xor(c, x) & 255) + 1 as bigint)])), 4294967295) % 10000 as bucket from bytes, tab),
+    s as (select bucket, count(*) as s from df join crc using (f) group by bucket), t as (select bucket, count(*) as t from tf join crc using (f) group by bucket),
+    n as (select (select count(*) from df)::double as s_all, (select count(*) from tf)::double as t_all),
+    g as (select bucket, floor(1000 * ln((coalesce(t, 0)::double + 1) * (s_all + 10000) / ((coalesce(s, 0)::double + 1) * (t_all + 10000))))::bigint as gain from s full join t using (bucket), n),
+    x as (select r, count(*) as n, sum(gain)::bigint as weight from df join crc using (f) join g using (bucket) group by r),
+    y as (select doc_id, r, len(w) as n_words, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score from dw left join x using (r)),
+    z as (select r, row_number() over (order by score desc, doc_id, n_features) as rank, count(*) over () as able from y where n_words >= 20)
+    select doc_id, n_features, weight, score, case when rank <= 5 * able // 100 then rank end as rank from y left join z using (r)"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_importance_resampling": _resampling_sql(),
     "op12_centroid_clustering": _clusters_sql(),
     "secret_base_spans": "with d as (select doc_id, coalesce(text, '') as t from documents), "
     + ", ".join(f"x{i} as ({sql}), y{i} as (select doc_id, k, kind, m[i] as raw, list_sum([length(z) for z in g[1:i]]) + list_sum([length(z) for z in m[1:i]]) - length(m[i]) as a from x{i}), z{i} as (select * from y{i} where {keep})" for i, (sql, keep) in enumerate(_KINDS))
