@@ -55,6 +55,27 @@ def possibly(ids: DataFrame, name: str):
     return lambda x: known(F.xxhash64(x.cast("long")))
 
 
+SLOTS = 1 << 30
+
+
+def slot(mark: Column, salt: int = 0) -> Column:
+    """A number below ``SLOTS`` drawn from a row's mark."""
+    return F.pmod(F.xxhash64(mark, F.lit(salt)), F.lit(SLOTS))
+
+
+def mark_of(names: list[str]) -> Column:
+    """A hash of the columns and of which of them are null: rows differ in it unless they repeat."""
+    return F.xxhash64(*[x for c in quoted(names) for x in (c, c.isNull())])
+
+
+def drawn(rows: DataFrame, below: Column, names: list[str]) -> DataFrame:
+    """``names`` of about a share of the distinct rows: those whose slot is ``below``. Rows that repeat, and rows without
+    id, are not drawn together: a row's slot hangs on all of ``names``, and a repeated row comes once, however often it
+    is there (it is put together where it is read, before any shuffle)."""
+    chosen = rows.select(*quoted(names), mark_of(names).alias(mark := fresh(names, "mark")), below.alias(limit := fresh(names, "below"))).where(slot(F.col(mark)) < F.col(limit))
+    return chosen.groupBy(mark).agg(F.first(F.struct(*quoted(names))).alias("x")).select("x.*")
+
+
 # ------------------------------------------------------------------------------------------------ batches inside tasks
 
 

@@ -1,8 +1,8 @@
 """Language identification: script ranges narrow the candidate languages of each word, words are scored by character
 n-grams, and Viterbi over the words of a text, with a penalty for each switch, labels spans of mixed-language text.
 
-Training counts hashed character n-grams (1 to 4 letters, with word edges) over about ``MAX_TRAIN`` texts of each
-language, and learns the ``LANGUAGES`` languages that most rows have; the model has a fixed size of 4 x BUCKETS scores a
+Training counts hashed character n-grams (1 to 4 letters, with word edges) over about ``MAX_TRAIN`` distinct texts of each
+language (drawn by a hash of the text, so neither rows without id nor repeated rows come together), and learns the ``LANGUAGES`` languages that most rows have; the model has a fixed size of 4 x BUCKETS scores a
 language (0.5 MB). Everything else covers all rows.
 
 Null texts and texts without a letter get ``und``, score 0 and no span. Ties go to the language that is first in
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factledger.llm.common import column, kept, quoted, slices, texts_of
+from factledger.llm.common import SLOTS, column, drawn, kept, quoted, slices, texts_of
 
 MAX_TRAIN = 3000  # texts of a language that are learnt from
 LANGUAGES = 250  # languages that are learnt
@@ -109,20 +109,19 @@ class Model:
     scripts: np.ndarray  # (scripts, languages): whether a language is a candidate
 
 
-def fit(docs: DataFrame, lang: str = "lang", order: Column | None = None) -> Model:
-    """A model of the columns ``text`` and ``lang``; ``order`` says which texts are learnt from (a hash of the id).
+def fit(docs: DataFrame, lang: str = "lang") -> Model:
+    """A model of the columns ``text`` and ``lang``.
 
     The texts of a language that are used are those below the hash value that ``MAX_TRAIN`` of them are expected to be
-    below; the driver gets a table of counts of the model's fixed size."""
+    below, each once; the driver gets a table of counts of the model's fixed size."""
     known = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull())
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) if order is None else order
     counts = {r.name: r.n for r in known.groupBy(F.col(lang).alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(LANGUAGES).collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((len(ORDERS) * BUCKETS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool))
-    limit = F.create_map(*[F.lit(y) for x in languages for y in (x, int(min(1.0, MAX_TRAIN / counts[x]) * (1 << 30)))])
+    limit = F.create_map(*[F.lit(y) for x in languages for y in (x, int(min(1.0, MAX_TRAIN / counts[x]) * SLOTS))])
     # The bounded sample leaves the tasks that scan the table for a few that count it.
-    sample = known.where(order <= limit[F.col(lang)]).select(F.col(lang).alias("lang"), "text").repartition(COUNTERS)
+    sample = drawn(known.select(F.col(lang).alias("lang"), "text"), limit[F.col("lang")], ["lang", "text"]).repartition(COUNTERS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(ORDERS) * BUCKETS + len(SCRIPT_NAMES), len(languages)), np.int64)

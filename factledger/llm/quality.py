@@ -3,7 +3,7 @@ rounds each labels the documents that it is most sure of, and the other one lear
 view is calibrated on labelled rows kept back, the calibrated views are combined, and every document is scored.
 
 A view learns from about ``LABELLED`` labelled rows, by a hash of their ids, less a fifth that is kept back, and from about
-``PSEUDO`` of those that the other view is sure of, by a hash too. The pool that a view labels are all other documents:
+``PSEUDO`` of those that the other view is sure of, by a hash of the whole row (a row that repeats counts once). The pool that a view labels are all other documents:
 in round r it is sure of the documents beyond the quantiles that cut off r times ``TAKEN`` of all of them, split
 between the classes as the labels are, and on the right side of one half. Features are hashed to a fixed number and stored
 once; the rounds read them, so the driver only gets quantiles, counts and the features of the bounded samples.
@@ -23,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factledger.llm.common import Words, column, discard, mix, slices, stored, texts_of
+from factledger.llm.common import SLOTS, Words, column, discard, mark_of, mix, slices, slot, stored, texts_of
 
 LABELLED, PSEUDO = 5000, 2000
 BUCKETS = 1 << 15
@@ -196,7 +197,10 @@ def _views(batch: pa.RecordBatch) -> list[Features]:
     return [text_features(texts_of(batch)), meta_features(*[column(batch, x).to_pylist() for x in ("source", "lang", "n_chars")])]
 
 
-FEATURE_DDL = "doc_id long, text array<int>, meta array<int>"
+FEATURE_DDL = "doc_id long, mark long, text array<int>, meta array<int>"
+
+
+ROW = ("doc_id", "mark")
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +209,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, cols, _ in _views(batch):
             edge = pa.array(np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32))
             lists.append(pa.ListArray.from_arrays(edge, pa.array(cols.astype(np.int32))))
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *lists], ["doc_id", *VIEWS])
+        yield pa.RecordBatch.from_arrays([*[column(batch, x) for x in ROW], *lists], [*ROW, *VIEWS])
 
 
 def _logits(batch: pa.RecordBatch, models: list[Linear]) -> list[np.ndarray]:
@@ -229,13 +233,12 @@ def _sample(rows: pa.Table) -> tuple[Sample, np.ndarray]:
 
 
 def _spark_pool(features: DataFrame, labelled, seed_rows: int) -> Callable:
-    """The documents of ``features`` whose id is not in the broadcast set ``labelled``."""
+    """The documents of ``features`` whose id is not in the broadcast array ``labelled``."""
     spark = features.sparkSession
 
     def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = column(batch, "doc_id").to_pylist()
-            yield batch.filter(pa.array([i not in labelled.value for i in ids], pa.bool_()))
+            yield batch.filter(pc.invert(pc.is_in(column(batch, "doc_id"), value_set=pa.array(labelled.value[0], pa.int64()), skip_nulls=True)))
 
     def pool(models: list[Linear], share: float, r: int) -> list[tuple[Sample, np.ndarray]]:
         shared = spark.sparkContext.broadcast(models)
@@ -255,17 +258,19 @@ def _spark_pool(features: DataFrame, labelled, seed_rows: int) -> Callable:
         discard(logits)
         out = []
         for k, name in enumerate(VIEWS):
-            rate = int(min(1.0, seed_rows / max(1, counts[name])) * (1 << 30))
+            rate = int(min(1.0, seed_rows / max(1, counts[name])) * SLOTS)
 
             def sure(batches: Iterator[pa.RecordBatch], k: int = k, name: str = name) -> Iterator[pa.RecordBatch]:
                 for batch in outside(batches):
                     z = _logits(batch, shared.value)[k]
                     low, high = (z <= cuts[name][0]) & (z < 0), (z >= cuts[name][1]) & (z > 0)
                     keep = pa.array(low | high)
-                    yield pa.RecordBatch.from_arrays([*[column(batch, x) for x in ("doc_id", *VIEWS)], pa.array(high.astype(np.int32))], ["doc_id", *VIEWS, "label"]).filter(keep)
+                    yield pa.RecordBatch.from_arrays([*[column(batch, x) for x in (*ROW, *VIEWS)], pa.array(high.astype(np.int32))], [*ROW, *VIEWS, "label"]).filter(keep)
 
-            part = features.where(F.pmod(F.xxhash64("doc_id", F.lit(10 * r + k)), F.lit(1 << 30)) <= rate)
-            out.append(_sample(_gathered(part.mapInArrow(sure, FEATURE_DDL + ", label int"))))
+            # By a hash of the whole row, and rows that repeat once: neither rows without id nor copies come together.
+            part = features.where(slot(F.col("mark"), 10 * r + k) < rate).mapInArrow(sure, FEATURE_DDL + ", label int")
+            once = part.groupBy("mark").agg(F.first(F.struct("doc_id", *VIEWS, "label")).alias("x")).select("x.*")
+            out.append(_sample(_gathered(once)))
         return out
 
     return pool
@@ -277,16 +282,19 @@ COLUMNS = ["doc_id", "text", "source", "lang", "n_chars"]
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo: int = PSEUDO, rounds: int = ROUNDS) -> Model:
     """``labels`` has ``doc_id`` and ``quality``; ``docs`` the columns ``COLUMNS``."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min((F.col("quality") > 0).cast("int")).alias("label"))
-    limit = int(min(1, labelled / max(1, known.count())) * (1 << 30))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= limit).select(F.col("doc_id").cast("long").alias("doc_id"), "label")
+    limit = int(min(1, labelled / max(1, known.count())) * SLOTS)
+    chosen = known.where(slot(F.col("doc_id")) < limit)  # ids are distinct and not null here.select(F.col("doc_id").cast("long").alias("doc_id"), "label")
     label_of = {r.doc_id: r.label for r in chosen.collect()}  # about ``labelled`` rows
-    shared = docs.sparkSession.sparkContext.broadcast(label_of)
-    features = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *COLUMNS[1:]).mapInArrow(_featured, FEATURE_DDL), "features")
+    ids = np.array(sorted(label_of), np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((ids, np.array([label_of[i] for i in ids.tolist()], np.int32)))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *COLUMNS[1:], mark_of(COLUMNS).alias("mark"))
+    features = stored(marked.mapInArrow(_featured, FEATURE_DDL), "features")
 
     def with_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label = pa.array([shared.value.get(i) for i in column(batch, "doc_id").to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([*[column(batch, x) for x in ("doc_id", *VIEWS)], label], ["doc_id", *VIEWS, "label"]).filter(label.is_valid())
+            ids, labels = shared.value
+            label = pa.array(labels).take(pc.index_in(column(batch, "doc_id"), value_set=pa.array(ids, pa.int64()), skip_nulls=True))
+            yield pa.RecordBatch.from_arrays([*[column(batch, x) for x in (*ROW, *VIEWS)], label], [*ROW, *VIEWS, "label"]).filter(label.is_valid())
 
     # A labelled id that several rows have counts once.
     own = features.mapInArrow(with_label, FEATURE_DDL + ", label int").groupBy("doc_id").agg(F.min(F.struct("text", "meta", "label")).alias("x")).select("doc_id", "x.*")

@@ -9,9 +9,11 @@ dictionary is beside it as a data set of one row. Statistics on ``least_id`` and
 
 Spark's own reader and committer do the input and output, so the format works on any store, and a lost executor's
 blocks are written again. Null and empty texts are the end id alone. Rows without id come first. Repeated rows are kept.
-An empty table makes an empty data set. The dictionary is trained on the ids of about ``SAMPLE`` documents, by a hash of
-their ids, in pieces of ``PIECE`` bytes. Documents with equal ids are in order of their texts. A task holds the ids of one
-whole text, and a block, at a time.
+An empty table makes an empty data set. Other columns than ``doc_id`` and ``text`` are not read. The dictionary is trained on
+a bounded sample: about ``SAMPLE`` distinct documents by a hash of id and text (so rows without id, and repeated rows, don't
+come together), of each the ids of one window of ``WINDOW`` characters at most, ``PIECE`` bytes of them. So the driver is
+sent 32 MB at most, however many or long the documents are. Documents with equal ids are in order of their texts. A task
+holds the ids of one whole text, and a block, at a time.
 """
 
 from __future__ import annotations
@@ -28,11 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factledger.llm.common import column, new_path, slices, texts_of
+from factledger.llm.common import SLOTS, column, drawn, new_path, slices, texts_of
 from factledger.llm.encode import encoder
 
 DICTIONARY_BYTES = 64 * 1024
-SAMPLE, PIECE = 2000, 64 * 1024  # documents that the dictionary is trained on, about, and bytes of what it is shown at a time
+SAMPLE, PIECE = 2000, 16 * 1024  # documents that the dictionary is trained on, about, and bytes of ids of each at most
+WINDOW = 40_000  # characters of a sampled document that are encoded, at a place drawn from its text
 BLOCK_BYTES = 1_000_000  # of frames in a block
 LEVEL = 3
 END = array("I", [0]).tobytes()
@@ -49,23 +52,27 @@ def train_dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[:DICTIONARY_BYTES]
 
 
-def _ids(docs: DataFrame, path: str, kind: str) -> DataFrame:
+def sampled_ids(docs: DataFrame, count: int, path: str, kind: str) -> list[bytes]:
+    """The ids of a window of each sampled document: at most twice ``SAMPLE`` times ``PIECE`` bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = encoder(path, kind).ids
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([ids(x) + END for x in texts_of(batch)], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([(ids(x) + END)[-PIECE:] for x in texts_of(batch)], pa.binary())], ["ids"])
 
-    return docs.select("text").mapInArrow(run, "ids binary")
+    rate = int(min(1.0, SAMPLE / max(1, count)) * SLOTS)
+    chosen = drawn(docs, F.lit(rate), ["doc_id", "text"])
+    room = F.greatest(F.char_length("text") - WINDOW, F.lit(0)) + 1
+    window = F.substring("text", F.pmod(F.xxhash64("text"), room).cast("int") + 1, F.lit(WINDOW))
+    found = chosen.select(window.alias("text")).mapInArrow(run, "ids binary").limit(2 * SAMPLE).toArrow()
+    return sorted(found.column("ids").to_pylist())  # in an order that hangs on them alone
 
 
 def write(docs: DataFrame, target: str, path: str, kind: str = "byte") -> str:
     """Encode ``doc_id``, ``text`` and write the data set to ``target``; gives the dictionary's SHA-256."""
     spark = docs.sparkSession
     count = docs.count()
-    rate = min(1.0, SAMPLE / max(1, count))
-    sample = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(rate * (1 << 30)))
-    whole = [bytes(r.ids) for r in _ids(sample, path, kind).collect()]
-    samples = [x[at : at + PIECE] for x in whole for at in range(0, len(x), PIECE)]
+    samples = sampled_ids(docs, count, path, kind)
     trained = train_dictionary(samples)
     name = hashlib.sha256(trained).hexdigest()
     spark.createDataFrame([(name, bytearray(trained))], "sha256 string, content binary").coalesce(1).write.parquet(f"{target}/dictionary")
