@@ -12,20 +12,15 @@ second text has letters. A text of more than ``BITS`` letters is split into bloc
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factledger.functions.arrays import let
+
 BITS = 60  # letters in a block; sums of two blocks fit a long
 FULL = (1 << BITS) - 1
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once: inside the functions of arrays an expression is worked out each time."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def letters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,3 +31,31 @@ def unit_ok(candidate: Column, unit: Column, is_rank: Column, is_ratio: Column,
     """Ranks meet only ranks and ratios only ratios; a plain number meets all else, ratios too unless ``strict_plain``."""
     plain = (candidate != "ratio") if strict_plain else F.lit(True)
     return F.when(is_rank, candidate == "rank").when(is_ratio, candidate == "ratio").when(candidate == "rank", False).when(unit == "plain", plain).otherwise(candidate == unit)
+
+
+# A grid on magnitudes: values that a citation may mean lie in few of its cells, so that citations meet values in an equi-join.
+LEAST, STEP = 1e-3, 1.02
+CLASSES = ["currency", "count", "percent", "ratio"]
+
+
+def cell(size: Column) -> Column:
+    """The cell of a magnitude: 0 below ``LEAST``, then one for each ``STEP`` times."""
+    return F.when(size < LEAST, 0).otherwise(F.floor(F.log(size / LEAST) / math.log(STEP)) + 1).cast("int")
+
+
+def reach(cited: Column, decimals: Column, scale: Column, qualifier: Column) -> tuple[Column, Column]:
+    """The least and the greatest magnitude that ``matches`` may accept, and a little more on both sides for rounding."""
+    size, half = F.abs(cited), F.lit(0.5) * F.pow(F.lit(10.0), -decimals)
+    target = size * scale
+    low, high = (size - half) * scale, (size + half) * scale
+    low, high = F.when(scale > 1, F.least(low, target / 1.005)).otherwise(low), F.when(scale > 1, F.greatest(high, target / 0.995)).otherwise(high)
+    low = F.when(qualifier == "approx", F.least(low, target / 1.05)).when(qualifier == "under", F.least(low, target / 1.5)).otherwise(low)
+    high = F.when(qualifier == "approx", F.greatest(high, target / 0.95)).when(qualifier == "over", F.greatest(high, target * 1.5)).otherwise(high)
+    return F.greatest(low * (1 - 1e-6) - 1e-6 * scale, F.lit(0.0)), high * (1 + 1e-6) + 1e-6 * scale
+
+
+def places(cited: Column, decimals: Column, scale: Column, qualifier: Column, unit: Column, is_rank: Column, is_ratio: Column) -> Column:
+    """``unit`` and ``cell`` of every value that a citation may mean: the units that it may meet, and the cells that it reaches."""
+    low, high = reach(cited, decimals, scale, qualifier)
+    units = F.when(is_rank, F.array(F.lit("rank"))).when(is_ratio, F.array(F.lit("ratio"))).when(unit == "plain", F.array(*map(F.lit, CLASSES))).otherwise(F.array(unit))
+    return F.flatten(F.transform(F.sequence(cell(low), cell(high)), lambda c: F.transform(units, lambda u: F.struct(u.alias("unit"), c.alias("cell")))))

@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factledger.functions import arrays
 from factledger.functions import lexicons as lx
 from factledger.operators.mentions import hedge, tokens
-from factledger.operators.names import LINE, places
+from factledger.operators.names import LINE
 
 KEY = [*LINE, "claim_idx"]
 
@@ -36,7 +37,7 @@ def regex_claims(mentions: DataFrame, lines: DataFrame, spans: DataFrame) -> Dat
     """``note_id``, ``table_id``, ``line_idx``, ``claim_idx``, ``entity``, ``metric``, ``period``, ``value_text``,
     ``direction``, ``qualifier``. ``mentions`` with what level 1 found to be no figure marked; ``spans`` as of
     ``names.entity_spans``. A line that names nothing gives claims about an empty name."""
-    totals = lines.select(*LINE, F.explode(places(F.lower("line"), F.lit(r"\b(?:total|overall)\b"))).alias("s")).select(*LINE, F.lit("TOTAL").alias("entity"), "s.start", "s.end")
+    totals = lines.select(*LINE, F.explode(arrays.spans(F.lower("line"), F.lit(r"\b(?:total|overall)\b"))).alias("s")).select(*LINE, F.lit("TOTAL").alias("entity"), "s.start", "s.end")
     marks = spans.select(*LINE, "entity", "start", "end").unionByName(totals).groupBy(*LINE).agg(F.sort_array(F.collect_list(F.struct("start", "end", "entity"))).alias("marks"))
     line = Window.partitionBy(*LINE).orderBy("mention_idx")
     m = mentions.where("skip_reason = ''").select(*LINE, "table_id", "mention_idx", "line", "raw_text", "position", "unit", "is_rank", "direction").join(marks, LINE, "left")
@@ -73,7 +74,7 @@ def text_hints(claims: DataFrame, lines: DataFrame) -> DataFrame:
     c = with_occurrence(claims).join(lines.select(*LINE, "line"), LINE, "left")
     value = F.trim("value_text")
     pattern = F.concat(F.lit(r"(?<![\d.,])\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\d|[.,]\d)"))
-    c = c.withColumn("at", F.when((value != "") & F.col("line").isNotNull(), places(F.col("line"), pattern)))
+    c = c.withColumn("at", F.when((value != "") & F.col("line").isNotNull(), arrays.spans(F.col("line"), pattern)))
     place = F.get("at", F.least(F.col("occurrence"), F.size("at") - 1))
     c = c.withColumn("pre", F.col("line").substr(F.lit(1), place["start"])).withColumn("post", F.col("line").substr(place["end"] + 1, F.char_length("line")))
     before = F.slice(F.concat(F.array().cast("array<string>"), tokens(F.col("pre"), r"[#\w.'-]+|[£$€~]")), F.greatest(F.size(tokens(F.col("pre"), r"[#\w.'-]+|[£$€~]")) - 3, F.lit(1)), F.lit(4))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factledger.functions import lexicons as lx
-from factledger.functions.matching import matches, unit_ok
+from factledger.functions.matching import cell, matches, places
 from factledger.operators.names import LINE, entity_spans
 from factledger.sources.scratch import stored
 
@@ -24,6 +24,10 @@ LEVELS = [c for c, u in COLUMNS.items() if u in ("currency", "count")]
 SHARED = ["Revenue_TW", "Revenue_LW", "Units_TW", "Units_LW", "Orders_TW", "Orders_LW"]
 
 
+def _nobody() -> Column:
+    return F.array().cast("array<string>")
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
@@ -32,13 +36,20 @@ def _change(a: Column, b: Column) -> Column:
     return F.when(b != 0, (a - b) / b * 100)
 
 
-def _rows(values: list[tuple[str, str, Column]]) -> Column:
-    return F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(e).alias("form"), v.cast("double").alias("value"), F.lit(u).alias("unit")) for i, (e, u, v) in enumerate(values)]))
+def _rows(values: list[tuple[str, str, Column, list[str]]]) -> Column:
+    """One row a value: its form, unit and value, and the columns that it is made of (``reads``)."""
+    one = lambda i, form, unit, value, reads: F.struct(F.lit(i).alias("ord"), F.lit(form).alias("form"), value.cast("double").alias("value"), F.lit(unit).alias("unit"), F.array(*map(F.lit, reads)).alias("reads"))
+    return F.explode(F.array(*[one(i, *x) for i, x in enumerate(values)]))
+
+
+def made_of(form: str, period: str) -> list[str]:
+    """The columns of a figure per order or per unit."""
+    return {"per_order": [f"Revenue_{period}", f"Orders_{period}"], "per_unit": [f"Revenue_{period}", f"Units_{period}"], "units_per_order": [f"Units_{period}", f"Orders_{period}"]}[form]
 
 
 def cells(tables: DataFrame) -> DataFrame:
-    """table_id, entity, ord, form, value, unit of each cell."""
-    return tables.select("table_id", F.col("Entity").alias("entity"), _rows([(c, u, F.col(c)) for c, u in COLUMNS.items()]).alias("x")).select("table_id", "entity", "x.*").where("value is not null")
+    """table_id, entity, ord, form, value, unit, reads of each cell."""
+    return tables.select("table_id", F.col("Entity").alias("entity"), _rows([(c, u, F.col(c), [c]) for c, u in COLUMNS.items()]).alias("x")).select("table_id", "entity", "x.*").where("value is not null")
 
 
 def totals(tables: DataFrame) -> DataFrame:
@@ -47,7 +58,8 @@ def totals(tables: DataFrame) -> DataFrame:
 
 
 def table_values(tables: DataFrame) -> DataFrame:
-    """table_id, ord, form, value, unit of the values that hang on no entity."""
+    """table_id, ord, form, value, unit, reads, members of the values that hang on no entity; the members of sums over the
+    first rows, and of what comes after them, are those first rows."""
     stats = []
     aggs = []
     for c, u in COLUMNS.items():
@@ -57,49 +69,56 @@ def table_values(tables: DataFrame) -> DataFrame:
             if u == "percent" and op in ("sum", "median"):
                 continue
             aggs.append(f.alias(f"{op}_{c}"))
-            stats.append((f"{op}({c})", u, F.col(f"{op}_{c}")))
+            stats.append((f"{op}({c})", u, F.col(f"{op}_{c}"), [c]))
     t = tables.groupBy("table_id").agg(*aggs, F.count(F.lit(1)).alias("n"))
-    values = [*stats, ("count(rows)", "count", F.col("n"))]
+    values = [*stats, ("count(rows)", "count", F.col("n"), [])]
     s = lambda m, p: F.col(f"sum_{m}_{p}")
     for m, p in PAIRS:
         a, b = s(m, "TW"), s(m, p)
         names = f"sum({m}_TW), sum({m}_{p})"
-        values += [(f"diff({names})", MEASURES[m], a - b), (f"pct_change({names})", "percent", _change(a, b)), (f"pct_of({names})", "percent", _ratio(a, b) * 100), (f"ratio({names})", "ratio", _ratio(a, b))]
+        two = [f"{m}_TW", f"{m}_{p}"]
+        values += [(f"diff({names})", MEASURES[m], a - b, two), (f"pct_change({names})", "percent", _change(a, b), two), (f"pct_of({names})", "percent", _ratio(a, b) * 100, two), (f"ratio({names})", "ratio", _ratio(a, b), two)]
     each = {}
     for p in ("TW", "LW"):
         each[p] = {"per_order": _ratio(s("Revenue", p), s("Orders", p)), "per_unit": _ratio(s("Revenue", p), s("Units", p)), "units_per_order": _ratio(s("Units", p), s("Orders", p))}
-        values += [(f"per_order(sum(Revenue_{p}))", "currency", each[p]["per_order"]), (f"per_unit(sum(Revenue_{p}))", "currency", each[p]["per_unit"]), (f"units_per_order(sum(Units_{p}))", "count", each[p]["units_per_order"])]
-    values += [(f"pct_change({n}(TW), {n}(LW))", "percent", _change(each["TW"][n], each["LW"][n])) for n in each["TW"]]
+        values += [
+            (f"per_order(sum(Revenue_{p}))", "currency", each[p]["per_order"], made_of("per_order", p)), (f"per_unit(sum(Revenue_{p}))", "currency", each[p]["per_unit"], made_of("per_unit", p)),
+            (f"units_per_order(sum(Units_{p}))", "count", each[p]["units_per_order"], made_of("units_per_order", p)),
+        ]
+    values += [(f"pct_change({n}(TW), {n}(LW))", "percent", _change(each["TW"][n], each["LW"][n]), made_of(n, "TW") + made_of(n, "LW")) for n in each["TW"]]
     plain = t.select("table_id", _rows(values).alias("x")).select("table_id", "x.*")
     order = Window.partitionBy("table_id").orderBy(F.desc("Revenue_TW"), "Entity")
     money = F.col("Revenue_TW").cast("decimal(18,2)")
-    run = tables.select("table_id", F.row_number().over(order).alias("k"), F.sum(money).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("top"), F.sum(money).over(Window.partitionBy("table_id")).cast("double").alias("all")).where("k <= 10")
+    run = tables.select("table_id", F.row_number().over(order).alias("k"), F.collect_list("Entity").over(order.rowsBetween(-9, 0)).alias("members"), F.sum(money).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("top"), F.sum(money).over(Window.partitionBy("table_id")).cast("double").alias("all")).where("k <= 10")
     forms = F.array(*[F.struct(F.format_string(f"{n}%d(Revenue_TW)", "k").alias("form"), v.alias("value"), F.lit(u).alias("unit"), least.alias("ok")) for n, v, u, least in [
         ("sum_top", F.col("top"), "currency", F.col("k") > 1), ("share_top", F.col("top") / F.col("all") * 100, "percent", F.col("k") > 1),
         ("sum_after_top", F.col("all") - F.col("top"), "currency", F.lit(True)), ("share_after_top", (F.col("all") - F.col("top")) / F.col("all") * 100, "percent", F.lit(True)),
     ]])
-    topk = run.select("table_id", "k", F.posexplode(forms).alias("i", "x")).where("x.ok").select("table_id", (200 + F.col("k") * 4 + F.col("i")).alias("ord"), "x.form", "x.value", "x.unit")
-    return plain.unionByName(topk).where("value is not null")
+    topk = run.select("table_id", "k", "members", F.posexplode(forms).alias("i", "x")).where("x.ok").select("table_id", (200 + F.col("k") * 4 + F.col("i")).alias("ord"), "x.form", "x.value", "x.unit", F.array(F.lit("Revenue_TW")).alias("reads"), "members")
+    return plain.withColumn("members", _nobody()).unionByName(topk).where("value is not null")
 
 
-def entity_values(tables: DataFrame) -> DataFrame:
-    """table_id, entity, ord, form, value, unit of the values that hang on one entity; made once a table, not once a note."""
+def entity_values(tables: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """table_id, entity, ord, form, value, unit, reads of the values that hang on one entity; made once a table, not once a
+    note. ``only``: the entities (table_id, entity) that are asked for."""
     t = totals(tables).select("table_id", F.col("n").alias("t_n"), *[F.col(c).alias(f"t_{c}") for c in LEVELS])
     d = lambda c: F.col(c).cast("double")
     values = []
     for m, p in PAIRS:
         a, b, names = d(f"{m}_TW"), d(f"{m}_{p}"), f"{m}_TW, {m}_{p}"
-        values += [(f"diff({names})", MEASURES[m], a - b), (f"pct_change({names})", "percent", _change(a, b)), (f"pct_of({names})", "percent", _ratio(a, b) * 100), (f"ratio({names})", "ratio", _ratio(a, b))]
+        two = [f"{m}_TW", f"{m}_{p}"]
+        values += [(f"diff({names})", MEASURES[m], a - b, two), (f"pct_change({names})", "percent", _change(a, b), two), (f"pct_of({names})", "percent", _ratio(a, b) * 100, two), (f"ratio({names})", "ratio", _ratio(a, b), two)]
     for c in SHARED:
         mean = F.col(f"t_{c}") / F.col("t_n")
-        values += [(f"share({c})", "percent", _ratio(d(c), F.col(f"t_{c}")) * 100), (f"diff({c}, mean)", COLUMNS[c], d(c) - mean), (f"pct_change({c}, mean)", "percent", _change(d(c), mean)), (f"ratio({c}, mean)", "ratio", _ratio(d(c), mean))]
-    values.append(("share_change_pp", "percent", _ratio(d("Revenue_TW"), F.col("t_Revenue_TW")) * 100 - _ratio(d("Revenue_LW"), F.col("t_Revenue_LW")) * 100))
+        values += [(f"share({c})", "percent", _ratio(d(c), F.col(f"t_{c}")) * 100, [c]), (f"diff({c}, mean)", COLUMNS[c], d(c) - mean, [c]), (f"pct_change({c}, mean)", "percent", _change(d(c), mean), [c]), (f"ratio({c}, mean)", "ratio", _ratio(d(c), mean), [c])]
+    values.append(("share_change_pp", "percent", _ratio(d("Revenue_TW"), F.col("t_Revenue_TW")) * 100 - _ratio(d("Revenue_LW"), F.col("t_Revenue_LW")) * 100, ["Revenue_TW", "Revenue_LW"]))
     for m, u in MEASURES.items():
         tw, lw = F.col(f"t_{m}_TW") - d(f"{m}_TW"), F.col(f"t_{m}_LW") - d(f"{m}_LW")
-        values += [(f"sum_excluding({m}_TW)", u, tw), (f"sum_excluding({m}_LW)", u, lw), (f"pct_change(sum_excluding {m})", "percent", _change(tw, lw))]
+        values += [(f"sum_excluding({m}_TW)", u, tw, [f"{m}_TW"]), (f"sum_excluding({m}_LW)", u, lw, [f"{m}_LW"]), (f"pct_change(sum_excluding {m})", "percent", _change(tw, lw), [f"{m}_TW", f"{m}_LW"])]
     for p in ("TW", "LW"):
-        values += [(f"units_per_order({p})", "count", _ratio(d(f"Units_{p}"), d(f"Orders_{p}"))), (f"per_order({p})", "currency", _ratio(d(f"Revenue_{p}"), d(f"Orders_{p}"))), (f"per_unit({p})", "currency", _ratio(d(f"Revenue_{p}"), d(f"Units_{p}")))]
-    return tables.join(t, "table_id").select("table_id", F.col("Entity").alias("entity"), _rows(values).alias("x")).select("table_id", "entity", "x.*").where("value is not null")
+        values += [(f"{n}({p})", u, _ratio(*map(d, made_of(n, p))), made_of(n, p)) for n, u in (("units_per_order", "count"), ("per_order", "currency"), ("per_unit", "currency"))]
+    rows = tables if only is None else tables.join(only.select("table_id", F.col("entity").alias("Entity")).distinct(), ["table_id", "Entity"], "left_semi")
+    return rows.join(t, "table_id").select("table_id", F.col("Entity").alias("entity"), _rows(values).alias("x")).select("table_id", "entity", "x.*").where("value is not null")
 
 
 def named_entities(lines: DataFrame, tables: DataFrame) -> DataFrame:
@@ -169,18 +188,19 @@ def group_values(groups: DataFrame, tables: DataFrame) -> DataFrame:
     t = totals(tables).select("table_id", *[F.col(c).alias(f"t_{c}") for c in LEVELS])
     rows = groups.join(tables.withColumnRenamed("Entity", "entity"), ["table_id", "entity"])
     sums = rows.groupBy("note_id", "line_idx", "table_id", "label").agg(
-        *[F.sum(F.col(c).cast("decimal(18,2)")).cast("double").alias(c) for c in LEVELS], (F.sum(F.col("Revenue_TW").cast("decimal(18,2)")).cast("double") / F.count("Revenue_TW")).alias("mean"), F.sum(F.col("Share_Pct").cast("decimal(18,2)")).cast("double").alias("shares")
+        F.sort_array(F.collect_set("entity")).alias("members"), *[F.sum(F.col(c).cast("decimal(18,2)")).cast("double").alias(c) for c in LEVELS], (F.sum(F.col("Revenue_TW").cast("decimal(18,2)")).cast("double") / F.count("Revenue_TW")).alias("mean"), F.sum(F.col("Share_Pct").cast("decimal(18,2)")).cast("double").alias("shares")
     ).join(t, "table_id")
-    values = [(f"sum({m}_TW)", u, F.col(f"{m}_TW")) for m, u in MEASURES.items()]
+    values = [(f"sum({m}_TW)", u, F.col(f"{m}_TW"), [f"{m}_TW"]) for m, u in MEASURES.items()]
     for m, p in PAIRS:
         a, b = F.col(f"{m}_TW"), F.col(f"{m}_{p}")
-        values += [(f"sum({m}_{p})", MEASURES[m], b), (f"diff(sum {m}_TW, {m}_{p})", MEASURES[m], a - b), (f"pct_change(sum {m}_TW, {m}_{p})", "percent", _change(a, b))]
+        two = [f"{m}_TW", f"{m}_{p}"]
+        values += [(f"sum({m}_{p})", MEASURES[m], b, two[1:]), (f"diff(sum {m}_TW, {m}_{p})", MEASURES[m], a - b, two), (f"pct_change(sum {m}_TW, {m}_{p})", "percent", _change(a, b), two)]
     for c in ("Revenue_TW", "Revenue_LW", "Units_TW", "Orders_TW"):
         total = F.col(f"t_{c}")
-        values += [(f"share({c})", "percent", _ratio(F.col(c), total) * 100), (f"sum_outside({c})", COLUMNS[c], total - F.col(c)), (f"share_outside({c})", "percent", _ratio(total - F.col(c), total) * 100)]
-    values += [("mean(Revenue_TW)", "currency", F.col("mean")), ("sum(Share_Pct)", "percent", F.col("shares"))]
-    out = sums.select("note_id", "line_idx", "table_id", "label", _rows(values).alias("x"))
-    return out.select("note_id", "line_idx", "table_id", (1000 + F.col("x.ord")).alias("ord"), F.concat("label", F.lit(": "), "x.form").alias("form"), "x.value", "x.unit").where("value is not null")
+        values += [(f"share({c})", "percent", _ratio(F.col(c), total) * 100, [c]), (f"sum_outside({c})", COLUMNS[c], total - F.col(c), [c]), (f"share_outside({c})", "percent", _ratio(total - F.col(c), total) * 100, [c])]
+    values += [("mean(Revenue_TW)", "currency", F.col("mean"), ["Revenue_TW"]), ("sum(Share_Pct)", "percent", F.col("shares"), ["Share_Pct"])]
+    out = sums.select("note_id", "line_idx", "table_id", "label", "members", _rows(values).alias("x"))
+    return out.select("note_id", "line_idx", "table_id", (1000 + F.col("x.ord")).alias("ord"), F.concat("label", F.lit(": "), "x.form").alias("form"), "x.value", "x.unit", "x.reads", "members").where("value is not null")
 
 
 def pair_values(named: DataFrame, tables: DataFrame) -> DataFrame:
@@ -198,12 +218,12 @@ def pair_values(named: DataFrame, tables: DataFrame) -> DataFrame:
         F.struct(F.lit("ratio").alias("op"), F.when(ok, _ratio(F.col("x"), F.col("y"))).alias("value"), F.lit("ratio").alias("unit")),
     )
     out = both.select("note_id", "line_idx", "table_id", "ord", "a", "b", "col", F.explode(forms).alias("v")).where("v.value is not null")
-    return out.select("note_id", "line_idx", "table_id", (500 + F.col("ord")).alias("ord"), F.concat("v.op", F.lit("("), "a", F.lit("."), "col", F.lit(", "), "b", F.lit("."), "col", F.lit(")")).alias("form"), "v.value", "v.unit")
+    return out.select("note_id", "line_idx", "table_id", (500 + F.col("ord")).alias("ord"), F.concat("v.op", F.lit("("), "a", F.lit("."), "col", F.lit(", "), "b", F.lit("."), "col", F.lit(")")).alias("form"), "v.value", "v.unit", F.array("col").alias("reads"), F.array("a", "b").alias("members"))
 
 
 def level1(mentions: DataFrame, lines: DataFrame, tables: DataFrame) -> DataFrame:
     """Every mention with ``label`` (Supported_cell, Supported_derived, Unsupported, Skipped), ``evidence``, and the
-    evidence as ``op`` and ``args``.
+    evidence as ``op``, ``args`` and ``cells``.
 
     All candidates of a table are one relation, and all of a line another, so the numbers meet each in one join. Names and
     numbers are stored once read, since every kind of candidate needs them."""
@@ -215,34 +235,49 @@ def level1(mentions: DataFrame, lines: DataFrame, tables: DataFrame) -> DataFram
     asked = m.where("skip_reason = ''").select(
         *key, "table_id", "cited", "decimals", "scale", "qualifier", "signed", "unit", "is_rank", "is_ratio", "period_hint", "named", (F.size("named") == 0).alias("free"), ((F.size("named") == 0) | aggregate).alias("aggregate")
     )
-    ok = unit_ok(F.col("c_unit"), F.col("unit"), F.col("is_rank"), F.col("is_ratio"))
-    near = lambda bounds: ok & matches(F.col("c_value"), F.col("cited"), F.col("decimals"), F.col("scale"), F.col("qualifier"), F.col("signed"), bounds)
-    as_c = lambda df, step: df.withColumnsRenamed({"value": "c_value", "unit": "c_unit"}).withColumn("step", F.lit(step))
-    pick = [*key, "step", "ord", "form", "entity", "c_value"]
     # 1 a cell of a named entity, 2 a value that hangs on named entities, 3 one of the table, 4 any other cell.
-    of_table = as_c(cells(tables), 1).unionByName(as_c(entity_values(tables), 2)).unionByName(as_c(table_values(tables), 3).withColumn("entity", F.lit(None).cast("string")))
+    alone = lambda df, step: df.withColumns({"step": F.lit(step), "members": F.array("entity")})
+    of_table = alone(cells(tables), 1).unionByName(alone(entity_values(tables, named), 2))
+    of_table = of_table.unionByName(table_values(tables).withColumns({"step": F.lit(3), "entity": F.lit(None).cast("string")}))
     own = F.coalesce(F.array_contains("named", F.col("entity")), F.lit(False))
     sums = F.col("form").rlike(r"^(sum|per_order\(sum|per_unit\(sum|units_per_order\(sum)\(")
     step = F.when((F.col("step") == 1) & ~own, 4).otherwise(F.col("step"))
     able = F.when(F.col("step") == 2, own).when(F.col("step") == 3, F.col("aggregate") | sums).otherwise(True)
-    bounds = own | F.col("free")
     hint = (F.col("step") == 1) & own & (F.col("period_hint") != "") & ~F.lower("form").endswith(F.concat(F.lit("_"), "period_hint"))
-    hits = of_table.join(asked, "table_id").where(able & near(bounds)).withColumn("ord", F.col("ord") + F.when(hint, 100).otherwise(0)).withColumn("step", step).select(*pick)
-    of_line = as_c(group_values(line_groups(lines, named, tables), tables).unionByName(pair_values(named, tables)), 2).drop("table_id").withColumn("entity", F.lit(None).cast("string"))
-    hits = hits.unionByName(of_line.join(asked, LINE).where(near(F.lit(True))).select(*pick))
-    best = hits.groupBy(*key).agg(F.min(F.struct("step", "ord", "form", "entity", "c_value")).alias("hit"))
+    pick = [*key, "step", "ord", "form", "entity", "c_value", "members", "reads"]
+    met = meetings(asked, of_table, ["table_id"])
+    hits = met.where(able & near(own | F.col("free"))).withColumn("ord", F.col("ord") + F.when(hint, 100).otherwise(0)).withColumn("step", step).select(*pick)
+    of_line = group_values(line_groups(lines, named, tables), tables).unionByName(pair_values(named, tables)).drop("table_id").withColumns({"step": F.lit(2), "entity": F.lit(None).cast("string")})
+    hits = hits.unionByName(meetings(asked, of_line, LINE).where(near(F.lit(True))).select(*pick))
+    best = hits.groupBy(*key).agg(F.min(F.struct("step", "ord", "form", "entity", "c_value", "members", "reads")).alias("hit"))
     label = F.when(F.col("skip_reason") != "", "Skipped").when(F.col("hit.step").isin(1, 4), "Supported_cell").when(F.col("hit").isNotNull(), "Supported_derived").otherwise("Unsupported")
     evidence = F.when(F.col("hit").isNotNull(), F.concat("hit.form", F.lit(" = "), F.round("hit.c_value", 4).cast("string"))).otherwise("")
-    op, args = lineage(F.col("hit.form"), F.col("hit.entity"), F.col("hit.step"))
-    return m.join(best, key, "left").select(*m.columns, label.alias("label"), evidence.alias("evidence"), op.alias("op"), args.alias("args"))
+    op, args, made = lineage(F.col("hit"))
+    return m.join(best, key, "left").select(*m.columns, label.alias("label"), evidence.alias("evidence"), op.alias("op"), args.alias("args"), made.alias("cells"))
+
+
+def meetings(asked: DataFrame, values: DataFrame, on: list[str]) -> DataFrame:
+    """Numbers with the values that they may mean, and few others: they meet in the cells of a grid of magnitudes."""
+    places_of = places(*[F.col(c) for c in ("cited", "decimals", "scale", "qualifier", "unit", "is_rank", "is_ratio")])
+    put = asked.select("*", F.explode(places_of).alias("at")).select(*asked.columns, F.col("at.unit").alias("c_unit"), F.col("at.cell").alias("cell"))
+    known = values.withColumnsRenamed({"value": "c_value", "unit": "c_unit"}).withColumn("cell", cell(F.abs("c_value")))
+    return known.join(put, [*on, "c_unit", "cell"])
+
+
+def near(bounds: Column) -> Column:
+    """Whether a number and a value that have met match."""
+    return matches(F.col("c_value"), F.col("cited"), F.col("decimals"), F.col("scale"), F.col("qualifier"), F.col("signed"), bounds)
 
 
-def lineage(form: Column, entity: Column, step: Column) -> tuple[Column, Column]:
-    """The operation of an evidence (``cell`` for a cell itself) and its arguments: the entity, if it hangs on one, and the
-    columns that it reads. Null without evidence."""
-    columns = F.regexp_extract_all(form, F.lit("((?:Revenue|Units|Orders)_(?:TW|LW|LY)|WoW_Pct|YoY_Pct|Share_Pct|Rank)"), F.lit(1))
-    op = F.when(step.isin(1, 4), "cell").otherwise(F.regexp_extract(F.regexp_replace(form, "^(?:group|families|family [a-z ]+): ", ""), "^([a-z_]+)", 1))
-    return F.when(form.isNotNull(), op), F.when(form.isNotNull(), F.concat(F.when(entity.isNotNull(), F.array(entity)).otherwise(F.array().cast("array<string>")), F.array_distinct(columns)))
+def lineage(hit: Column) -> tuple[Column, Column, Column]:
+    """The operation of an evidence (``cell`` for a cell itself), its arguments (the entity, if it hangs on one, or those of a
+    pair or group, and the columns that it reads), and the cells that it was made of: entity (null: every row of the table)
+    and column. What a value was made of goes with it from where it is made. Null without evidence."""
+    op = F.when(hit["step"].isin(1, 4), "cell").otherwise(F.regexp_extract(F.regexp_replace(hit["form"], "^(?:group|families|family [a-z ]+): ", ""), "^([a-z_]+)", 1))
+    who = F.when(F.size(hit["members"]) > 0, hit["members"]).otherwise(F.array(F.lit(None).cast("string")))
+    made = F.flatten(F.transform(who, lambda e: F.transform(hit["reads"], lambda c: F.struct(e.alias("entity"), c.alias("column")))))
+    some = lambda x: F.when(hit.isNotNull(), x)
+    return some(op), some(F.concat(hit["members"], hit["reads"])), some(made)
 
 
 def note_rates(level1: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factledger.functions import lexicons as lx
+from factledger.functions.arrays import let, running, spans
+
+REACH = 400  # characters on either side of a number that rules look at
+BLOCK = 1024  # characters of a line whose dates are looked up together
 
 
 def tokens(text: Column, pattern: str) -> Column:
@@ -21,20 +25,6 @@ def note_lines(notes: DataFrame) -> DataFrame:
     return notes.select("note_id", "table_id", F.posexplode(kept).alias("line_idx", "line"))
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Start (from 0), end and text of each match: what split leaves between the matches tells their places."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,raw:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.char_length(x["gap"])
-        end = begin + F.char_length(x["raw"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["raw"].alias("raw")))).alias("out"))
-
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("raw"), g.alias("gap")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step)["out"]).otherwise(start["out"])
-
-
 def _direction(pre: Column, post: Column) -> Column:
     """up, down or none: from the three words before, nearest first, or the word after."""
     clause = F.element_at(F.split(pre, r"[,;:()]|\band\b|\bwhile\b|\bbut\b|\bwhereas\b"), -1)
@@ -71,22 +61,58 @@ def hedge(pre: Column) -> Column:
     return out.otherwise("none")
 
 
+def _ranked(raw: Column, pre: Column) -> Column:
+    """Whether a number is a rank by its ending or the word before it."""
+    before = tokens(pre, r"[#\w.'-]+|[£$€~]")
+    last = F.coalesce(F.get(before, F.size(before) - 1), F.lit(""))
+    return (F.regexp_extract(raw, lx.NUMBER, 5) != "") | last.isin("#", "no.", "no#", "rank", "ranked", "ranks", "ranking") | pre.endswith("#")
+
+
+def _near_dates(dates: Column, size: Column) -> Column:
+    """The dates by the blocks of the line that they touch, so that a number only looks at those about it."""
+    blocks = F.sequence(F.lit(0), F.floor(size / BLOCK).cast("int"))
+    return F.when(F.size(dates) > 0, F.transform(blocks, lambda b: F.filter(dates, lambda d: (d["start"] < (b + 1) * BLOCK) & (d["end"] > b * BLOCK))))
+
+
+def _numbers(part: Column, dates: Column) -> Column:
+    """The numbers of a sentence, each with what stands before and after it as far as rules look, and what parts it from the
+    number before."""
+    text = part["text"]
+
+    def one(m: Column, k: Column, all_: Column) -> Column:
+        last = F.get(all_, k - 1)
+        start, end = part["offset"] + m["start"], part["offset"] + m["end"]
+        block = lambda at: F.exists(F.get(dates, F.floor(at / BLOCK).cast("int")), lambda d: (start < d["end"]) & (end > d["start"]))
+        gap = F.when((k > 0) & (m["start"] - last["end"] <= REACH), F.substring(text, last["end"] + 1, m["start"] - last["end"]))
+        pre = F.substring(text, F.greatest(m["start"] - REACH, F.lit(0)) + 1, F.least(m["start"], F.lit(REACH)))
+        return F.struct(
+            part["offset"].alias("offset"), F.char_length(text).alias("size"), m["start"].alias("start"), m["end"].alias("end"), m["raw"].alias("raw"),
+            F.coalesce(block(start) | block(end - 1), F.lit(False)).alias("dated"), pre.alias("pre"), F.substring(text, m["end"] + 1, F.lit(REACH)).alias("post"), gap.alias("gap"), F.when(k > 0, last["raw"]).alias("last_raw"),
+            F.when(k > 0, F.substring(text, F.greatest(last["start"] - REACH, F.lit(0)) + 1, F.least(last["start"], F.lit(REACH)))).alias("last_pre"),
+        )
+
+    return let(spans(text, lx.NUMBER), lambda found: F.transform(found, lambda m, k: one(m, k, found)))
+
+
 def mentions(lines: DataFrame) -> DataFrame:
-    """One row a number of each line; ``sentence`` and ``position`` are in the line as it was written."""
+    """One row a number of each line; ``sentence`` and ``position`` are in the line as it was written.
+
+    A line is worked on as a whole in one row: its sentences, their numbers, and for each number the ``REACH`` characters on
+    either side that rules can look at. So the work grows with the length of a line, however many numbers it has, and
+    nothing is shuffled."""
     # Equal lengths, so that places hold: "No.3" is a rank, "c.£4k" is about.
     norm = F.regexp_replace("line", r"(?i)\b(No)\.(?=\d)", "$1#")
     for word in ("approx", "ca", "c"):
         norm = F.regexp_replace(norm, rf"(?i)\b{word}\.(?=\s?[£$€\d])", "~" + " " * len(word))
-    base = lines.withColumn("norm", norm).withColumn("dates", spans(F.col("norm"), lx.DATE))
     # A sentence's place is the length of all that stands before it, since the same sentence may stand twice; only sentences
     # with a digit go on.
-    parts = F.zip_with(F.split("norm", lx.SENTENCE_END), F.regexp_extract_all("norm", F.lit(f"({lx.SENTENCE_END})"), F.lit(1)), lambda text, gap: F.struct(text.alias("text"), (F.char_length(text) + F.coalesce(F.char_length(gap), F.lit(0))).alias("size")))
-    before = lambda i: F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0), lambda acc, x: acc + x["size"])
-    placed = F.transform("parts", lambda x, i: F.struct(i.alias("sentence_idx"), x["text"].alias("text"), F.when(x["text"].rlike("(?U)\\d"), before(i)).alias("offset")))
-    parts = base.withColumn("parts", parts).withColumn("sentence", F.explode(F.filter(placed, lambda x: x["offset"].isNotNull())))
-    found = parts.select(*lines.columns, "dates", "sentence.*")
-    found = found.select("*", F.posexplode(spans(F.col("text"), lx.NUMBER)).alias("k", "m")).withColumn("prior", F.expr("lag(named_struct('m', m)) over (partition by note_id, line_idx, sentence_idx order by k)"))
-    found = found.withColumn("pre", F.expr("substring(text, 1, m.start)")).withColumn("post", F.expr("substring(text, m.end + 1)"))
+    part = lambda text, gap: F.struct(text.alias("text"), (F.char_length(text) + F.coalesce(F.char_length(gap), F.lit(0))).alias("size"))
+    cut = lambda norm: F.zip_with(F.split(norm, lx.SENTENCE_END), F.regexp_extract_all(norm, F.lit(f"({lx.SENTENCE_END})"), F.lit(1)), part)
+    put = lambda parts: F.zip_with(parts, running(F.transform(parts, lambda x: x["size"])), lambda x, end: F.struct(x["text"].alias("text"), (end - x["size"]).alias("offset")))
+    digits = lambda parts: F.filter(parts, lambda x: x["text"].rlike("(?U)\\d"))
+    dates = lambda norm: let(spans(norm, lx.DATE), lambda d: _near_dates(d, F.char_length(norm)))
+    every = lambda norm: let(dates(norm), lambda d: let(let(cut(norm), put), lambda parts: F.flatten(F.transform(digits(parts), lambda p: _numbers(p, d)))))
+    found = lines.select(*lines.columns, F.posexplode(let(norm, every)).alias("mention_idx", "m")).select(*lines.columns, "mention_idx", "m", "m.offset", "m.pre", "m.post")
     group = lambda n: F.regexp_extract(F.col("m.raw"), lx.NUMBER, n)
     before = tokens(F.col("pre"), r"[#\w.'-]+|[£$€~]")
     after = F.transform(tokens(F.col("post"), r"[#\w.'-]+"), lambda w: F.rtrim(w, F.lit(".")))
@@ -96,11 +122,11 @@ def mentions(lines: DataFrame) -> DataFrame:
         "*", F.regexp_replace(group(4), ",", "").alias("digits"), before.alias("before"), after.alias("after"), last.alias("b1"), unit_text.alias("unit_text"), group(2).alias("cur"),
         F.concat(group(1), group(3)).substr(1, 1).alias("mark"),
         F.when(mult.isin("k", "thousand"), 1e3).when(mult.isin("m", "mn", "million"), 1e6).when(mult.isin("b", "bn", "billion"), 1e9).otherwise(1.0).alias("scale"),
-        ((group(5) != "") | last.isin("#", "no.", "no#", "rank", "ranked", "ranks", "ranking") | F.col("pre").endswith("#")).alias("own_rank"),
+        _ranked(F.col("m.raw"), F.col("pre")).alias("own_rank"),
     )
     # "ranks 1 to 6": a number that only a joining word parts from a rank is a rank too.
-    joins = F.expr("prior is not null and substring(text, prior.m.end + 1, m.start - prior.m.end) rlike '^\\\\s*(to|through|and|-|–)\\\\s*$'")
-    found = found.withColumn("is_rank", F.col("own_rank") | (joins & F.expr("coalesce(lag(own_rank) over (partition by note_id, line_idx, sentence_idx order by k), false)")))
+    joins = F.coalesce(F.col("m.gap").rlike(r"^\s*(to|through|and|-|–)\s*$"), F.lit(False))
+    found = found.withColumn("is_rank", F.col("own_rank") | (joins & F.coalesce(_ranked(F.col("m.last_raw"), F.col("m.last_pre")), F.lit(False))))
     ratio = F.col("unit_text").isin("x", "times") | F.col("unit_text").endswith("fold")
     counted = F.coalesce(F.get("after", F.lit(0)).rlike(f"^({lx.COUNT_NOUNS})$"), F.lit(False))
     unit = F.when((F.col("cur") != "") | F.col("unit_text").isin("gbp", "usd", "eur"), "currency").when(ratio, "plain").when(F.col("unit_text") != "", "percent").when(F.col("is_rank") | counted, "count").otherwise("plain")
@@ -118,12 +144,10 @@ def mentions(lines: DataFrame) -> DataFrame:
         F.col("b1").isin(lx.COUNTING_BEFORE) | tail.rlike(r"^(of|out of)( the)?( top| bottom)? \d") | ((F.col("b1") == "of") & b2.rlike(r"^\d+$")) | F.lower("pre").rlike(r"\d+\s+of the\s*$")
         | tail.rlike(rf"^((listed|shown|ranked|tracked|reported|other|remaining|named|trading|active) )?({lx.COUNTING_NOUNS})\b")
     )
-    dates = F.exists("dates", lambda d: (F.col("position") < d["end"]) & (F.col("position") + F.char_length(F.col("m.raw")) > d["start"]))
-    skip = F.when(dates, "date_or_week").when(bare & ~F.contains(F.col("m.raw"), F.lit(",")) & n.between(1990, 2035) & (F.col("unit") == "plain"), "year").when(bare & (n <= 200) & counting, "counting").otherwise("")
+    skip = F.when(F.col("m.dated"), "date_or_week").when(bare & ~F.contains(F.col("m.raw"), F.lit(",")) & n.between(1990, 2035) & (F.col("unit") == "plain"), "year").when(bare & (n <= 200) & counting, "counting").otherwise("")
     found = found.withColumn("position", F.col("offset") + F.col("m.start")).withColumn("skip_reason", skip).withColumn("hedge", hedge(F.col("pre")))
     return found.select(
-        "note_id", "table_id", "line_idx", F.expr("row_number() over (partition by note_id, line_idx order by position) - 1").alias("mention_idx"),
-        "line", F.expr("substring(line, offset + 1, char_length(text))").alias("sentence"), F.trim("m.raw").alias("raw_text"), (F.col("cited") * F.col("scale")).alias("value"), "cited", "decimals", "scale", "unit",
+        "note_id", "table_id", "line_idx", "mention_idx", "line", F.substring("line", F.col("offset") + 1, F.col("m.size")).alias("sentence"), F.trim("m.raw").alias("raw_text"), (F.col("cited") * F.col("scale")).alias("value"), "cited", "decimals", "scale", "unit",
         (F.col("sign") != 0).alias("signed"), "direction", "is_rank", "is_ratio", F.col("hedge").alias("qualifier"), F.when(F.get("after", F.lit(0)).isin("tw", "lw", "ly"), F.get("after", F.lit(0))).otherwise("").alias("period_hint"),
         "position", (F.col("position") + F.char_length("m.raw")).alias("end"), "skip_reason",
     )

@@ -1,8 +1,11 @@
 """Notes about small tables with the label that each number must get."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from factledger.functions.matching import unit_ok
 from factledger.operators import gate
 from factledger.operators.mentions import mentions, note_lines
 
@@ -75,3 +78,34 @@ def test_places_in_a_line_with_a_repeated_sentence(found):
     line = rows[0].line
     assert [line[r.position : r.end] for r in rows] == [r.raw_text for r in rows]
     assert [r.position for r in rows] == [line.index("3rd"), line.index("4 orders"), line.rindex("3rd"), line.index("77 orders")]
+
+
+def test_cells_that_an_evidence_is_made_of(found):
+    of = lambda note, raw: next([tuple(x) for x in r.cells] for r in found[note] if r.raw_text == raw)
+    assert of("planted", "£8,120.55") == [("Spain", "Revenue_TW")] and of("planted", "£68.0k") == [(None, "Revenue_TW")]
+    # A pair names both entities, a group all of its members.
+    assert of("n04", "265.9%") == [("Italy", "Revenue_TW"), ("Sweden", "Revenue_TW")]
+    assert of("n15", "£7,691.60") == [(f"GARDEN LANTERN {x}", "Revenue_LW") for x in ("BLACK", "GREEN", "WHITE")]
+
+
+def test_numbers_meet_the_values_that_they_may_mean(spark):
+    """Every value that matches is met, and of 400 values a number meets few."""
+    rng = random.Random(4)
+    values = [(f"f{i}", i, rng.choice([0.0, rng.uniform(-1, 1), 10 ** rng.uniform(-4, 7) * rng.choice([1, -1])]), rng.choice(["currency", "count", "percent", "ratio", "rank"])) for i in range(400)]
+    asked = []
+    for i in range(400):
+        _, _, v, unit = rng.choice(values)
+        scale, decimals = rng.choice([s for s in (1.0, 1e3, 1e6) if abs(v) >= s or s == 1]), rng.randint(0, 2)
+        cited = round(v / scale * rng.choice([1, 1, 1.04, 0.7, 1.4]), decimals)
+        unit = rng.choice([unit, "plain"]) if unit not in ("rank", "ratio") else unit
+        asked.append((i, cited, decimals, scale, rng.choice(["none", "none", "approx", "over", "under"]), rng.random() < 0.5, "plain" if unit in ("rank", "ratio") else unit, unit == "rank", unit == "ratio"))
+    known = spark.createDataFrame([("t", *v) for v in values], "table_id string, form string, ord int, value double, unit string")
+    numbers = spark.createDataFrame([("t", *x) for x in asked], "table_id string, i int, cited double, decimals int, scale double, qualifier string, signed boolean, unit string, is_rank boolean, is_ratio boolean")
+    met = gate.meetings(numbers, known, ["table_id"])
+    got = {(r.i, r.ord) for r in met.where(gate.near(F.lit(True))).select("i", "ord").collect()}
+    every = known.withColumnsRenamed({"value": "c_value", "unit": "c_unit"}).join(numbers, "table_id")
+    ok = unit_ok(F.col("c_unit"), F.col("unit"), F.col("is_rank"), F.col("is_ratio")) & gate.near(F.lit(True))
+    assert got == {(r.i, r.ord) for r in every.where(ok).select("i", "ord").collect()} and len(got) > 300
+    # A third of the values are near 0, where one rounded number may mean many of them; others meet less than a hundredth.
+    assert met.count() < 0.12 * len(asked) * len(values)
+    assert met.where("qualifier = 'none' and abs(cited) > 100").count() < 0.01 * sum(1 for x in asked if x[4] == "none" and abs(x[1]) > 100) * len(values)

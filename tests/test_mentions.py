@@ -1,6 +1,7 @@
 """Sentences with the reading that they must get."""
 
 import re
+import time
 
 import pytest
 
@@ -66,3 +67,19 @@ def test_documents_against_the_same_pattern_in_python(spark, sf_dir):
     for r in catalogue.extract_numbers_docs(spark, sf_dir).orderBy("doc_id", "line_idx", "mention_idx").collect():
         got.setdefault((r.doc_id, r.line_idx), []).append(r.raw_text)
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_work_grows_with_the_line(spark):
+    """Four times the numbers in a line cost no more than six times as long (16 times if each looked at the whole line)."""
+    took = {}
+    for n in (100, 300, 1200):
+        line = "- " + " then ".join(f"£{i},000.50 up {i % 90}.5% in week {i % 52}" for i in range(1, n + 1))
+        notes = spark.createDataFrame([("n", "t", line)], "note_id string, table_id string, note string")
+        began = time.time()
+        got = sorted(mentions(note_lines(notes)).select("mention_idx", "position", "end", "raw_text", "unit", "direction", "skip_reason").collect())
+        took[n] = time.time() - began
+        assert [r.mention_idx for r in got] == list(range(3 * n))
+        assert all(line[r.position : r.end].strip() == r.raw_text for r in got)
+        assert {r.skip_reason for r in got[2::3]} == {"date_or_week"}
+        assert {(r.unit, r.direction) for r in got[1::3]} == {("percent", "up")}
+    assert took[1200] < 6 * max(took[300], 2)
