@@ -251,7 +251,7 @@ def level1(mentions: DataFrame, lines: DataFrame, tables: DataFrame) -> DataFram
     hits = hits.unionByName(meetings(asked, of_line, LINE).where(near(F.lit(True))).select(*pick))
     best = hits.groupBy(*key).agg(F.min(F.struct("step", "ord", "form", "entity", "c_value", "members", "reads")).alias("hit"))
     label = F.when(F.col("skip_reason") != "", "Skipped").when(F.col("hit.step").isin(1, 4), "Supported_cell").when(F.col("hit").isNotNull(), "Supported_derived").otherwise("Unsupported")
-    evidence = F.when(F.col("hit").isNotNull(), F.concat("hit.form", F.lit(" = "), F.round("hit.c_value", 4).cast("string"))).otherwise("")
+    evidence = F.when(F.col("hit").isNotNull(), F.concat("hit.form", F.lit(" = "), plain(F.col("hit.c_value")))).otherwise("")
     op, args, made = lineage(F.col("hit"))
     return m.join(best, key, "left").select(*m.columns, label.alias("label"), evidence.alias("evidence"), op.alias("op"), args.alias("args"), made.alias("cells"))
 
@@ -264,6 +264,11 @@ def meetings(asked: DataFrame, values: DataFrame, on: list[str]) -> DataFrame:
     return known.join(put, [*on, "c_unit", "cell"])
 
 
+def plain(value: Column) -> Column:
+    """A number with four decimals at most, and one at least, whatever its size."""
+    return F.regexp_replace(F.round(value, 4).cast("decimal(38,4)").cast("string"), r"(\.\d+?)0+$", "$1")
+
+
 def near(bounds: Column) -> Column:
     """Whether a number and a value that have met match."""
     return matches(F.col("c_value"), F.col("cited"), F.col("decimals"), F.col("scale"), F.col("qualifier"), F.col("signed"), bounds)

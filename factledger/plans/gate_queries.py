@@ -84,7 +84,7 @@ def _change(a: str, b: str) -> str:
     return f"(({a}) - ({b})) / nullif(cast({b} as double), 0) * 100"
 
 
-def entity_sql() -> str:
+def entity_rows() -> list[tuple[str, str, str]]:
     d = lambda c: f"cast(r.{NAMES[c]} as double)"
     t = lambda c: f"t.{NAMES[c]}"
     rows = []
@@ -100,10 +100,15 @@ def entity_sql() -> str:
         rows += [(f"sum_excluding({m}_TW)", tw, u), (f"sum_excluding({m}_LW)", lw, u), (f"pct_change(sum_excluding {m})", _change(tw, lw), "percent")]
     for p in ("TW", "LW"):
         rows += [(f"units_per_order({p})", _ratio(d(f"Units_{p}"), d(f"Orders_{p}")), "count"), (f"per_order({p})", _ratio(d(f"Revenue_{p}"), d(f"Orders_{p}")), "currency"), (f"per_unit({p})", _ratio(d(f"Revenue_{p}"), d(f"Units_{p}")), "currency")]
-    return f"{BASE},\n{TOTALS} " + _union(rows, "r.week as table_id, r.entity", "report r join totals t using (week)")
+    return rows
 
 
-def table_sql() -> str:
+def entity_sql() -> str:
+    return f"{BASE},\n{TOTALS} " + _union(entity_rows(), "r.week as table_id, r.entity", "report r join totals t using (week)")
+
+
+def table_rows() -> tuple[list[str], list[tuple[str, str, str]]]:
+    """The aggregates of each column, and the values made of them."""
     aggs, rows = [], []
     for c, u in gate.COLUMNS.items():
         n = NAMES[c]
@@ -121,6 +126,11 @@ def table_sql() -> str:
     for p, x in each.items():
         rows += [(f"per_order(sum(Revenue_{p}))", x["per_order"], "currency"), (f"per_unit(sum(Revenue_{p}))", x["per_unit"], "currency"), (f"units_per_order(sum(Units_{p}))", x["units_per_order"], "count")]
     rows += [(f"pct_change({n}(TW), {n}(LW))", _change(each["TW"][n], each["LW"][n]), "percent") for n in each["TW"]]
+    return aggs, rows
+
+
+def table_sql() -> str:
+    aggs, rows = table_rows()
     top = """k as (select week, row_number() over o as k, cast(sum(cast(revenue_tw as decimal(18,2))) over (o rows unbounded preceding) as double) as top, cast(sum(cast(revenue_tw as decimal(18,2))) over (partition by week) as double) as total
       from report window o as (partition by week order by revenue_tw desc, entity))"""
     tops = " union all ".join(
@@ -141,8 +151,11 @@ def pair_sql() -> str:
     return f"{BASE},\nf as (select * from report where \"rank\" <= 3) " + " union all ".join(parts)
 
 
-def group_sql() -> str:
-    sums = ", ".join(f"cast(sum(cast({NAMES[c]} as decimal(18,2))) as double) as {NAMES[c]}" for c in gate.LEVELS)
+SUMS = ", ".join(f"cast(sum(cast({NAMES[c]} as decimal(18,2))) as double) as {NAMES[c]}" for c in gate.LEVELS)
+
+
+def group_rows() -> list[tuple[str, str, str]]:
+    """Values of a group ``g`` of a table with the totals ``t``."""
     rows = [(f"group: sum({m}_TW)", f"g.{m.lower()}_tw", u) for m, u in gate.MEASURES.items()]
     for m, p in gate.PAIRS:
         a, b = f"g.{m.lower()}_tw", f"g.{m.lower()}_{p.lower()}"
@@ -151,11 +164,77 @@ def group_sql() -> str:
         a, t = f"g.{NAMES[c]}", f"t.{NAMES[c]}"
         rows += [(f"group: share({c})", f"{_ratio(a, t)} * 100", "percent"), (f"group: sum_outside({c})", f"({t} - {a})", gate.COLUMNS[c]), (f"group: share_outside({c})", f"{_ratio(f'{t} - {a}', t)} * 100", "percent")]
     rows += [("group: mean(Revenue_TW)", "g.mean", "currency"), ("group: sum(Share_Pct)", "g.shares", "percent")]
+    return rows
+
+
+def group_sql() -> str:
+    rows = group_rows()
+    sums = SUMS
     source = "g join totals t using (week)"
     g = f"g as (select week, count(*) as members, {sums}, cast(sum(cast(revenue_tw as decimal(18,2))) as double) / count(*) as mean, cast(sum(cast(share_pct as decimal(18,2))) as double) as shares from report where \"rank\" <= 3 group by week having count(*) >= 2)"
     return f"{BASE},\n{TOTALS},\n{g} " + _union(rows, "g.week as table_id", source)
 
 
+def _ordered(rows: list[tuple[str, str, str]], first: int, step: int, entity: str, source: str, table: str) -> str:
+    return " union all ".join(f"select {table} as table_id, {entity} as entity, {step} as step, {first + i} as ord, '{form}' as form, cast({value} as double) as value, '{unit}' as unit from {source} where {value} is not null" for i, (form, value, unit) in enumerate(rows))
+
+
+PLAIN = lambda x: f"regexp_replace(cast(cast(round({x}, 4) as decimal(38,4)) as varchar), '(\\.\\d+?)0+$', '\\1')"
+
+
+def _near(value: str) -> str:
+    """Whether a value rounds half up to the number ``m``, on magnitudes; its sign too where the number has one."""
+    gap, half = f"(abs({value}) - abs(m.cited))", "(0.5::double * pow(10.0::double, -m.decimals))"
+    return f"({gap} >= -{half} - 1e-9::double and {gap} < {half} - 1e-9::double and (not m.signed or sign({value}) = sign(m.cited) or {value} = 0 or m.cited = 0))"
+
+
+MENTIONS = """m as (select table_id, entity, cast(line_idx as integer) as line_idx, 0 as mention_idx, money as raw_text, cast(replace(money[2:], ',', '') as double) as cited, 2 as decimals, 'currency' as unit, 'none' as direction, false as signed from planted
+  union all select table_id, entity, cast(line_idx as integer), 1, pct, cast(pct[:-2] as double) * case way when 'up' then 1 else -1 end, 1, 'percent', way, true from planted)"""
+
+
+def labels_sql() -> str:
+    """Each number of the generated notes against every value that its line gives: its entity's cells and values, those of the
+    entities whose names share its first word (the only family that names of nations have), sums of the table, other cells."""
+    cells = _ordered([(c, f'r."{NAMES[c]}"', u) for c, u in gate.COLUMNS.items()], 0, 1, "r.entity", "report r", "r.week")
+    own = _ordered(entity_rows(), 0, 2, "r.entity", "report r join totals t using (week)", "r.week")
+    aggs, rows = table_rows()
+    sums = [(i, x) for i, x in enumerate(rows) if x[0].startswith(("sum(", "per_order(sum(", "per_unit(sum(", "units_per_order(sum("))]
+    table = " union all ".join(_ordered([x], i, 3, "cast(null as varchar)", "ag", "ag.week") for i, x in sums)
+    family = [(form.replace("group: ", "family united: "), value, unit) for form, value, unit in group_rows()]
+    group = _ordered(family, 1000, 2, "'united'", "g join totals t using (week)", "g.week")
+    return f"""{BASE},
+{TOTALS},
+{SLOTS},
+{MENTIONS},
+ag as (select week, count(*) as n, {", ".join(aggs)} from report group by week),
+g as (select week, {SUMS}, cast(sum(cast(revenue_tw as decimal(18,2))) as double) / count(*) as mean, cast(sum(cast(share_pct as decimal(18,2))) as double) as shares
+  from report where regexp_matches(lower(entity), '(^|[^a-z])united([^a-z]|$)') group by week having count(*) between 2 and 20),
+c as ({cells} union all {own} union all {table} union all {group}),
+hit as (select m.table_id, m.line_idx, m.mention_idx, case when c.step = 1 and c.entity <> m.entity then 4 else c.step end as step,
+    c.ord + case when c.step = 1 and c.entity = m.entity and m.mention_idx = 0 and not suffix(lower(c.form), '_tw') then 100 else 0 end as ord, c.form, c.entity, c.value
+  from m join c on c.table_id = m.table_id and c.unit = m.unit
+  where (c.step in (1, 3) or c.entity = m.entity or (c.entity = 'united' and regexp_matches(lower(m.entity), '(^|[^a-z])united([^a-z]|$)'))) and {_near("c.value")}),
+best as (select table_id, line_idx, mention_idx, arg_min(hit, {{'step': step, 'ord': ord, 'form': form, 'entity': coalesce(entity, ''), 'value': value}}) as hit from hit group by all),
+labelled as (select 'note ' || m.table_id as note_id, m.table_id, m.line_idx, m.mention_idx, m.raw_text, m.cited as value, m.unit, m.direction,
+    case when hit is null then 'Unsupported' when hit.step in (1, 4) then 'Supported_cell' else 'Supported_derived' end as label, coalesce(hit.form || ' = ' || {PLAIN("hit.value")}, '') as evidence
+  from m left join best using (table_id, line_idx, mention_idx))"""
+
+
+def claims_sql() -> str:
+    """The revenue of each line against its row's own cell, the row's other money, and the other rows' revenue."""
+    money = ["r.revenue_lw", "r.revenue_ly", "r.revenue_tw - r.revenue_lw", "r.revenue_tw - r.revenue_ly"]
+    other = " or ".join(f"coalesce({_near(f'cast({x} as double)')}, false)" for x in money)
+    return f"""{BASE},
+{TOTALS},
+{SLOTS},
+{MENTIONS},
+rows as (select week, entity, cast(revenue_tw as double) as value from report union all select week, 'TOTAL', revenue_tw from totals),
+others as (select m.table_id, m.line_idx, count(distinct o.entity) as n from m join rows o on o.week = m.table_id and o.entity <> m.entity where m.mention_idx = 0 and {_near("o.value")} group by all)
+select 'note ' || m.table_id as note_id, m.line_idx, 0 as claim_idx, m.table_id, m.entity, 'revenue' as metric, 'TW' as period, m.raw_text as value_text,
+  case when {_near("cast(r.revenue_tw as double)")} then 'Correct' when {other} then 'Wrong_metric' when coalesce(others.n, 0) = 1 then 'Wrong_entity' else 'Wrong_value' end as label
+from m join report r on r.week = m.table_id and r.entity = m.entity left join others on others.table_id = m.table_id and others.line_idx = m.line_idx where m.mention_idx = 0"""
+
+
 QUERIES = {
     "entity_values": lambda s, d: gate.entity_values(_tables(s, d)).select("table_id", "entity", "form", "value", "unit"),
     "table_values": lambda s, d: gate.table_values(_tables(s, d)).select("table_id", "form", "value", "unit"),
@@ -166,7 +245,11 @@ QUERIES = {
     "regex_claims": read_claims,
     "claim_hints": corrected,
 }
+COUNTS = ", ".join(f"count(*) filter (label = '{x}') as n_{x.lower()}" for x in ("Supported_cell", "Supported_derived", "Unsupported", "Skipped"))
 ORACLES = {
+    "level1_labels": labels_sql() + " select * exclude (table_id) from labelled",
+    "level1_rates": labels_sql() + f" select *, n_supported_cell + n_supported_derived + n_unsupported as n_checked, n_unsupported / (n_supported_cell + n_supported_derived + n_unsupported) as unsupported_rate from (select note_id, table_id, {COUNTS} from labelled group by all)",
+    "claim_labels": claims_sql(),
     "entity_values": entity_sql(),
     "table_values": table_sql(),
     "pair_values": pair_sql(),
