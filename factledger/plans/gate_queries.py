@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.operators import claims, extraction, gate, notes, reports
+from factledger.operators import claims, extraction, gate, notes, reports, verify
 from factledger.operators.mentions import mentions, note_lines
 from factledger.plans.report_sql import LINES, report, weekly, with_
+from factledger.sources.scratch import stored
 
 TOP = 10
 BASE = with_(LINES, weekly("country"), report(TOP)).rstrip()
@@ -188,13 +189,13 @@ def _near(value: str) -> str:
     return f"({gap} >= -{half} - 1e-9::double and {gap} < {half} - 1e-9::double and (not m.signed or sign({value}) = sign(m.cited) or {value} = 0 or m.cited = 0))"
 
 
-MENTIONS = """m as (select table_id, entity, cast(line_idx as integer) as line_idx, 0 as mention_idx, money as raw_text, cast(replace(money[2:], ',', '') as double) as cited, 2 as decimals, 'currency' as unit, 'none' as direction, false as signed from planted
-  union all select table_id, entity, cast(line_idx as integer), 1, pct, cast(pct[:-2] as double) * case way when 'up' then 1 else -1 end, 1, 'percent', way, true from planted)"""
+MENTIONS = """m as (select 'note ' || table_id as note_id, table_id, entity, cast(line_idx as integer) as line_idx, 0 as mention_idx, money as raw_text, cast(replace(money[2:], ',', '') as double) as cited, 2 as decimals, 'currency' as unit, 'none' as direction, false as signed from planted
+  union all select 'note ' || table_id, table_id, entity, cast(line_idx as integer), 1, pct, cast(pct[:-2] as double) * case way when 'up' then 1 else -1 end, 1, 'percent', way, true from planted)"""
 
 
-def labels_sql() -> str:
-    """Each number of the generated notes against every value that its line gives: its entity's cells and values, those of the
-    entities whose names share its first word (the only family that names of nations have), sums of the table, other cells."""
+def _values_sql() -> str:
+    """Every value that lines about one entity may mean: its cells and values, those of the entities whose names share its
+    first word (the only family that names of nations have), sums of the table, other cells."""
     cells = _ordered([(c, f'r."{NAMES[c]}"', u) for c, u in gate.COLUMNS.items()], 0, 1, "r.entity", "report r", "r.week")
     own = _ordered(entity_rows(), 0, 2, "r.entity", "report r join totals t using (week)", "r.week")
     aggs, rows = table_rows()
@@ -204,20 +205,91 @@ def labels_sql() -> str:
     group = _ordered(family, 1000, 2, "'united'", "g join totals t using (week)", "g.week")
     return f"""{BASE},
 {TOTALS},
-{SLOTS},
-{MENTIONS},
 ag as (select week, count(*) as n, {", ".join(aggs)} from report group by week),
 g as (select week, {SUMS}, cast(sum(cast(revenue_tw as decimal(18,2))) as double) / count(*) as mean, cast(sum(cast(share_pct as decimal(18,2))) as double) as shares
-  from report where regexp_matches(lower(entity), '(^|[^a-z])united([^a-z]|$)') group by week having count(*) between 2 and 20),
-c as ({cells} union all {own} union all {table} union all {group}),
-hit as (select m.table_id, m.line_idx, m.mention_idx, case when c.step = 1 and c.entity <> m.entity then 4 else c.step end as step,
+  from report where {UNITED.format("entity")} group by week having count(*) between 2 and 20),
+c as materialized ({cells} union all {own} union all {table} union all {group})"""
+
+
+UNITED = "regexp_matches(lower({}), '(^|[^a-z])united([^a-z]|$)')"
+
+
+def _labelled(numbers: str, n: str = "") -> str:
+    """``labelled``: the numbers (note_id, table_id, entity, line_idx, mention_idx, raw_text, cited, decimals, unit, direction,
+    signed) with label and evidence; money is said to be of this week."""
+    return f"""hit{n} as (select m.note_id, m.line_idx, m.mention_idx, case when c.step = 1 and c.entity <> m.entity then 4 else c.step end as step,
     c.ord + case when c.step = 1 and c.entity = m.entity and m.mention_idx = 0 and not suffix(lower(c.form), '_tw') then 100 else 0 end as ord, c.form, c.entity, c.value
-  from m join c on c.table_id = m.table_id and c.unit = m.unit
-  where (c.step in (1, 3) or c.entity = m.entity or (c.entity = 'united' and regexp_matches(lower(m.entity), '(^|[^a-z])united([^a-z]|$)'))) and {_near("c.value")}),
-best as (select table_id, line_idx, mention_idx, arg_min(hit, {{'step': step, 'ord': ord, 'form': form, 'entity': coalesce(entity, ''), 'value': value}}) as hit from hit group by all),
-labelled as (select 'note ' || m.table_id as note_id, m.table_id, m.line_idx, m.mention_idx, m.raw_text, m.cited as value, m.unit, m.direction,
-    case when hit is null then 'Unsupported' when hit.step in (1, 4) then 'Supported_cell' else 'Supported_derived' end as label, coalesce(hit.form || ' = ' || {PLAIN("hit.value")}, '') as evidence
-  from m left join best using (table_id, line_idx, mention_idx))"""
+  from {numbers} m join c on c.table_id = m.table_id and c.unit = m.unit
+  where (c.step in (1, 3) or c.entity = m.entity or (c.entity = 'united' and {UNITED.format("m.entity")})) and {_near("c.value")}),
+best{n} as (select note_id, line_idx, mention_idx, arg_min(h, {{'step': step, 'ord': ord, 'form': form, 'entity': coalesce(entity, ''), 'value': value}}) as hit from hit{n} h group by all),
+labelled{n} as (select m.*, case when hit is null then 'Unsupported' when hit.step in (1, 4) then 'Supported_cell' else 'Supported_derived' end as label,
+    coalesce(hit.form || ' = ' || {PLAIN("hit.value")}, '') as evidence from {numbers} m left join best{n} using (note_id, line_idx, mention_idx))"""
+
+
+def labels_sql() -> str:
+    return f"""{_values_sql()},
+{SLOTS},
+{MENTIONS},
+{_labelled("m")}"""
+
+
+def drafts_sql(strategies: dict[str, int]) -> str:
+    """``slots``: the numbers of every draft with their true values, and what was planted."""
+    draw = lambda what, more="": f"('0x' || md5('{what}|' || strategy || '|' || week || '|' || entity || '|' || slot{more})[1:8])::bigint"
+    kinds = f"case when {draw('wrong')} % 100 >= rate then 'none' when {draw('kind')} % 10 between {verify.DRIFT} and {verify.DRIFT + verify.SWAP - 1} and n > 1 then 'swap' when {draw('kind')} % 10 >= {verify.DRIFT + verify.SWAP} and slot = 1 then 'flip' else 'drift' end"
+    return f"""cells2 as (select week, "rank", entity, wow_pct, 0 as slot, cast(revenue_tw as double) as truth from report where revenue_tw is not null union all select week, "rank", entity, wow_pct, 1, cast(wow_pct as double) from report where wow_pct is not null),
+every as (select *, row_number() over (partition by week, slot order by "rank", entity) - 1 as k, count(*) over (partition by week, slot) as n from cells2),
+first as (select *, row_number() over (partition by week, slot order by "rank", entity) - 1 as line_idx from every where "rank" <= 3 and wow_pct is not null),
+drawn as (select *, {kinds} as planted, ([{", ".join(f"{x}::double" for x in verify.FACTORS)}])[{draw('factor')} % {len(verify.FACTORS)} + 1] as factor, {draw('swap')} % greatest(n - 1, 1) as pick
+  from first, (values {", ".join(f"('{s}', {rate})" for s, rate in strategies.items())}) s(strategy, rate)),
+slots as (select d.strategy || ' ' || d.week as note_id, d.strategy, d.week, d.entity, d.line_idx, d.slot, d.truth, d.planted,
+    case d.planted when 'drift' then d.truth * d.factor when 'swap' then o.truth when 'flip' then -d.truth else d.truth end as value
+  from drawn d left join every o on o.week = d.week and o.slot = d.slot and o.k = d.pick + cast(d.pick >= d.k as integer))"""
+
+
+def _read(slots: str, value: str, also: str = "") -> str:
+    """The numbers as they are written and read again."""
+    money, change = f"round_even({value} * 100, 0) / 100", f"round_even(abs({value}) * 10, 0) / 10"
+    return f"""select note_id, week as table_id, entity, line_idx, slot as mention_idx, strategy, truth, planted, {value} as value, case slot when 0 then '£' || format('{{:,.2f}}', {money}) else printf('%.1f', {change}) || '%' end as raw_text,
+    case slot when 0 then {money} else {change} * case when {value} >= 0 then 1 else -1 end end as cited, 2 - slot as decimals, case slot when 0 then 'currency' else 'percent' end as unit, slot = 1 as signed{also} from {slots}"""
+
+
+def rounds_sql() -> str:
+    out = f"{_values_sql()},\n{drafts_sql({'S1': verify.WRONG['S1']})},\nm0 as ({_read('slots', 'value')}),\n{_labelled('m0', '0')}"
+    for r in range(1, verify.ROUNDS + 1):
+        fix = f"label = 'Unsupported' and ('0x' || md5('repair|' || strategy || '|' || table_id || '|' || entity || '|' || mention_idx || '|{r}')[1:8])::bigint % 100 < {verify.REPAIRED}"
+        again = f"(select note_id, table_id as week, entity, line_idx, mention_idx as slot, strategy, truth, planted, case when {fix} then truth else value end as value, {fix} as fixed from labelled{r - 1})"
+        out += f",\nm{r} as ({_read(again, 'value', ', fixed')}),\n{_labelled(f'm{r}', str(r))}"
+    rates = " union all ".join(f"select {r} as round, strategy, count(*) as n_checked, count(*) filter (label = 'Unsupported') as n_unsupported, count(*) filter (label = 'Unsupported') / count(*) as unsupported_rate from labelled{r}" + (f" where exists (select 1 from m{r} where fixed)" if r else "") + " group by strategy" for r in range(verify.ROUNDS + 1))
+    return out + " " + rates
+
+
+def regated_sql() -> str:
+    return f"""{_values_sql()},
+{drafts_sql(verify.WRONG)},
+m0 as ({_read("slots", "value")}),
+{_labelled("m0", "0")},
+m1 as ({_read("slots", "truth")}),
+{_labelled("m1", "1")}
+select a.note_id, a.line_idx, a.mention_idx, a.planted, a.raw_text as raw_before, b.raw_text as raw_after, a.label as label_before, b.label as label_after from labelled0 a join labelled1 b using (note_id, line_idx, mention_idx)"""
+
+
+def verify_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unsupported numbers after each round of the write-and-verify strategy, whose drafts are the first strategy's."""
+    tables = stored(_tables(spark, sf_dir), "report")
+    slots = stored(verify.drafts(tables, {"S1": verify.WRONG["S1"]}), "slots")
+    return verify.round_rates(verify.verified(slots, tables))
+
+
+def regated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every number of every strategy's draft with its label before and after the true values have been written back."""
+    tables = stored(_tables(spark, sf_dir), "report")
+    slots = stored(verify.drafts(tables), "slots")
+    before = verify.gated(slots, tables)
+    after = verify.regated(before, stored(verify.substituted(slots)[1], "changed"), tables)
+    key = [*verify.LINE, "mention_idx"]
+    two = before.select(*key, F.col("raw_text").alias("raw_before"), F.col("label").alias("label_before")).join(after.select(*key, F.col("raw_text").alias("raw_after"), F.col("label").alias("label_after")), key)
+    return two.join(slots.select(*verify.LINE, F.col("slot").alias("mention_idx"), "planted"), key)
 
 
 def claims_sql() -> str:
@@ -236,6 +308,8 @@ from m join report r on r.week = m.table_id and r.entity = m.entity left join ot
 
 
 QUERIES = {
+    "verify_rounds": verify_rounds,
+    "regated_labels": regated_labels,
     "entity_values": lambda s, d: gate.entity_values(_tables(s, d)).select("table_id", "entity", "form", "value", "unit"),
     "table_values": lambda s, d: gate.table_values(_tables(s, d)).select("table_id", "form", "value", "unit"),
     "pair_values": pairs,
@@ -247,9 +321,11 @@ QUERIES = {
 }
 COUNTS = ", ".join(f"count(*) filter (label = '{x}') as n_{x.lower()}" for x in ("Supported_cell", "Supported_derived", "Unsupported", "Skipped"))
 ORACLES = {
-    "level1_labels": labels_sql() + " select * exclude (table_id) from labelled",
+    "level1_labels": labels_sql() + " select note_id, line_idx, mention_idx, raw_text, cited as value, unit, direction, label, evidence from labelled",
     "level1_rates": labels_sql() + f" select *, n_supported_cell + n_supported_derived + n_unsupported as n_checked, n_unsupported / (n_supported_cell + n_supported_derived + n_unsupported) as unsupported_rate from (select note_id, table_id, {COUNTS} from labelled group by all)",
     "claim_labels": claims_sql(),
+    "verify_rounds": rounds_sql(),
+    "regated_labels": regated_sql(),
     "entity_values": entity_sql(),
     "table_values": table_sql(),
     "pair_values": pair_sql(),
