@@ -195,23 +195,23 @@ MENTIONS = """m as (select 'note ' || table_id as note_id, table_id, entity, cas
 
 def _values_sql() -> str:
     """Every value that lines about one entity may mean: its cells and values, those of the entities whose names share its
-    first word (the only family that names of nations have), sums of the table, other cells."""
+    word (the only kind of family that names of nations have), sums of the table, other cells."""
     cells = _ordered([(c, f'r."{NAMES[c]}"', u) for c, u in gate.COLUMNS.items()], 0, 1, "r.entity", "report r", "r.week")
     own = _ordered(entity_rows(), 0, 2, "r.entity", "report r join totals t using (week)", "r.week")
     aggs, rows = table_rows()
     sums = [(i, x) for i, x in enumerate(rows) if x[0].startswith(("sum(", "per_order(sum(", "per_unit(sum(", "units_per_order(sum("))]
     table = " union all ".join(_ordered([x], i, 3, "cast(null as varchar)", "ag", "ag.week") for i, x in sums)
-    family = [(form.replace("group: ", "family united: "), value, unit) for form, value, unit in group_rows()]
-    group = _ordered(family, 1000, 2, "'united'", "g join totals t using (week)", "g.week")
+    family = [(form.replace("group: ", "family ' || g.word || ': "), value, unit) for form, value, unit in group_rows()]
+    group = _ordered(family, 1000, 2, "g.word", "g join totals t using (week)", "g.week")
     return f"""{BASE},
 {TOTALS},
 ag as (select week, count(*) as n, {", ".join(aggs)} from report group by week),
-g as (select week, {SUMS}, cast(sum(cast(revenue_tw as decimal(18,2))) as double) / count(*) as mean, cast(sum(cast(share_pct as decimal(18,2))) as double) as shares
-  from report where {UNITED.format("entity")} group by week having count(*) between 2 and 20),
+g as (select week, {WORD.format("entity")} as word, {SUMS}, cast(sum(cast(revenue_tw as decimal(18,2))) as double) / count(*) as mean, cast(sum(cast(share_pct as decimal(18,2))) as double) as shares
+  from report where length({WORD.format("entity")}) >= 6 group by week, word having count(*) between 2 and 20),
 c as materialized ({cells} union all {own} union all {table} union all {group})"""
 
 
-UNITED = "regexp_matches(lower({}), '(^|[^a-z])united([^a-z]|$)')"
+WORD = "regexp_extract(lower({}), '[a-z]+')"
 
 
 def _labelled(numbers: str, n: str = "") -> str:
@@ -220,7 +220,7 @@ def _labelled(numbers: str, n: str = "") -> str:
     return f"""hit{n} as (select m.note_id, m.line_idx, m.mention_idx, case when c.step = 1 and c.entity <> m.entity then 4 else c.step end as step,
     c.ord + case when c.step = 1 and c.entity = m.entity and m.mention_idx = 0 and not suffix(lower(c.form), '_tw') then 100 else 0 end as ord, c.form, c.entity, c.value
   from {numbers} m join c on c.table_id = m.table_id and c.unit = m.unit
-  where (c.step in (1, 3) or c.entity = m.entity or (c.entity = 'united' and {UNITED.format("m.entity")})) and {_near("c.value")}),
+  where (c.step in (1, 3) or c.entity = m.entity or c.entity = {WORD.format("m.entity")}) and {_near("c.value")}),
 best{n} as (select note_id, line_idx, mention_idx, arg_min(h, {{'step': step, 'ord': ord, 'form': form, 'entity': coalesce(entity, ''), 'value': value}}) as hit from hit{n} h group by all),
 labelled{n} as (select m.*, case when hit is null then 'Unsupported' when hit.step in (1, 4) then 'Supported_cell' else 'Supported_derived' end as label,
     coalesce(hit.form || ' = ' || {PLAIN("hit.value")}, '') as evidence from {numbers} m left join best{n} using (note_id, line_idx, mention_idx))"""
