@@ -5,6 +5,8 @@ hit by (step, place) is the evidence. All tables here are long tables keyed by `
 
 from __future__ import annotations
 
+from dataclasses import astuple, dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,9 +223,29 @@ def pair_values(named: DataFrame, tables: DataFrame) -> DataFrame:
     return out.select("note_id", "line_idx", "table_id", (500 + F.col("ord")).alias("ord"), F.concat("v.op", F.lit("("), "a", F.lit("."), "col", F.lit(", "), "b", F.lit("."), "col", F.lit(")")).alias("form"), "v.value", "v.unit", F.array("col").alias("reads"), F.array("a", "b").alias("members"))
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A version of the rules of level 1: how far a rounded, a scaled and an "about" number may be off, whether hedges count,
+    whether a plain number may be a ratio, and whether families of names are groups."""
+
+    version: str = "current"
+    rounding: float = 1.0
+    scaled_by: float = 0.005
+    about_by: float = 0.05
+    hedged: bool = True
+    strict_plain: bool = False
+    families: bool = True
+
+
 def level1(mentions: DataFrame, lines: DataFrame, tables: DataFrame) -> DataFrame:
+    """Every mention with its label under the current rules; see ``level1_versions``."""
+    return level1_versions(mentions, lines, tables, [Rule()]).drop("version")
+
+
+def level1_versions(mentions: DataFrame, lines: DataFrame, tables: DataFrame, rules: list[Rule]) -> DataFrame:
     """Every mention with ``label`` (Supported_cell, Supported_derived, Unsupported, Skipped), ``evidence``, and the
-    evidence as ``op``, ``args`` and ``cells``.
+    evidence as ``op``, ``args`` and ``cells``, under each version of the rules. Rules are rows: names, numbers and values meet
+    once, by the loosest tolerances, and each pair that met is judged by every version.
 
     All candidates of a table are one relation, and all of a line another, so the numbers meet each in one join. Names and
     numbers are stored once read, since every kind of candidate needs them."""
@@ -244,21 +266,26 @@ def level1(mentions: DataFrame, lines: DataFrame, tables: DataFrame) -> DataFram
     step = F.when((F.col("step") == 1) & ~own, 4).otherwise(F.col("step"))
     able = F.when(F.col("step") == 2, own).when(F.col("step") == 3, F.col("aggregate") | sums).otherwise(True)
     hint = (F.col("step") == 1) & own & (F.col("period_hint") != "") & ~F.lower("form").endswith(F.concat(F.lit("_"), "period_hint"))
-    pick = [*key, "step", "ord", "form", "entity", "c_value", "members", "reads"]
-    met = meetings(asked, of_table, ["table_id"])
-    hits = met.where(able & near(own | F.col("free"))).withColumn("ord", F.col("ord") + F.when(hint, 100).otherwise(0)).withColumn("step", step).select(*pick)
+    pick = [*key, "version", "step", "ord", "form", "entity", "c_value", "members", "reads"]
+    spark = tables.sparkSession
+    versions = F.broadcast(spark.createDataFrame([astuple(r) for r in rules], "version string, rounding double, scaled_by double, about_by double, hedged boolean, strict_plain boolean, families boolean"))
+    loose = {x: max(getattr(r, x) for r in rules) for x in ("rounding", "scaled_by", "about_by")}
+    judged = lambda met, bounds: met.crossJoin(versions).where(near(bounds, **{x: F.col(x) for x in ("rounding", "scaled_by", "about_by", "hedged")}) & ~(F.col("strict_plain") & (F.col("unit") == "plain") & (F.col("c_unit") == "ratio")))
+    met = meetings(asked, of_table, ["table_id"], **loose)
+    hits = judged(met.where(able), own | F.col("free")).withColumn("ord", F.col("ord") + F.when(hint, 100).otherwise(0)).withColumn("step", step).select(*pick)
     of_line = group_values(line_groups(lines, named, tables), tables).unionByName(pair_values(named, tables)).drop("table_id").withColumns({"step": F.lit(2), "entity": F.lit(None).cast("string")})
-    hits = hits.unionByName(meetings(asked, of_line, LINE).where(near(F.lit(True))).select(*pick))
-    best = hits.groupBy(*key).agg(F.min(F.struct("step", "ord", "form", "entity", "c_value", "members", "reads")).alias("hit"))
+    known = F.col("families") | ~F.col("form").rlike("^famil(y |ies: )")
+    hits = hits.unionByName(judged(meetings(asked, of_line, LINE, **loose), F.lit(True)).where(known).select(*pick))
+    best = hits.groupBy(*key, "version").agg(F.min(F.struct("step", "ord", "form", "entity", "c_value", "members", "reads")).alias("hit"))
     label = F.when(F.col("skip_reason") != "", "Skipped").when(F.col("hit.step").isin(1, 4), "Supported_cell").when(F.col("hit").isNotNull(), "Supported_derived").otherwise("Unsupported")
     evidence = F.when(F.col("hit").isNotNull(), F.concat("hit.form", F.lit(" = "), plain(F.col("hit.c_value")))).otherwise("")
     op, args, made = lineage(F.col("hit"))
-    return m.join(best, key, "left").select(*m.columns, label.alias("label"), evidence.alias("evidence"), op.alias("op"), args.alias("args"), made.alias("cells"))
+    return m.crossJoin(versions.select("version")).join(best, [*key, "version"], "left").select(*m.columns, "version", label.alias("label"), evidence.alias("evidence"), op.alias("op"), args.alias("args"), made.alias("cells"))
 
 
-def meetings(asked: DataFrame, values: DataFrame, on: list[str]) -> DataFrame:
+def meetings(asked: DataFrame, values: DataFrame, on: list[str], **tolerance: float) -> DataFrame:
     """Numbers with the values that they may mean, and few others: they meet in the cells of a grid of magnitudes."""
-    places_of = places(*[F.col(c) for c in ("cited", "decimals", "scale", "qualifier", "unit", "is_rank", "is_ratio")])
+    places_of = places(*[F.col(c) for c in ("cited", "decimals", "scale", "qualifier", "unit", "is_rank", "is_ratio")], **tolerance)
     put = asked.select("*", F.explode(places_of).alias("at")).select(*asked.columns, F.col("at.unit").alias("c_unit"), F.col("at.cell").alias("cell"))
     known = values.withColumnsRenamed({"value": "c_value", "unit": "c_unit"}).withColumn("cell", cell(F.abs("c_value")))
     return known.join(put, [*on, "c_unit", "cell"])
@@ -269,9 +296,9 @@ def plain(value: Column) -> Column:
     return F.regexp_replace(F.round(value, 4).cast("decimal(38,4)").cast("string"), r"(\.\d+?)0+$", "$1")
 
 
-def near(bounds: Column) -> Column:
+def near(bounds: Column, **rule: Column) -> Column:
     """Whether a number and a value that have met match."""
-    return matches(F.col("c_value"), F.col("cited"), F.col("decimals"), F.col("scale"), F.col("qualifier"), F.col("signed"), bounds)
+    return matches(F.col("c_value"), F.col("cited"), F.col("decimals"), F.col("scale"), F.col("qualifier"), F.col("signed"), bounds, **rule)
 
 
 def lineage(hit: Column) -> tuple[Column, Column, Column]:

@@ -183,9 +183,9 @@ def _ordered(rows: list[tuple[str, str, str]], first: int, step: int, entity: st
 PLAIN = lambda x: f"regexp_replace(cast(cast(round({x}, 4) as decimal(38,4)) as varchar), '(\\.\\d+?)0+$', '\\1')"
 
 
-def _near(value: str) -> str:
+def _near(value: str, rounding: float = 1.0) -> str:
     """Whether a value rounds half up to the number ``m``, on magnitudes; its sign too where the number has one."""
-    gap, half = f"(abs({value}) - abs(m.cited))", "(0.5::double * pow(10.0::double, -m.decimals))"
+    gap, half = f"(abs({value}) - abs(m.cited))", f"(0.5::double * pow(10.0::double, -m.decimals) * {rounding}::double)"
     return f"({gap} >= -{half} - 1e-9::double and {gap} < {half} - 1e-9::double and (not m.signed or sign({value}) = sign(m.cited) or {value} = 0 or m.cited = 0))"
 
 
@@ -214,13 +214,13 @@ c as materialized ({cells} union all {own} union all {table} union all {group})"
 WORD = "regexp_extract(lower({}), '[a-z]+')"
 
 
-def _labelled(numbers: str, n: str = "") -> str:
+def _labelled(numbers: str, n: str = "", rounding: float = 1.0, families: bool = True) -> str:
     """``labelled``: the numbers (note_id, table_id, entity, line_idx, mention_idx, raw_text, cited, decimals, unit, direction,
     signed) with label and evidence; money is said to be of this week."""
     return f"""hit{n} as (select m.note_id, m.line_idx, m.mention_idx, case when c.step = 1 and c.entity <> m.entity then 4 else c.step end as step,
     c.ord + case when c.step = 1 and c.entity = m.entity and m.mention_idx = 0 and not suffix(lower(c.form), '_tw') then 100 else 0 end as ord, c.form, c.entity, c.value
   from {numbers} m join c on c.table_id = m.table_id and c.unit = m.unit
-  where (c.step in (1, 3) or c.entity = m.entity or c.entity = {WORD.format("m.entity")}) and {_near("c.value")}),
+  where (c.step in (1, 3) or c.entity = m.entity or {f"c.entity = {WORD.format('m.entity')}" if families else "false"}) and {_near("c.value", rounding)}),
 best{n} as (select note_id, line_idx, mention_idx, arg_min(h, {{'step': step, 'ord': ord, 'form': form, 'entity': coalesce(entity, ''), 'value': value}}) as hit from hit{n} h group by all),
 labelled{n} as (select m.*, case when hit is null then 'Unsupported' when hit.step in (1, 4) then 'Supported_cell' else 'Supported_derived' end as label,
     coalesce(hit.form || ' = ' || {PLAIN("hit.value")}, '') as evidence from {numbers} m left join best{n} using (note_id, line_idx, mention_idx))"""
@@ -274,6 +274,28 @@ m1 as ({_read("slots", "truth")}),
 select a.note_id, a.line_idx, a.mention_idx, a.planted, a.raw_text as raw_before, b.raw_text as raw_after, a.label as label_before, b.label as label_after from labelled0 a join labelled1 b using (note_id, line_idx, mention_idx)"""
 
 
+VERSIONS = [gate.Rule(), gate.Rule("no_families", families=False), gate.Rule("loose", rounding=12.0)]
+
+
+def versions_sql() -> str:
+    parts = ",\n".join(_labelled("m0", f"_{r.version}", r.rounding, r.families) for r in VERSIONS)
+    joined = " join ".join(f"labelled_{r.version} {r.version}" + (" using (note_id, line_idx, mention_idx)" if i else "") for i, r in enumerate(VERSIONS))
+    return f"""{_values_sql()},
+{drafts_sql({"S1": verify.WRONG["S1"]})},
+m0 as ({_read("slots", "value")}),
+{parts}
+select note_id, line_idx, mention_idx, {", ".join(f"{r.version}.label as {r.version}" for r in VERSIONS)} from {joined}"""
+
+
+def rule_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every number of the first strategy's drafts with its label under three versions of the rules: the current ones, without
+    families, and with roundings that may be off by six of the last place. One run of the gate."""
+    tables = stored(_tables(spark, sf_dir), "report")
+    lines = stored(verify.lines_of(verify.drafts(tables, {"S1": verify.WRONG["S1"]})), "lines")
+    labels = gate.level1_versions(mentions(lines), lines, tables, VERSIONS)
+    return labels.groupBy("note_id", "line_idx", "mention_idx").agg(*[F.max(F.when(F.col("version") == r.version, F.col("label"))).alias(r.version) for r in VERSIONS])
+
+
 def verify_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unsupported numbers after each round of the write-and-verify strategy, whose drafts are the first strategy's."""
     tables = stored(_tables(spark, sf_dir), "report")
@@ -308,6 +330,7 @@ from m join report r on r.week = m.table_id and r.entity = m.entity left join ot
 
 
 QUERIES = {
+    "rule_versions": rule_versions,
     "verify_rounds": verify_rounds,
     "regated_labels": regated_labels,
     "entity_values": lambda s, d: gate.entity_values(_tables(s, d)).select("table_id", "entity", "form", "value", "unit"),
@@ -324,6 +347,7 @@ ORACLES = {
     "level1_labels": labels_sql() + " select note_id, line_idx, mention_idx, raw_text, cited as value, unit, direction, label, evidence from labelled",
     "level1_rates": labels_sql() + f" select *, n_supported_cell + n_supported_derived + n_unsupported as n_checked, n_unsupported / (n_supported_cell + n_supported_derived + n_unsupported) as unsupported_rate from (select note_id, table_id, {COUNTS} from labelled group by all)",
     "claim_labels": claims_sql(),
+    "rule_versions": versions_sql(),
     "verify_rounds": rounds_sql(),
     "regated_labels": regated_sql(),
     "entity_values": entity_sql(),
