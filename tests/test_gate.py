@@ -1,6 +1,7 @@
-"""Notes about small tables with the label that each number must get."""
+"""Lines written from the rows of made tables: each number's label follows from what it was written from."""
 
 import random
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,83 +10,92 @@ from factledger.functions.matching import unit_ok
 from factledger.operators import gate
 from factledger.operators.mentions import mentions, note_lines
 
-LEVELS = "table_id string, Entity string, Revenue_TW double, Revenue_LW double, Revenue_LY double, Units_TW long, Units_LW long, Orders_TW long, Orders_LW long"
-ROWS = [
-    ("country", "United Kingdom", 52310.40, 61200.25, 47800.10, 20150, 24800, 150, 181), ("country", "Spain", 8120.55, 350.20, 0.0, 3100, 120, 5, 1), ("country", "Italy", 4410.75, 6020.30, 5100.60, 1500, 2205, 9, 14),
-    ("country", "Portugal", 1980.30, 640.10, 0.0, 905, 310, 3, 4), ("country", "Sweden", 1205.60, 4310.95, 3900.45, 700, 2100, 4, 8),
-    ("product", "BOX OF 24 PAPER LANTERNS", 2210.40, 1900.00, None, 1800, 1500, 33, 30), ("product", "GLASS JAR BLUE RIBBON", 1410.00, 1555.50, None, 510, 560, 27, 29), ("product", "PACK OF 6 TEA TOWELS 50'S PRINT", 730.15, 690.00, None, 140, 131, 13, 12),
-    ("family", "GARDEN LANTERN BLACK", 3120.10, 3300.40, None, 480, 515, 28, 31), ("family", "GARDEN LANTERN GREEN", 2540.25, 2101.15, None, 395, 330, 24, 19), ("family", "GARDEN LANTERN WHITE", 2005.65, 2290.05, None, 310, 352, 18, 21),
-    ("family", "BLUE WOVEN PICNIC T-BASKET", 3415.35, 3520.10, None, 1210, 1260, 71, 62), ("family", "RED WOVEN PICNIC T-BASKET", 1620.45, 745.30, None, 615, 290, 40, 28), ("family", "WELCOME MAT STAY SAFE AND DRY", 1190.05, 1810.60, None, 160, 245, 17, 24),
-]
-PLANTED = "\n".join(
-    [
-        "- Sales in the UK came to £52.3k TW, down 14.5% WoW", "- The UK gained 9.4% YoY against £47,800.10 LY", "- Spain sold for £8,120.55 TW, an 11.9% share", "- Italy dropped 26.7% WoW to £4,410.75",
-        "- Sweden dropped 61.0% WoW", "- Portugal climbed 209.4% WoW to £2,080.30", "- Italy units climbed 32.0% WoW", "- All countries together took £68.0k TW",
-    ]
-)
+from tests import made
+from tests.made import change, money, ordinal
+
 C, D, U, S = "Supported_cell", "Supported_derived", "Unsupported", "Skipped"
-CASES = [
-    ("country", "- Sales in the UK were £52,310.40 TW", [C]), ("country", "- Italy had 5.7% of units TW", [D]), ("country", "- Italy units shrank 32.0% WoW", [D]), ("country", "- Overall sales came to £68.0k TW", [D]),
-    ("country", "- Italy sold 265.9% more than Sweden", [D]), ("country", "- Italy revenue climbed 26.7% WoW", [U]), ("country", "- Italy came 3rd by revenue TW", [C]), ("country", "- These markets hold ranks 1 to 5", [C, C]),
-    ("country", "- The top 4 markets in week 7 of 2010 stood behind the UK\n- 3 of the 5 countries grew WoW", [S, S, S, S, S]), ("country", "- Spain had 6 orders LW", [U]), ("country", "- Portugal revenue was 3.1x LW", [D]), ("country", "- Portugal revenue was 12.7x LW", [U]),
-    ("product", "- BOX OF 24 PAPER LANTERNS led with £2,210.40 TW", [S, C]), ("product", "- The 50's print towels made £730.15 TW", [S, D]), ("product", "- BOX of 24  Paper/Lanterns led with £2,210.40 TW", [S, C]),
-    ("family", "- The three GARDEN LANTERN lines combined for £7,666.00 TW versus £7,691.60 LW", [D, D]), ("family", "- WELCOME MAT STAY SAVE AND DRY made £1,190.05 TW", [C]),
-    ("country", "- Italy came 3rd. Sweden had 4 orders TW. Italy came 3rd. Sweden had 77 orders TW.", [C, C, C, U]),
-]
 
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    t = spark.createDataFrame(ROWS, LEVELS)
-    change = lambda a, b: F.when(F.col(b) > 0, F.rint((F.col(a) - F.col(b)) / F.col(b) * 1000) / 10)
-    return t.select(
-        "*", change("Revenue_TW", "Revenue_LW").alias("WoW_Pct"), change("Revenue_TW", "Revenue_LY").alias("YoY_Pct"), F.expr("rint(Revenue_TW / sum(Revenue_TW) over (partition by table_id) * 1000) / 10 as Share_Pct"),
-        F.expr("cast(rank() over (partition by table_id order by Revenue_TW desc) as long) as Rank"),
-    )
+    return made.tables(spark).cache()
+
+
+def lines_of(table, rows):
+    """(kind, line, labels) about each row, each pair and the whole of a table."""
+    total = sum(r.Revenue_TW for r in rows)
+    for r in rows:
+        e = r.Entity
+        own = [S] if any(c.isdigit() for c in e) else []  # a number that is part of the name
+        yield "revenue", f"- {e} took {money(r.Revenue_TW)} TW", [*own, C]
+        yield "thousands", f"- {e} took £{r.Revenue_TW / 1000:.1f}k TW", [*own, C]
+        yield "units", f"- In all {e} sold {r.Units_TW:,} units TW", [*own, C]
+        yield "rank", f"- {e} came {ordinal(r.Rank)} by revenue", [*own, C]
+        yield "share", f"- {e} had a {r.Share_Pct:.1f}% share", [*own, C]
+        yield "dates", f"- In week 31 of 2014 {e} was among the top 2", [S, S, *own, S]
+        yield "wrong", f"- {e} took {money(r.Revenue_TW * 1.0713 + 3.17)} TW", [*own, U]
+        yield "more", f"- {e} took {money(r.Revenue_TW)} TW. It sold {r.Units_TW + 20_011:,} units TW", [*own, C, U]
+        if r.WoW_Pct is not None:
+            yield "change", f"- {e} revenue was {change(r.WoW_Pct)} WoW", [*own, C]
+            yield "difference", f"- {e} moved by {money(abs(r.Revenue_TW - r.Revenue_LW))} since LW", [*own, D]
+        else:
+            yield "new", f"- {e} took £0.00 LW", [*own, C]
+        yield "rest", f"- Without {e} it would be {money(total - r.Revenue_TW)} TW", [*own, D]
+        yield "basket", f"- {e} made {money(r.Revenue_TW / r.Orders_TW)} an order TW", [*own, D]
+    for a, b in combinations(rows[:4], 2):
+        yield "pair", f"- {a.Entity} took {money(abs(a.Revenue_TW - b.Revenue_TW))} more or less than {b.Entity}", [*([S] if any(c.isdigit() for c in a.Entity) else []), D, *([S] if any(c.isdigit() for c in b.Entity) else [])]
+    yield "sum", f"- All together took {money(total)} TW", [D]
+    yield "wrong sum", f"- All together took {money(total * 1.0377 + 11.13)} TW", [U]
 
 
 @pytest.fixture(scope="module")
-def found(spark, tables):
-    notes = spark.createDataFrame([(f"n{i:02}", t, text) for i, (t, text, _) in enumerate(CASES)] + [("planted", "country", PLANTED)], "note_id string, table_id string, note string")
+def written(spark, tables):
+    rows = {}
+    for r in tables.orderBy("table_id", "Rank").collect():
+        rows.setdefault(r.table_id, []).append(r)
+    out = [(t, *x) for t in rows for x in lines_of(t, rows[t])]
+    for word, period in (("HARBOUR LAMP", "TW"), ("MEADOW RUG", "LW")):
+        value = sum(r[f"Revenue_{period}"] for r in rows["lamps"] if word in r.Entity)
+        out.append(("lamps", f"family {word} {period}", f"- The {word} lines took {money(value)} {period}", [D]))
+        out.append(("lamps", f"wrong family {word} {period}", f"- The {word} lines took {money(value * 1.0291 + 7.07)} {period}", [U]))
+    notes = spark.createDataFrame([(f"n{i}", x[0], x[2]) for i, x in enumerate(out)], "note_id string, table_id string, note string")
     lines = note_lines(notes)
-    rows = gate.level1(mentions(lines), lines, tables)
-    out = {}
-    for r in rows.orderBy("note_id", "line_idx", "mention_idx").collect():
-        out.setdefault(r.note_id, []).append(r)
-    return out
-
-
-@pytest.mark.parametrize("i", range(len(CASES)))
-def test_label(found, i):
-    assert [r.label for r in found[f"n{i:02}"]] == CASES[i][2], [(r.raw_text, r.label, r.evidence) for r in found[f"n{i:02}"]]
-
-
-def test_planted_errors_are_flagged_and_no_other(found):
-    assert [r.raw_text for r in found["planted"] if r.label == U] == ["61.0%", "£2,080.30", "32.0%"]
-
-
-def test_evidence_as_operation_and_arguments(found):
-    of = {r.raw_text: (r.op, r.args) for r in found["planted"]}
-    assert of["£8,120.55"] == ("cell", ["Spain", "Revenue_TW"])
-    assert of["11.9%"] == ("cell", ["Spain", "Share_Pct"])
-    assert of["£68.0k"] == ("sum", ["Revenue_TW"]) and of["61.0%"] == (None, None)
-    (ratio,) = (r for r in found["n10"])
-    assert (ratio.op, ratio.args) == ("ratio", ["Portugal", "Revenue_TW", "Revenue_LW"])
-
-
-def test_places_in_a_line_with_a_repeated_sentence(found):
-    rows = found[f"n{len(CASES) - 1:02}"]
-    line = rows[0].line
-    assert [line[r.position : r.end] for r in rows] == [r.raw_text for r in rows]
-    assert [r.position for r in rows] == [line.index("3rd"), line.index("4 orders"), line.rindex("3rd"), line.index("77 orders")]
-
-
-def test_cells_that_an_evidence_is_made_of(found):
-    of = lambda note, raw: next([tuple(x) for x in r.cells] for r in found[note] if r.raw_text == raw)
-    assert of("planted", "£8,120.55") == [("Spain", "Revenue_TW")] and of("planted", "£68.0k") == [(None, "Revenue_TW")]
-    # A pair names both entities, a group all of its members.
-    assert of("n04", "265.9%") == [("Italy", "Revenue_TW"), ("Sweden", "Revenue_TW")]
-    assert of("n15", "£7,691.60") == [(f"GARDEN LANTERN {x}", "Revenue_LW") for x in ("BLACK", "GREEN", "WHITE")]
+    found = {}
+    for r in gate.level1(mentions(lines), lines, tables).orderBy("note_id", "mention_idx").collect():
+        found.setdefault(int(r.note_id[1:]), []).append(r)
+    return out, found, rows
+
+
+def test_labels(written):
+    out, found, _ = written
+    wrong = [(kind, line, [(r.raw_text, r.label, r.evidence) for r in found.get(i, [])]) for i, (_, kind, line, want) in enumerate(out) if [r.label for r in found.get(i, [])] != want]
+    assert not wrong and len(out) > 300
+
+
+def of(written, kind, table):
+    out, found, rows = written
+    return [(found[i], line) for i, (t, k, line, _) in enumerate(out) if k == kind and t == table], rows[table]
+
+
+def test_evidence_as_operation_arguments_and_cells(written):
+    lines, rows = of(written, "revenue", "markets")
+    for (found, _), r in zip(lines, rows, strict=True):
+        assert (found[0].op, found[0].args, [tuple(x) for x in found[0].cells]) == ("cell", [r.Entity, "Revenue_TW"], [(r.Entity, "Revenue_TW")])
+    lines, rows = of(written, "sum", "markets")
+    assert (lines[0][0][0].op, lines[0][0][0].args, [tuple(x) for x in lines[0][0][0].cells]) == ("sum", ["Revenue_TW"], [(None, "Revenue_TW")])
+    lines, rows = of(written, "pair", "markets")
+    for (found, _), (a, b) in zip(lines, combinations(rows[:4], 2), strict=True):
+        assert {tuple(x) for x in found[0].cells} == {(a.Entity, "Revenue_TW"), (b.Entity, "Revenue_TW")}
+    lines, rows = of(written, "family HARBOUR LAMP TW", "lamps")
+    assert [tuple(x) for x in lines[0][0][0].cells] == [(f"HARBOUR LAMP {x}", "Revenue_TW") for x in ("IVORY", "OCHRE", "SLATE", "TEAL")]
+    lines, _ = of(written, "wrong sum", "markets")
+    assert (lines[0][0][0].op, lines[0][0][0].args, lines[0][0][0].cells) == (None, None, None)
+
+
+def test_places(written):
+    out, found, _ = written
+    for i, (_, _, line, _) in enumerate(out):
+        assert all(line[r.position : r.end].strip() == r.raw_text for r in found[i])
 
 
 def test_numbers_meet_the_values_that_they_may_mean(spark):
