@@ -47,3 +47,12 @@ NUMBER = (
 DATE = r"(?i)\b\d{4}-W\d{1,2}\b|\b\d{4}-\d{2}-\d{2}\b|\b(?:iso\s+)?(?:week|wk)\s?#?\d{1,2}\b|\bW\d{1,2}\b"
 SENTENCE_END = r"(?<!\bvs\.)(?<!\bc\.)(?<=[.!?;])\s+(?=[A-Z£$€(])"
 TRAILING_DIRECTION = r"(?i)^\s*(TW|LW|LY)?\s*,?\s*\(?(down|up|falling|rising|fell|rose|declin\w*|increas\w*|drop\w*|ris\w*|grew|growing)\s+(from|on|versus|vs)"
+
+# Words next to a claim's value: of a level, passed over before a noun of change, and last year's.
+TO_LEVEL = ["from", "to", "reaching", "reached"]
+PASSED_OVER = ["a", "an", "of", "by", "some", "the", "at", "absolute"]
+LAST_YEAR = ["yoy", "ly", "year"]
+PERIOD_LABELS = {"tw": "TW", "lw": "LW", "ly": "LY", "wow": "WoW", "yoy": "YoY"}
+# What a claim's name loses before it is compared, and names of the whole table.
+NAME_CLEANING = [(r"\(.*?\)", " "), (r"^\s*(?i:the)\s+", ""), (r"['’]s\s*$", ""), (r"(?i)\s+(lines?|products?|item|sales|revenue)\s*$", ""), (r"\s+", " ")]
+WHOLE_TABLE = r"\b(all|every)\b.*\b(products|countries|markets|entities|rows|lines|items)\b"

@@ -79,7 +79,7 @@ def kind(col: Column) -> Column:
 
 
 def _clean(name: Column) -> Column:
-    for pattern, by in [(r"\(.*?\)", " "), (r"^\s*(?i:the)\s+", ""), (r"['’]s\s*$", ""), (r"(?i)\s+(lines?|products?|item|sales|revenue)\s*$", ""), (r"\s+", " ")]:
+    for pattern, by in lx.NAME_CLEANING:
         name = F.regexp_replace(name, pattern, by)
     return F.lower(F.trim(name))
 
@@ -92,7 +92,7 @@ def rows_of(claims: DataFrame, tables: DataFrame) -> DataFrame:
     """The claim's key, ``row``, ``n_rows`` and ``fuzzy``: the rows of the first stage that finds any (whole table, exact,
     alias, words with the bracketed ones, words, likeness). More than five rows of a words stage are none."""
     low = F.lower(F.trim("entity"))
-    total = claims.where(low.isin(TOTAL_WORDS) | low.startswith("total") | low.rlike(r"\b(all|every)\b.*\b(products|countries|markets|entities|rows|lines|items)\b")).select(*KEY, F.lit("TOTAL").alias("row"), F.lit(0).alias("stage"))
+    total = claims.where(low.isin(TOTAL_WORDS) | low.startswith("total") | low.rlike(lx.WHOLE_TABLE)).select(*KEY, F.lit("TOTAL").alias("row"), F.lit(0).alias("stage"))
     alias = F.create_map(*[F.lit(x) for pair in lx.ALIASES.items() for x in pair])
     names = F.concat(F.array(low, _clean(F.col("entity"))), F.transform(F.regexp_extract_all("entity", F.lit(r"\((.*?)\)"), F.lit(1)), lambda x: F.lower(F.trim(x))))
     asked = claims.select(*KEY, "table_id", names.alias("names"), F.when(F.contains("entity", F.lit("(")), _words(_clean(F.regexp_replace("entity", "[()]", " ")))).alias("bracketed"), _words(_clean(F.col("entity"))).alias("plain"))

@@ -81,12 +81,12 @@ def text_hints(claims: DataFrame, lines: DataFrame) -> DataFrame:
     after = F.slice(F.transform(tokens(F.col("post"), r"[#\w.'-]+"), lambda w: F.rtrim(w, F.lit("."))), 1, 3)
     c = c.withColumn("b", before).withColumn("a", after)
     last, first, second = F.get("b", F.size("b") - 1), F.get("a", F.lit(0)), F.get("a", F.lit(1))
-    level = F.coalesce(last.isin("from", "to", "reaching", "reached"), F.lit(False))
-    told = F.filter("b", lambda w: ~w.isin("a", "an", "of", "by", "some", "the", "at", "absolute"))
+    level = F.coalesce(last.isin(lx.TO_LEVEL), F.lit(False))
+    told = F.filter("b", lambda w: ~w.isin(lx.PASSED_OVER))
     noun = F.coalesce(F.get(told, F.size(told) - 1).isin(lx.CHANGE_NOUNS), F.lit(False)) & ~level
     versus = first.isin(lx.COMPARE_WORDS) & second.isin("lw", "ly") & ~level & ~F.coalesce(F.get("a", F.lit(2)).rlike(r"^[£$€\d]"), F.lit(False))
-    change = F.when(versus, F.when(second == "lw", "WoW").otherwise("YoY")).when(noun, F.when(F.arrays_overlap("a", F.array(*map(F.lit, ("yoy", "ly", "year")))), "YoY").otherwise("WoW"))
-    label = F.create_map(*[F.lit(x) for pair in {"tw": "TW", "lw": "LW", "ly": "LY", "wow": "WoW", "yoy": "YoY"}.items() for x in pair])
+    change = F.when(versus, F.when(second == "lw", "WoW").otherwise("YoY")).when(noun, F.when(F.arrays_overlap("a", F.array(*map(F.lit, lx.LAST_YEAR))), "YoY").otherwise("WoW"))
+    label = F.create_map(*[F.lit(x) for pair in lx.PERIOD_LABELS.items() for x in pair])
     period = F.when(label[first].isNotNull() & F.col("post").rlike(r"^\s+\w"), label[first]).otherwise(F.nullif(F.regexp_extract("pre", r"\b(TW|LW|LY)\s*:?\s*$", 1), F.lit("")))
     metric = F.when(first.rlike("^units?$"), "units").when(first.rlike("^(orders?|invoices?)$"), "orders").when(first == "share", "share")
     return c.select(*claims.columns, hedge(F.col("pre")).alias("h_qualifier"), change.alias("h_change"), period.alias("h_period"), metric.alias("h_metric"))
