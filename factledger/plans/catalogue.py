@@ -168,7 +168,20 @@ def _rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROUNDS_SQL = "with o as (select l_orderkey, row_number() over (partition by l_orderkey order by l_discount, l_extendedprice) as k, cast(l_discount as decimal(18,2)) as value from lineitem)"
 
 
+def spoilt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a report in which some derived values have been spoilt, found by working them out again."""
+    spoilt = lambda c, pos, digit, by: F.when((F.col("pos") == pos) & F.col("week").endswith(digit), F.col(c) + by).otherwise(F.col(c))
+    report_ = _report(spark, sf_dir).withColumns({"wow_pct": spoilt("wow_pct", 2, "5", 1.0), "share_pct": spoilt("share_pct", 3, "7", 0.2)})
+    return reports.not_recomputing(report_).select("week", "entity", "stored_wow_pct", "wow_pct", "stored_share_pct", "share_pct")
+
+
+INVARIANTS_SQL = """again as (select *, case when revenue_lw > 0 then round_even((revenue_tw - revenue_lw) / revenue_lw * 100 * 10, 0) / 10 end as wow, case when revenue_ly > 0 then round_even((revenue_tw - revenue_ly) / revenue_ly * 100 * 10, 0) / 10 end as yoy,
+  round_even(revenue_tw / cast(sum(cast(revenue_tw as decimal(18,2))) over (partition by week) as double) * 100 * 10, 0) / 10 as share, rank() over (partition by week order by revenue_tw desc) as place from given),
+bad as (select * from again where not ((wow_pct is not distinct from wow or abs(wow_pct - wow) < 1e-6) and (yoy_pct is not distinct from yoy or abs(yoy_pct - yoy) < 1e-6) and (share_pct is not distinct from share or abs(share_pct - share) < 1e-6) and "rank" = place))"""
+
+
 QUERIES = {
+    "spoilt_rows": spoilt_rows,
     "clean_lines": lambda s, d: reports.clean_lines(s, d).select("invoice_no", "day", "country", "product", "brand", "quantity", F.col("revenue").cast("double").alias("revenue"), "flag"),
     "weekly_rollup_country": lambda s, d: reports.weekly_rollup(reports.clean_lines(s, d), "country"),
     "weekly_rollup_product": lambda s, d: reports.weekly_rollup(reports.clean_lines(s, d), "product"),
@@ -227,7 +240,9 @@ ORACLES = {
     "eligible_weeks": with_(LINES, "good as (select week, week_start, count(distinct day) as n_days from clean group by all having count(distinct day) >= 4)") + "select week, week_start, n_days from good g where exists (select 1 from good b where b.week_start + 7 = g.week_start)",
     "report_all_weeks": BASE + f"select {REPORT_COLUMNS} from report",
     "report_products": with_(LINES, weekly("product"), report(TOP)) + f"select {REPORT_COLUMNS} from report",
-    "report_invariants": "select cast(0 as bigint) as n_bad",
+    "report_invariants": BASE.rstrip() + ", given as (select * from report), " + INVARIANTS_SQL + " select count(*) as n_bad from bad",
+    "spoilt_rows": BASE.rstrip() + """, given as (select * replace (case when pos = 2 and suffix(week, '5') then wow_pct + 1 else wow_pct end as wow_pct, case when pos = 3 and suffix(week, '7') then share_pct + 0.2::double else share_pct end as share_pct) from report),
+        """ + INVARIANTS_SQL + " select week, entity, wow_pct as stored_wow_pct, wow as wow_pct, share_pct as stored_share_pct, share as share_pct from bad",
     "dedupe_sheet_overlap": """with a as (select * from orders where o_orderdate < '1998-06-01'), b as (select * from orders where o_orderdate >= '1998-01-01')
         select o_orderkey, o_custkey from a where not exists (select 1 from b where b.o_custkey = a.o_custkey) union all select o_orderkey, o_custkey from b""",
     "condition_grid": "select r_name, strategy, repeat from region, (values ('S1'), ('S2'), ('S3'), ('S4')) s(strategy), (values (1::bigint), (2::bigint)) r(repeat)",
