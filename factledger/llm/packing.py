@@ -11,7 +11,8 @@ algorithm needs 2 % fewer sequences than best fit (``tests/llm/test_packing.py``
 ``WELL_FILLED`` full are opened, and their pieces are dealt anew and packed in a second round.
 
 A document is its ids and the end id 0; only longer ones than a sequence are cut. Null and empty texts are the end id
-alone. Repeated rows are separate documents. Ties go to the earlier piece. An empty table gives an empty result. Full
+alone. Rows without id are packed like others. Other columns than ``doc_id`` and ``text`` are not read. A very long text is
+held, with its ids, by one task; its pieces then go their own ways. Repeated rows are separate documents. Ties go to the earlier piece. An empty table gives an empty result. Full
 pieces are sequences of their own. Random choices come from the shard, the island and the epoch, so a task that runs
 again gives the same bins.
 """
