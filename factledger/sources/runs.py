@@ -4,6 +4,7 @@ before they are read."""
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -54,13 +55,25 @@ def filled(template: str, fields: dict[str, Column]) -> Column:
 
 
 def read_through(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at the path; made and written first where there is none."""
+    """The table at the path; made first where there is none.
+
+    It is written beside the path under a hidden name and then renamed, so a reader never sees half of it, and of several
+    jobs that find nothing one puts its table there and the others read that one. (A rename that comes too late moves the
+    hidden folder into the table's, where readers pass over it.)"""
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-    make().write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".making-{uuid.uuid4().hex}")
+    make().write.parquet(aside.toString())
+    if files.exists(target) and not files.exists(jvm.org.apache.hadoop.fs.Path(target, "_SUCCESS")):
+        files.delete(target, True)  # an empty folder, or what a job that failed has left
+    if files.exists(target) or not files.rename(aside, target):
+        files.delete(aside, True)
     return spark.read.parquet(path)
 
 

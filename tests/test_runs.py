@@ -29,6 +29,30 @@ def test_read_through_makes_once(spark, tmp_path):
     assert made == [1]
 
 
+def test_read_through_by_several_at_once(spark, tmp_path):
+    """All find nothing and make a table; one is there in the end, whole, and all read it."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    path, wait = str(tmp_path / "table"), Barrier(3)
+
+    def make(k):
+        wait.wait()
+        return spark.range(1000).select("id", F.lit(k).alias("who"))
+
+    with ThreadPoolExecutor(3) as pool:
+        got = list(pool.map(lambda k: runs.read_through(spark, path, lambda: make(k)).agg(F.count("id"), F.countDistinct("id"), F.countDistinct("who")).first(), range(3)))
+    assert {tuple(r) for r in got} == {(1000, 1000, 1)}
+
+
+def test_read_through_where_a_job_has_failed(spark, tmp_path):
+    (tmp_path / "table").mkdir()
+    assert runs.read_through(spark, str(tmp_path / "table"), lambda: spark.range(5)).count() == 5
+    with pytest.raises(ZeroDivisionError):
+        runs.read_through(spark, str(tmp_path / "other"), lambda: 1 / 0)
+    assert runs.read_through(spark, str(tmp_path / "other"), lambda: spark.range(2)).count() == 2
+
+
 def test_sheets_overlap(spark, tmp_path):
     for name, text in (("a", "invoice,n\n1,1\n2,1\n"), ("b", "invoice,n\n2,9\n3,9\n")):
         (tmp_path / f"{name}.csv").write_text(text)
