@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factledger.operators.replicates import binomial_sums, replicate_sums
 from factledger.sources.scratch import stored
 
 
@@ -34,19 +35,12 @@ def numbered(rows: DataFrame, keys: list[str], name: str = "at") -> DataFrame:
     return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__k")).drop("__part", "__k", "__before")
 
 
-def _slots(units: DataFrame, n: int, rounds: int, *salt: Column) -> DataFrame:
-    """``b`` and ``at``: the units drawn in each round, n of them; the draws are spread over the cluster."""
-    each = units.sparkSession.range(rounds * n).select(F.expr(f"id div {max(n, 1)}").alias("b"), (F.col("id") % max(n, 1) + 1).alias("slot"))
-    return each.select("b", (draw(F.lit(n).cast("long"), *salt, F.col("b"), F.col("slot")) + 1).alias("at"))
-
-
 def bootstrap_many(units: DataFrame, rates: dict[str, tuple[str, str]], key: str, rounds: int, *salt: Column) -> DataFrame:
     """``b`` and each rate, sum(num) / sum(den), of the units that a round draws with replacement; null where nothing is in
-    the denominator."""
-    parts = [x for k, (num, den) in enumerate(rates.values()) for x in (F.col(num).alias(f"num_{k}"), F.col(den).alias(f"den_{k}"))]
-    known = numbered(units.select(F.col(key).alias("key"), *parts), ["key"])
-    pooled = [(F.sum(f"num_{k}") / F.expr(f"nullif(sum(den_{k}), 0)")).alias(name) for k, name in enumerate(rates)]
-    return _slots(units, known.count(), rounds, *salt).join(known, "at").groupBy("b").agg(*pooled)
+    the denominator. One pass over the units (``replicates``)."""
+    values = {f"{part}_{k}": F.col(c) for k, pair in enumerate(rates.values()) for part, c in zip(("num", "den"), pair, strict=True)}
+    sums = replicate_sums(units, values, rounds, *salt, F.col(key))
+    return sums.select("b", *[F.expr(f"num_{k} / nullif(den_{k}, 0)").alias(name) for k, name in enumerate(rates)])
 
 
 def intervals(rounds: DataFrame, names: list[str]) -> DataFrame:
@@ -56,8 +50,7 @@ def intervals(rounds: DataFrame, names: list[str]) -> DataFrame:
 
 
 def bootstrap(units: DataFrame, num: str, den: str, key: str, rounds: int) -> DataFrame:
-    """Percentile interval of sum(num) / sum(den) over units drawn with replacement. The units are numbered by key; a
-    round's draws are generated in Spark and meet the units in a join."""
+    """Percentile interval of sum(num) / sum(den) over units drawn with replacement."""
     return intervals(bootstrap_many(units, {"rate": (num, den)}, key, rounds), ["rate"]).drop("rate")
 
 
@@ -71,16 +64,12 @@ def padded(rows: DataFrame, unit: str, at: str, value: str, last: int) -> DataFr
 def bootstrap_means(rows: DataFrame, at: str, unit: str, value: str, rounds: int) -> DataFrame:
     """For each ``at``: the mean of ``value`` over its units, their number and the mean's percentile interval. Every unit has a
     row for each ``at``; the draws of each are its own."""
-    places = numbered(rows.select(unit).distinct(), [unit], "unit_at")
-    n = places.count()
-    known = rows.join(places, unit).select(F.col(at).alias("group"), F.col("unit_at").alias("at"), F.col(value).cast("double").alias("value"))
-    groups = known.select("group").distinct()
-    base = rows.sparkSession.range(rounds * n).select(F.expr(f"id div {max(n, 1)}").alias("b"), (F.col("id") % max(n, 1) + 1).alias("slot"))
-    slots = base.crossJoin(F.broadcast(groups)).select("group", "b", (draw(F.lit(n).cast("long"), F.col("group"), F.col("b"), F.col("slot")) + 1).alias("at"))  # groups are a few rounds
-    means = slots.join(known, ["group", "at"]).groupBy("group", "b").agg(F.avg("value").alias("m"))
-    ends = means.groupBy("group").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
-    whole = known.groupBy("group").agg((F.sum(F.col("value").cast("decimal(28,12)")).cast("double") / F.count(F.lit(1))).alias("mean"), F.count(F.lit(1)).alias("n"))
-    return whole.join(ends, "group").select(F.col("group").alias(at), "n", "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    known = rows.select(F.col(at).alias("at"), F.col(unit).alias("unit"), F.col(value).cast("double").alias("value"))
+    sums = replicate_sums(known, {"value": F.col("value"), "n": F.col("value").isNotNull().cast("int")}, rounds, F.col("at"), F.col("unit"), by="at")
+    ends = sums.groupBy("at").agg(F.percentile(F.expr("value / nullif(n, 0)"), F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
+    mean = (F.sum(F.col("value").cast("decimal(28,12)")).cast("double") / F.count(F.lit(1))).alias("mean")
+    whole = known.groupBy("at").agg(mean, F.count(F.lit(1)).alias("n"))
+    return whole.join(ends, "at").select(F.col("at").alias(at), "n", "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
 
 
 def difference_of_sets(first: DataFrame, second: DataFrame, num: str, den: str, key: str, rounds: int) -> DataFrame:
@@ -100,18 +89,17 @@ def _with_ends(whole: DataFrame, gaps: DataFrame) -> DataFrame:
 
 def conditional_test(rows: DataFrame, keys: list[str], arm: str, a: str, b: str, rounds: int) -> DataFrame:
     """Test of rate(b) - rate(a) over units that both arms have, given each unit's events: under equal rates an event is one of
-    arm b with the chance of b's share of the unit's trials. Each event is drawn in each round. With it the sign test over
-    units: ``difference``, ``p``, ``units_with_events``, ``up``, ``down``, ``sign_p``."""
+    arm b with the chance of b's share of the unit's trials, so their number is binomial, and each round draws it once a unit.
+    With it the sign test over units: ``difference``, ``p``, ``units_with_events``, ``up``, ``down``, ``sign_p``."""
     side = lambda name, x: rows.where(F.col(arm) == name).select(*keys, F.col("num").cast("long").alias(f"num_{x}"), F.col("den").cast("long").alias(f"den_{x}"))
-    unit = stored(side(a, "a").join(side(b, "b"), keys).withColumn("k", F.col("num_a") + F.col("num_b")), "pairs")
+    unit = stored(side(a, "a").join(side(b, "b"), keys).withColumn("__events", F.col("num_a") + F.col("num_b")), "pairs")
     rate = lambda x: F.col(f"num_{x}") / F.greatest(f"den_{x}", F.lit(1))
     whole = unit.agg(
-        (F.sum("num_b") / F.sum("den_b") - F.sum("num_a") / F.sum("den_a")).alias("difference"), F.sum("den_a").alias("da"), F.sum("den_b").alias("db"), F.sum("k").alias("events"), F.count_if(F.col("k") > 0).alias("units_with_events"),
+        (F.sum("num_b") / F.sum("den_b") - F.sum("num_a") / F.sum("den_a")).alias("difference"), F.sum("den_a").alias("da"), F.sum("den_b").alias("db"), F.sum("__events").alias("events"), F.count_if(F.col("__events") > 0).alias("units_with_events"),
         F.count_if(rate("b") > rate("a")).alias("up"), F.count_if(rate("b") < rate("a")).alias("down"),
     )
-    events = unit.where("k > 0").select(*keys, F.expr("den_b / nullif(den_a + den_b, 0)").alias("chance"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))).alias("event"))
-    drawn = events.crossJoin(rows.sparkSession.range(rounds).withColumnRenamed("id", "round")).select("round", (uniform(F.col("round"), *map(F.col, keys), F.col("event")) < F.col("chance")).cast("long").alias("of_b"))
-    sims = drawn.groupBy("round").agg(F.sum("of_b").alias("sim_b"))
+    chance = F.expr("den_b / nullif(den_a + den_b, 0)")
+    sims = binomial_sums(unit.withColumn("__chance", chance), "__events", "__chance", rounds, *map(F.col, keys)).select(F.col("total").alias("sim_b"))
     far = sims.crossJoin(F.broadcast(whole)).where("abs(sim_b / db - (events - sim_b) / da) >= abs(difference) - 1e-12").agg(F.count(F.lit(1)).alias("far"))
     # Without an event every round gives a difference of nothing, which is as far as what was seen.
     out = whole.crossJoin(F.broadcast(far)).withColumn("far", F.when(F.col("events") == 0, rounds).otherwise(F.col("far")))
@@ -207,10 +195,11 @@ def paired_difference(rows: DataFrame, keys: list[str], arm: str, a: str, b: str
     """Bootstrap of rate(a) - rate(b) over units that both arms have: ``n``, ``difference``, ``low``, ``high`` and a
     two-sided p."""
     side = lambda name, x: rows.where(F.col(arm) == name).select(*keys, F.col("num").alias(f"num_{x}"), F.col("den").alias(f"den_{x}"))
-    unit = numbered(side(a, "a").join(side(b, "b"), keys), keys)
-    gap = F.sum("num_a") / F.sum("den_a") - F.sum("num_b") / F.sum("den_b")
-    each = _slots(rows, unit.count(), rounds).join(unit, "at").groupBy("b").agg(gap.alias("d"))
-    return _with_ends(unit.agg(F.count(F.lit(1)).alias("n"), gap.alias("difference")), each)
+    unit = side(a, "a").join(side(b, "b"), keys)
+    parts = {x: F.col(x) for x in ("num_a", "den_a", "num_b", "den_b")}
+    each = replicate_sums(unit, parts, rounds, *map(F.col, keys)).select(F.expr("num_a / nullif(den_a, 0) - num_b / nullif(den_b, 0)").alias("d"))
+    gap = F.expr("sum(num_a) / nullif(sum(den_a), 0) - sum(num_b) / nullif(sum(den_b), 0)")
+    return _with_ends(unit.agg(F.count(F.lit(1)).alias("n"), gap.alias("difference")), each.where("d is not null"))
 
 
 def consensus(first: DataFrame, second: DataFrame, third: DataFrame, key: str) -> DataFrame:

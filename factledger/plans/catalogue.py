@@ -10,7 +10,7 @@ from factledger.functions import text as text_functions
 from factledger.operators import candidates, claims, evaluation, gate, notes, reports
 from factledger.operators.mentions import mentions, note_lines
 from factledger.plans import evaluation_queries, gate_queries
-from factledger.plans.report_sql import LINES, report, weekly, with_
+from factledger.plans.report_sql import LINES, report, weekly, weighed, with_
 from factledger.sources.scratch import stored
 from factledger.sources.tables import table
 
@@ -273,15 +273,22 @@ ORACLES = {
     "match_predicate": MATCH_SQL,
     "rates_grouping_sets": """with v as (select l_linestatus as strategy, cast(quarter(l_shipdate) as varchar) as size, cast(l_returnflag = 'R' as bigint) as num, 1 as den from lineitem)
         select strategy, size, count(*) as n, cast(sum(num) as double) / nullif(sum(den), 0) as rate from v group by grouping sets ((), (strategy), (size), (strategy, size))""",
-    "cluster_bootstrap": """with c as (select row_number() over (order by n_name) as pos, num, den from (select n_name, sum(cast(c_acctbal < 0 as bigint)) as num, count(*) as den from customer join nation on c_nationkey = n_nationkey group by n_name)),
-        z as (select count(*) as n from c), s as (select b, slot, ('0x' || md5(cast(b as varchar) || '|' || cast(slot as varchar))[1:15])::bigint % n + 1 as pos from z, range(500) r(b), lateral (select unnest(range(1, n + 1)) as slot)),
-        x as (select b, sum(num)::double / nullif(sum(den), 0)::double as rate from s join c using (pos) group by b) select count(rate) as rounds, quantile_cont(rate, 0.025) as low, quantile_cont(rate, 0.975) as high from x""",
-    "paired_bootstrap": """with g as (select n_name, c_mktsegment as arm, sum(cast(c_acctbal < 0 as bigint))::double as num, count(*)::double as den from customer join nation on c_nationkey = n_nationkey group by all),
-        u as (select row_number() over (order by a.n_name) as pos, a.num as na, a.den as da, b.num as nb, b.den as db from g a join g b on a.n_name = b.n_name and a.arm = 'BUILDING' and b.arm = 'MACHINERY'),
-        w as (select count(*) as n, sum(na) / sum(da) - sum(nb) / sum(db) as difference from u),
-        s as (select b, ('0x' || md5(cast(b as varchar) || '|' || cast(slot as varchar))[1:15])::bigint % n + 1 as pos from w, range(300) r(b), lateral (select unnest(range(1, n + 1)) as slot)),
-        x as (select b, sum(na) / sum(da) - sum(nb) / sum(db) as d from s join u using (pos) group by b)
-        select n, difference, quantile_cont(d, 0.025) as low, quantile_cont(d, 0.975) as high, least(1.0::double, 2 * least(avg(cast(d <= 0 as integer)), avg(cast(d >= 0 as integer)))) as p_value from x, w group by n, difference""",
+    "cluster_bootstrap": f"""with c as (
+  select n_name, sum(cast(c_acctbal < 0 as bigint)) as num, count(*) as den from customer join nation on c_nationkey = n_nationkey group by n_name),
+{weighed("c", 500, "n_name")},
+x as (select b, sum(w * num)::double / nullif(sum(w * den), 0)::double as rate from drawn group by b)
+select count(rate) as rounds, quantile_cont(rate, 0.025) as low, quantile_cont(rate, 0.975) as high from x""",
+    "paired_bootstrap": f"""with g as (
+  select n_name, c_mktsegment as arm, sum(cast(c_acctbal < 0 as bigint))::double as num, count(*)::double as den
+  from customer join nation on c_nationkey = n_nationkey group by all),
+u as (select a.n_name, a.num as na, a.den as da, b.num as nb, b.den as db
+  from g a join g b on a.n_name = b.n_name and a.arm = 'BUILDING' and b.arm = 'MACHINERY'),
+whole as (select count(*) as n, sum(na) / sum(da) - sum(nb) / sum(db) as difference from u),
+{weighed("u", 300, "n_name")},
+x as (select b, sum(w * na) / nullif(sum(w * da), 0) - sum(w * nb) / nullif(sum(w * db), 0) as d from drawn group by b)
+select n, difference, quantile_cont(d, 0.025) as low, quantile_cont(d, 0.975) as high,
+  least(1.0::double, 2 * least(avg(cast(d <= 0 as integer)), avg(cast(d >= 0 as integer)))) as p_value
+from x, whole where d is not null group by n, difference""",
     "reviewer_consensus": """with v as (select c_custkey, case when c_custkey * 3 % 7 < 3 then 'wrong' else 'right' end as a, case when c_custkey * 5 % 8 < 3 then 'wrong' else 'right' end as b,
         case when c_custkey % 5 > 0 then case when c_custkey * 7 % 9 < 3 then 'wrong' else 'right' end end as c from customer), f as (select *, case when a = b then a else c end as final from v)
         select c_custkey, final, a = b as agree, final is null as "open" from f""",

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from factledger.functions import text as text_functions
 from factledger.operators import claims as claim_operators
-from factledger.operators import cleaning, design, evaluation, outcomes, reports
-from factledger.plans.report_sql import LINES, weekly, with_
+from factledger.operators import cleaning, design, evaluation, outcomes, replicates, reports
+from factledger.plans.report_sql import LINES, weekly, weighed, with_
 from factledger.sources.runs import filled
 from factledger.sources.tables import table
 
@@ -300,26 +300,49 @@ ORACLES = {
     "run_summary": f"""with {NOTES} select strategy, count(*) as n_notes, count(*) filter (failed) as n_failed, cast(sum(n_unsupported) as double) / nullif(sum(n_checked), 0) as unsupported_rate, cast(sum(n_wrong) as double) / nullif(sum(n_verifiable), 0) as claim_error_rate,
         cast(sum(cost) as double) / count(cost) as mean_cost, cast(sum(latency) as double) / count(latency) as mean_latency from notes group by strategy""",
     "table_sizes": "with x as (select l_orderkey, count(*) as n_rows from lineitem group by 1) select o_orderpriority, min(n_rows) as least, max(n_rows) as most, count(*) as n from x join orders on o_orderkey = l_orderkey group by 1",
-    "round_means_bootstrap": f"""with {SEGMENTS}, {ROUNDS}, u as (select n_name, row_number() over (order by n_name) as pos from (select distinct n_name from pad)), z as (select count(*) as n from u),
-        s as (select g.rnd, b, {_draws('n', 'g.rnd', 'b', 'slot')} + 1 as pos from z, (select distinct rnd from pad) g, range(200) r(b), lateral (select unnest(range(1, n + 1)) as slot)),
-        m as (select s.rnd, b, avg(value) as m from s join u using (pos) join pad p on p.n_name = u.n_name and p.rnd = s.rnd group by all)
-        select rnd, n, mean, low, high from (select rnd, count(*) as n, cast(sum(cast(value as decimal(28,12))) as double) / count(*) as mean from pad group by rnd) join (select rnd, quantile_cont(m, 0.025) as low, quantile_cont(m, 0.975) as high from m group by rnd) using (rnd)""",
-    "difference_of_sets": f"""with {SEGMENTS}, a as (select row_number() over (order by n_name) as pos, num::double as num, den::double as den from nat where n_regionkey < 2), b as (select row_number() over (order by n_name) as pos, num::double as num, den::double as den from nat where n_regionkey >= 2),
-        sa as (select r.b, sum(num) / sum(den) as x from range(300) r(b), lateral (select unnest(range(1, (select count(*) from a) + 1)) as slot) l join a on a.pos = {_draws('(select count(*) from a)', "'first'", 'r.b', 'l.slot')} + 1 group by r.b),
-        sb as (select r.b, sum(num) / sum(den) as y from range(300) r(b), lateral (select unnest(range(1, (select count(*) from b) + 1)) as slot) l join b on b.pos = {_draws('(select count(*) from b)', "'second'", 'r.b', 'l.slot')} + 1 group by r.b),
-        g as (select y - x as d from sa join sb using (b)) select (select sum(num) / sum(den) from b) - (select sum(num) / sum(den) from a) as difference, quantile_cont(d, 0.025) as low, quantile_cont(d, 0.975) as high,
-        least(1.0::double, 2 * least(avg(cast(d <= 0 as integer)), avg(cast(d >= 0 as integer)))) as p_value from g""",
-    "conditional_test": f"""with {SEGMENTS}, u as (select a.n_name, a.num as na, a.den as da, b.num as nb, b.den as db, a.num + b.num as k from seg a join seg b on a.n_name = b.n_name and a.c_mktsegment = 'BUILDING' and b.c_mktsegment = 'MACHINERY'),
-        w as (select sum(nb) / sum(db)::double - sum(na) / sum(da)::double as difference, sum(da)::double as da, sum(db)::double as db, sum(k)::double as events, count(*) filter (k > 0) as units_with_events,
-          count(*) filter (nb / db::double > na / da::double) as up, count(*) filter (nb / db::double < na / da::double) as down from u),
-        e as (select n_name, db / (da + db)::double as chance, unnest(range(1, cast(k as bigint) + 1)) as event from u where k > 0),
-        s as (select r.b, sum(cast({_draws('1099511627776', 'r.b', 'e.n_name', 'e.event')} / 1099511627776.0::double < chance as integer)) as of_b from e, range(200) r(b) group by r.b),
-        f as (select count(*) as far from s, w where abs(of_b / db - (events - of_b) / da) >= abs(difference) - 1e-12::double)
-        select difference, (far + 1) / 201.0::double as p, units_with_events, up, down, case when up + down > 0 then least(1.0::double, 2 * (select sum(factorial(cast(up + down as integer))::double / (factorial(cast(j as integer))::double * factorial(cast(up + down - j as integer))::double)) from range(0, least(up, down) + 1) t(j)) * pow(0.5::double, up + down)) end as sign_p from w, f""",
+    "round_means_bootstrap": f"""with {SEGMENTS}, {ROUNDS},
+{weighed("pad", 200, "rnd", "n_name")},
+m as (select rnd, b, sum(w * value) / nullif(sum(w), 0) as m from drawn group by all)
+select rnd, n, mean, low, high
+from (select rnd, count(*) as n, cast(sum(cast(value as decimal(28,12))) as double) / count(*) as mean from pad group by rnd)
+join (select rnd, quantile_cont(m, 0.025) as low, quantile_cont(m, 0.975) as high from m group by rnd) using (rnd)""",
+    "difference_of_sets": f"""with {SEGMENTS},
+one as (select n_name, num::double as num, den::double as den from nat where n_regionkey < 2),
+two as (select n_name, num::double as num, den::double as den from nat where n_regionkey >= 2),
+{weighed("one", 300, "'first'", "n_name", name="drawn_one")},
+{weighed("two", 300, "'second'", "n_name", name="drawn_two")},
+g as (select y - x as d from (select b, sum(w * num) / nullif(sum(w * den), 0) as x from drawn_one group by b)
+  join (select b, sum(w * num) / nullif(sum(w * den), 0) as y from drawn_two group by b) using (b))
+select (select sum(num) / sum(den) from two) - (select sum(num) / sum(den) from one) as difference,
+  quantile_cont(d, 0.025) as low, quantile_cont(d, 0.975) as high,
+  least(1.0::double, 2 * least(avg(cast(d <= 0 as integer)), avg(cast(d >= 0 as integer)))) as p_value
+from g where d is not null""",
+    "conditional_test": f"""with {SEGMENTS},
+u as (select a.n_name, a.num as na, a.den as da, b.num as nb, b.den as db, cast(a.num + b.num as bigint) as k, b.den / (a.den + b.den)::double as p
+  from seg a join seg b on a.n_name = b.n_name and a.c_mktsegment = 'BUILDING' and b.c_mktsegment = 'MACHINERY'),
+whole as (select sum(nb) / sum(db)::double - sum(na) / sum(da)::double as difference, sum(da)::double as da, sum(db)::double as db,
+    sum(k)::double as events, count(*) filter (k > 0) as units_with_events,
+    count(*) filter (nb / db::double > na / da::double) as up, count(*) filter (nb / db::double < na / da::double) as down from u),
+terms as (select n_name, i, exp(lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) + i * ln(p) + (k - i) * ln(1 - p)) as share
+  from u, lateral (select unnest(range(0, k + 1)) as i) where k > 0),
+steps as (select n_name, i, floor(least(sum(share) over (partition by n_name order by i), 1.0::double) * {replicates.PRIME}) as step from terms),
+{weighed("u", 200, "n_name")},
+s as (select d.b, count(*) as of_b from drawn d join steps t on d.n_name = t.n_name and t.i < d.k and t.step <= d.x group by d.b),
+each as (select r.b, coalesce(of_b, 0) as of_b from range(200) r(b) left join s using (b)),
+f as (select count(*) as far from each, whole where abs(of_b / db - (events - of_b) / da) >= abs(difference) - 1e-12::double)
+select difference, (far + 1) / 201.0::double as p, units_with_events, up, down,
+  case when up + down > 0 then least(1.0::double, 2 * (select sum(factorial(cast(up + down as integer))::double
+    / (factorial(cast(j as integer))::double * factorial(cast(up + down - j as integer))::double)) from range(0, least(up, down) + 1) t(j))
+    * pow(0.5::double, up + down)) end as sign_p
+from whole, f""",
     "recall_bound": f"with {SEGMENTS}, x as (select n_name, num, (1 - pow(0.025::double, 1 / den::double)) * den * 10 as most from nat) select n_name, most as max_missed, num / (num + most) as recall_lower from x",
-    "detection_bootstrap": f"""with {SEGMENTS}, u as (select row_number() over (order by n_name) as pos, sum(num)::double as a, sum(den)::double as b, sum(case when c_mktsegment = 'BUILDING' then num else 0 end)::double as c from seg group by n_name), z as (select count(*) as n from u),
-        s as (select r.b as round, {_draws('n', 'r.b', 'slot')} + 1 as pos from z, range(300) r(b), lateral (select unnest(range(1, n + 1)) as slot)), x as (select round, sum(a) / nullif(sum(b), 0) as share, sum(c) / nullif(sum(a), 0) as of_found from s join u using (pos) group by round)
-        select 'share' as rate, count(share) as rounds, quantile_cont(share, 0.025) as low, quantile_cont(share, 0.975) as high from x union all select 'of_found', count(of_found), quantile_cont(of_found, 0.025), quantile_cont(of_found, 0.975) from x""",
+    "detection_bootstrap": f"""with {SEGMENTS},
+u as (select n_name, sum(num)::double as a, sum(den)::double as d, sum(case when c_mktsegment = 'BUILDING' then num else 0 end)::double as c
+  from seg group by n_name),
+{weighed("u", 300, "n_name")},
+x as (select b, sum(w * a) / nullif(sum(w * d), 0) as share, sum(w * c) / nullif(sum(w * a), 0) as of_found from drawn group by b)
+select 'share' as rate, count(share) as rounds, quantile_cont(share, 0.025) as low, quantile_cont(share, 0.975) as high from x
+union all select 'of_found', count(of_found), quantile_cont(of_found, 0.025), quantile_cont(of_found, 0.975) from x""",
     "audit_sample": """with c as (select greatest(1, 300 // greatest(1, count(*))) as cell from (select distinct c_mktsegment, c_nationkey from customer)), r as (select c_custkey, c_mktsegment, c_nationkey, md5('audit|' || c_custkey) as h, row_number() over (partition by c_mktsegment, c_nationkey order by md5('audit|' || c_custkey), c_custkey) as pick from customer)
         select c_custkey, c_mktsegment, c_nationkey, cast(pick > cell as bigint) as extra from r, c order by extra, h, c_custkey limit 300""",
     "review_items": """with g as (select c_mktsegment, 83 // count(*) over () + cast(row_number() over (order by c_mktsegment) <= 83 % count(*) over () as bigint) as quota from (select distinct c_mktsegment from customer)),

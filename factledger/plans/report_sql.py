@@ -1,5 +1,7 @@
 """DuckDB SQL of the report tables, as common table expressions that the queries build on."""
 
+from factledger.operators import replicates
+
 LINES = """lines as (
   select l_orderkey as invoice_no, cast(o_orderdate as date) as day, n_name as country, upper(trim(p_name)) as product, p_brand as brand,
     cast(l_quantity as bigint) as quantity,
@@ -39,3 +41,15 @@ report as (
 
 def with_(*parts: str) -> str:
     return "with " + ",\n".join(parts) + "\n"
+
+
+def weighed(units: str, rounds: int, *parts: str, name: str = "drawn") -> str:
+    """``name``: each unit of ``units`` in each round ``b``, with its uniform number ``x`` and the Poisson number ``w`` by which it counts."""
+    p = replicates.PRIME
+    hashed = lambda *x: "('0x' || md5(" + " || '|' || ".join(f"cast({y} as varchar)" for y in x) + f")[1:15])::bigint % {p}"
+    x = "c0"
+    for k in (1, 2, 3):
+        x = f"(({x} * seed + c{k}) % {p})"
+    reached = " + ".join(f"cast(x >= {t} as bigint)" for t in replicates.POISSON)
+    return f"""{name} as (select *, {reached} as w from (select u.*, b, {x} as x from (select *, {hashed(*parts)} as seed from {units}) u,
+  (select b, {", ".join(f"{hashed(k, 'b')} as c{k}" for k in range(4))} from range({rounds}) r(b))))"""
