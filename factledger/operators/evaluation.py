@@ -184,13 +184,6 @@ def precision_recall(rows: DataFrame, truth: str, found: str) -> DataFrame:
     return label.groupBy("label").agg(hit.alias("tp"), n_found.alias("n_found"), n_true.alias("n_true")).select("*", F.expr("tp / nullif(n_found, 0)").alias("precision"), F.expr("tp / nullif(n_true, 0)").alias("recall"))
 
 
-def best_overlap(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """For each left span, the right span of the same keys that overlaps it most (ties: the earlier start, then id)."""
-    j = left.join(right, keys).withColumn("overlap", F.least("l_end", "r_end") - F.greatest("l_start", "r_start")).where("overlap > 0")
-    pick = F.row_number().over(Window.partitionBy(*keys, "l_id").orderBy(F.desc("overlap"), "r_start", "r_id"))
-    return j.withColumn("pick", pick).where("pick = 1").drop("pick")
-
-
 def paired_difference(rows: DataFrame, keys: list[str], arm: str, a: str, b: str, rounds: int) -> DataFrame:
     """Bootstrap of rate(a) - rate(b) over units that both arms have: ``n``, ``difference``, ``low``, ``high`` and a
     two-sided p."""

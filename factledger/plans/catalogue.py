@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factledger.functions import matching
 from factledger.functions import text as text_functions
-from factledger.operators import candidates, claims, evaluation, gate, notes, reports
+from factledger.operators import candidates, claims, evaluation, gate, notes, reports, spans
 from factledger.operators.mentions import mentions, note_lines
 from factledger.plans import evaluation_queries, gate_queries
 from factledger.plans.report_sql import LINES, report, weekly, weighed, with_
@@ -225,7 +225,7 @@ QUERIES = {
     "wilson": lambda s, d: _clusters(s, d).select("n_name", *[x.alias(n) for x, n in zip(evaluation.wilson(F.col("num"), F.col("den")), ("low", "high"), strict=True)]),
     "stratified_audit_sample": lambda s, d: evaluation.stratified(table(s, d, "customer").select("c_mktsegment", "c_custkey"), ["c_mktsegment"], "c_custkey", 7, "audit").select("c_mktsegment", "c_custkey", F.col("pick").cast("long").alias("pick")),
     "precision_recall": lambda s, d: evaluation.precision_recall(table(s, d, "lineitem").select(F.col("l_returnflag").alias("truth"), F.when(F.col("l_linestatus") == "O", "N").otherwise("R").alias("found")), "truth", "found"),
-    "span_overlap_alignment": lambda s, d: evaluation.best_overlap(*_spans(s, d), ["l_orderkey"]),
+    "span_overlap_alignment": lambda s, d: spans.best_overlap(*_spans(s, d), ["l_orderkey"]),
     "report_facts": _on_report(reports.facts),
     "rounds_carried_forward": lambda s, d: evaluation.carried_forward(_rounds(s, d), "l_orderkey", "at", "value"),
     "repeats_side_by_side": lambda s, d: evaluation.side_by_side(_rounds(s, d), ["l_orderkey"], "at", "value", {1: "first", 2: "second"}).select("l_orderkey", F.col("first").cast("double").alias("first"), F.col("second").cast("double").alias("second")),
