@@ -11,7 +11,9 @@ from factledger.functions import text as text_functions
 from factledger.operators import claims as claim_operators
 from factledger.operators import cleaning, design, evaluation, outcomes, replicates, reports
 from factledger.plans.report_sql import LINES, weekly, weighed, with_
+from factledger.sources import runs
 from factledger.sources.runs import filled
+from factledger.sources.scratch import new_path
 from factledger.sources.tables import table
 
 LINE = ["note_id", "line_idx"]
@@ -248,6 +250,21 @@ QUERIES |= {
     ),
 }
 
+
+def reply_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is kept of replies that three jobs have written one after the other, many keys more than once: a customer's orders
+    as replies to one prompt, cut off where the order is open."""
+    path = new_path(spark, "replies")
+    limit = (F.col("o_orderkey") % 7 * 256).alias("max_tokens")
+    stop = F.when(F.col("o_orderstatus") == "O", "max_tokens").otherwise("end_turn").alias("stop_reason")
+    replies = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("key"), F.concat(F.lit("reply "), "o_orderkey").alias("text"), stop, limit, F.pmod("o_orderkey", F.lit(3)).alias("job"))
+    for k in range(3):
+        runs.write_replies(replies.where(F.col("job") == k), path)
+    return runs.read_replies(spark, path).select("key", "stop_reason", "max_tokens")
+
+
+QUERIES["reply_store"] = reply_store
+
 SALES = with_(LINES, RAW)
 WEEKLY = with_(LINES, weekly("country")).rstrip()
 CHOSEN = "plan as (select * from (values " + ", ".join(f"('{a}', {b}, {c}, {n})" for a, b, c, n in PLAN) + f""") p(size, least, most, tables)), t as (select week, count(*) as trading from weekly where revenue > 0 group by week),
@@ -363,3 +380,6 @@ union all select 'of_found', count(of_found), quantile_cont(of_found, 0.025), qu
     "error_texts": "select o_orderkey, 'at ' || replace(replace(strftime(o_orderdate, '%Y-%m-%d'), '1996-0', '<month>'), '1996', '<year>') as text from orders",
     "note_texts": """select n_nationkey, '- ' || n_name || chr(10) || '- two' as bullets, 'print(' || n_nationkey || ')' || chr(10) as code, '12' || n_nationkey || '.50' as digits, n_nationkey % 10 between 6 and 8 as ok from nation""",
 }
+
+ORACLES["reply_store"] = """with r as (select cast(o_custkey as varchar) as key, case when o_orderstatus = 'O' then 'max_tokens' else 'end_turn' end as stop_reason, o_orderkey % 7 * 256 as max_tokens from orders)
+select key, stop_reason, max_tokens from r qualify row_number() over (partition by key order by stop_reason, max_tokens desc) = 1"""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factledger.operators.reports import without_overlap
+from factledger.sources.store import read_store, upsert
 
 
 def write_run(path: str, **tables: DataFrame) -> None:
@@ -95,6 +96,16 @@ def read_checked_json(spark: SparkSession, path: str, schema: str, sha256: str |
     return spark.read.schema(schema).json(path)
 
 
-def write_replies(replies: DataFrame, path: str) -> None:
-    """Replies by their content key, beside those that are there."""
-    replies.select("key", "text", "stop_reason", "max_tokens").write.mode("append").parquet(path)
+REPLY = "key string, text string, stop_reason string, max_tokens long"
+
+
+def write_replies(replies: DataFrame, path: str) -> int:
+    """Replies by their content key, each key once: a whole reply goes before one that was cut off, then the one with the higher
+    limit. Several jobs may write at once (``store``). Returns the version."""
+    rows = replies.select("key", "text", "stop_reason", F.col("max_tokens").cast("long").alias("max_tokens"))
+    whole = ~F.coalesce(F.col("stop_reason").isin("max_tokens", "length"), F.lit(False))
+    return upsert(rows, path, "key", [whole, F.col("max_tokens")])
+
+
+def read_replies(spark: SparkSession, path: str) -> DataFrame:
+    return read_store(spark, path, REPLY)
