@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factledger.operators import gate
+from factledger.operators.evaluation import wilson
 from factledger.operators.mentions import mentions
 from factledger.operators.names import LINE
 from factledger.sources.scratch import stored
@@ -108,3 +109,24 @@ def round_rates(labels: list[DataFrame]) -> DataFrame:
         rows = rows.unionByName(x)
     checked, bad = F.count_if(F.col("label") != "Skipped"), F.count_if(F.col("label") == "Unsupported")
     return rows.groupBy("round", "strategy").agg(checked.alias("n_checked"), bad.alias("n_unsupported"), F.when(checked > 0, bad / checked).alias("unsupported_rate"))
+
+
+INJECTED = 60  # per cent of the numbers of a copy that get an error
+
+
+def injected(tables: DataFrame, copies: int, rate: int = INJECTED) -> DataFrame:
+    """Slots of many copies of each table's note, errors drawn anew in each: copy k is that of strategy ``Mk``."""
+    return drafts(tables, {f"M{k}": rate for k in range(copies)})
+
+
+def detection(slots: DataFrame, labels: DataFrame) -> DataFrame:
+    """``planted``, ``n``, ``flagged``, ``rate`` and its Wilson interval over all copies: how many errors of each kind the gate
+    flags, and, for ``none``, how many right numbers. An error that the rounding hides, or that gives a value the table has elsewhere, is
+    not flagged; a number that level 1 skips counts as not flagged."""
+    flagged = (F.col("label") == "Unsupported").cast("long")
+    judged = labels.select(*LINE, F.col("mention_idx").alias("slot"), flagged.alias("flagged"))
+    each = slots.select(*SLOT, "planted").join(judged, SLOT, "left")
+    found = each.groupBy("planted").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("flagged"), F.lit(0)).alias("flagged"))
+    low, high = wilson(F.col("flagged"), F.col("n"))
+    low, high = F.when(F.col("flagged") == 0, 0.0).otherwise(low), F.when(F.col("flagged") == F.col("n"), 1.0).otherwise(high)
+    return found.select("planted", "n", "flagged", (F.col("flagged") / F.col("n")).alias("rate"), low.alias("low"), high.alias("high"))

@@ -287,6 +287,30 @@ m0 as ({_read("slots", "value")}),
 select note_id, line_idx, mention_idx, {", ".join(f"{r.version}.label as {r.version}" for r in VERSIONS)} from {joined}"""
 
 
+COPIES = 6
+
+
+def error_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many planted errors of each kind are flagged in six copies of a note about every week, gated as one plan."""
+    tables = stored(_tables(spark, sf_dir), "tables")
+    slots = stored(verify.injected(tables, COPIES), "slots")
+    return verify.detection(slots, verify.gated(slots, tables))
+
+
+def injection_sql() -> str:
+    z = 1.959963984540054
+    mid, half = f"(p + {z * z}::double / (2 * n))", f"{z}::double * sqrt(p * (1 - p) / n + {z * z}::double / (4 * n * n))"
+    return f"""{_values_sql()},
+{drafts_sql({f"M{k}": verify.INJECTED for k in range(COPIES)})},
+m0 as ({_read("slots", "value")}),
+{_labelled("m0", "0")},
+x as (select planted, count(*) as n, count(*) filter (label = 'Unsupported') as flagged, count(*) filter (label = 'Unsupported') / count(*) as p
+  from labelled0 group by planted)
+select planted, n, flagged, p as rate,
+  case when flagged = 0 then 0.0::double else ({mid} - {half}) / (1 + {z * z}::double / n) end as low,
+  case when flagged = n then 1.0::double else ({mid} + {half}) / (1 + {z * z}::double / n) end as high from x"""
+
+
 def rule_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every number of the first strategy's drafts with its label under three versions of the rules: the current ones, without
     families, and with roundings that may be off by six of the last place. One run of the gate."""
@@ -332,6 +356,7 @@ from m join report r on r.week = m.table_id and r.entity = m.entity left join ot
 QUERIES = {
     "rule_versions": rule_versions,
     "verify_rounds": verify_rounds,
+    "error_injection": error_injection,
     "regated_labels": regated_labels,
     "entity_values": lambda s, d: gate.entity_values(_tables(s, d)).select("table_id", "entity", "form", "value", "unit"),
     "table_values": lambda s, d: gate.table_values(_tables(s, d)).select("table_id", "form", "value", "unit"),
@@ -349,6 +374,7 @@ ORACLES = {
     "claim_labels": claims_sql(),
     "rule_versions": versions_sql(),
     "verify_rounds": rounds_sql(),
+    "error_injection": injection_sql(),
     "regated_labels": regated_sql(),
     "entity_values": entity_sql(),
     "table_values": table_sql(),

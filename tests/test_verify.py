@@ -63,3 +63,20 @@ def test_versions_of_the_rules(spark, made):
     assert supported == {("current", 0), ("loose", 0), ("loose", 1)} and len(got) == 6
     current = {r.mention_idx: r.label for r in gate.level1(mentions(lines), lines, tables).collect()}
     assert current == {i: got["current", i] for i in (0, 1)}
+
+
+def test_injected_errors_are_counted_by_kind(made):
+    tables, _ = made
+    slots = stored(verify.injected(tables, 3), "slots")
+    labels = verify.gated(slots, tables)
+    got = {r.planted: r for r in verify.detection(slots, labels).collect()}
+    flags = {(r.note_id, r.line_idx, r.mention_idx) for r in labels.where("label = 'Unsupported'").collect()}
+    want = {}
+    for r in slots.collect():
+        n, k = want.get(r.planted, (0, 0))
+        want[r.planted] = (n + 1, k + ((r.note_id, r.line_idx, r.slot) in flags))
+    assert {k: (r.n, r.flagged) for k, r in got.items()} == want
+    assert all(r.low <= r.rate <= r.high for r in got.values())
+    assert got["none"].rate == 0 and got["drift"].rate > 0.8
+    # The copies differ from each other.
+    assert len({tuple(sorted((r.table_id, r.line_idx, r.slot, r.planted) for r in slots.where(f"strategy = 'M{k}'").collect())) for k in range(3)}) == 3
