@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factledger.operators.evaluation import draw
+from factledger.sources.scratch import stored
 
 
 def table_plan(weekly: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
@@ -41,9 +42,21 @@ def cache_misses(requests: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def within_budget(calls: DataFrame, run: str, order: str, cost: str, cap: float) -> DataFrame:
-    """The calls of each run that are made: one is made while what was spent before it is below the cap."""
-    before = F.sum(F.col(cost).cast("decimal(18,4)")).over(Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return calls.withColumn("spent_before", F.coalesce(before, F.lit(0)).cast("double")).where(F.col("spent_before") < cap)
+    """The calls of each run that are made: one is made while what was spent before it is below the cap. Calls without cost cost
+    nothing.
+
+    A run's calls are summed range by range, each by itself, and what the run's ranges before have spent is added, so a run that
+    holds most calls is no task of its own."""
+    paid = calls.withColumn("__paid", F.coalesce(F.col(cost).cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)")))
+    ranged = paid.repartitionByRange(run, order).withColumn("__range", F.spark_partition_id())
+    placed = stored(ranged, "calls")
+    sums = placed.groupBy(F.col(run).alias("__run"), F.col("__range").alias("__of")).agg(F.sum("__paid").alias("__spent"))  # a row for each run of a range
+    earlier = Window.partitionBy("__run").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("__run", "__of", F.coalesce(F.sum("__spent").over(earlier), F.lit(0)).alias("__before"))
+    joined = placed.join(before, placed[run].eqNullSafe(before["__run"]) & (placed["__range"] == before["__of"]))
+    own = F.sum("__paid").over(Window.partitionBy(run, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    spent = (F.coalesce(own, F.lit(0)) + F.col("__before")).cast("double")
+    return joined.withColumn("spent_before", spent).where(F.col("spent_before") < cap).select(*calls.columns, "spent_before")
 
 
 def estimated_cost(prompts: DataFrame, prices: DataFrame, by: str, repeats: int, chars: float = 3.0) -> DataFrame:

@@ -11,7 +11,7 @@ from factledger.functions import text as text_functions
 from factledger.operators import claims as claim_operators
 from factledger.operators import cleaning, design, evaluation, outcomes, replicates, reports
 from factledger.plans.report_sql import LINES, weekly, weighed, with_
-from factledger.sources import runs
+from factledger.sources import files, runs
 from factledger.sources.runs import filled
 from factledger.sources.scratch import new_path
 from factledger.sources.tables import table
@@ -251,6 +251,24 @@ QUERIES |= {
 }
 
 
+def _planned_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = design.planned_rows(*_plan(spark, sf_dir))
+    return rows.select(F.concat_ws("_", "size", F.lit("country"), "week").alias("table_id"), "size", F.lit("country").alias("entity_type"), "week", "pos", "entity", "revenue")
+
+
+def written_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planned tables written as files with their index, and read back: each index row beside what its file holds."""
+    path, about = new_path(spark, "tables"), ["size", "entity_type", "week"]
+    files.write_tables(_planned_tables(spark, sf_dir), path, about)
+    index = files.read_csv(spark, f"{path}/index", "table_id string, size string, entity_type string, week string, n_rows long")
+    held = files.read_tables(spark, path, "pos long, entity string, revenue double").groupBy("table_id").agg(F.max("pos").alias("last_pos"), F.sum(F.col("revenue").cast("decimal(18,2)")).cast("double").alias("revenue"))
+    return index.join(held, "table_id", "left")
+
+
+QUERIES["written_tables"] = written_tables
+QUERIES["resume_open_units"] = lambda s, d: evaluation.missing(table(s, d, "customer").select("c_custkey"), table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
 def reply_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is kept of replies that three jobs have written one after the other, many keys more than once: a customer's orders
     as replies to one prompt, cut off where the order is open."""
@@ -383,3 +401,8 @@ union all select 'of_found', count(of_found), quantile_cont(of_found, 0.025), qu
 
 ORACLES["reply_store"] = """with r as (select cast(o_custkey as varchar) as key, case when o_orderstatus = 'O' then 'max_tokens' else 'end_turn' end as stop_reason, o_orderkey % 7 * 256 as max_tokens from orders)
 select key, stop_reason, max_tokens from r qualify row_number() over (partition by key order by stop_reason, max_tokens desc) = 1"""
+ORACLES["written_tables"] = f"""{WEEKLY},
+{CHOSEN}, placed as (select week, entity, revenue, row_number() over (partition by week order by revenue desc, entity) as pos from weekly where revenue > 0)
+select size || '_country_' || week as table_id, size, 'country' as entity_type, week, count(*) as n_rows, max(pos) as last_pos, cast(sum(cast(revenue as decimal(18,2))) as double) as revenue
+from chosen join placed using (week) where pos <= n_rows group by size, week"""
+ORACLES["resume_open_units"] = "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')"

@@ -12,6 +12,24 @@ def write_reports(reports: DataFrame, path: str) -> None:
     reports.write.mode("overwrite").partitionBy("week").option("header", True).csv(path)
 
 
+def table_index(tables: DataFrame, attributes: list[str]) -> DataFrame:
+    """One row a table: ``table_id``, its attributes and ``n_rows``. Rows without id belong to none."""
+    return tables.where(F.col("table_id").isNotNull()).groupBy("table_id", *attributes).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def write_tables(tables: DataFrame, path: str, attributes: list[str]) -> None:
+    """``path/tables``: one CSV file a table in a folder of its id; ``path/index``: the tables' index, in the order of their
+    attributes and ids. What was at both goes. Attributes stand in the index alone."""
+    known = tables.where(F.col("table_id").isNotNull())
+    known.drop(*attributes).repartition("table_id").write.mode("overwrite").partitionBy("table_id").option("header", True).csv(f"{path}/tables")
+    table_index(tables, attributes).orderBy(*attributes, "table_id").write.mode("overwrite").option("header", True).csv(f"{path}/index")
+
+
+def read_tables(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of the written tables (``schema`` without the id), with ``table_id``; a filter on it reads those folders alone."""
+    return read_csv(spark, f"{path}/tables", f"{schema}, table_id string")
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV files of a schema; no rows where nothing is at the path."""
     try:

@@ -4,6 +4,7 @@ before they are read."""
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable
 
@@ -30,21 +31,83 @@ def write_settings(spark: SparkSession, path: str, settings: dict) -> None:
     spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def merged(defaults: dict, settings: dict) -> dict:
+    """The settings over the defaults, level by level."""
+    both = {k: merged(defaults[k], v) if isinstance(v, dict) and isinstance(defaults.get(k), dict) else v for k, v in settings.items()}
+    return {**defaults, **both}
+
+
 def read_settings(spark: SparkSession, path: str, defaults: dict | None = None) -> dict:
-    """The settings at the path, over the defaults: a JSON object, or lines of ``name: value`` in which a value is JSON or
-    plain text, and # begins a remark."""
+    """The settings at the path, over the defaults: a JSON object, or lines of ``name: value`` (``settings_of``)."""
     text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
-    if text.lstrip().startswith("{"):
-        return {**(defaults or {}), **json.loads(text)}
-    out = dict(defaults or {})
+    return merged(defaults or {}, json.loads(text) if text.lstrip().startswith("{") else settings_of(text))
+
+
+def settings_of(text: str) -> dict:
+    """Lines of ``name: value``. What is indented below a name belongs to it, ``- `` begins an item of a list, and # after a
+    space or at the start begins a remark. A value is JSON, a list in brackets, in single quotes, or plain text; a name with nothing
+    below it is left out."""
+    lines = []
     for line in text.splitlines():
-        name, mark, value = line.split("#", 1)[0].partition(":")
-        if mark and name.strip() and value.strip():
-            try:
-                out[name.strip()] = json.loads(value)
-            except ValueError:
-                out[name.strip()] = value.strip()
-    return out
+        if bare := _without_remark(line).rstrip():
+            lines.append((len(bare) - len(bare.lstrip(" ")), bare.strip()))
+    found, _ = _block(lines, 0, lines[0][0]) if lines else ({}, 0)
+    return found if isinstance(found, dict) else {}
+
+
+def _without_remark(line: str) -> str:
+    quote = ""
+    for i, c in enumerate(line):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'" and line[:i].rstrip()[-1:] in ("", ":", "-", ",", "["):
+            quote = c
+        elif c == "#" and (i == 0 or line[i - 1] == " "):
+            return line[:i]
+    return line
+
+
+def _block(lines: list[tuple[int, str]], at: int, indent: int) -> tuple[dict | list, int]:
+    """The settings of one indent from a line on, and the line after them."""
+    names: dict = {}
+    items: list = []
+    while at < len(lines) and lines[at][0] >= indent:
+        depth, line = lines[at]
+        if line == "-" or line.startswith("- "):
+            rest = line[1:].strip()
+            if _name_of(rest):  # an item of names: the rest of this line is the first of them
+                lines[at] = (depth + len(line) - len(rest), rest)
+                value, at = _block(lines, at, lines[at][0])
+            else:
+                value, at = _value(rest), at + 1
+            items.append(value)
+        elif (name := _name_of(line)) is not None:
+            rest, at = line[len(name) + 1 :].strip(), at + 1
+            below = at < len(lines) and (lines[at][0] > depth or (lines[at][0] == depth and lines[at][1].startswith("- ")))
+            if rest:
+                names[name.strip("\"'")] = _value(rest)
+            elif below:
+                names[name.strip("\"'")], at = _block(lines, at, lines[at][0])
+        else:
+            at += 1
+        if at < len(lines) and items and not names and not lines[at][1].startswith("-") and lines[at][0] == indent:
+            break  # a list at its name's own indent ends with the next name
+    return (items if items else names), at
+
+
+def _name_of(line: str) -> str | None:
+    """The name before the first colon that a space or the line's end follows, with its quotes."""
+    found = re.match(r"""("[^"]*"|'[^']*'|[^\[{"'].*?):(?= |$)""", line)
+    return found.group(1) if found else None
+
+
+def _value(text: str) -> object:
+    try:
+        return json.loads(text)
+    except ValueError:
+        if text.startswith("[") and text.endswith("]"):
+            return [_value(x.strip()) for x in text[1:-1].split(",") if x.strip()]
+        return text[1:-1] if len(text) > 1 and text[0] == text[-1] == "'" else None if text == "~" else text
 
 
 def filled(template: str, fields: dict[str, Column]) -> Column:

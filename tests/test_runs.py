@@ -123,3 +123,53 @@ def test_nothing_to_draw_from(spark):
     none = spark.createDataFrame([], "k string, num long, den long")
     r = evaluation.bootstrap(none, "num", "den", "k", 20).first()
     assert (r.rounds, r.low) == (0, None)
+
+
+NESTED = """# a remark
+seed: 42   # fixed
+writers:
+  first-one:
+    provider: mock
+    price: 0.5
+    on: true
+  "other: one":
+    provider: 'a # b'
+    parts: [a, "b c", 3]
+tables:
+  - size: small
+    rows: [5, 9]
+    count: 4
+
+  - size: large
+    nested:
+      deep: -1
+names:
+- x
+- 2.5
+nothing: ~
+last: plain text: with a colon
+"""
+
+
+def test_nested_settings(spark, tmp_path):
+    want = {
+        "seed": 42, "writers": {"first-one": {"provider": "mock", "price": 0.5, "on": True}, "other: one": {"provider": "a # b", "parts": ["a", "b c", 3]}},
+        "tables": [{"size": "small", "rows": [5, 9], "count": 4}, {"size": "large", "nested": {"deep": -1}}], "names": ["x", 2.5], "nothing": None, "last": "plain text: with a colon",
+    }
+    assert runs.settings_of(NESTED) == want
+    assert runs.settings_of("") == {} == runs.settings_of("# only a remark")
+    (tmp_path / "n.yaml").write_text(NESTED)
+    got = runs.read_settings(spark, str(tmp_path / "n.yaml"), {"writers": {"first-one": {"limit": 7}, "third": 1}, "x": 0})
+    assert got["x"] == 0 and got["writers"]["third"] == 1 and got["writers"]["first-one"] == {"limit": 7, "provider": "mock", "price": 0.5, "on": True}
+
+
+def test_budget_of_one_long_run(spark):
+    calls = [("one", i, ((i * 37) % 11) / 4) for i in range(3000)] + [("two", i, None if i % 3 else 5.0) for i in range(10)] + [(None, 1, 2.0), (None, 2, 9.0), (None, 3, 1.0)]
+    df = spark.createDataFrame(calls, "run string, k int, cost double")
+    got = {(r.run, r.k): r.spent_before for r in design.within_budget(df, "run", "k", "cost", 900.0).collect()}
+    want, spent = {}, {}
+    for run, k, cost in calls:
+        if spent.get(run, 0) < 900:
+            want[run, k] = spent.get(run, 0)
+        spent[run] = spent.get(run, 0) + (cost or 0)
+    assert got == want and 0 < len(got) < len(calls)
