@@ -9,7 +9,7 @@ from factledger.functions import matching
 from factledger.functions import text as text_functions
 from factledger.operators import candidates, claims, evaluation, gate, notes, reports, spans
 from factledger.operators.mentions import mentions, note_lines
-from factledger.plans import evaluation_queries, gate_queries
+from factledger.plans import evaluation_queries, gate_queries, sentence_queries
 from factledger.plans.report_sql import LINES, report, weekly, weighed, with_
 from factledger.sources.scratch import stored
 from factledger.sources.tables import table
@@ -318,6 +318,6 @@ from x, whole where d is not null group by n, difference""",
         from (select c_mktsegment, c_custkey, row_number() over (partition by c_mktsegment order by md5('review|' || c_custkey), c_custkey) as pick from customer) where pick <= 25""",
 }
 
-for part in (evaluation_queries, gate_queries):
+for part in (evaluation_queries, gate_queries, sentence_queries):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

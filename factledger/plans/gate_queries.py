@@ -290,7 +290,7 @@ select note_id, line_idx, mention_idx, {", ".join(f"{r.version}.label as {r.vers
 COPIES = 6
 
 
-def error_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
+def injected_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many planted errors of each kind are flagged in six copies of a note about every week, gated as one plan."""
     tables = stored(_tables(spark, sf_dir), "tables")
     slots = stored(verify.injected(tables, COPIES), "slots")
@@ -356,7 +356,7 @@ from m join report r on r.week = m.table_id and r.entity = m.entity left join ot
 QUERIES = {
     "rule_versions": rule_versions,
     "verify_rounds": verify_rounds,
-    "error_injection": error_injection,
+    "injected_detection": injected_detection,
     "regated_labels": regated_labels,
     "entity_values": lambda s, d: gate.entity_values(_tables(s, d)).select("table_id", "entity", "form", "value", "unit"),
     "table_values": lambda s, d: gate.table_values(_tables(s, d)).select("table_id", "form", "value", "unit"),
@@ -374,7 +374,7 @@ ORACLES = {
     "claim_labels": claims_sql(),
     "rule_versions": versions_sql(),
     "verify_rounds": rounds_sql(),
-    "error_injection": injection_sql(),
+    "injected_detection": injection_sql(),
     "regated_labels": regated_sql(),
     "entity_values": entity_sql(),
     "table_values": table_sql(),
