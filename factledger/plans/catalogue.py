@@ -19,7 +19,7 @@ BASE = with_(LINES, weekly("country"), report(TOP))
 
 
 def _report(spark: SparkSession, sf_dir: str, entity: str = "country") -> DataFrame:
-    return reports.report_tables(reports.weekly_rollup(reports.clean_lines(spark, sf_dir), entity), TOP)
+    return reports.report_tables(reports.weekly_sales(spark, sf_dir, entity), TOP)
 
 
 def _on_report(operator):
@@ -183,8 +183,8 @@ bad as (select * from again where not ((wow_pct is not distinct from wow or abs(
 QUERIES = {
     "spoilt_rows": spoilt_rows,
     "clean_lines": lambda s, d: reports.clean_lines(s, d).select("invoice_no", "day", "country", "product", "brand", "quantity", F.col("revenue").cast("double").alias("revenue"), "flag"),
-    "weekly_rollup_country": lambda s, d: reports.weekly_rollup(reports.clean_lines(s, d), "country"),
-    "weekly_rollup_product": lambda s, d: reports.weekly_rollup(reports.clean_lines(s, d), "product"),
+    "weekly_rollup_country": lambda s, d: reports.weekly_sales(s, d, "country"),
+    "weekly_rollup_product": lambda s, d: reports.weekly_sales(s, d, "product"),
     "eligible_weeks": lambda s, d: reports.eligible_weeks(reports.clean_lines(s, d)),
     "report_all_weeks": _report,
     "report_products": lambda s, d: _report(s, d, "product"),

@@ -134,7 +134,7 @@ PRICES = [("en", 3.0, 15.0), ("de", 1.0, 5.0), ("fr", 0.25, 1.25)]
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    weekly = reports.weekly_rollup(reports.clean_lines(spark, sf_dir), "country")
+    weekly = reports.weekly_sales(spark, sf_dir, "country")
     return weekly, design.table_plan(weekly, spark.createDataFrame(PLAN, "size string, least long, most long, tables long"), "plan")
 
 

@@ -16,7 +16,7 @@ NAMES = {c: c.lower() for c in gate.COLUMNS}
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notes.as_tables(reports.report_tables(reports.weekly_rollup(reports.clean_lines(spark, sf_dir), "country"), TOP))
+    return notes.as_tables(reports.report_tables(reports.weekly_sales(spark, sf_dir, "country"), TOP))
 
 
 def _compared(tables: DataFrame) -> DataFrame:
