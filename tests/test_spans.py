@@ -65,3 +65,19 @@ def test_one_key_with_many_spans_is_no_product(spark):
     met = pairs.count()
     whole = spans.compared(left, right, ["k"], "l", "r").count() + spans.compared(right, left, ["k"], "r", "l").count()
     assert 2 * n < met < whole < 12 * met < n * n / 100
+
+
+def test_keys_of_few_and_of_many_spans(spark):
+    """The same best spans whether a key's spans meet by cells or by key; what lies by key isn't shuffled again."""
+    left, right = drawn(3, 300, 300, 400), drawn(4, 300, 300, 70)
+    left, right = left + [("c", *x[1:]) for x in left[:25]], right + [("c", *x[1:]) for x in right[:25]] + [("d", 1, 0, 9)]
+    a, b = frames(spark, left, right)
+    want = {}
+    start = {(k, i): s for k, i, s, _ in right}
+    for k, i, j, n in every_pair(left, right):
+        want[k, i] = min(want.get((k, i), (1, 0, 0)), (-n, start[k, j], j))
+    got = spans.best_overlap(a, b, ["k"])
+    assert {(r.k, r.l_id): (-r.overlap, r.r_start, r.r_id) for r in got.collect()} == want
+    c, d = a.where("k = 'c'").repartition("k"), b.where("k = 'c'").repartition("k")
+    plan = spans.best_overlap(c, d, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "__cell" not in plan and plan.count("Exchange hashpartitioning") <= 2
