@@ -23,16 +23,21 @@ def claim_numbers(numbers: DataFrame, claims: DataFrame, taken: Column | None =
     A claim looks for its text among the numbers of its line, and for its digits if the text is not there. The n-th claim
     for a text (or for digits) gets the n-th such number that is not ``taken``, and the first one when they run out."""
     taken = F.lit(False) if taken is None else taken
-    n = numbers.select(*LINE, "position", "raw_text", digits(F.col("raw_text")).alias("d"), taken.alias("taken"))
-    c = claims.select(*LINE, "claim_idx", "value_text", digits(F.col("value_text")).alias("d"))
-    held = n.select(*LINE, F.col("raw_text").alias("value_text")).distinct().withColumn("by_text", F.lit(True))
-    c = c.join(held, [*LINE, "value_text"], "left").withColumn("look", F.when(F.col("by_text"), F.concat(F.lit("t"), "value_text")).when(F.col("d") != "", F.concat(F.lit("d"), "d"))).where("look is not null")
-    looks = n.select(*LINE, "position", "taken", F.explode(F.array(F.concat(F.lit("t"), "raw_text"), F.when(F.col("d") != "", F.concat(F.lit("d"), "d")))).alias("look")).where("look is not null")
-    group = Window.partitionBy(*LINE, "look")
-    free = looks.withColumn("first", F.min("position").over(group)).withColumn("k", F.when(~F.col("taken"), F.row_number().over(Window.partitionBy(*LINE, "look", "taken").orderBy("position"))))
-    asked = c.withColumn("k", F.row_number().over(group.orderBy("claim_idx")))
-    found = asked.join(free.where("k is not null").select(*LINE, "look", "k", "position"), [*LINE, "look", "k"], "left").join(free.select(*LINE, "look", "first").distinct(), [*LINE, "look"])
-    return found.select(*LINE, "claim_idx", F.coalesce("position", "first").alias("position"))
+    one = lambda df, text, number, claim: df.select(*LINE, digits(F.col(text)).alias("d"), F.col(text).alias("text"), *number, claim.alias("claim"))
+    idx = claims.schema["claim_idx"].dataType
+    n = one(numbers, "raw_text", [F.col("position"), taken.alias("taken")], F.lit(None).cast(f"struct<claim_idx:{idx.simpleString()}>"))
+    c = one(claims, "value_text", [F.lit(None).cast(numbers.schema["position"].dataType).alias("position"), F.lit(None).cast("boolean").alias("taken")], F.struct("claim_idx"))
+    # Equal texts have equal digits, so all that may meet shares a line and digits: one shuffle, whose groups are then cut by text.
+    rows = n.unionByName(c).dropna(subset=[*LINE, "text"]).repartition(*LINE, "d")
+    texts = rows.groupBy(*LINE, "d", "text").agg(F.min("position").alias("first"), F.sort_array(F.collect_list(F.when(~F.col("taken"), F.col("position")))).alias("free"), F.sort_array(F.collect_list("claim")).alias("asks"))
+    said, none = F.col("first").isNotNull(), F.array().cast(texts.schema["asks"].dataType)
+    looks = texts.groupBy(*LINE, "d").agg(
+        F.collect_list(F.when(said & (F.size("asks") > 0), F.struct("first", "free", "asks"))).alias("by_text"), F.min("first").alias("first"), F.sort_array(F.flatten(F.collect_list("free"))).alias("free"),
+        F.sort_array(F.flatten(F.collect_list(F.when(~said, F.col("asks"))))).alias("asks"),
+    )
+    given = lambda x: F.transform(x["asks"], lambda c, k: F.struct(c["claim_idx"].alias("claim_idx"), F.coalesce(F.get(x["free"], k), x["first"]).alias("position")))
+    rest = F.struct("first", "free", F.when((F.col("d") != "") & said, F.col("asks")).otherwise(none).alias("asks"))
+    return looks.select(*LINE, F.explode(F.flatten(F.transform(F.concat("by_text", F.array(rest)), given))).alias("x")).select(*LINE, "x.claim_idx", "x.position")
 
 
 def gate_flags(numbers: DataFrame, claims: DataFrame) -> DataFrame:
