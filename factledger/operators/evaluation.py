@@ -244,8 +244,8 @@ def carried_forward(rows: DataFrame, unit: str, at: str, value: str) -> DataFram
 
 def side_by_side(rows: DataFrame, keys: list[str], repeat: str, value: str, names: dict[int, str]) -> DataFrame:
     """The values of the repeats in columns of their own; keys that lack one are left out."""
-    wide = rows.groupBy(*keys).pivot(repeat, list(names)).agg(F.max(value))
-    return wide.select(*keys, *[F.col(str(k)).alias(x) for k, x in names.items()]).dropna(subset=list(names.values()))
+    wide = rows.where(F.col(repeat).isin(list(names))).groupBy(*keys).agg(*[F.max(F.when(F.col(repeat) == k, F.col(value))).alias(x) for k, x in names.items()])
+    return wide.dropna(subset=list(names.values()))
 
 
 def quotas(groups: DataFrame, group: str, total: int) -> DataFrame:
