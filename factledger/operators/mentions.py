@@ -112,7 +112,8 @@ def mentions(lines: DataFrame) -> DataFrame:
     digits = lambda parts: F.filter(parts, lambda x: x["text"].rlike("(?U)\\d"))
     dates = lambda norm: let(spans(norm, lx.DATE), lambda d: _near_dates(d, F.char_length(norm)))
     every = lambda norm: let(dates(norm), lambda d: let(let(cut(norm), put), lambda parts: F.flatten(F.transform(digits(parts), lambda p: _numbers(p, d)))))
-    found = lines.select(*lines.columns, F.posexplode(let(norm, every)).alias("mention_idx", "m")).select(*lines.columns, "mention_idx", "m", "m.offset", "m.pre", "m.post")
+    # A line without a digit has no number, and most lines are such.
+    found = lines.where(F.col("line").rlike(r"(?U)\d")).select(*lines.columns, F.posexplode(let(norm, every)).alias("mention_idx", "m")).select(*lines.columns, "mention_idx", "m", "m.offset", "m.pre", "m.post")
     group = lambda n: F.regexp_extract(F.col("m.raw"), lx.NUMBER, n)
     before = tokens(F.col("pre"), r"[#\w.'-]+|[£$€~]")
     after = F.transform(tokens(F.col("post"), r"[#\w.'-]+"), lambda w: F.rtrim(w, F.lit(".")))

@@ -83,3 +83,12 @@ def test_work_grows_with_the_line(spark):
         assert {r.skip_reason for r in got[2::3]} == {"date_or_week"}
         assert {(r.unit, r.direction) for r in got[1::3]} == {("percent", "up")}
     assert took[1200] < 6 * max(took[300], 2)
+
+
+def test_lines_without_digit_are_left_out_first(spark):
+    notes = spark.createDataFrame([("a", "t", "no number\n\nIt rose to £5\nnone. Here neither"), ("b", "t", "-")], "note_id string, table_id string, note string")
+    found = mentions(note_lines(notes))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Before anything else looks at the lines.
+    assert r"(?U)\d" in plan[plan.rindex("Filter") :], plan
+    assert [(r.note_id, r.line_idx, r.raw_text) for r in found.collect()] == [("a", 1, "£5")]
