@@ -92,3 +92,24 @@ def test_lines_without_digit_are_left_out_first(spark):
     # Before anything else looks at the lines.
     assert r"(?U)\d" in plan[plan.rindex("Filter") :], plan
     assert [(r.note_id, r.line_idx, r.raw_text) for r in found.collect()] == [("a", 1, "£5")]
+
+
+def test_a_number_is_matched_once_for_all_its_parts(spark):
+    """Each part of a reading is worked out once: the plan holds few copies of the pattern of numbers."""
+    notes = spark.createDataFrame([("a", "t", "£5")], "note_id string, table_id string, note string")
+    plan = mentions(note_lines(notes))._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("percentage") <= 4
+
+
+def test_words_far_away_and_letters_for_private_use(spark):
+    """The nearest words are those of the whole stretch, wherever a shorter one would cut it."""
+    far = "gave " + "x" * 70 + "-up up 5%"
+    texts = [
+        far, "gave" + " " * 80 + "up 5%", "more" + " " * 70 + "than £5", "about5 and £6k. The 7%", "£8 " + "." * 80 + " units", "sales rose " + ", ".join(["word"] * 30) + " 9%",
+    ]
+    notes = spark.createDataFrame([(f"n{i}", "t", x) for i, x in enumerate(texts)], "note_id string, table_id string, note string")
+    got = [(r.note_id, r.raw_text, r.direction, r.qualifier, r.position) for r in mentions(note_lines(notes)).orderBy("note_id", "mention_idx").collect()]
+    assert got == [
+        ("n0", "5%", "up", "none", 82), ("n1", "5%", "down", "none", 87), ("n2", "£5", "none", "over", 79), ("n3", "5", "none", "approx", 6), ("n3", "£6", "none", "none", 13), ("n3", "7", "none", "none", 24),
+        ("n4", "£8", "none", "none", 0), ("n5", "9%", "none", "none", 190),
+    ]
