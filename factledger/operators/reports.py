@@ -4,6 +4,8 @@ Sums are exact decimals that become doubles once, so they don't hang on the orde
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from factledger.sources.scratch import stored
 from factledger.sources.tables import table
 
 REVENUE = "l_extendedprice", "l_discount"
+HIGH = 10**12
 
 
 def _revenue() -> Column:
@@ -46,24 +49,53 @@ def with_weeks(lines: DataFrame) -> DataFrame:
     return lines.withColumn("week_start", F.date_trunc("week", "day").cast("date")).withColumn("week", week_label(F.col("day")))
 
 
+def _cents(x: str, most: int) -> tuple[Column, Column]:
+    """A double in hundredths as a whole number, and whether it is that many hundredths exactly, and no more than ``most``."""
+    c = F.rint(F.col(x).cast("double") * 100)
+    return c.cast("long"), F.coalesce((F.abs(c) <= most) & (c / 100 == F.col(x).cast("double")), F.lit(False))
+
+
+def _priced(item: DataFrame) -> DataFrame:
+    """The lines with their revenue in ten-thousandths as two longs, ``units`` and ``high``, which counts ``HIGH`` of them: sums of longs
+    cost a fraction of those of decimals. Where price and discount are whole hundredths and no more than usual the product of longs is exact;
+    others go by decimals."""
+    (price, plain), (discount, low) = _cents(REVENUE[0], 10**8), _cents(REVENUE[1], 100)
+    item = item.withColumns({"fast": plain & low, "exact": F.when(~(plain & low), (_revenue() * 10000).cast("decimal(28,0)"))})
+    high = F.when(F.col("fast"), 0).otherwise(F.expr(f"exact div {HIGH}"))
+    return item.withColumns({"units": F.when(F.col("fast"), price * (100 - discount)).otherwise((F.col("exact") % HIGH).cast("long")), "high": high.cast("long")})
+
+
+def _held_keys(part: DataFrame) -> DataFrame:
+    """Which keys are there, 64 of them a row: ``block``, ``keys`` (a bit for each key), and ``level`` 1; those of a key that is there n
+    times in n levels. It is stored, so that Spark knows how small it is."""
+    n = part.where("p_partkey is not null").groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n")).select("p_partkey", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("level"))
+    bits = F.bit_or(F.expr("shiftleft(1L, cast(p_partkey & 63 as int))"))
+    return stored(n.groupBy(F.expr("shiftright(p_partkey, 6)").alias("block"), "level").agg(bits.alias("keys")), "keys")
+
+
 def weekly_sales(spark: SparkSession, sf_dir: str, entity: str) -> DataFrame:
     """``weekly_rollup`` of the clean lines by ``country``, ``product`` or ``brand``, with one shuffle of the lines where the parts can be
     broadcast. Lines meet orders last, so that both lie by order; there each order gives one row for each of its weeks and
     entities, and counting those rows counts invoices without another shuffle. By country, lines are summed by order before
-    they meet anything but parts. An order line that meets several parts, or an order that is there twice, counts as often
-    as in ``clean_lines``."""
-    item = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("long").alias("quantity"), _revenue().alias("revenue")).where("quantity > 0 and revenue > 0")
+    they meet anything but parts, of which they need no more than which there are, a bit each. An order line that meets several
+    parts, or an order that is there twice, counts as often as in ``clean_lines``."""
+    item = _priced(table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("long").alias("quantity"), *REVENUE)).where("quantity > 0 and (units > 0 or high > 0)").drop(*REVENUE, "fast", "exact")
     part = table(spark, sf_dir, "part").select("p_partkey", F.upper(F.trim("p_name")).alias("product"), F.col("p_brand").alias("brand")).where("product <> ''")
-    sold = item.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    sums = [F.sum("revenue").alias("revenue"), F.sum("quantity").alias("quantity")]
-    sold = sold.groupBy("l_orderkey").agg(*sums) if entity == "country" else sold.select("l_orderkey", entity, "quantity", "revenue")
-    order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.date_trunc("week", F.to_date("o_orderdate")).cast("date").alias("week_start"))
+    sums = [F.sum(x).alias(x) for x in ("units", "high", "quantity")]
+    if entity == "country":
+        held = item.join(_held_keys(part), F.expr("shiftright(l_partkey, 6) = block")).where("getbit(keys, cast(l_partkey & 63 as int)) = 1")
+        sold = held.groupBy("l_orderkey").agg(*sums)
+    else:
+        sold = item.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", entity, "quantity", "units", "high")
+    order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.trunc(F.to_date("o_orderdate"), "week").alias("week_start"))
     who = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("country")).where("country is not null")
     placed = order.join(who, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "week_start", "c_nationkey")
     met = sold.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
     each = met.groupBy("l_orderkey", "week_start", F.col(entity).alias("entity")).agg(*sums)
-    out = each.groupBy("week_start", "entity").agg(F.sum("revenue").cast("double").alias("revenue"), F.sum("quantity").alias("units"), F.count(F.lit(1)).alias("orders"))
+    summed = lambda x, unit: (F.sum(F.col(x).cast("decimal(20,0)")) * F.lit(Decimal(unit))).cast("decimal(38,4)")
+    revenue = summed("units", "0.0001") + summed("high", str(HIGH // 10**4))
+    out = each.groupBy("week_start", "entity").agg(revenue.cast("double").alias("revenue"), F.sum("quantity").alias("units"), F.count(F.lit(1)).alias("orders"))
     return out.select(week_label(F.col("week_start")).alias("week"), "week_start", "entity", "revenue", "units", "orders")
 
 
