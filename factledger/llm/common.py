@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -82,7 +83,7 @@ def drawn(rows: DataFrame, below: Column, names: list[str]) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices of about ``limit`` bytes of text, so that vectorised work needs bounded memory.
 
-    Only a single text longer than the limit makes a larger slice."""
+    Only a single text longer than the limit makes a larger slice. After the last one the worker's free memory is released."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -92,6 +93,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1
         edges = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip(np.r_[0, edges], np.r_[edges, batch.num_rows], strict=True):
             yield batch.slice(int(a), int(b - a))
+    release()
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def release() -> None:
+    """Gives free memory back to the system. Workers serve all stages of a job: what one stage leaves in their allocators
+    would stay beside what the next one takes."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def _lengths(column: pa.Array) -> np.ndarray:
