@@ -13,7 +13,7 @@ An empty table makes an empty data set. Other columns than ``doc_id`` and ``text
 a bounded sample: about ``SAMPLE`` distinct documents by a hash of id and text (so rows without id, and repeated rows, don't
 come together), of each the ids of one window of ``WINDOW`` characters at most, ``PIECE`` bytes of them. So the driver is
 sent 32 MB at most, however many or long the documents are. Documents with equal ids are in order of their texts. A task
-holds the ids of one whole text, and a block, at a time.
+holds the ids of a slice of about 1 MB of texts (or of one longer text), and a block, at a time.
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ def write(docs: DataFrame, target: str, path: str, kind: str = "byte") -> str:
     spark.createDataFrame([(name, bytearray(trained))], "sha256 string, content binary").coalesce(1).write.parquet(f"{target}/dictionary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(path, kind).ids
+        many = encoder(path, kind).many
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained), write_content_size=True)
         part, block, total = TaskContext.get().partitionId(), 0, 0
         names = [x.split()[0] for x in BLOCK_DDL.split(", ")]
@@ -92,8 +92,7 @@ def write(docs: DataFrame, target: str, path: str, kind: str = "byte") -> str:
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
         for batch in slices(batches):
-            for doc, text in zip(column(batch, "doc_id").to_pylist(), texts_of(batch), strict=True):
-                raw = ids(text) + END
+            for doc, raw in zip(column(batch, "doc_id").to_pylist(), many(texts_of(batch), END), strict=True):
                 doc_ids.append(doc)
                 frames.append(press.compress(raw))
                 sizes.append(len(raw) // 4)
